@@ -133,7 +133,8 @@ def _verified(source: DataFrame, index: DataFrame, filter_bits: int, digest) ->
         return None
     hits = source.mapInArrow(_hits(words, digest), "digest string, doc_id long, chars long, row long, body binary").join(index, "digest")
     hits = written(hits, "hits")
-    stay = hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("keep_body"))
+    # written, so that both sides of the join are plain shuffles and a hot digest can be split
+    stay = written(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("keep_body")), "stay")
     clashes = written(hits.join(stay, "digest", "left").where(~F.col("body").eqNullSafe(F.col("keep_body"))).select("digest").distinct(), "clashes")
     if clashes.isEmpty():
         return None

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets
+from . import exact_dedup, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op3_mixing": mixing.op3_mixing,
+        "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_secrets": secrets.op7_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
