@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, secrets
+from . import exact_dedup, licenses, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_secrets": secrets.op7_secrets,
+        "op8_licenses": licenses.op8_licenses,
     }
 
 
