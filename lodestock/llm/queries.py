@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, packing, quality, secrets
+from . import exact_dedup, licenses, mixing, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op3_mixing": mixing.op3_mixing,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_secrets": secrets.op7_secrets,
