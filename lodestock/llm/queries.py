@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, packing, quality, secrets, toxicity
+from . import exact_dedup, licenses, mixing, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_secrets": secrets.op7_secrets,
         "op8_licenses": licenses.op8_licenses,
+        "op9_pii": pii.op9_pii,
     }
 
 
