@@ -8,11 +8,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lower bound on the distance between two filter positions taken from one key.
-FILTER_HASHES = 3
+#: Positions that one key sets in a filter, and the bits of the key between them.
+FILTER_HASHES, FILTER_SHIFT = 3, 19
 _local_dir: str | None = None
 
 
@@ -53,17 +54,12 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def filter_positions(key: Column, bits: int) -> Column:
-    """Positions of a 64-bit key in a bit filter: one row a hash in an array."""
-    return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(FILTER_HASHES)])
+def build_filter(keys: DataFrame, key: Column, bits: int = 1 << 23) -> np.ndarray:
+    """Bit filter over a column of hashed 64-bit keys, OR-ed on the executors; at most bits / 64 words reach the driver whatever the input.
 
-
-def build_filter(keys: DataFrame, key: str, bits: int = 1 << 23) -> np.ndarray:
-    """Bit filter over `keys[key]` (long), OR-ed on the executors; at most bits / 64 words reach the driver whatever the input.
-
-    A filter too small for its keys lets more rows pass; it never loses one.
+    A filter too small for its keys lets more rows pass; it never loses one. `bits`: a power of two, at most 2^26.
     """
-    at = F.explode(filter_positions(F.col(key), bits))
+    at = F.explode(F.array(*[F.shiftrightunsigned(key, FILTER_SHIFT * i).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_HASHES)]))
     words = (
         keys.select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
@@ -75,19 +71,18 @@ def build_filter(keys: DataFrame, key: str, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
-def passes(words: Column, key: Column, bits: int) -> Column:
-    """Whether `key` may be in a filter held as an array of longs; for use on the JVM."""
-    hit = F.lit(True)
+def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of the hashed keys (uint64) may be in the filter."""
+    out = np.ones(len(keys), dtype=bool)
     for i in range(FILTER_HASHES):
-        at = F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits))
-        hit = hit & (F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), (at.bitwiseAND(63)).cast("int")) == 1)
-    return hit
+        at = (keys >> np.uint64(FILTER_SHIFT * i)) & np.uint64(len(words) * 64 - 1)
+        out &= ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return out
 
 
-def in_filter(words: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """`positions`: (n, FILTER_HASHES) array; True where all its bits are set."""
-    at = positions.astype(np.uint64)
-    return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+def hashed(value: bytes | int) -> int:
+    """What Spark's xxhash64 gives for a string or a long, as an unsigned number."""
+    return xxhash.xxh64_intdigest(value if isinstance(value, bytes) else (value & (1 << 64) - 1).to_bytes(8, "little"), 42)
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

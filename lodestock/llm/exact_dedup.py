@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_HASHES, as_bytes, batch, build_filter, each_text, in_filter, written
+from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter, written
 
 #: The characters that do not count: space and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -75,13 +75,11 @@ def _runs(memtable_rows: int, digest):
 
 
 def _hits(words: np.ndarray, digest):
-    bits = len(words) * 64
-
     def hits(batches):
         out: list[tuple] = []
         size = 0
         for entry in _rows(batches, digest):
-            if in_filter(words, np.array([_positions(entry[0], bits)]))[0]:
+            if in_filter(words, np.array([hashed(entry[0].encode())], dtype=np.uint64))[0]:
                 out.append(entry)
                 size += len(entry[4])
             if size > 8_000_000:
@@ -93,22 +91,6 @@ def _hits(words: np.ndarray, digest):
     return hits
 
 
-def _positions(digest: str, bits: int) -> list[int]:
-    """Positions of a digest in the filter: its leading groups of eight hex digits, each modulo the filter's size."""
-    padded = digest.ljust(8 * FILTER_HASHES, "0")
-    return [int(padded[8 * i : 8 * i + 8], 16) % bits for i in range(FILTER_HASHES)]
-
-
-def _digest_filter(digests: DataFrame, bits: int) -> np.ndarray:
-    """The same positions, found and OR-ed by the executors' JVMs; at most bits / 64 words reach the driver."""
-    padded = F.rpad("digest", 8 * FILTER_HASHES, "0")
-    at = F.explode(F.array(*[F.pmod(F.conv(F.substring(padded, 8 * i + 1, 8), 16, 10).cast("long"), F.lit(bits)) for i in range(FILTER_HASHES)]))
-    words = digests.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return out
-
-
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 100_000, filter_bits: int = 1 << 23, digest: Callable[[bytes], str] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest), one row for each row of `docs`."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -128,7 +110,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def _verified(source: DataFrame, index: DataFrame, filter_bits: int, digest) -> DataFrame | None:
     """Compares every hit's bytes with those of the row that stays. None if all agree; else the groups of the digests that don't, by bytes."""
-    words = _digest_filter(index, filter_bits)
+    words = build_filter(index, F.xxhash64("digest"), filter_bits)
     if not words.any():
         return None
     hits = source.mapInArrow(_hits(words, digest), "digest string, doc_id long, chars long, row long, body binary").join(index, "digest")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, packing, pii, quality, secrets, toxicity
+from . import exact_dedup, licenses, mixing, ngram_join, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
