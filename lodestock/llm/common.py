@@ -54,12 +54,12 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def build_filter(keys: DataFrame, key: Column, bits: int = 1 << 23) -> np.ndarray:
+def build_filter(keys: DataFrame, key: Column, bits: int = 1 << 23, hashes: int = FILTER_HASHES) -> np.ndarray:
     """Bit filter over a column of hashed 64-bit keys, OR-ed on the executors; at most bits / 64 words reach the driver whatever the input.
 
     A filter too small for its keys lets more rows pass; it never loses one. `bits`: a power of two, at most 2^26.
     """
-    at = F.explode(F.array(*[F.shiftrightunsigned(key, FILTER_SHIFT * i).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_HASHES)]))
+    at = F.explode(F.array(*[F.shiftrightunsigned(key, FILTER_SHIFT * i).bitwiseAND(F.lit(bits - 1)) for i in range(hashes)]))
     words = (
         keys.select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
@@ -71,10 +71,10 @@ def build_filter(keys: DataFrame, key: Column, bits: int = 1 << 23) -> np.ndarra
     return out
 
 
-def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def in_filter(words: np.ndarray, keys: np.ndarray, hashes: int = FILTER_HASHES) -> np.ndarray:
     """Whether each of the hashed keys (uint64) may be in the filter."""
     out = np.ones(len(keys), dtype=bool)
-    for i in range(FILTER_HASHES):
+    for i in range(hashes):
         at = (keys >> np.uint64(FILTER_SHIFT * i)) & np.uint64(len(words) * 64 - 1)
         out &= ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
     return out

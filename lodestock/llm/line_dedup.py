@@ -15,35 +15,38 @@ n_lines, n_removed or removed are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter, table, written
+from .words import Words, grouped
 
 COUNT = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("prefix", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())])))])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
-MOST_REMEMBERED = 400_000
+#: Different words that a task counts before it hands the counts on.
+COUNTED_WORDS = 2_000_000
 
 
 def _count(batches):
-    counts: Counter = Counter()
+    words = Words()
+    hashes, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def flush() -> pa.RecordBatch:
-        return batch(COUNT, {"h": np.array([xxhash.xxh3_64_intdigest(w) for w in counts], dtype=np.uint64).view(np.int64), "n": list(counts.values())})
+        return batch(COUNT, {"h": hashes.view(np.int64), "n": numbers})
 
     for r in each_text(batches):
-        for text in as_bytes(r.column(0)):
-            counts.update(text.lower().split())
-        if len(counts) > MOST_REMEMBERED:
+        texts = as_bytes(r.column(0))
+        for a, b in grouped(texts):
+            h, n = np.unique(words.split(b"\n".join(texts[a:b]).lower())[0], return_counts=True)
+            hashes, at = np.unique(np.concatenate([hashes, h]), return_inverse=True)
+            numbers = np.bincount(at, np.concatenate([numbers, n]), len(hashes)).astype(np.int64)
+        if len(hashes) > COUNTED_WORDS:
             yield flush()
-            counts.clear()
-    if counts:
+            hashes, numbers = hashes[:0], numbers[:0]
+    if len(hashes):
         yield flush()
 
 
@@ -51,28 +54,24 @@ class Lines:
     """Token sets of the lines of many texts at once, each in the order of rarity."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        if len(self.known) >= MOST_REMEMBERED:
-            self.known.clear()
-        found = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+        self.hashes, self.counts, self.words = hashes, counts, Words()
 
     def read(self, texts: list[bytes]):
         """text, line, size of each line with a word; then, line after line, tokens and their line's number in this list."""
-        of_text, of_line, words, sizes = [], [], [], []
-        for i, text in enumerate(texts):
-            for j, line in enumerate(text.lower().split(b"\n")):
-                if found := line.split():
-                    of_text.append(i)
-                    of_line.append(j)
-                    sizes.append(len(found))
-                    words += found
-        get, make = self.known.get, self._hash
-        h = np.array([get(w) or make(w) for w in words], dtype=np.uint64)
-        line = np.repeat(np.arange(len(sizes)), sizes)
+        parts = [self._read(texts[a:b], a) for a, b in grouped(texts)]
+        if not parts:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
+        shift = np.cumsum([0] + [len(p[0]) for p in parts])
+        return *(np.concatenate([p[i] for p in parts]) for i in range(4)), np.concatenate([p[4] + k for p, k in zip(parts, shift)])
+
+    def _read(self, texts: list[bytes], first: int):
+        data = b"\n".join(texts).lower()
+        h, starts, _ = self.words.split(data)
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        before = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
+        of_word = np.searchsorted(ends, starts)  # lines before this one in all the texts
+        used, line = np.unique(of_word, return_inverse=True)
+        of_text = np.searchsorted(before, used, side="right") - 1
         if len(self.hashes):
             where = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             count = np.where(self.hashes[where] == h, self.counts[where], 0)
@@ -82,7 +81,7 @@ class Lines:
         h, line = h[order], line[order]
         new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))[: len(h)]
         h, line = h[new], line[new]
-        return np.array(of_text, np.int64), np.array(of_line, np.int64), np.bincount(line, minlength=len(sizes)), h, line
+        return of_text + first, used - before[of_text], np.bincount(line, minlength=len(used)), h, line
 
 
 def _mix(h: np.ndarray, factor: int) -> np.ndarray:

@@ -29,18 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, build_filter, connected, each_text, hashed, in_filter, table, written
-
-MASK = (1 << 64) - 1
-#: Words whose hashes a task remembers before it starts anew; shingles it counts at a time.
-MOST_REMEMBERED, COUNTED_AT_ONCE = 400_000, 2_000_000
-#: A remainder of at most so many points and shingles is joined in one task.
-REGION_POINTS, REGION_SHINGLES = 512, 3_000_000
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("prefix", pa.binary())])
+from .words import Words, grouped, mixed
+
+#: Shingles counted at a time.
+COUNTED_AT_ONCE = 2_000_000
+#: Words of 64 bits of a point's outline.
+OUTLINE = 16
+#: A remainder of at most so many points is screened in one task; what is left of it is joined there up to so many points and shingles.
+SCREENED_POINTS, REGION_POINTS, REGION_SHINGLES = 4096, 1024, 3_000_000
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("prefix", pa.binary()), ("outline", pa.binary())])
 ENTRY = pa.schema([("h", pa.int64()), ("v", pa.int64())])
 SET = pa.schema([("v", pa.int64()), ("set", pa.binary())])
 COUNT = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-DISTANCE = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("all", pa.int64())])
+BOUND = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("d", pa.float64()), ("near", pa.bool_())])
+DISTANCE = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("shared", pa.int64()), ("all", pa.int64())])
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+MEMBER = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -63,42 +67,44 @@ class Rule:
 
 
 class Shingler:
-    """Sets of hashed shingles of whole texts: A-Z lower-cased, words parted by space and U+0009 to U+000D."""
+    """Hashed shingles of whole texts: A-Z lower-cased, words parted by space and U+0009 to U+000D."""
 
     def __init__(self, words: int):
-        self.k = words
-        self.known: dict[bytes, int] = {}
-        rng = np.random.default_rng(17)
-        self.factors = rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def _hash(self, word: bytes) -> int:
-        if len(self.known) >= MOST_REMEMBERED:
-            self.known.clear()
-        found = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def raw(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all shingles in order, and their lengths in bytes; fewer words than a shingle make one."""
-        words = text.lower().split()
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        get, make = self.known.get, self._hash
-        h = np.array([get(w) or make(w) for w in words], dtype=np.uint64)
-        size = np.fromiter(map(len, words), np.int64, n)
+        self.k, self.words = words, Words()
+        self.factors = np.random.default_rng(17).integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def _of(self, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(h)
         k = min(self.k, n)
-        out, long = np.zeros(n - k + 1, np.uint64), np.zeros(n - k + 1, np.int64)
+        out, long = np.zeros(max(n - k + 1, 0) if n else 0, np.uint64), np.zeros(n - k + 1 if n else 0, np.int64)
         for i in range(k):
             out += h[i : n - k + 1 + i] * self.factors[i]
             long += size[i : n - k + 1 + i]
-        out += np.uint64(k)
-        out ^= out >> np.uint64(33)
-        out *= np.uint64(0xFF51AFD7ED558CCD)
-        out ^= out >> np.uint64(29)
-        return out, long
+        return mixed(out + np.uint64(k)), long
+
+    def raw(self, texts: list[bytes]):
+        """For each text, in order, the hashes of all its shingles and their lengths in bytes; fewer words than a shingle make one."""
+        for a, b in grouped(texts):
+            h, starts, ends = self.words.split(b"\n".join(texts[a:b]).lower())
+            at = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
+            cut = np.searchsorted(starts, at)
+            for i in range(b - a):
+                some = slice(cut[i], cut[i + 1])
+                yield self._of(h[some], ends[some] - starts[some])
+
+    def sets(self, texts: list[bytes]):
+        return (np.unique(h) for h, _ in self.raw(texts))
+
 
-    def set(self, text: bytes) -> np.ndarray:
-        return np.unique(self.raw(text)[0])
+def outline(h: np.ndarray) -> np.ndarray:
+    """Parity of a set's elements in each of 1024 cells: two sets differ in at least as many elements as their outlines do in bits."""
+    bits = np.bincount((h & np.uint64(64 * OUTLINE - 1)).astype(np.int64), minlength=64 * OUTLINE) & 1
+    return np.packbits(bits.astype(np.uint8))
+
+
+def apart(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Least Jaccard distance of sets of n elements together whose outlines differ in so many bits."""
+    return 2 * bits / np.maximum(n + bits, 1)
 
 
 def _count(rule: Rule):
@@ -109,9 +115,9 @@ def _count(rule: Rule):
     def count(batches):
         shingler, sets, size = Shingler(rule.words), [], 0
         for r in each_text(batches):
-            for text in as_bytes(r.column(0)):
-                sets.append(shingler.set(text))
-                size += len(sets[-1])
+            for found in shingler.sets(as_bytes(r.column(0))):
+                sets.append(found)
+                size += len(found)
             if size >= COUNTED_AT_ONCE:
                 yield flush(sets)
                 sets, size = [], 0
@@ -125,15 +131,15 @@ def _signatures(rule: Rule, frequent: np.ndarray):
     def sign(batches):
         shingler, seen = Shingler(rule.words), set()
         for r in each_text(batches):
-            columns: dict[str, list] = {"n": [], "digest": [], "prefix": []}
-            for text in as_bytes(r.column(1)):
-                raw, long = shingler.raw(text)
+            columns: dict[str, list] = {c: [] for c in SIGNATURE.names[1:]}
+            for raw, long in shingler.raw(as_bytes(r.column(1))):
                 h, at = np.unique(raw, return_index=True)
                 digest = xxhash.xxh3_128_hexdigest(h.tobytes())
                 columns["n"].append(len(h))
                 columns["digest"].append(digest)
-                if not len(h) or digest in seen:  # one copy in a task carries the prefix
+                if not len(h) or digest in seen:  # one copy in a task stands for all
                     columns["prefix"].append(None)
+                    columns["outline"].append(None)
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(digest)
@@ -141,6 +147,7 @@ def _signatures(rule: Rule, frequent: np.ndarray):
                 often = frequent[where] == h if len(frequent) else np.zeros(len(h), bool)
                 order = np.lexsort((h, -long[at], often))[: rule.first(len(h))]
                 columns["prefix"].append(h[order].tobytes())
+                columns["outline"].append(outline(h).tobytes())
             yield batch(SIGNATURE, {"doc_id": r.column(0), **columns})
 
     return sign
@@ -155,7 +162,7 @@ def _entries(words: np.ndarray | None):
             h = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             v = np.repeat(points, [len(p) for p in prefixes])
             if words is not None:
-                some = in_filter(words, h)
+                some = in_filter(words, h, 1)
                 h, v = h[some], v[some]
             yield batch(ENTRY, {"h": h.view(np.int64), "v": v})
 
@@ -168,9 +175,9 @@ def _sets(rule: Rule, words: np.ndarray):
         for r in each_text(batches):
             ids = r.column(0).to_pylist()
             some = in_filter(words, np.array([hashed(i) for i in ids], dtype=np.uint64))
-            found = [(i, shingler.set(t).tobytes()) for i, t, ok in zip(ids, as_bytes(r.column(1)), some) if ok]
-            if found:
-                yield batch(SET, dict(zip(SET.names, zip(*found))))
+            texts = [t for t, ok in zip(as_bytes(r.column(1)), some) if ok]
+            if texts:
+                yield batch(SET, {"v": [i for i, ok in zip(ids, some) if ok], "set": [s.tobytes() for s in shingler.sets(texts)]})
 
     return sets
 
@@ -184,12 +191,47 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def _outlines(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, OUTLINE)
+
+
+def _bounds(rule: Rule):
+    """Least distance of each pair by its outlines, and whether it may be within the radius."""
+
+    def bounds(batches):
+        for r in batches:
+            bits = np.bitwise_count(_outlines(r.column("xo")) ^ _outlines(r.column("po"))).sum(1).astype(np.int64)
+            n, m = r.column("n").to_numpy(), r.column("pn").to_numpy()
+            near = ((100 + rule.percent) * bits <= (100 - rule.percent) * (n + m)) & rule.linked(np.minimum(n, m), np.maximum(n, m))
+            least = np.maximum(apart(bits, n + m), 1 - np.minimum(n, m) / np.maximum(n, m))
+            yield batch(BOUND, {"p": r.column("p"), "v": r.column("v"), "n": n, "d": least, "near": near})
+
+    return bounds
+
+
 def _distances(batches):
     for r in each_text(batches, 256):
         x, y = ([np.frombuffer(b, np.uint64) for b in r.column(c).to_pylist()] for c in ("xs", "ps"))
-        n = [len(a) for a in x]
         common = [shared(a, b) for a, b in zip(x, y)]
-        yield batch(DISTANCE, {"p": r.column("p"), "v": r.column("v"), "n": n, "shared": common, "all": [a + len(b) - s for a, b, s in zip(n, y, common)]})
+        yield batch(DISTANCE, {"p": r.column("p"), "v": r.column("v"), "shared": common, "all": [len(a) + len(b) - s for a, b, s in zip(x, y, common)]})
+
+
+def _screen(rule: Rule):
+    """Of a region's points those that may be within the radius of another, by size and outline; pairs of two that the pivot links already don't count."""
+
+    def screen(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        n, out, bits = rows["n"].to_numpy(), rows["out"].to_numpy(), _outlines(rows["xo"])
+        hit = np.zeros(len(n), bool)
+        for i in range(len(n)):
+            j = np.arange(i + 1, len(n))
+            j = j[(out[i + 1 :] | out[i]) & rule.linked(np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :]))]
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
+            j = j[(100 + rule.percent) * differ <= (100 - rule.percent) * (n[j] + n[i])]
+            hit[j] = True
+            hit[i] |= len(j) > 0
+        return rows.filter(pa.array(hit)).select(MEMBER.names).cast(MEMBER)
+
+    return screen
 
 
 def join_region(ids: list[int], sets: list[np.ndarray], rule: Rule, pivots: int = 8) -> list[tuple[int, int]]:
@@ -237,38 +279,51 @@ def _regions(rule: Rule):
     return region
 
 
+def _with_sets(wanted: DataFrame, source: DataFrame, rule: Rule, filter_bits: int) -> DataFrame:
+    """(v, set) of the wanted points, and of the few more that the filter lets pass."""
+    words = build_filter(wanted.select("v").distinct(), F.xxhash64("v"), filter_bits)
+    return written(source.where("doc_id is not null").mapInArrow(_sets(rule, words), "v long, set binary"), "sets")
+
+
 def links(points: DataFrame, source: DataFrame, rule: Rule, filter_bits: int) -> DataFrame:
-    """(a, b): links between points that connect every pair within the radius. points: (v, prefix); source: (doc_id, text)."""
-    first = points.mapInArrow(_entries(None), "h long, v long")
-    pivots = written(first.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1"), "pivots")
-    empty = points.sparkSession.createDataFrame([], "a long, b long")
+    """(a, b): links between points that connect every pair within the radius. points: (v, n, prefix, outline); source: (doc_id, text)."""
+    first = points.select("v", "prefix").mapInArrow(_entries(None), "h long, v long")
+    pivots = written(first.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
+    edges = [points.sparkSession.createDataFrame([], "a long, b long")]
     if pivots.isEmpty():
-        return empty
-    words = build_filter(pivots, F.col("h"), min(filter_bits * 8, 1 << 26))
-    entries = written(points.mapInArrow(_entries(words), "h long, v long").join(pivots.select("h"), "h"), "entries")
-    wanted = build_filter(entries.select("v").distinct(), F.xxhash64("v"), filter_bits)
-    sets = written(source.where("doc_id is not null").mapInArrow(_sets(rule, wanted), "v long, set binary").join(entries.select("v").distinct(), "v", "left_semi"), "sets")
-    x, y = sets.select("v", F.col("set").alias("xs")), sets.select(F.col("v").alias("p"), F.col("set").alias("ps"))
-    edges = [empty]
+        return edges[0]
+    words = build_filter(pivots, F.col("h"), min(filter_bits * 4, 1 << 26), 1)
+    entries = written(points.select("v", "prefix").mapInArrow(_entries(words), "h long, v long").join(pivots.select("h"), "h"), "entries")
+    x = points.select("v", "n", F.col("outline").alias("xo"))
+    y = points.select(F.col("v").alias("p"), F.col("n").alias("pn"), F.col("outline").alias("po"))
     while True:
-        pivots = entries.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p")
-        members = written(entries.join(written(pivots, "pivots"), "h").where("v <> p"), "members")
-        pairs = members.select("p", "v").distinct()
-        met = written(pairs.join(x, "v").join(y, "p").mapInArrow(_distances, "p long, v long, n long, shared long, all long"), "met")
+        pairs = written(entries.join(pivots, "h").where("v <> p").select("p", "v").distinct(), "pairs")
+        bounds = written(pairs.join(x, "v").join(y, "p").mapInArrow(_bounds(rule), "p long, v long, n long, d double, near boolean"), "bounds")
+        near = bounds.where("near").select("p", "v")
+        sets = _with_sets(near.select("v").unionByName(near.select(F.col("p").alias("v"))), source, rule, filter_bits)
+        met = near.join(sets.withColumnRenamed("set", "xs"), "v").join(sets.select(F.col("v").alias("p"), F.col("set").alias("ps")), "p")
+        met = written(met.mapInArrow(_distances, "p long, v long, shared long, all long"), "met")
         edges.append(met.where(f"100 * shared >= {rule.percent} * all").select(F.col("p").alias("a"), F.col("v").alias("b")))
-        away = met.withColumn("d", 1 - F.col("shared") / F.col("all")).withColumn("out", F.expr(f"100 * shared < {rule.percent} * all"))
-        nearest = away.where("out").groupBy("p").agg(F.min("d").alias("nearest"))
-        rest = away.join(nearest, "p").where(F.col("out") | (F.col("d") >= F.col("nearest") - rule.radius - 1e-9)).select("p", "v", "n")
-        rest = written(rest, "rest")
-        sizes = written(rest.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")).where("points > 1"), "sizes")
+        exact = met.select("p", "v", (1 - F.col("shared") / F.col("all")).alias("exact"), F.expr(f"100 * shared >= {rule.percent} * all").alias("linked"))
+        known = bounds.join(exact, ["p", "v"], "left").select("p", "v", "n", F.coalesce("exact", "d").alias("d"), (~F.coalesce("linked", F.lit(False))).alias("out"))
+        known = written(known, "known")
+        nearest = known.where("out").groupBy("p").agg(F.min("d").alias("nearest"))
+        rest = written(known.join(nearest, "p").where(F.col("out") | (F.col("d") >= F.col("nearest") - rule.radius - 1e-9)).select("p", "v", "n", "out"), "rest")
+        sizes = written(rest.groupBy("p").agg(F.count("*").alias("points")).where("points > 1"), "sizes")
+        screened = rest.join(sizes.where(F.col("points") <= SCREENED_POINTS).select("p"), "p").join(x.select("v", "xo"), "v").groupBy("p").applyInArrow(_screen(rule), "p long, v long, n long")
+        screened = written(screened, "screened")
+        left = written(screened.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")), "left")
         small = (F.col("points") <= REGION_POINTS) & (F.col("shingles") <= REGION_SHINGLES)
-        held = rest.join(sizes.where(small).select("p"), "p").select("p", "v").join(x, "v")
-        edges.append(written(held.groupBy("p").applyInArrow(_regions(rule), "a long, b long"), "links"))
-        large = sizes.where(~small).select("p")
+        held = written(screened.join(left.where(small).select("p"), "p").select("p", "v"), "held")
+        if not held.isEmpty():
+            sets = _with_sets(held, source, rule, filter_bits).withColumnRenamed("set", "xs")
+            edges.append(written(held.join(sets, "v").groupBy("p").applyInArrow(_regions(rule), "a long, b long"), "links"))
+        large = sizes.where(F.col("points") > SCREENED_POINTS).select("p").unionByName(left.where(~small).select("p"))
         if large.isEmpty():
             break
-        on = rest.join(large, "p").select("p", "v")
-        entries = written(members.join(on, ["p", "v"], "left_semi").select("h", "v"), "entries")
+        on = rest.join(large, "p", "left_semi").select("p", "v")
+        entries = written(entries.join(pivots, "h").join(on, ["p", "v"], "left_semi").select("h", "v"), "entries")
+        pivots = written(entries.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -280,13 +335,16 @@ def ngram_components(docs: DataFrame, *, rule: Rule = Rule(), id_col: str = "doc
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = source.select("text").mapInArrow(_count(rule), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent_from)
     frequent = np.sort(counted.orderBy(F.desc("n"), "h").limit(most_frequent).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    signed = written(source.mapInArrow(_signatures(rule, frequent), "doc_id long, n long, digest string, prefix binary"), "signed")
-    points = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    points = written(points, "points")
-    roots = connected(links(points.select("v", "prefix").where("prefix is not null"), source, rule, filter_bits))
-    named = signed.select("doc_id", "n", "digest").join(points.select("digest", "v"), "digest", "left").join(roots, "v", "left")
-    apart = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(apart, F.col("doc_id")).otherwise(F.coalesce("root", "v")).alias("component_id"))
+    signed = written(source.mapInArrow(_signatures(rule, frequent), "doc_id long, n long, digest string, prefix binary, outline binary"), "signed")
+    real = signed.where("n > 0 and doc_id is not null")
+    points = real.where("prefix is not null").select(F.col("doc_id").alias("v"), "n", "digest", "prefix", "outline")
+    roots = connected(links(points.drop("digest"), source, rule, filter_bits))
+    # copies of one set are one class, whichever of them stood for it in each task
+    rooted = points.select("digest", "v").join(roots, "v", "left").groupBy("digest").agg(F.min(F.coalesce("root", "v")).alias("root"))
+    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("least")).join(rooted, "digest"), "classes")
+    named = classes.select("digest", "root").join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component")
+    apart_ = F.col("doc_id").isNull() | (F.col("n") == 0)
+    return signed.select("doc_id", "n", "digest").join(written(named, "named"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(apart_, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
