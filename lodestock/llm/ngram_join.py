@@ -33,8 +33,8 @@ from .words import Words, grouped, mixed
 
 #: Shingles counted at a time.
 COUNTED_AT_ONCE = 2_000_000
-#: Words of 64 bits of a point's outline.
-OUTLINE = 16
+#: Least cells of a point's outline; a larger set has the next power of two from its size on.
+CELLS = 1024
 #: A remainder of at most so many points is screened in one task; what is left of it is joined there up to so many points and shingles.
 SCREENED_POINTS, REGION_POINTS, REGION_SHINGLES = 4096, 1024, 3_000_000
 SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("prefix", pa.binary()), ("outline", pa.binary())])
@@ -97,9 +97,22 @@ class Shingler:
 
 
 def outline(h: np.ndarray) -> np.ndarray:
-    """Parity of a set's elements in each of 1024 cells: two sets differ in at least as many elements as their outlines do in bits."""
-    bits = np.bincount((h & np.uint64(64 * OUTLINE - 1)).astype(np.int64), minlength=64 * OUTLINE) & 1
-    return np.packbits(bits.astype(np.uint8))
+    """Parity of a set's elements in each cell, as packed bits: two sets differ in at least as many elements as their outlines do in bits."""
+    cells = max(CELLS, 1 << (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The same set's outline (or a matrix of them) in fewer cells."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
 def apart(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -191,16 +204,16 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def _outlines(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, OUTLINE)
+def _outlines(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
 def _bounds(rule: Rule):
     """Least distance of each pair by its outlines, and whether it may be within the radius."""
 
     def bounds(batches):
-        for r in batches:
-            bits = np.bitwise_count(_outlines(r.column("xo")) ^ _outlines(r.column("po"))).sum(1).astype(np.int64)
+        for r in each_text(batches, 2048):
+            bits = np.array([differ(a, b) for a, b in zip(_outlines(r.column("xo")), _outlines(r.column("po")))], dtype=np.int64)
             n, m = r.column("n").to_numpy(), r.column("pn").to_numpy()
             near = ((100 + rule.percent) * bits <= (100 - rule.percent) * (n + m)) & rule.linked(np.minimum(n, m), np.maximum(n, m))
             least = np.maximum(apart(bits, n + m), 1 - np.minimum(n, m) / np.maximum(n, m))
@@ -216,19 +229,32 @@ def _distances(batches):
         yield batch(DISTANCE, {"p": r.column("p"), "v": r.column("v"), "shared": common, "all": [len(a) + len(b) - s for a, b, s in zip(x, y, common)]})
 
 
-def _screen(rule: Rule):
-    """Of a region's points those that may be within the radius of another, by size and outline; pairs of two that the pivot links already don't count."""
+def screened(n: np.ndarray, out: np.ndarray, outlines: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Which of a region's points may be within the radius of another, by size and outline; two that the pivot links already don't count."""
+    sizes = np.array([len(o) for o in outlines])
+    at: dict[int, np.ndarray] = {}
+    matrix: dict[int, np.ndarray] = {}
+    for c in np.unique(sizes):  # linked sets' outlines are of one size or of neighbouring ones
+        at[c] = np.flatnonzero((sizes == c) | (sizes == 2 * c))
+        matrix[c] = np.stack([folded(outlines[i], c) for i in at[c]])
+    hit = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        for c in {int(sizes[i]), int(sizes[i]) // 2} & at.keys():
+            j = at[c]
+            row = int(np.searchsorted(j, i))
+            some = np.flatnonzero((j > i) & (out[j] | out[i]) & rule.linked(np.minimum(n[i], n[j]), np.maximum(n[i], n[j])))
+            if not len(some):
+                continue
+            bits = np.bitwise_count(matrix[c][some] ^ matrix[c][row]).sum(1).astype(np.int64)
+            near = j[some[(100 + rule.percent) * bits <= (100 - rule.percent) * (n[j[some]] + n[i])]]
+            hit[near] = True
+            hit[i] |= len(near) > 0
+    return hit
+
 
+def _screen(rule: Rule):
     def screen(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        n, out, bits = rows["n"].to_numpy(), rows["out"].to_numpy(), _outlines(rows["xo"])
-        hit = np.zeros(len(n), bool)
-        for i in range(len(n)):
-            j = np.arange(i + 1, len(n))
-            j = j[(out[i + 1 :] | out[i]) & rule.linked(np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :]))]
-            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-            j = j[(100 + rule.percent) * differ <= (100 - rule.percent) * (n[j] + n[i])]
-            hit[j] = True
-            hit[i] |= len(j) > 0
+        hit = screened(rows["n"].to_numpy(), rows["out"].to_numpy(), _outlines(rows["xo"]), rule)
         return rows.filter(pa.array(hit)).select(MEMBER.names).cast(MEMBER)
 
     return screen
@@ -310,11 +336,11 @@ def links(points: DataFrame, source: DataFrame, rule: Rule, filter_bits: int) ->
         nearest = known.where("out").groupBy("p").agg(F.min("d").alias("nearest"))
         rest = written(known.join(nearest, "p").where(F.col("out") | (F.col("d") >= F.col("nearest") - rule.radius - 1e-9)).select("p", "v", "n", "out"), "rest")
         sizes = written(rest.groupBy("p").agg(F.count("*").alias("points")).where("points > 1"), "sizes")
-        screened = rest.join(sizes.where(F.col("points") <= SCREENED_POINTS).select("p"), "p").join(x.select("v", "xo"), "v").groupBy("p").applyInArrow(_screen(rule), "p long, v long, n long")
-        screened = written(screened, "screened")
-        left = written(screened.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")), "left")
+        kept = rest.join(sizes.where(F.col("points") <= SCREENED_POINTS).select("p"), "p").join(x.select("v", "xo"), "v").groupBy("p").applyInArrow(_screen(rule), "p long, v long, n long")
+        kept = written(kept, "screened")
+        left = written(kept.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")), "left")
         small = (F.col("points") <= REGION_POINTS) & (F.col("shingles") <= REGION_SHINGLES)
-        held = written(screened.join(left.where(small).select("p"), "p").select("p", "v"), "held")
+        held = written(kept.join(left.where(small).select("p"), "p").select("p", "v"), "held")
         if not held.isEmpty():
             sets = _with_sets(held, source, rule, filter_bits).withColumnRenamed("set", "xs")
             edges.append(written(held.join(sets, "v").groupBy("p").applyInArrow(_regions(rule), "a long, b long"), "links"))
