@@ -15,127 +15,128 @@ n_lines, n_removed or removed are replaced.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter, table, written
-from .words import Words, grouped
+from .words import Words, grouped, mixed
 
-COUNT = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("prefix", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())])))])
+#: Cells of the table of word counts, which is all that any process holds of them (one byte a cell, saturated), and cells sent at a time.
+CELLS, BLOCK = 1 << 25, 1 << 17
+PART = pa.schema([("block", pa.int64()), ("counts", pa.binary())])
+LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("keys", pa.list_(pa.int32())), ("places", pa.list_(pa.int16()))])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
-#: Different words that a task counts before it hands the counts on.
-COUNTED_WORDS = 2_000_000
-
-
-def _count(batches):
-    words = Words()
-    hashes, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def flush() -> pa.RecordBatch:
-        return batch(COUNT, {"h": hashes.view(np.int64), "n": numbers})
-
-    for r in each_text(batches):
-        texts = as_bytes(r.column(0))
-        for a, b in grouped(texts):
-            h, n = np.unique(words.split(b"\n".join(texts[a:b]).lower())[0], return_counts=True)
-            hashes, at = np.unique(np.concatenate([hashes, h]), return_inverse=True)
-            numbers = np.bincount(at, np.concatenate([numbers, n]), len(hashes)).astype(np.int64)
-        if len(hashes) > COUNTED_WORDS:
-            yield flush()
-            hashes, numbers = hashes[:0], numbers[:0]
-    if len(hashes):
-        yield flush()
+#: Lines that a task remembers as counted.
+MOST_COUNTED = 1_000_000
 
 
 class Lines:
-    """Token sets of the lines of many texts at once, each in the order of rarity."""
+    """Words of the lines of many texts at once."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts, self.words = hashes, counts, Words()
+    def __init__(self):
+        self.words = Words()
 
-    def read(self, texts: list[bytes]):
-        """text, line, size of each line with a word; then, line after line, tokens and their line's number in this list."""
-        parts = [self._read(texts[a:b], a) for a, b in grouped(texts)]
-        if not parts:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
-        shift = np.cumsum([0] + [len(p[0]) for p in parts])
-        return *(np.concatenate([p[i] for p in parts]) for i in range(4)), np.concatenate([p[4] + k for p, k in zip(parts, shift)])
-
-    def _read(self, texts: list[bytes], first: int):
+    def raw(self, texts: list[bytes]):
+        """Word hashes; per word its line's number; per line with a word its text and its place in it."""
         data = b"\n".join(texts).lower()
         h, starts, _ = self.words.split(data)
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         before = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
-        of_word = np.searchsorted(ends, starts)  # lines before this one in all the texts
-        used, line = np.unique(of_word, return_inverse=True)
+        used, line = np.unique(np.searchsorted(ends, starts), return_inverse=True)
         of_text = np.searchsorted(before, used, side="right") - 1
-        if len(self.hashes):
-            where = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            count = np.where(self.hashes[where] == h, self.counts[where], 0)
-        else:
-            count = np.zeros(len(h), np.int64)
-        order = np.lexsort((h, count, line))
-        h, line = h[order], line[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))[: len(h)]
-        h, line = h[new], line[new]
-        return of_text + first, used - before[of_text], np.bincount(line, minlength=len(used)), h, line
-
-
-def _mix(h: np.ndarray, factor: int) -> np.ndarray:
-    x = h * np.uint64(factor)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(28))
-
-
-def _lines(hashes, counts, repeated: np.ndarray, percent: int, least_words: int):
-    def lines(batches):
-        reader = Lines(hashes, counts)
-        for r in each_text(batches, 256):
-            text, place, n, h, line = reader.read(as_bytes(r.column(1)))
-            if not len(n):
+        return h, line, of_text, used - before[of_text]
+
+    def sets(self, texts: list[bytes], counts: np.ndarray | None):
+        """text, place and size of each line with a word; then, line after line, its different words, rarest first, and their line's number."""
+        for a, b in grouped(texts):
+            h, line, of_text, place = self.raw(texts[a:b])
+            rare = h if counts is None else (counts[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+            order = np.lexsort((h, rare, line))
+            h, line = h[order], line[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))[: len(h)]
+            h, line = h[new], line[new]
+            yield of_text + a, place, np.bincount(line, minlength=len(place)), h, line
+
+
+def _count(batches):
+    """Counts of words by cell over the lines that a task has not met before, saturated at 255, in compressed blocks."""
+    reader, counts, met = Lines(), np.zeros(CELLS, np.uint8), set()
+    for r in each_text(batches):
+        texts = as_bytes(r.column(0))
+        for a, b in grouped(texts):
+            h, line, _, place = reader.raw(texts[a:b])
+            if not len(h):
                 continue
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            at = np.arange(len(h)) - starts[line]
-            bit = np.uint64(1) << (h & np.uint64(63))
-            upper = (h >> np.uint64(6)) & np.uint64(1) == 1
-            sums = [np.add.reduceat(_mix(h, f), starts) for f in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-            outlines = [np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (upper, ~upper)]
-            first = n - -(-n * percent // 100) + 1
-            emit = (at < first[line]) & (n >= least_words)[line] & in_filter(repeated, h)
-            used = np.bincount(line[emit], minlength=len(n))
-            offsets = np.concatenate([[0], np.cumsum(used)]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(h[emit].view(np.int64)), pa.array(at[emit])], ["h", "at"])
-            ids = r.column(0).take(pa.array(text))
-            rows = pa.RecordBatch.from_arrays(
-                [ids, pa.array(place), pa.array(n), *(pa.array(x.view(np.int64)) for x in (*sums, *outlines)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], schema=LINE
-            )
-            yield rows.filter(pa.array(n >= least_words))
+            digests = np.add.reduceat(mixed(h), np.flatnonzero(np.append(True, line[1:] != line[:-1]))).tolist()
+            new = np.array([d not in met for d in digests])
+            if len(met) < MOST_COUNTED:
+                met.update(digests)
+            cells, n = np.unique((h[new[line]] & np.uint64(CELLS - 1)).astype(np.int64), return_counts=True)
+            counts[cells] = np.minimum(counts[cells].astype(np.int64) + n, 255)
+    blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(CELLS // BLOCK)]
+    blocks = [(i, zlib.compress(c.tobytes(), 1)) for i, c in blocks if c.any()]
+    if blocks:
+        yield batch(PART, dict(zip(PART.names, zip(*blocks))))
+
+
+def _add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.int64)
+    for part in parts["counts"].to_pylist():
+        total = np.minimum(total + np.frombuffer(zlib.decompress(part), np.uint8), 255)
+    return pa.table({"block": [key[0].as_py()], "counts": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]}, schema=PART)
+
+
+def word_counts(source: DataFrame) -> np.ndarray:
+    """The table of counts: CELLS bytes, whatever the input."""
+    out = np.zeros(CELLS, np.uint8)
+    for part in source.select("text").mapInArrow(_count, "block long, counts binary").groupBy("block").applyInArrow(_add, "block long, counts binary").toArrow().to_pylist():
+        out[part["block"] * BLOCK : (part["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(part["counts"]), np.uint8)
+    return out
+
+
+def _lines(counts, percent: int, least_words: int):
+    def lines(batches):
+        reader, table = Lines(), counts.value
+        for r in each_text(batches):
+            for text, place, n, h, line in reader.sets(as_bytes(r.column(1)), table):
+                if not len(n):
+                    continue
+                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+                at = np.arange(len(h)) - starts[line]
+                spread = mixed(h)
+                bit = np.uint64(1) << (spread & np.uint64(63))
+                upper = (spread >> np.uint64(6)) & np.uint64(1) == 1
+                digests = [np.add.reduceat(x, starts) for x in (spread, mixed(spread + np.uint64(0x9E3779B97F4A7C15)))]
+                outlines = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (upper, ~upper)]
+                first = n - -(-n * percent // 100) + 1
+                emit = (at < first[line]) & (n >= least_words)[line] & (table[(h & np.uint64(CELLS - 1)).astype(np.int64)] > 1)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(line[emit], minlength=len(n)))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(offsets, pa.array((h[emit] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                places = pa.ListArray.from_arrays(offsets, pa.array(np.minimum(at[emit], 32767).astype(np.int16)))
+                ids = r.column(0).take(pa.array(text))
+                rows = pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(n), *(pa.array(x.view(np.int64)) for x in (*digests, *outlines)), keys, places], schema=LINE)
+                yield rows.filter(pa.array(n >= least_words))
 
     return lines
 
 
 def _tokens(documents: np.ndarray, wanted: np.ndarray):
-    none = np.zeros(0, np.uint64)
-
     def tokens(batches):
-        reader = Lines(none, none)
+        reader = Lines()
         for r in each_text(batches):
             ids = np.array(r.column(0).to_pylist(), dtype=object)
             some = in_filter(documents, np.array([hashed(i) for i in ids], dtype=np.uint64))
             texts = [t for t, ok in zip(as_bytes(r.column(1)), some) if ok]
-            if not texts:
-                continue
-            text, place, n, h, line = reader.read(texts)
-            names = ids[some][text] if len(text) else []
-            keys = np.array([hashed(f"{i}:{j}".encode()) for i, j in zip(names, place.tolist())], dtype=np.uint64)
-            hit = np.flatnonzero(in_filter(wanted, keys))
-            ends = np.cumsum(n)
-            if len(hit):
-                yield batch(TOKENS, {"doc_id": [names[i] for i in hit], "line": place[hit], "tokens": [np.sort(h[ends[i] - n[i] : ends[i]]).tobytes() for i in hit]})
+            for text, place, n, h, line in reader.sets(texts, None) if texts else ():
+                names = ids[some][text]
+                keys = np.array([hashed(f"{i}:{j}".encode()) for i, j in zip(names, place.tolist())], dtype=np.uint64)
+                hit, ends = np.flatnonzero(in_filter(wanted, keys)), np.cumsum(n)
+                if len(hit):
+                    yield batch(TOKENS, {"doc_id": [names[i] for i in hit], "line": place[hit], "tokens": [h[ends[i] - n[i] : ends[i]].tobytes() for i in hit]})
 
     return tokens
 
@@ -155,27 +156,29 @@ def _verify(percent: int):
     return verify
 
 
-def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5, most_frequent: int = 200_000, filter_bits: int = 1 << 26) -> DataFrame:
+def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -> DataFrame:
     """(doc_id, removed): per document that loses lines, their places (from 0), sorted. docs: (doc_id, text)."""
-    source = docs.where("doc_id is not null")
-    counts = source.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = written(counts, "counts")
-    repeated = build_filter(counts, F.col("h"), filter_bits)
-    top = counts.orderBy(F.desc("n"), "h").limit(most_frequent).toArrow()
-    hashes, number = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    columns = "doc_id long, line long, n long, d1 long, d2 long, b1 long, b2 long, prefix array<struct<h:long,at:long>>"
-    lines = written(source.mapInArrow(_lines(hashes[order], number[order], repeated, percent, least_words), columns), "lines")
-    sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "prefix")).alias("s")).select("s.*")
+    spark, source = docs.sparkSession, docs.where("doc_id is not null")
+    counts = spark.sparkContext.broadcast(word_counts(source))
+    columns = "doc_id long, line long, n long, d1 long, d2 long, b1 long, b2 long, keys array<int>, places array<short>"
+    lines = written(source.mapInArrow(_lines(counts, percent, least_words), columns), "lines")
+    counts.unpersist()
+    sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s")).select(F.monotonically_increasing_id().alias("id"), "s.*")
     sets = written(sets, "line_sets")
-    entries = written(sets.where(F.size("prefix") > 0).select("doc_id", "line", "n", "b1", "b2", F.explode("prefix").alias("p")).select("p.h", "p.at", "doc_id", "line", "n", "b1", "b2"), "line_entries")
-    x, y = entries.select(*[F.col(c).alias(f"x_{c}") for c in entries.columns]), entries
-    n = F.col("n") + F.col("x_n")
-    later = (F.col("x_doc_id") < F.col("doc_id")) | ((F.col("x_doc_id") == F.col("doc_id")) & (F.col("x_line") < F.col("line")))
-    sizes = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
-    positions = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) >= percent * n
-    outlines = (100 + percent) * (F.bit_count(F.col("b1").bitwiseXOR(F.col("x_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("x_b2")))) <= (100 - percent) * n
-    candidates = y.join(x, (F.col("h") == F.col("x_h")) & later & sizes & positions & outlines).select("doc_id", "line", "x_doc_id", "x_line").distinct()
+    # a narrow row for each prefix word: its hash, the set, size and place in one number, outlines
+    entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
+    entries = sets.where(F.size("keys") > 0).select("id", "n", "b1", "b2", entry).select(F.col("p.keys").alias("h"), "id", (F.shiftleft("n", 16) + F.col("p.places")).alias("size_place"), "b1", "b2")
+    x, y = entries.alias("x"), entries.alias("y")
+    size, place = (lambda c: F.shiftright(F.col(c), 16)), (lambda c: F.col(c).bitwiseAND(0xFFFF))
+    nx, ny = size("x.size_place"), size("y.size_place")
+    alike = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+    positions = (100 + percent) * F.least(nx - place("x.size_place"), ny - place("y.size_place")) >= percent * (nx + ny)
+    outlines = (100 + percent) * (F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))) <= (100 - percent) * (nx + ny)
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & alike & positions & outlines)
+    met = written(met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "line_pairs")
+    named = sets.select("id", "doc_id", "line")
+    both = met.join(named.select(F.col("id").alias("x"), F.struct("doc_id", "line").alias("a")), "x").join(named.select(F.col("id").alias("y"), F.struct("doc_id", "line").alias("b")), "y")
+    candidates = both.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).select("late.doc_id", "late.line", F.col("early.doc_id").alias("x_doc_id"), F.col("early.line").alias("x_line"))
     candidates = written(candidates, "line_candidates")
     ends = candidates.select("doc_id", "line").unionByName(candidates.select(F.col("x_doc_id").alias("doc_id"), F.col("x_line").alias("line"))).distinct()
     ends = written(ends, "line_ends")
