@@ -2,10 +2,14 @@
 
 A line is the set of its words (A-Z lower-cased, parted by space and U+0009 to U+000D). Of two lines whose Jaccard similarity is
 at least `percent` the later one goes, by document id, then place; a line goes if any earlier line matches it. Equal sets are
-folded first. Tokens are ordered by rarity over all documents; a line's prefix holds a token of every line that matches it.
-Prefix tokens that occur once in the corpus are left out, as nothing can meet them. Lines that share a prefix token are
+folded first.
+
+Tokens of the join are the pairs of words that are neighbours in a line's set in the order of a hash. A word added or taken away
+changes at most three of them, so lines that match share most pairs, while a pair, unlike a word, stays rare however many lines
+there are. Tokens are ordered by rarity over all documents, those met once first; a line's prefix holds a token of every
+line that matches it. Prefix tokens met once are left out, as nothing can meet them. Lines that share a prefix token are
 candidates if their sizes, the token's positions and 128-bit outlines of their sets allow a match, and each candidate is
-verified on its whole token sets. A hot token is a skewed join that the adaptive planner splits.
+verified on its whole word sets. A hot token is a skewed join that the adaptive planner splits.
 
 Lines of fewer than `least_words` different words are left alone: they are not passages. Nulls: a null text stays null; rows with a
 null id are left as they are and match nothing. Rows that share an id count as one document: lines at the same place are one
@@ -25,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter, table, written
 from .words import Words, grouped, mixed
 
-#: Cells of the table of word counts, which is all that any process holds of them (one byte a cell, saturated), and cells sent at a time.
-CELLS, BLOCK = 1 << 25, 1 << 17
-PART = pa.schema([("block", pa.int64()), ("counts", pa.binary())])
+#: Cells of the table of tokens met twice, which is all that any process holds of them (one bit a cell), and cells sent at a time.
+CELLS, BLOCK = 1 << 28, 1 << 20
+PART = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("keys", pa.list_(pa.int32())), ("places", pa.list_(pa.int16()))])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
-#: Lines that a task remembers as counted.
-MOST_COUNTED = 1_000_000
+#: Lines that a task remembers as counted, and tokens it holds before it hands them on.
+MOST_COUNTED, MOST_HELD = 1_000_000, 8_000_000
 
 
 class Lines:
@@ -50,72 +54,120 @@ class Lines:
         of_text = np.searchsorted(before, used, side="right") - 1
         return h, line, of_text, used - before[of_text]
 
-    def sets(self, texts: list[bytes], counts: np.ndarray | None):
-        """text, place and size of each line with a word; then, line after line, its different words, rarest first, and their line's number."""
+    def sets(self, texts: list[bytes]):
+        """text, place and size of each line with a word; then, line after line, its different words in the order of their hash, and their line's number."""
         for a, b in grouped(texts):
             h, line, of_text, place = self.raw(texts[a:b])
-            rare = h if counts is None else (counts[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-            order = np.lexsort((h, rare, line))
+            order = np.lexsort((h, line))
             h, line = h[order], line[order]
             new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))[: len(h)]
             h, line = h[new], line[new]
             yield of_text + a, place, np.bincount(line, minlength=len(place)), h, line
 
 
-def _count(batches):
-    """Counts of words by cell over the lines that a task has not met before, saturated at 255, in compressed blocks."""
-    reader, counts, met = Lines(), np.zeros(CELLS, np.uint8), set()
-    for r in each_text(batches):
-        texts = as_bytes(r.column(0))
-        for a, b in grouped(texts):
-            h, line, _, place = reader.raw(texts[a:b])
-            if not len(h):
-                continue
-            digests = np.add.reduceat(mixed(h), np.flatnonzero(np.append(True, line[1:] != line[:-1]))).tolist()
-            new = np.array([d not in met for d in digests])
-            if len(met) < MOST_COUNTED:
-                met.update(digests)
-            cells, n = np.unique((h[new[line]] & np.uint64(CELLS - 1)).astype(np.int64), return_counts=True)
-            counts[cells] = np.minimum(counts[cells].astype(np.int64) + n, 255)
-    blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(CELLS // BLOCK)]
-    blocks = [(i, zlib.compress(c.tobytes(), 1)) for i, c in blocks if c.any()]
-    if blocks:
-        yield batch(PART, dict(zip(PART.names, zip(*blocks))))
+def pairs_of(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the join, hashed, and their line's number."""
+    same = line[1:] == line[:-1]
+    return mixed(h[:-1][same] * np.uint64(0x9E3779B97F4A7C15) + h[1:][same]), line[1:][same]
 
 
-def _add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
-    for part in parts["counts"].to_pylist():
-        total = np.minimum(total + np.frombuffer(zlib.decompress(part), np.uint8), 255)
-    return pa.table({"block": [key[0].as_py()], "counts": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]}, schema=PART)
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that any line matching one of n words shares with it, at least: of x and y words together at most D = (100 - percent) / (100 + percent) * (x + y) are in one
+    line only, so that of x + y - 2 tokens at most 3 D are; least for the smallest partner."""
+    return np.ceil(n * (4 * percent - 200) / 200 - 1 - 1e-9).astype(np.int64)
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """Sorted cell numbers of one block as compressed gaps."""
+    gaps = np.diff(cells, prepend=0)
+    small = not len(gaps) or gaps.max() < 1 << 16
+    return bytes([int(small)]) + zlib.compress(gaps.astype(np.uint16 if small else np.uint32).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data[1:]), np.uint16 if data[0] else np.uint32), dtype=np.int64)
+
 
+def _count(least_words: int):
+    """Cells of the tokens of the lines that a task has not met before: those met at all, and those met in two lines."""
 
-def word_counts(source: DataFrame) -> np.ndarray:
-    """The table of counts: CELLS bytes, whatever the input."""
-    out = np.zeros(CELLS, np.uint8)
-    for part in source.select("text").mapInArrow(_count, "block long, counts binary").groupBy("block").applyInArrow(_add, "block long, counts binary").toArrow().to_pylist():
-        out[part["block"] * BLOCK : (part["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(part["counts"]), np.uint8)
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(cells, np.arange(0, CELLS + 1, BLOCK, dtype=np.int64))
+        rows = []
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                own = cells[a:b] - i * BLOCK
+                rows.append((i, _packed(own), _packed(own[n[a:b] > 1])))
+        return batch(PART, dict(zip(PART.names, zip(*rows))))
+
+    def count(batches):
+        reader, met, held, size = Lines(), set(), [], 0
+        for r in each_text(batches):
+            for _, _, n, h, line in reader.sets(as_bytes(r.column(0))):
+                if not len(n):
+                    continue
+                digests = np.add.reduceat(mixed(h), np.concatenate([[0], np.cumsum(n)[:-1]])).tolist()
+                new = np.array([d not in met for d in digests]) & (n >= least_words)
+                if len(met) < MOST_COUNTED:
+                    met.update(digests)
+                token, of = pairs_of(h, line)
+                held.append((token[new[of]] & np.uint64(CELLS - 1)).astype(np.int64))
+                size += len(held[-1])
+            if size > MOST_HELD:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return count
+
+
+def _add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    once, twice = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
+    for a, b in zip(parts["once"].to_pylist(), parts["twice"].to_pylist()):
+        own = _unpacked(a)
+        twice[own[once[own]]] = True
+        once[own] = True
+        twice[_unpacked(b)] = True
+    return pa.table({"block": [key[0].as_py()], "once": [b""], "twice": [_packed(np.flatnonzero(twice))]}, schema=PART)
+
+
+def repeated_tokens(source: DataFrame, least_words: int) -> np.ndarray:
+    """The table of tokens met twice: CELLS bits, whatever the input. Too many tokens for it let more rows pass, and lose none."""
+    out = np.zeros(CELLS // 8, np.uint8)
+    kind = "block long, once binary, twice binary"
+    for part in source.select("text").mapInArrow(_count(least_words), kind).groupBy("block").applyInArrow(_add, kind).select("block", "twice").toArrow().to_pylist():
+        bits = np.zeros(BLOCK, bool)
+        bits[_unpacked(part["twice"])] = True
+        out[part["block"] * BLOCK // 8 : (part["block"] + 1) * BLOCK // 8] = np.packbits(bits, bitorder="little")
     return out
 
 
-def _lines(counts, percent: int, least_words: int):
+def _lines(repeated, percent: int, least_words: int):
     def lines(batches):
-        reader, table = Lines(), counts.value
+        reader, table = Lines(), repeated.value
         for r in each_text(batches):
-            for text, place, n, h, line in reader.sets(as_bytes(r.column(1)), table):
+            for text, place, n, h, line in reader.sets(as_bytes(r.column(1))):
                 if not len(n):
                     continue
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                at = np.arange(len(h)) - starts[line]
                 spread = mixed(h)
                 bit = np.uint64(1) << (spread & np.uint64(63))
                 upper = (spread >> np.uint64(6)) & np.uint64(1) == 1
                 digests = [np.add.reduceat(x, starts) for x in (spread, mixed(spread + np.uint64(0x9E3779B97F4A7C15)))]
                 outlines = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (upper, ~upper)]
-                first = n - -(-n * percent // 100) + 1
-                emit = (at < first[line]) & (n >= least_words)[line] & (table[(h & np.uint64(CELLS - 1)).astype(np.int64)] > 1)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(line[emit], minlength=len(n)))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(offsets, pa.array((h[emit] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                token, of = pairs_of(h, line)
+                cell = (token & np.uint64(CELLS - 1)).astype(np.int64)
+                twice = (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+                order = np.lexsort((token, twice, of))
+                token, of, twice = token[order], of[order], twice[order]
+                sizes = np.bincount(of, minlength=len(n))
+                at = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[of]
+                first = sizes - np.maximum(needed(n, percent), 1) + 1
+                emit = (at < first[of]) & (n >= least_words)[of] & (twice > 0)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(of[emit], minlength=len(n)))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(offsets, pa.array((token[emit] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 places = pa.ListArray.from_arrays(offsets, pa.array(np.minimum(at[emit], 32767).astype(np.int16)))
                 ids = r.column(0).take(pa.array(text))
                 rows = pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(n), *(pa.array(x.view(np.int64)) for x in (*digests, *outlines)), keys, places], schema=LINE)
@@ -131,7 +183,7 @@ def _tokens(documents: np.ndarray, wanted: np.ndarray):
             ids = np.array(r.column(0).to_pylist(), dtype=object)
             some = in_filter(documents, np.array([hashed(i) for i in ids], dtype=np.uint64))
             texts = [t for t, ok in zip(as_bytes(r.column(1)), some) if ok]
-            for text, place, n, h, line in reader.sets(texts, None) if texts else ():
+            for text, place, n, h, line in reader.sets(texts) if texts else ():
                 names = ids[some][text]
                 keys = np.array([hashed(f"{i}:{j}".encode()) for i, j in zip(names, place.tolist())], dtype=np.uint64)
                 hit, ends = np.flatnonzero(in_filter(wanted, keys)), np.cumsum(n)
@@ -158,21 +210,25 @@ def _verify(percent: int):
 
 def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -> DataFrame:
     """(doc_id, removed): per document that loses lines, their places (from 0), sorted. docs: (doc_id, text)."""
-    spark, source = docs.sparkSession, docs.where("doc_id is not null")
-    counts = spark.sparkContext.broadcast(word_counts(source))
+    if percent <= 60 or least_words < 4:
+        raise ValueError("tokens are shared for certain only above 60 percent and from four words on")
+    source = docs.where("doc_id is not null")
+    repeated = docs.sparkSession.sparkContext.broadcast(repeated_tokens(source, least_words))
     columns = "doc_id long, line long, n long, d1 long, d2 long, b1 long, b2 long, keys array<int>, places array<short>"
-    lines = written(source.mapInArrow(_lines(counts, percent, least_words), columns), "lines")
-    counts.unpersist()
+    lines = written(source.mapInArrow(_lines(repeated, percent, least_words), columns), "lines")
+    repeated.unpersist()
     sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s")).select(F.monotonically_increasing_id().alias("id"), "s.*")
     sets = written(sets, "line_sets")
-    # a narrow row for each prefix word: its hash, the set, size and place in one number, outlines
+    # a narrow row for each prefix token: its hash, the set, size and place in one number, outlines
     entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
     entries = sets.where(F.size("keys") > 0).select("id", "n", "b1", "b2", entry).select(F.col("p.keys").alias("h"), "id", (F.shiftleft("n", 16) + F.col("p.places")).alias("size_place"), "b1", "b2")
     x, y = entries.alias("x"), entries.alias("y")
     size, place = (lambda c: F.shiftright(F.col(c), 16)), (lambda c: F.col(c).bitwiseAND(0xFFFF))
     nx, ny = size("x.size_place"), size("y.size_place")
     alike = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-    positions = (100 + percent) * F.least(nx - place("x.size_place"), ny - place("y.size_place")) >= percent * (nx + ny)
+    # tokens from the shared one on, against those that must be shared
+    rest = F.least(nx - place("x.size_place"), ny - place("y.size_place")) - 1
+    positions = (100 + percent) * (rest + 1) >= (2 * percent - 100) * (nx + ny)
     outlines = (100 + percent) * (F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))) <= (100 - percent) * (nx + ny)
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & alike & positions & outlines)
     met = written(met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "line_pairs")
