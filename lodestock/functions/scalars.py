@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical_hash(fields: dict[str, Column]) -> Column:
@@ -38,7 +39,7 @@ def build_identity(fields: dict[str, object]) -> str:
     return hashlib.sha256(canonical_json(fields).encode()).hexdigest()
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def point_id(values: pa.Array) -> pa.Array:
     """Version-5 UUID of each key in the URL name space."""
     return pa.array([None if v is None else str(uuid.uuid5(uuid.NAMESPACE_URL, v)) for v in values.to_pylist()])

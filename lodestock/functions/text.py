@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Whole-cell placeholders, and the markers that begin operational text.
 PLACEHOLDERS = ("0", "1", "无", "n-a", "n/a", "na", "none", "null", "unknown", "未知")
@@ -25,15 +27,19 @@ BAN_WORDS = ("违禁", "禁售", "banned", "prohibited")
 EXTRA_RISK_WORDS = ("侵权", "高退款", "质量")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    return pa.array([v if v is None or v.isascii() else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
+
 
+def _folded(v: str) -> str:
+    return v.lower() if v.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c))).lower()
 
-@F.arrow_udf("string")
+
+@F.arrow_udf(StringType())
 def fold_accents(values: pa.Array) -> pa.Array:
-    """Lower case without the marks of Latin letters, as a full-text index folds them."""
-    return pc.utf8_lower(pc.utf8_normalize(pc.replace_substring_regex(pc.utf8_normalize(values, form="NFD"), r"\p{Mn}+", ""), form="NFC"))
+    """Lower case without the marks of letters, as a full-text index folds them."""
+    return pa.array([None if v is None else _folded(v) for v in values.to_pylist()], pa.string())
 
 
 def collapse(c: Column) -> Column:
@@ -111,11 +117,17 @@ def index_words(folded: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
-def remove_identifiers(value: Column, identifiers: Column, *, normal: Column | None = None) -> Column:
-    """`value` less known identifiers as whole tokens, longest first; unchanged if none is in it."""
-    cleaned = clean_optional(value if normal is None else normal)
+def identifiers_pattern(identifiers: Column) -> Column:
+    """One expression for all of a family's identifiers as whole tokens, longest first."""
     ordered = F.reverse(F.array_sort(F.transform(F.array_distinct(identifiers), lambda i: F.struct(F.char_length(i).alias("size"), i.alias("id")))))
-    cut = F.aggregate(ordered, cleaned, lambda v, i: F.regexp_replace(v, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_-])\Q"), i["id"], F.lit(r"\E(?![A-Za-z0-9_-])")), F.lit(" ")))
+    listed = F.array_join(F.transform(ordered, lambda i: F.concat(F.lit(r"\Q"), i["id"], F.lit(r"\E"))), "|")
+    return F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_-])(?:"), listed, F.lit(r")(?![A-Za-z0-9_-])"))
+
+
+def remove_identifiers(value: Column, pattern: Column, *, normal: Column | None = None) -> Column:
+    """`value` less what `identifiers_pattern` matches; unchanged if nothing does."""
+    cleaned = clean_optional(value if normal is None else normal)
+    cut = F.regexp_replace(cleaned, pattern, F.lit(" "))
     return F.when(cleaned.isNull() | (cut == cleaned), value).otherwise(F.btrim(collapse(cut), F.lit(TRIMMED)))
 
 
@@ -134,9 +146,9 @@ def leaf_category(levels: list[Column], catalog: Column) -> Column:
     return F.coalesce(*[F.when(clean_optional(collapse(v)).isNotNull(), v) for v in (*reversed(levels), catalog)])
 
 
-def english_alias(normal: Column, identifiers: Column) -> Column:
+def english_alias(normal: Column, pattern: Column) -> Column:
     """An alias without identifiers and CJK text; null if no letter is left."""
-    cut = F.regexp_replace(remove_identifiers(normal, identifiers), f"{CJK_WIDE}+", " ")
+    cut = F.regexp_replace(remove_identifiers(normal, pattern), f"{CJK_WIDE}+", " ")
     cleaned = clean_optional(collapse(cut))
     return F.when(cleaned.rlike("[A-Za-z]"), F.btrim(cleaned, F.lit(TRIMMED)))
 

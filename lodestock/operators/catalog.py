@@ -72,7 +72,7 @@ def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None,
         bad_english.alias("bad_english"), F.coalesce(tx.truncate_operational(name) != name, F.lit(False)).alias("operational"),
     )
     g = r.groupBy(F.col("n_main_sku").alias("main_sku")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    g = g.withColumn("live", F.filter("rows", lambda x: ~x["out"])).withColumn("ids", F.array_distinct(F.concat(F.array("main_sku"), F.transform("rows", lambda x: x["n_sku"]))))
+    g = g.withColumn("live", F.filter("rows", lambda x: ~x["out"])).withColumn("ids", tx.identifiers_pattern(F.concat(F.array("main_sku"), F.transform("rows", lambda x: x["n_sku"]))))
 
     def indexed(x: Column) -> Column:
         cut = tx.remove_identifiers(x["n_name"], F.col("ids"), normal=x["n_name"])
@@ -102,11 +102,11 @@ def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None,
 
 def english_documents(documents: DataFrame) -> DataFrame:
     """The English projection: cleaned aliases (one a name regardless of case), fallbacks, and the flag where none is left."""
-    ids = F.concat(F.array("main_sku"), F.transform("children", lambda c: c["sku"]))
-    cleaned = F.array_compact(F.transform("en_aliases", lambda a: tx.english_alias(tx.collapse(a), ids)))
+    documents = documents.withColumn("__ids", tx.identifiers_pattern(F.concat(F.array("main_sku"), F.transform("children", lambda c: c["sku"]))))
+    cleaned = F.array_compact(F.transform("en_aliases", lambda a: tx.english_alias(tx.collapse(a), F.col("__ids"))))
     pairs = F.transform(cleaned, lambda a: _pair(F.lower(a), a))
     table = F.create_map(*[x for k, v in ENGLISH_FALLBACKS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    d = documents.withColumn("__a", _least_display(pairs))
+    d = documents.withColumn("__a", _least_display(pairs)).drop("__ids")
     d = d.withColumn("en_aliases", F.when(F.size("__a") > 0, F.col("__a")).otherwise(F.coalesce(F.try_element_at(table, F.col("main_sku")), F.array().cast("array<string>")))).drop("__a")
     none = F.size("en_aliases") == 0
     flags = F.array_remove("quality_flags", "missing_english")

@@ -1 +1,4 @@
-"""Part of lodestock."""
+"""Registered queries."""
+
+from . import catalog_queries, search_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
