@@ -35,7 +35,7 @@ def totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def conflict_note(routed: DataFrame, shown: int = 5) -> DataFrame:
     """One row: conflicts, and the first of them as lines. Only `shown` rows meet."""
     bad = routed.where("route = 'conflict'")
-    lines = bad.orderBy("row").limit(shown).select(F.struct("row", F.concat_ws(" ", F.col("row").cast("string"), "child_sku", "expected_main", "main_sku").alias("line")).alias("x"))
+    lines = bad.orderBy("row", "child_sku").limit(shown).select(F.struct("row", "child_sku", F.concat_ws(" ", F.col("row").cast("string"), "child_sku", "expected_main", "main_sku").alias("line")).alias("x"))
     listed = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("examples"))
     return bad.agg(F.count("*").alias("conflicts")).crossJoin(listed)
 
