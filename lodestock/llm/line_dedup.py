@@ -6,7 +6,7 @@ folded first.
 
 Tokens of the join are the pairs of words that are neighbours in a line's set in the order of a hash. A word added or taken away
 changes at most three of them, so lines that match share most pairs, while a pair, unlike a word, stays rare however many lines
-there are. Tokens are ordered by rarity over all documents, those met once first; a line's prefix holds a token of every
+there are. Tokens are ordered by rarity over all documents, those met once first, those of stop words last; a line's prefix holds a token of every
 line that matches it. Prefix tokens met once are left out, as nothing can meet them. Lines that share a prefix token are
 candidates if their sizes, the token's positions and 128-bit outlines of their sets allow a match, and each candidate is
 verified on its whole word sets. A hot token is a skewed join that the adaptive planner splits.
@@ -31,6 +31,9 @@ from .words import Words, grouped, mixed
 
 #: Cells of the table of tokens met twice, which is all that any process holds of them (one bit a cell), and cells sent at a time.
 CELLS, BLOCK = 1 << 28, 1 << 20
+#: Cells of the table of how often a token was met in one task, if at least OFTEN times (one byte a cell: the logarithm); its blocks come after those above.
+OFTEN_CELLS, OFTEN = 1 << 24, 4
+FIRST_OFTEN = CELLS // BLOCK
 PART = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("keys", pa.list_(pa.int32())), ("places", pa.list_(pa.int16()))])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
@@ -99,6 +102,12 @@ def _count(least_words: int):
             if b > a:
                 own = cells[a:b] - i * BLOCK
                 rows.append((i, _packed(own), _packed(own[n[a:b] > 1])))
+        often = np.zeros(OFTEN_CELLS, np.uint8)
+        many = n >= OFTEN
+        np.maximum.at(often, cells[many] & (OFTEN_CELLS - 1), np.log2(n[many]).astype(np.uint8))
+        for i, levels in enumerate(often.reshape(-1, BLOCK)):
+            if levels.any():
+                rows.append((FIRST_OFTEN + i, zlib.compress(levels.tobytes(), 1), b""))
         return batch(PART, dict(zip(PART.names, zip(*rows))))
 
     def count(batches):
@@ -124,6 +133,11 @@ def _count(least_words: int):
 
 
 def _add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    if key[0].as_py() >= FIRST_OFTEN:
+        levels = np.zeros(BLOCK, np.uint8)
+        for a in parts["once"].to_pylist():
+            levels = np.maximum(levels, np.frombuffer(zlib.decompress(a), np.uint8))
+        return pa.table({"block": [key[0].as_py()], "once": [b""], "twice": [zlib.compress(levels.tobytes(), 1)]}, schema=PART)
     once, twice = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
     for a, b in zip(parts["once"].to_pylist(), parts["twice"].to_pylist()):
         own = _unpacked(a)
@@ -133,20 +147,24 @@ def _add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
     return pa.table({"block": [key[0].as_py()], "once": [b""], "twice": [_packed(np.flatnonzero(twice))]}, schema=PART)
 
 
-def repeated_tokens(source: DataFrame, least_words: int) -> np.ndarray:
-    """The table of tokens met twice: CELLS bits, whatever the input. Too many tokens for it let more rows pass, and lose none."""
-    out = np.zeros(CELLS // 8, np.uint8)
+def token_tables(source: DataFrame, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of tokens met twice (CELLS bits) and often (OFTEN_CELLS bytes), whatever the input. Too many tokens for them let more rows pass, and lose none."""
+    twice, often = np.zeros(CELLS // 8, np.uint8), np.zeros(OFTEN_CELLS, np.uint8)
     kind = "block long, once binary, twice binary"
     for part in source.select("text").mapInArrow(_count(least_words), kind).groupBy("block").applyInArrow(_add, kind).select("block", "twice").toArrow().to_pylist():
+        at = part["block"]
+        if at >= FIRST_OFTEN:
+            often[(at - FIRST_OFTEN) * BLOCK : (at - FIRST_OFTEN + 1) * BLOCK] = np.frombuffer(zlib.decompress(part["twice"]), np.uint8)
+            continue
         bits = np.zeros(BLOCK, bool)
         bits[_unpacked(part["twice"])] = True
-        out[part["block"] * BLOCK // 8 : (part["block"] + 1) * BLOCK // 8] = np.packbits(bits, bitorder="little")
-    return out
+        twice[at * BLOCK // 8 : (at + 1) * BLOCK // 8] = np.packbits(bits, bitorder="little")
+    return twice, often
 
 
-def _lines(repeated, percent: int, least_words: int):
+def _lines(tables, percent: int, least_words: int):
     def lines(batches):
-        reader, table = Lines(), repeated.value
+        reader, (met_twice, often) = Lines(), tables.value
         for r in each_text(batches):
             for text, place, n, h, line in reader.sets(as_bytes(r.column(1))):
                 if not len(n):
@@ -159,8 +177,8 @@ def _lines(repeated, percent: int, least_words: int):
                 outlines = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (upper, ~upper)]
                 token, of = pairs_of(h, line)
                 cell = (token & np.uint64(CELLS - 1)).astype(np.int64)
-                twice = (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-                order = np.lexsort((token, twice, of))
+                twice = (met_twice[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+                order = np.lexsort((token, twice * (1 + often[cell & (OFTEN_CELLS - 1)]), of))
                 token, of, twice = token[order], of[order], twice[order]
                 sizes = np.bincount(of, minlength=len(n))
                 at = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[of]
@@ -213,10 +231,10 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     if percent <= 60 or least_words < 4:
         raise ValueError("tokens are shared for certain only above 60 percent and from four words on")
     source = docs.where("doc_id is not null")
-    repeated = docs.sparkSession.sparkContext.broadcast(repeated_tokens(source, least_words))
+    tables = docs.sparkSession.sparkContext.broadcast(token_tables(source, least_words))
     columns = "doc_id long, line long, n long, d1 long, d2 long, b1 long, b2 long, keys array<int>, places array<short>"
-    lines = written(source.mapInArrow(_lines(repeated, percent, least_words), columns), "lines")
-    repeated.unpersist()
+    lines = written(source.mapInArrow(_lines(tables, percent, least_words), columns), "lines")
+    tables.unpersist()
     sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s")).select(F.monotonically_increasing_id().alias("id"), "s.*")
     sets = written(sets, "line_sets")
     # a narrow row for each prefix token: its hash, the set, size and place in one number, outlines
