@@ -9,7 +9,10 @@ changes at most three of them, so lines that match share most pairs, while a pai
 there are. Tokens are ordered by rarity over all documents, those met once first, those of stop words last; a line's prefix holds a token of every
 line that matches it. Prefix tokens met once are left out, as nothing can meet them. Lines that share a prefix token are
 candidates if their sizes, the token's positions and 128-bit outlines of their sets allow a match, and each candidate is
-verified on its whole word sets. A hot token is a skewed join that the adaptive planner splits.
+verified on its whole word sets. All pairs of lines that share a token are looked at only for tokens of at most HOT lines.
+A hotter token's lines are first held against the earliest of them, by exact distances: lines that match it go; by the triangle
+inequality of Jaccard distance a line that doesn't can match only others that don't or that lie within a window of it, so
+only these stay with the token, without the earliest, and the next round begins. What HOT_ROUNDS leave is joined like the rest.
 
 Lines of fewer than `least_words` different words are left alone: they are not passages. Nulls: a null text stays null; rows with a
 null id are left as they are and match nothing. Rows that share an id count as one document: lines at the same place are one
@@ -37,6 +40,8 @@ FIRST_OFTEN = CELLS // BLOCK
 PART = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("keys", pa.list_(pa.int32())), ("places", pa.list_(pa.int16()))])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
+#: Lines of a token from which on it is hot, and rounds of thinning such tokens' lines.
+HOT, HOT_ROUNDS = 48, 5
 #: Lines that a task remembers as counted, and tokens it holds before it hands them on.
 MOST_COUNTED, MOST_HELD = 1_000_000, 8_000_000
 
@@ -211,19 +216,58 @@ def _tokens(documents: np.ndarray, wanted: np.ndarray):
     return tokens
 
 
-def _verify(percent: int):
+def _distances(batches):
+    """(x, y, shared, all) of pairs of whole word sets."""
     from .ngram_join import shared
 
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64())])
-
-    def verify(batches):
-        for r in each_text(batches, 1024):
-            x, y = ([np.frombuffer(b, np.uint64) for b in r.column(c).to_pylist()] for c in ("xs", "ys"))
-            common = [shared(a, b) for a, b in zip(x, y)]
-            match = pa.array([100 * c >= percent * (len(a) + len(b) - c) for a, b, c in zip(x, y, common)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("line")], schema=schema).filter(match)
-
-    return verify
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("shared", pa.int64()), ("all", pa.int64())])
+    for r in each_text(batches, 1024):
+        xs, ys = ([np.frombuffer(b, np.uint64) for b in r.column(c).to_pylist()] for c in ("xs", "ys"))
+        common = [shared(a, b) for a, b in zip(xs, ys)]
+        yield batch(schema, {"x": r.column("x"), "y": r.column("y"), "shared": common, "all": [len(a) + len(b) - c for a, b, c in zip(xs, ys, common)]})
+
+
+def _tokens_of(lines: DataFrame, source: DataFrame) -> DataFrame:
+    """(id, tokens): whole word sets of `lines` (id, doc_id, line)."""
+    of_docs = build_filter(lines.select("doc_id").distinct(), F.xxhash64("doc_id"), 1 << 23)
+    of_lines = build_filter(lines, F.xxhash64(F.concat_ws(":", "doc_id", "line")), 1 << 25)
+    found = source.mapInArrow(_tokens(of_docs, of_lines), "doc_id long, line long, tokens binary")
+    return written(found.join(lines, ["doc_id", "line"]).select("id", "tokens"), "tokens")
+
+
+def _measured(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    xs, ys = tokens.select(F.col("id").alias("x"), F.col("tokens").alias("xs")), tokens.select(F.col("id").alias("y"), F.col("tokens").alias("ys"))
+    return written(pairs.join(xs, "x").join(ys, "y").mapInArrow(_distances, "x long, y long, shared long, all long"), "measured")
+
+
+def _thinned(hot: DataFrame, source: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rounds of hot tokens against their earliest lines: what is left of `hot` (h, id, doc_id, line, n, at, b1, b2), and the ids of lines found to match an earlier one."""
+    radius, matched, tokens = 1 - percent / 100, None, None
+    for _ in range(HOT_ROUNDS):
+        first = hot.groupBy("h").agg(F.min(F.struct("doc_id", "line", "id", "n", "b1", "b2")).alias("p"), F.count("*").alias("c")).where(F.col("c") > HOT).select("h", "p.*")
+        first = written(first.select("h", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "b1", "b2")]), "first")
+        if first.isEmpty():
+            break
+        if tokens is None:
+            tokens = _tokens_of(written(hot.select("id", "doc_id", "line").distinct(), "hot_lines"), source)
+        bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("p_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("p_b2")))
+        n = F.col("n") + F.col("p_n")
+        near = ((100 + percent) * bits <= (100 - percent) * n) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        least = F.greatest(2.0 * bits / (n + bits), 1.0 - F.least("n", "p_n") / F.greatest("n", "p_n"))
+        pairs = hot.join(first, "h").where("id <> p_id").select(F.col("p_id").alias("x"), F.col("id").alias("y"), near.alias("near"), least.alias("d")).distinct()
+        pairs = written(pairs, "hot_pairs")
+        met = _measured(pairs.where("near").select("x", "y"), tokens)
+        exact = met.select("x", "y", (1 - F.col("shared") / F.col("all")).alias("exact"), F.expr(f"100 * shared >= {percent} * all").alias("match"))
+        known = pairs.join(exact, ["x", "y"], "left").select("x", "y", F.coalesce("exact", "d").alias("d"), (~F.coalesce("match", F.lit(False))).alias("out"))
+        known = written(known, "hot_known")
+        found = known.where("not out").select(F.col("y").alias("id"))
+        matched = found if matched is None else matched.unionByName(found)
+        nearest = known.where("out").groupBy("x").agg(F.min("d").alias("nearest"))
+        rest = known.join(nearest, "x").where(F.col("out") | (F.col("d") >= F.col("nearest") - radius - 1e-9)).select(F.col("x").alias("p_id"), F.col("y").alias("id"))
+        # tokens that were not hot this round stay as they are
+        cool = hot.join(first.select("h"), "h", "left_anti")
+        hot = written(hot.join(first.select("h", "p_id"), "h").join(rest, ["p_id", "id"], "left_semi").select(hot.columns).unionByName(cool), "hot")
+    return hot, matched
 
 
 def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -> DataFrame:
@@ -239,7 +283,13 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     sets = written(sets, "line_sets")
     # a narrow row for each prefix token: its hash, the set, size and place in one number, outlines
     entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
-    entries = sets.where(F.size("keys") > 0).select("id", "n", "b1", "b2", entry).select(F.col("p.keys").alias("h"), "id", (F.shiftleft("n", 16) + F.col("p.places")).alias("size_place"), "b1", "b2")
+    whole = sets.where(F.size("keys") > 0).select("*", entry).select(F.col("p.keys").alias("h"), "id", "doc_id", "line", "n", F.col("p.places").alias("at"), "b1", "b2")
+    narrow = lambda e: e.select("h", "id", (F.shiftleft("n", 16) + F.col("at")).alias("size_place"), "b1", "b2")
+    hot_keys = written(whole.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot_keys")
+    entries, matched = narrow(whole), None
+    if not hot_keys.isEmpty():
+        left, matched = _thinned(written(whole.join(hot_keys, "h"), "hot"), source, percent)
+        entries = narrow(whole.join(hot_keys, "h", "left_anti")).unionByName(narrow(left))
     x, y = entries.alias("x"), entries.alias("y")
     size, place = (lambda c: F.shiftright(F.col(c), 16)), (lambda c: F.col(c).bitwiseAND(0xFFFF))
     nx, ny = size("x.size_place"), size("y.size_place")
@@ -249,22 +299,20 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     positions = (100 + percent) * (rest + 1) >= (2 * percent - 100) * (nx + ny)
     outlines = (100 + percent) * (F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))) <= (100 - percent) * (nx + ny)
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & alike & positions & outlines)
-    met = written(met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "line_pairs")
-    named = sets.select("id", "doc_id", "line")
-    both = met.join(named.select(F.col("id").alias("x"), F.struct("doc_id", "line").alias("a")), "x").join(named.select(F.col("id").alias("y"), F.struct("doc_id", "line").alias("b")), "y")
-    candidates = both.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).select("late.doc_id", "late.line", F.col("early.doc_id").alias("x_doc_id"), F.col("early.line").alias("x_line"))
-    candidates = written(candidates, "line_candidates")
-    ends = candidates.select("doc_id", "line").unionByName(candidates.select(F.col("x_doc_id").alias("doc_id"), F.col("x_line").alias("line"))).distinct()
-    ends = written(ends, "line_ends")
-    of_docs = build_filter(ends.select("doc_id").distinct(), F.xxhash64("doc_id"), 1 << 23)
-    of_lines = build_filter(ends, F.xxhash64(F.concat_ws(":", "doc_id", "line")), 1 << 25)
-    tokens = written(source.mapInArrow(_tokens(of_docs, of_lines), "doc_id long, line long, tokens binary").join(ends, ["doc_id", "line"], "left_semi"), "tokens")
-    xs = tokens.select(F.col("doc_id").alias("x_doc_id"), F.col("line").alias("x_line"), F.col("tokens").alias("xs"))
-    pairs = candidates.join(tokens.withColumnRenamed("tokens", "ys"), ["doc_id", "line"]).join(xs, ["x_doc_id", "x_line"])
-    matched = pairs.mapInArrow(_verify(percent), "doc_id long, line long").distinct()
-    kept = sets.select("doc_id", "line").join(matched, ["doc_id", "line"], "left_anti")
-    gone = lines.select("doc_id", "line").distinct().join(kept, ["doc_id", "line"], "left_anti")
-    return written(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
+    met = met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
+    named = sets.select("id", F.struct("doc_id", "line", "id").alias("s"))
+    both = met.join(named.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(named.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
+    both = both.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).withColumn("y", F.col("late.id"))
+    if matched is not None:
+        both = both.join(matched.select(F.col("id").alias("y")).distinct(), "y", "left_anti")
+    candidates = written(both.select(F.col("early.id").alias("x"), "y", "early", "late"), "line_candidates")
+    ends = candidates.select("early.*").unionByName(candidates.select("late.*")).distinct()
+    measured = _measured(candidates.select("x", "y"), _tokens_of(written(ends, "line_ends"), source))
+    gone = measured.where(f"100 * shared >= {percent} * all").select(F.col("y").alias("id"))
+    gone = written((gone if matched is None else gone.unionByName(matched)).distinct(), "gone")
+    kept = sets.select("id", "doc_id", "line").join(gone, "id", "left_anti").select("doc_id", "line")
+    lost = lines.select("doc_id", "line").distinct().join(kept, ["doc_id", "line"], "left_anti")
+    return written(lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
