@@ -44,8 +44,8 @@ def child_rows(bought: DataFrame, children: DataFrame, stock: DataFrame | None)
 
     bought: (main_sku, name, uses); children: (main_sku, place, child_sku, child_name); stock: (child_sku, quantity), None if it was not read.
     """
-    j = bought.join(children, "main_sku", "left")
-    j = j.join(stock, "child_sku", "left") if stock is not None else j.withColumn("quantity", F.lit(None).cast("double"))
+    j = bought.select("main_sku", "name", "uses").join(children.select("main_sku", "place", "child_sku", "child_name"), "main_sku", "left")
+    j = j.join(stock.select("child_sku", "quantity"), "child_sku", "left") if stock is not None else j.withColumn("quantity", F.lit(None).cast("double"))
     w = W.partitionBy("main_sku").orderBy(F.desc(F.coalesce("quantity", F.lit(0.0))), "place")
     j = j.withColumn("line", F.row_number().over(w))
     shown = F.coalesce("quantity", F.lit(0.0)).cast("string") if stock is not None else F.lit(NOT_READ)

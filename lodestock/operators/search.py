@@ -84,12 +84,12 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str
         matrix = np.array(block["vector"].to_pylist(), dtype=np.float64).reshape(len(ids), -1)
         fields = [f.simpleString() for f in (vectors.schema["doc"], queries.schema["query_id"])]
         kinds = f"query_id {fields[1].split(':', 1)[1]}, doc {fields[0].split(':', 1)[1]}, score double"
-        part = vectors.select("doc", "vector").mapInArrow(_nearest(ids, matrix, k, metric), kinds)
+        part = vectors.select("doc", "vector").mapInArrow(_nearest(pa.array(ids, asked.schema.field("query_id").type), matrix, k, metric), kinds)
         out = part if out is None else out.unionByName(part)
     return top_k(out.withColumn("score", F.round("score", 9)), k)
 
 
-def _nearest(ids: list, matrix: np.ndarray, k: int, metric: str):
+def _nearest(ids: pa.Array, matrix: np.ndarray, k: int, metric: str):
     def unit(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
@@ -111,7 +111,7 @@ def _nearest(ids: list, matrix: np.ndarray, k: int, metric: str):
                 q, d = np.nonzero(keep >= least)
             else:
                 q, d = (x.ravel() for x in np.indices(scores.shape))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), r.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), r.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc", "score"])
 
     return nearest
 
