@@ -10,9 +10,10 @@ there are. Tokens are ordered by rarity over all documents, those met once first
 line that matches it. Prefix tokens met once are left out, as nothing can meet them. Lines that share a prefix token are
 candidates if their sizes, the token's positions and 128-bit outlines of their sets allow a match, and each candidate is
 verified on its whole word sets. All pairs of lines that share a token are looked at only for tokens of at most HOT lines.
-A hotter token's lines are first held against the earliest of them, by exact distances: lines that match it go; by the triangle
-inequality of Jaccard distance a line that doesn't can match only others that don't or that lie within a window of it, so
-only these stay with the token, without the earliest, and the next round begins. What HOT_ROUNDS leave is joined like the rest.
+A hotter token's lines are first held against the one of them that occurs most often, by exact distances: of two that match,
+the later goes. Lines whose fate is open stay with the token, and by the triangle inequality of Jaccard distance only
+those others that can match one of them; the next round takes another pivot. What HOT_ROUNDS leave is joined like the rest, less
+the pairs whose lines are both gone already.
 
 Lines of fewer than `least_words` different words are left alone: they are not passages. Nulls: a null text stays null; rows with a
 null id are left as they are and match nothing. Rows that share an id count as one document: lines at the same place are one
@@ -42,6 +43,8 @@ LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
 #: Lines of a token from which on it is hot, and rounds of thinning such tokens' lines.
 HOT, HOT_ROUNDS = 48, 5
+#: The bit, above a token's place, that marks a line whose fate is known.
+GONE = 1 << 15
 #: Lines that a task remembers as counted, and tokens it holds before it hands them on.
 MOST_COUNTED, MOST_HELD = 1_000_000, 8_000_000
 
@@ -241,11 +244,13 @@ def _measured(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _thinned(hot: DataFrame, source: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rounds of hot tokens against their earliest lines: what is left of `hot` (h, id, doc_id, line, n, at, b1, b2), and the ids of lines found to match an earlier one."""
-    radius, matched, tokens = 1 - percent / 100, None, None
+    """Rounds of hot tokens against a pivot each: what is left of `hot` (h, id, doc_id, line, n, at, b1, b2, copies), with gone for lines whose fate is known, and the ids of these."""
+    radius, gone, tokens = 1 - percent / 100, None, None
+    columns = hot.columns
     for _ in range(HOT_ROUNDS):
-        first = hot.groupBy("h").agg(F.min(F.struct("doc_id", "line", "id", "n", "b1", "b2")).alias("p"), F.count("*").alias("c")).where(F.col("c") > HOT).select("h", "p.*")
-        first = written(first.select("h", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "b1", "b2")]), "first")
+        best = F.min(F.struct((-F.col("copies")).alias("minus"), "doc_id", "line", "id", "n", "b1", "b2"))
+        first = hot.groupBy("h").agg(best.alias("p"), F.count("*").alias("c")).where(F.col("c") > HOT).select("h", "p.*")
+        first = written(first.select("h", *[F.col(c).alias(f"p_{c}") for c in ("id", "doc_id", "line", "n", "b1", "b2")]), "first")
         if first.isEmpty():
             break
         if tokens is None:
@@ -254,20 +259,24 @@ def _thinned(hot: DataFrame, source: DataFrame, percent: int) -> tuple[DataFrame
         n = F.col("n") + F.col("p_n")
         near = ((100 + percent) * bits <= (100 - percent) * n) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
         least = F.greatest(2.0 * bits / (n + bits), 1.0 - F.least("n", "p_n") / F.greatest("n", "p_n"))
-        pairs = hot.join(first, "h").where("id <> p_id").select(F.col("p_id").alias("x"), F.col("id").alias("y"), near.alias("near"), least.alias("d")).distinct()
+        later = (F.col("doc_id") > F.col("p_doc_id")) | ((F.col("doc_id") == F.col("p_doc_id")) & (F.col("line") > F.col("p_line")))
+        pairs = hot.join(first, "h").where("id <> p_id").select(F.col("p_id").alias("x"), F.col("id").alias("y"), near.alias("near"), least.alias("d"), later.alias("later")).distinct()
         pairs = written(pairs, "hot_pairs")
         met = _measured(pairs.where("near").select("x", "y"), tokens)
         exact = met.select("x", "y", (1 - F.col("shared") / F.col("all")).alias("exact"), F.expr(f"100 * shared >= {percent} * all").alias("match"))
-        known = pairs.join(exact, ["x", "y"], "left").select("x", "y", F.coalesce("exact", "d").alias("d"), (~F.coalesce("match", F.lit(False))).alias("out"))
+        known = pairs.join(exact, ["x", "y"], "left").select("x", "y", "later", F.coalesce("exact", "d").alias("d"), F.coalesce("match", F.lit(False)).alias("match"))
         known = written(known, "hot_known")
-        found = known.where("not out").select(F.col("y").alias("id"))
-        matched = found if matched is None else matched.unionByName(found)
-        nearest = known.where("out").groupBy("x").agg(F.min("d").alias("nearest"))
-        rest = known.join(nearest, "x").where(F.col("out") | (F.col("d") >= F.col("nearest") - radius - 1e-9)).select(F.col("x").alias("p_id"), F.col("y").alias("id"))
+        found = known.where("match").select(F.when(F.col("later"), F.col("y")).otherwise(F.col("x")).alias("id"))
+        gone = written((found if gone is None else gone.unionByName(found)).distinct(), "hot_gone")
+        judged = known.join(gone.select(F.col("id").alias("y"), F.lit(True).alias("known")), "y", "left").withColumn("open", F.col("known").isNull())
+        span = judged.where("open").groupBy("x").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+        rest = judged.join(span, "x").where(F.col("open") | F.col("d").between(F.col("low") - radius - 1e-9, F.col("high") + radius + 1e-9)).select(F.col("x").alias("p_id"), F.col("y").alias("id"))
         # tokens that were not hot this round stay as they are
         cool = hot.join(first.select("h"), "h", "left_anti")
-        hot = written(hot.join(first.select("h", "p_id"), "h").join(rest, ["p_id", "id"], "left_semi").select(hot.columns).unionByName(cool), "hot")
-    return hot, matched
+        hot = written(hot.join(first.select("h", "p_id"), "h").join(rest, ["p_id", "id"], "left_semi").select(columns).unionByName(cool.select(columns)), "hot")
+    if gone is None:
+        return hot.withColumn("gone", F.lit(0)), None
+    return hot.join(gone.withColumn("gone", F.lit(1)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0))), gone
 
 
 def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -> DataFrame:
@@ -279,26 +288,27 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     columns = "doc_id long, line long, n long, d1 long, d2 long, b1 long, b2 long, keys array<int>, places array<short>"
     lines = written(source.mapInArrow(_lines(tables, percent, least_words), columns), "lines")
     tables.unpersist()
-    sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s")).select(F.monotonically_increasing_id().alias("id"), "s.*")
+    sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), "s.*", "copies")
     sets = written(sets, "line_sets")
     # a narrow row for each prefix token: its hash, the set, size and place in one number, outlines
     entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
-    whole = sets.where(F.size("keys") > 0).select("*", entry).select(F.col("p.keys").alias("h"), "id", "doc_id", "line", "n", F.col("p.places").alias("at"), "b1", "b2")
-    narrow = lambda e: e.select("h", "id", (F.shiftleft("n", 16) + F.col("at")).alias("size_place"), "b1", "b2")
+    whole = sets.where(F.size("keys") > 0).select("*", entry).select(F.col("p.keys").alias("h"), "id", "doc_id", "line", "n", F.col("p.places").alias("at"), "b1", "b2", "copies")
+    narrow = lambda e, gone: e.select("h", "id", (F.shiftleft("n", 16) + gone * GONE + F.col("at")).alias("size_place"), "b1", "b2")
     hot_keys = written(whole.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot_keys")
-    entries, matched = narrow(whole), None
+    entries, matched = narrow(whole, F.lit(0)), None
     if not hot_keys.isEmpty():
         left, matched = _thinned(written(whole.join(hot_keys, "h"), "hot"), source, percent)
-        entries = narrow(whole.join(hot_keys, "h", "left_anti")).unionByName(narrow(left))
+        entries = narrow(whole.join(hot_keys, "h", "left_anti"), F.lit(0)).unionByName(narrow(left, F.col("gone")))
     x, y = entries.alias("x"), entries.alias("y")
-    size, place = (lambda c: F.shiftright(F.col(c), 16)), (lambda c: F.col(c).bitwiseAND(0xFFFF))
+    size, place = (lambda c: F.shiftright(F.col(c), 16)), (lambda c: F.col(c).bitwiseAND(GONE - 1))
     nx, ny = size("x.size_place"), size("y.size_place")
     alike = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
     # tokens from the shared one on, against those that must be shared
     rest = F.least(nx - place("x.size_place"), ny - place("y.size_place")) - 1
     positions = (100 + percent) * (rest + 1) >= (2 * percent - 100) * (nx + ny)
     outlines = (100 + percent) * (F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))) <= (100 - percent) * (nx + ny)
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & alike & positions & outlines)
+    open_ = F.col("x.size_place").bitwiseAND(F.col("y.size_place")).bitwiseAND(GONE) == 0
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & alike & positions & outlines & open_)
     met = met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
     named = sets.select("id", F.struct("doc_id", "line", "id").alias("s"))
     both = met.join(named.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(named.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
