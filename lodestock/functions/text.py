@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -42,6 +42,20 @@ def fold_accents(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else _folded(v) for v in values.to_pylist()], pa.string())
 
 
+def with_folded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`df` with some string columns folded; one pass over Arrow batches, which no later expression is merged with."""
+    at = [df.columns.index(c) for c in columns]
+
+    def fold(batches):
+        for b in batches:
+            arrays = list(b.columns)
+            for i in at:
+                arrays[i] = pa.array([None if v is None else _folded(v) for v in arrays[i].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
+
+    return df.mapInArrow(fold, df.schema)
+
+
 def collapse(c: Column) -> Column:
     """One space for each run of white space, none at the ends."""
     return F.trim(F.regexp_replace(c, SPACE, " "))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+# What came of a role's search.
+MATCHED, NO_STOCK, NO_CANDIDATES = "matched", "no_stock_in_recalled_candidates", "no_candidates_in_recall_window"
 MEASURES = ("single_sale", "centre", "public_pool", "overseas_transit", "local_transit", "local_stock")
 
 
@@ -100,8 +102,8 @@ def cut(annotated: DataFrame, limit: int, *, in_stock_only: bool, by: tuple[str,
 
 
 def match_status(roles: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(role_id, candidate_count_before_stock, match_status): has_match, no_stock or no_match."""
+    """(role_id, candidate_count_before_stock, match_status), which tells nothing recalled from nothing in stock."""
     a, b = (d.groupBy("role_id").agg(F.count("*").alias(n)) for d, n in ((before, "found"), (after, "left")))
     j = roles.select("role_id").distinct().join(a, "role_id", "left").join(b, "role_id", "left")
     found, left = F.coalesce("found", F.lit(0)), F.coalesce("left", F.lit(0))
-    return j.select("role_id", found.alias("candidate_count_before_stock"), F.when(left > 0, "has_match").when(found > 0, "no_stock").otherwise("no_match").alias("match_status"))
+    return j.select("role_id", found.alias("candidate_count_before_stock"), F.when(left > 0, MATCHED).when(found > 0, NO_STOCK).otherwise(NO_CANDIDATES).alias("match_status"))

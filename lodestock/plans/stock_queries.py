@@ -105,7 +105,7 @@ def recall_head(spark, sf_dir):
     return stock.cut(annotated(spark, sf_dir), 6, in_stock_only=True, by=("scene",)).select("scene", "main_sku", "rank")
 
 
-@query(f"with {CANDIDATES}, b as (select scene, count(*) as n from cand where rank <= 8 group by scene), a as (select scene, count(*) as n from cand where rank <= 8 and main_sku like '%1' and scene <> 'BUILDING' group by scene), s as (select distinct scene from cand) select s.scene as role_id, cast(coalesce(b.n, 0) as bigint) as candidate_count_before_stock, case when coalesce(a.n, 0) > 0 then 'has_match' when coalesce(b.n, 0) > 0 then 'no_stock' else 'no_match' end as match_status from s left join b using (scene) left join a using (scene)")
+@query(f"with {CANDIDATES}, b as (select scene, count(*) as n from cand where rank <= 8 group by scene), a as (select scene, count(*) as n from cand where rank <= 8 and main_sku like '%1' and scene <> 'BUILDING' group by scene), s as (select distinct scene from cand) select s.scene as role_id, cast(coalesce(b.n, 0) as bigint) as candidate_count_before_stock, case when coalesce(a.n, 0) > 0 then 'matched' when coalesce(b.n, 0) > 0 then 'no_stock_in_recalled_candidates' else 'no_candidates_in_recall_window' end as match_status from s left join b using (scene) left join a using (scene)")
 def match_status(spark, sf_dir):
     c = candidates(spark, sf_dir).withColumnRenamed("scene", "role_id")
     before = c.where("rank <= 8")
