@@ -33,16 +33,14 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter, table, written
 from .words import Words, grouped, mixed
 
-#: Cells of the table of tokens met twice, which is all that any process holds of them (one bit a cell), and cells sent at a time.
-CELLS, BLOCK = 1 << 29, 1 << 20
-#: Cells of the table of how often a token was met in one task, if at least OFTEN times (one byte a cell: the logarithm); its blocks come after those above.
-OFTEN_CELLS, OFTEN = 1 << 24, 4
-FIRST_OFTEN = CELLS // BLOCK
-PART = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
+#: Cells of the table of how often a token was met at a time, if at least OFTEN times (one byte a cell: the logarithm), which is all
+#: that any process holds of counts; and cells sent at a time.
+CELLS, BLOCK, OFTEN = 1 << 24, 1 << 20, 4
+PART = pa.schema([("block", pa.int64()), ("levels", pa.binary())])
 LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("keys", pa.list_(pa.int32())), ("places", pa.list_(pa.int16()))])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
 #: Lines of a token from which on it is hot, and rounds of thinning such tokens' lines.
-HOT, HOT_ROUNDS = 48, 2
+HOT, HOT_ROUNDS = 48, 1
 #: The bit, above a token's place, that marks a line whose fate is known.
 GONE = 1 << 15
 #: Lines that a task remembers as counted, and tokens it holds before it hands them on.
@@ -61,7 +59,9 @@ class Lines:
         h, starts, _ = self.words.split(data)
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         before = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
-        used, line = np.unique(np.searchsorted(ends, starts), return_inverse=True)
+        number = np.searchsorted(ends, starts)  # lines before this word in all the texts
+        new = np.append(True, number[1:] != number[:-1])[: len(number)]
+        used, line = number[new], np.cumsum(new) - 1
         of_text = np.searchsorted(before, used, side="right") - 1
         return h, line, of_text, used - before[of_text]
 
@@ -69,13 +69,20 @@ class Lines:
         """text, place and size of each line with a word; then, line after line, its different words in the order of their hash, and their line's number."""
         for a, b in grouped(texts):
             h, line, of_text, place = self.raw(texts[a:b])
-            order = np.lexsort((h, line))
+            order = _order(line, h >> np.uint64(14))
             h, line = h[order], line[order]
             new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))[: len(h)]
             h, line = h[new], line[new]
             yield of_text + a, place, np.bincount(line, minlength=len(place)), h, line
 
 
+def _order(line: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The order by line, then by a value of 50 bits: a sort of one number each, unless there are too many lines for that."""
+    if len(line) and line[-1] >= 1 << 14:
+        return np.lexsort((value, line))
+    return np.argsort((line.astype(np.uint64) << np.uint64(50)) | value)
+
+
 def pairs_of(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the join, hashed, and their line's number."""
     same = line[1:] == line[:-1]
@@ -88,38 +95,16 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return np.ceil(n * (4 * percent - 200) / 200 - 1 - 1e-9).astype(np.int64)
 
 
-def _packed(cells: np.ndarray) -> bytes:
-    """Sorted cell numbers of one block as compressed gaps."""
-    gaps = np.diff(cells, prepend=0)
-    small = not len(gaps) or gaps.max() < 1 << 16
-    return bytes([int(small)]) + zlib.compress(gaps.astype(np.uint16 if small else np.uint32).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data[1:]), np.uint16 if data[0] else np.uint32), dtype=np.int64)
-
-
 def _count(least_words: int):
-    """Cells of the tokens of the lines that a task has not met before: those met at all, and those met in two lines."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        cells, n = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(cells, np.arange(0, CELLS + 1, BLOCK, dtype=np.int64))
-        rows = []
-        for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            if b > a:
-                own = cells[a:b] - i * BLOCK
-                rows.append((i, _packed(own), _packed(own[n[a:b] > 1])))
-        often = np.zeros(OFTEN_CELLS, np.uint8)
+    """Levels of the frequent tokens of the lines that a task has not met before, in compressed blocks."""
+
+    def add(levels: np.ndarray, held: list[np.ndarray]) -> None:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
         many = n >= OFTEN
-        np.maximum.at(often, cells[many] & (OFTEN_CELLS - 1), np.log2(n[many]).astype(np.uint8))
-        for i, levels in enumerate(often.reshape(-1, BLOCK)):
-            if levels.any():
-                rows.append((FIRST_OFTEN + i, zlib.compress(levels.tobytes(), 1), b""))
-        return batch(PART, dict(zip(PART.names, zip(*rows))))
+        np.maximum.at(levels, (tokens[many] & np.uint64(CELLS - 1)).astype(np.int64), np.log2(n[many]).astype(np.uint8))
 
     def count(batches):
-        reader, met, held, size = Lines(), set(), [], 0
+        reader, met, held, size, levels = Lines(), set(), [], 0, np.zeros(CELLS, np.uint8)
         for r in each_text(batches):
             for _, _, n, h, line in reader.sets(as_bytes(r.column(0))):
                 if not len(n):
@@ -129,50 +114,39 @@ def _count(least_words: int):
                 if len(met) < MOST_COUNTED:
                     met.update(digests)
                 token, of = pairs_of(h, line)
-                held.append((token[new[of]] & np.uint64(CELLS - 1)).astype(np.int64))
+                held.append(token[new[of]])
                 size += len(held[-1])
             if size > MOST_HELD:
-                yield flush(held)
+                add(levels, held)
                 held, size = [], 0
         if size:
-            yield flush(held)
+            add(levels, held)
+        rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(levels.reshape(-1, BLOCK)) if x.any()]
+        if rows:
+            yield batch(PART, dict(zip(PART.names, zip(*rows))))
 
     return count
 
 
-def _add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-    if key[0].as_py() >= FIRST_OFTEN:
-        levels = np.zeros(BLOCK, np.uint8)
-        for a in parts["once"].to_pylist():
-            levels = np.maximum(levels, np.frombuffer(zlib.decompress(a), np.uint8))
-        return pa.table({"block": [key[0].as_py()], "once": [b""], "twice": [zlib.compress(levels.tobytes(), 1)]}, schema=PART)
-    once, twice = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-    for a, b in zip(parts["once"].to_pylist(), parts["twice"].to_pylist()):
-        own = _unpacked(a)
-        twice[own[once[own]]] = True
-        once[own] = True
-        twice[_unpacked(b)] = True
-    return pa.table({"block": [key[0].as_py()], "once": [b""], "twice": [_packed(np.flatnonzero(twice))]}, schema=PART)
-
-
-def token_tables(source: DataFrame, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tables of tokens met twice (CELLS bits) and often (OFTEN_CELLS bytes), whatever the input. Too many tokens for them let more rows pass, and lose none."""
-    twice, often = np.zeros(CELLS // 8, np.uint8), np.zeros(OFTEN_CELLS, np.uint8)
-    kind = "block long, once binary, twice binary"
-    for part in source.select("text").mapInArrow(_count(least_words), kind).groupBy("block").applyInArrow(_add, kind).select("block", "twice").toArrow().to_pylist():
-        at = part["block"]
-        if at >= FIRST_OFTEN:
-            often[(at - FIRST_OFTEN) * BLOCK : (at - FIRST_OFTEN + 1) * BLOCK] = np.frombuffer(zlib.decompress(part["twice"]), np.uint8)
-            continue
-        bits = np.zeros(BLOCK, bool)
-        bits[_unpacked(part["twice"])] = True
-        twice[at * BLOCK // 8 : (at + 1) * BLOCK // 8] = np.packbits(bits, bitorder="little")
-    return twice, often
-
-
-def _lines(tables, percent: int, least_words: int):
+def _highest(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    levels = np.zeros(BLOCK, np.uint8)
+    for part in parts["levels"].to_pylist():
+        levels = np.maximum(levels, np.frombuffer(zlib.decompress(part), np.uint8))
+    return pa.table({"block": [key[0].as_py()], "levels": [zlib.compress(levels.tobytes(), 1)]}, schema=PART)
+
+
+def token_levels(source: DataFrame, least_words: int) -> np.ndarray:
+    """The table of frequent tokens: CELLS bytes, whatever the input. It orders tokens, and so affects how many rows pass, never which lines match."""
+    out = np.zeros(CELLS, np.uint8)
+    kind = "block long, levels binary"
+    for part in source.select("text").mapInArrow(_count(least_words), kind).groupBy("block").applyInArrow(_highest, kind).toArrow().to_pylist():
+        out[part["block"] * BLOCK : (part["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(part["levels"]), np.uint8)
+    return out
+
+
+def _lines(levels, percent: int, least_words: int):
     def lines(batches):
-        reader, (met_twice, often) = Lines(), tables.value
+        reader, often = Lines(), levels.value
         for r in each_text(batches):
             for text, place, n, h, line in reader.sets(as_bytes(r.column(1))):
                 if not len(n):
@@ -184,14 +158,13 @@ def _lines(tables, percent: int, least_words: int):
                 digests = [np.add.reduceat(x, starts) for x in (spread, mixed(spread + np.uint64(0x9E3779B97F4A7C15)))]
                 outlines = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (upper, ~upper)]
                 token, of = pairs_of(h, line)
-                cell = (token & np.uint64(CELLS - 1)).astype(np.int64)
-                twice = (met_twice[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-                order = np.lexsort((token, twice * (1 + often[cell & (OFTEN_CELLS - 1)]), of))
-                token, of, twice = token[order], of[order], twice[order]
+                rarity = often[(token & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
+                order = _order(of, (rarity << np.uint64(45)) | (token >> np.uint64(19)))
+                token, of = token[order], of[order]
                 sizes = np.bincount(of, minlength=len(n))
                 at = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[of]
                 first = sizes - np.maximum(needed(n, percent), 1) + 1
-                emit = (at < first[of]) & (n >= least_words)[of] & (twice > 0)
+                emit = (at < first[of]) & (n >= least_words)[of]
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(of[emit], minlength=len(n)))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(offsets, pa.array((token[emit] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 places = pa.ListArray.from_arrays(offsets, pa.array(np.minimum(at[emit], 32767).astype(np.int16)))
@@ -284,17 +257,17 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     if percent <= 60 or least_words < 4:
         raise ValueError("tokens are shared for certain only above 60 percent and from four words on")
     source = docs.where("doc_id is not null")
-    tables = docs.sparkSession.sparkContext.broadcast(token_tables(source, least_words))
+    levels = docs.sparkSession.sparkContext.broadcast(token_levels(source, least_words))
     columns = "doc_id long, line long, n long, d1 long, d2 long, b1 long, b2 long, keys array<int>, places array<short>"
-    lines = written(source.mapInArrow(_lines(tables, percent, least_words), columns), "lines")
-    tables.unpersist()
+    lines = written(source.mapInArrow(_lines(levels, percent, least_words), columns), "lines")
+    levels.unpersist()
     sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), "s.*", "copies")
     sets = written(sets, "line_sets")
     # a narrow row for each prefix token: its hash, the set, size and place in one number, outlines
     entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
     whole = sets.where(F.size("keys") > 0).select("*", entry).select(F.col("p.keys").alias("h"), "id", "doc_id", "line", "n", F.col("p.places").alias("at"), "b1", "b2", "copies")
-    narrow = lambda e, gone: e.select("h", "id", (F.shiftleft("n", 16) + gone * GONE + F.col("at")).alias("size_place"), "b1", "b2")
-    hot_keys = written(whole.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot_keys")
+    narrow = lambda e, gone: e.select("h", "id", (F.shiftleft("n", 16) + gone * GONE + F.col("at")).alias("size_place"), F.col("b1").bitwiseXOR(F.col("b2")).alias("b"))
+    hot_keys = written(sets.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot_keys")
     entries, matched = narrow(whole, F.lit(0)), None
     if not hot_keys.isEmpty():
         left, matched = _thinned(written(whole.join(hot_keys, "h"), "hot"), source, percent)
@@ -306,7 +279,7 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     # tokens from the shared one on, against those that must be shared
     rest = F.least(nx - place("x.size_place"), ny - place("y.size_place")) - 1
     positions = (100 + percent) * (rest + 1) >= (2 * percent - 100) * (nx + ny)
-    outlines = (100 + percent) * (F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))) <= (100 - percent) * (nx + ny)
+    outlines = (100 + percent) * F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= (100 - percent) * (nx + ny)
     open_ = F.col("x.size_place").bitwiseAND(F.col("y.size_place")).bitwiseAND(GONE) == 0
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & alike & positions & outlines & open_)
     met = met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
@@ -325,12 +298,27 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     return written(lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
 
 
+def _by_filter(at: int, words: np.ndarray, inside: bool):
+    """Rows whose id may be in the filter, or the others; a row with a null id is none of the former."""
+
+    def rows(batches):
+        for r in each_text(batches, 4096):
+            ids = r.column(at).to_pylist()
+            may = in_filter(words, np.array([0 if i is None else hashed(int(i)) for i in ids], dtype=np.uint64)) & np.array([i is not None for i in ids], dtype=bool)
+            yield r.filter(pa.array(may == inside))
+
+    return rows
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """The columns of `docs` with the text less its removed lines, plus n_lines, n_removed and removed (places from 0), one row for each row of `docs`."""
     docs = docs.drop("n_lines", "n_removed", "removed")
     removed = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), **rules)
     removed = removed.select(F.col("doc_id").alias("__id"), "removed")
-    joined = docs.join(removed, docs[id_col].cast("long") == removed["__id"], "left").drop("__id")
+    words = build_filter(removed, F.xxhash64("__id"))
+    same = docs.mapInArrow(_by_filter(docs.columns.index(id_col), words, False), docs.schema).withColumn("removed", F.lit(None).cast("array<bigint>"))
+    touched = docs.mapInArrow(_by_filter(docs.columns.index(id_col), words, True), docs.schema)
+    joined = same.unionByName(touched.join(removed, touched[id_col].cast("long") == removed["__id"], "left").drop("__id"))
     lines = F.split(text_col, "\n", -1)
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("removed", i.cast("long"))), "\n")
     return (
