@@ -10,10 +10,8 @@ there are. Tokens are ordered by rarity over all documents, those met once first
 line that matches it. Prefix tokens met once are left out, as nothing can meet them. Lines that share a prefix token are
 candidates if their sizes, the token's positions and 128-bit outlines of their sets allow a match, and each candidate is
 verified on its whole word sets. All pairs of lines that share a token are looked at only for tokens of at most HOT lines.
-A hotter token's lines are first held against the one of them that occurs most often, by exact distances: of two that match,
-the later goes. Lines whose fate is open stay with the token, and by the triangle inequality of Jaccard distance only
-those others that can match one of them; the next round takes another pivot. What HOT_ROUNDS leave is joined like the rest, less
-the pairs whose lines are both gone already.
+A hotter token's lines are first held against the one of them that occurs most often; of two that match, the later goes,
+and pairs whose lines are both gone by then are left out.
 
 Lines of fewer than `least_words` different words are left alone: they are not passages. Nulls: a null text stays null; rows with a
 null id are left as they are and match nothing. Rows that share an id count as one document: lines at the same place are one
@@ -27,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +40,8 @@ FIRST_OFTEN = CELLS // BLOCK
 PART = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("keys", pa.list_(pa.int32())), ("places", pa.list_(pa.int16()))])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
-#: Lines of a token from which on it is hot, and rounds of thinning such tokens' lines.
-HOT, HOT_ROUNDS = 48, 1
+#: Lines of a token from which on it is hot.
+HOT = 48
 #: The bit, above a token's place, that marks a line whose fate is known.
 GONE = 1 << 15
 #: Lines that a task remembers as counted, and tokens it holds before it hands them on.
@@ -243,40 +242,35 @@ def _measured(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return written(pairs.join(xs, "x").join(ys, "y").mapInArrow(_distances, "x long, y long, shared long, all long"), "measured")
 
 
-def _thinned(hot: DataFrame, source: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rounds of hot tokens against a pivot each: what is left of `hot` (h, id, doc_id, line, n, at, b1, b2, copies), with gone for lines whose fate is known, and the ids of these."""
-    radius, gone, tokens = 1 - percent / 100, None, None
-    columns = hot.columns
-    for _ in range(HOT_ROUNDS):
-        best = F.min(F.struct((-F.col("copies")).alias("minus"), "doc_id", "line", "id", "n", "b1", "b2"))
-        first = hot.groupBy("h").agg(best.alias("p"), F.count("*").alias("c")).where(F.col("c") > HOT).select("h", "p.*")
-        first = written(first.select("h", *[F.col(c).alias(f"p_{c}") for c in ("id", "doc_id", "line", "n", "b1", "b2")]), "first")
-        if first.isEmpty():
-            break
-        if tokens is None:
-            tokens = _tokens_of(written(hot.select("id", "doc_id", "line").distinct(), "hot_lines"), source)
-        bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("p_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("p_b2")))
-        n = F.col("n") + F.col("p_n")
-        near = ((100 + percent) * bits <= (100 - percent) * n) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-        least = F.greatest(2.0 * bits / (n + bits), 1.0 - F.least("n", "p_n") / F.greatest("n", "p_n"))
-        later = (F.col("doc_id") > F.col("p_doc_id")) | ((F.col("doc_id") == F.col("p_doc_id")) & (F.col("line") > F.col("p_line")))
-        pairs = hot.join(first, "h").where("id <> p_id").select(F.col("p_id").alias("x"), F.col("id").alias("y"), near.alias("near"), least.alias("d"), later.alias("later")).distinct()
-        pairs = written(pairs, "hot_pairs")
-        met = _measured(pairs.where("near").select("x", "y"), tokens)
-        exact = met.select("x", "y", (1 - F.col("shared") / F.col("all")).alias("exact"), F.expr(f"100 * shared >= {percent} * all").alias("match"))
-        known = pairs.join(exact, ["x", "y"], "left").select("x", "y", "later", F.coalesce("exact", "d").alias("d"), F.coalesce("match", F.lit(False)).alias("match"))
-        known = written(known, "hot_known")
-        found = known.where("match").select(F.when(F.col("later"), F.col("y")).otherwise(F.col("x")).alias("id"))
-        gone = written((found if gone is None else gone.unionByName(found)).distinct(), "hot_gone")
-        judged = known.join(gone.select(F.col("id").alias("y"), F.lit(True).alias("known")), "y", "left").withColumn("open", F.col("known").isNull())
-        span = judged.where("open").groupBy("x").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-        rest = judged.join(span, "x").where(F.col("open") | F.col("d").between(F.col("low") - radius - 1e-9, F.col("high") + radius + 1e-9)).select(F.col("x").alias("p_id"), F.col("y").alias("id"))
-        # tokens that were not hot this round stay as they are
-        cool = hot.join(first.select("h"), "h", "left_anti")
-        hot = written(hot.join(first.select("h", "p_id"), "h").join(rest, ["p_id", "id"], "left_semi").select(columns).unionByName(cool.select(columns)), "hot")
-    if gone is None:
-        return hot.withColumn("gone", F.lit(0)), None
-    return hot.join(gone.withColumn("gone", F.lit(1)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0))), gone
+def _hot_rows(words: np.ndarray):
+    """(h, and all of a set but its tokens) of the tokens that the filter lets pass."""
+
+    def rows(batches):
+        for r in each_text(batches, 4096):
+            keys, of = pc.list_flatten(r.column("keys")), pc.list_parent_indices(r.column("keys"))
+            hit = pa.array(in_filter(words, keys.to_numpy().view(np.uint32).astype(np.uint64), 1))
+            rest = r.drop_columns(["keys"]).take(of.filter(hit))
+            yield pa.RecordBatch.from_arrays([keys.filter(hit), *rest.columns], names=["h", *rest.schema.names])
+
+    return rows
+
+
+def _matched_by_pivots(hot: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """(id) of lines that match an earlier one, as far as the commonest line of each hot token shows. hot: (h, id, doc_id, line, n, b1, b2, copies)."""
+    best = F.min(F.struct((-F.col("copies")).alias("minus"), "doc_id", "line", "id", "n", "b1", "b2"))
+    first = hot.groupBy("h").agg(best.alias("p"), F.count("*").alias("c")).where(F.col("c") > HOT).select("h", "p.*")
+    first = written(first.select("h", *[F.col(c).alias(f"p_{c}") for c in ("id", "doc_id", "line", "n", "b1", "b2")]), "first")
+    bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("p_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("p_b2")))
+    n = F.col("n") + F.col("p_n")
+    near = ((100 + percent) * bits <= (100 - percent) * n) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+    later = (F.col("doc_id") > F.col("p_doc_id")) | ((F.col("doc_id") == F.col("p_doc_id")) & (F.col("line") > F.col("p_line")))
+    end = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("id", "doc_id", "line")])
+    pairs = hot.join(first, (hot["h"] == first["h"]) & (F.col("id") != F.col("p_id")) & near).select(F.col("p_id").alias("x"), F.col("id").alias("y"), later.alias("later"), end("p_").alias("p"), end("").alias("e")).distinct()
+    pairs = written(pairs, "hot_pairs")
+    ends = pairs.select("p.*").unionByName(pairs.select("e.*")).distinct()
+    met = _measured(pairs.select("x", "y"), _tokens_of(written(ends, "hot_ends"), source)).where(f"100 * shared >= {percent} * all")
+    found = met.join(pairs.select("x", "y", "later"), ["x", "y"]).select(F.when(F.col("later"), F.col("y")).otherwise(F.col("x")).alias("id"))
+    return written(found.distinct(), "hot_gone")
 
 
 def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -> DataFrame:
@@ -291,14 +285,16 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -
     sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), "s.*", "copies")
     sets = written(sets, "line_sets")
     # a narrow row for each prefix token: its hash, the set, size and place in one number, outlines
-    entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
-    whole = sets.where(F.size("keys") > 0).select("*", entry).select(F.col("p.keys").alias("h"), "id", "doc_id", "line", "n", F.col("p.places").alias("at"), "b1", "b2", "copies")
-    narrow = lambda e, gone: e.select("h", "id", (F.shiftleft("n", 16) + gone * GONE + F.col("at")).alias("size_place"), F.col("b1").bitwiseXOR(F.col("b2")).alias("b"))
-    hot_keys = written(whole.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot_keys")
-    entries, matched = narrow(whole, F.lit(0)), None
+    hot_keys = written(sets.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot_keys")
+    flagged, matched = sets.withColumn("gone", F.lit(0)), None
     if not hot_keys.isEmpty():
-        left, matched = _thinned(written(whole.join(hot_keys, "h"), "hot"), source, percent)
-        entries = narrow(whole, F.lit(0)).join(hot_keys, "h", "left_anti").unionByName(narrow(left, F.col("gone")))
+        words = build_filter(hot_keys, F.col("h").cast("long").bitwiseAND(F.lit((1 << 32) - 1)), hashes=1)
+        hot = sets.select("id", "doc_id", "line", "n", "b1", "b2", "copies", "keys").mapInArrow(_hot_rows(words), "h int, id long, doc_id long, line long, n long, b1 long, b2 long, copies long")
+        matched = _matched_by_pivots(written(hot, "hot"), source, percent)
+        flagged = sets.join(matched.withColumn("gone", F.lit(1)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
+    open_sets = flagged.where(F.size("keys") > 0).select("id", F.col("b1").bitwiseXOR(F.col("b2")).alias("b"), (F.shiftleft("n", 16) + F.col("gone") * GONE).alias("size_gone"), entry)
+    entries = open_sets.select(F.col("p.keys").alias("h"), "id", (F.col("size_gone") + F.col("p.places")).alias("size_place"), "b")
     x, y = entries.alias("x"), entries.alias("y")
     size, place = (lambda c: F.shiftright(F.col(c), 16)), (lambda c: F.col(c).bitwiseAND(GONE - 1))
     nx, ny = size("x.size_place"), size("y.size_place")
