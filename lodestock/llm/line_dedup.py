@@ -33,7 +33,7 @@ from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter,
 from .words import Words, grouped, mixed
 
 #: Cells of the table of tokens met twice, which is all that any process holds of them (one bit a cell), and cells sent at a time.
-CELLS, BLOCK = 1 << 29, 1 << 20
+CELLS, BLOCK = 1 << 28, 1 << 20
 #: Cells of the table of how often a token was met in one task, if at least OFTEN times (one byte a cell: the logarithm); its blocks come after those above.
 OFTEN_CELLS, OFTEN = 1 << 24, 4
 FIRST_OFTEN = CELLS // BLOCK
@@ -45,7 +45,7 @@ HOT = 48
 #: The bit, above a token's place, that marks a line whose fate is known.
 GONE = 1 << 15
 #: Lines that a task remembers as counted, and tokens it holds before it hands them on.
-MOST_COUNTED, MOST_HELD = 500_000, 3_000_000
+MOST_COUNTED, MOST_HELD = 150_000, 1_000_000
 
 
 class Lines:
