@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Up to this many sources their rates are broadcast (a few hundred bytes each); beyond it they are joined by shuffle.
+#: Up to this many sources their rates are broadcast (a few hundred bytes each, 200 * sqrt(rate) for high ones); beyond it they are joined by shuffle.
 MOST_BROADCAST = 20_000
 SALTS = 64
 
@@ -28,7 +28,11 @@ def hash52(*parts: Column) -> Column:
 
 
 def _rates(docs: DataFrame, source_col: str, weights: dict | None, total: float | None) -> DataFrame:
-    """(source, cdf): per source the Poisson probabilities of at most 0, 1, 2 ... copies, up to where they reach 1."""
+    """(source, least, cdf): per source the Poisson probabilities of at most least, least + 1 ... copies, up to where they reach 1.
+
+    Terms start as 1 at `least`, twelve deviations below the rate, are built by ratios and scaled by their sum, so that none
+    underflows or overflows at any rate; fewer copies than `least` have together less than 1e-30, the smallest uniform is 1e-16.
+    """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").cast("double").alias("rows"))
     if weights is None:
         raw = F.sqrt("rows")
@@ -38,19 +42,21 @@ def _rates(docs: DataFrame, source_col: str, weights: dict | None, total: float
     sums = counts.withColumn("raw", raw).agg(F.sum("raw").alias("all_raw"), F.sum("rows").alias("all_rows"))
     rate = F.when(F.col("all_raw") > 0, (F.col("all_rows") if total is None else F.lit(float(total))) * raw / F.col("all_raw") / F.col("rows")).otherwise(F.lit(0.0))
     rated = counts.crossJoin(F.broadcast(sums)).select("source", rate.alias("rate"))  # one row of sums
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    step = lambda acc, i: F.struct((acc["term"] * F.col("rate") / i).alias("term"), (acc["sum"] + acc["term"] * F.col("rate") / i).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + acc["term"] * F.col("rate") / i)).alias("cdf"))
-    none = F.exp(-F.col("rate"))
-    return rated.select("source", F.aggregate(F.sequence(F.lit(1), last), F.struct(none.alias("term"), none.alias("sum"), F.array(none).alias("cdf")), step, lambda acc: acc["cdf"]).alias("cdf"))
+    wide = 12 * F.sqrt("rate") + 30
+    least, last = F.greatest(F.floor(F.col("rate") - wide), F.lit(0)).cast("long"), F.ceil(F.col("rate") + wide).cast("long")
+    step = lambda acc, i: F.struct((acc["term"] * F.col("rate") / i).alias("term"), (acc["sum"] + acc["term"] * F.col("rate") / i).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + acc["term"] * F.col("rate") / i)).alias("sums"))
+    one = F.lit(1.0)
+    scaled = F.aggregate(F.sequence(least + 1, last), F.struct(one.alias("term"), one.alias("sum"), F.array(one).alias("sums")), step, lambda acc: F.transform(acc["sums"], lambda p: p / acc["sum"]))
+    return rated.select("source", least.alias("least"), scaled.alias("cdf"))
 
 
 def mix_sources(docs: DataFrame, *, weights: dict | None = None, total: float | None = None, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The columns of `docs` plus copies (drawn count), copy (from 0) and shuffle_key, in the order of shuffle_key.
 
-    total: expected rows of the result; as many as `docs` has, if None. Rates up to about 700 are exact in doubles.
+    total: expected rows of the result; as many as `docs` has, if None. Rates may be of any size.
     """
     docs = docs.drop("copy", "copies", "shuffle_key")
-    rates = _rates(docs, source_col, weights, total).withColumnRenamed("source", "__source")
+    rates = _rates(docs, source_col, weights, total).toDF("__source", "__least", "__cdf")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     same = docs[source_col].eqNullSafe(rates["__source"])
     if rates.select("__source").limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
@@ -60,8 +66,10 @@ def mix_sources(docs: DataFrame, *, weights: dict | None = None, total: float |
         spread = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(spread, salted[source_col].eqNullSafe(spread["__source"]) & (salted["__salt"] == spread["__salt_of"])).drop("__salt", "__salt_of")
     uniform = (hash52(F.lit(seed), name) + F.lit(0.5)) / F.lit(float(2**52))
-    drawn = joined.withColumn("copies", F.size(F.filter("cdf", lambda p: p <= uniform)).cast("long")).drop("cdf", "__source")
-    copied = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    drawn = joined.withColumn("copies", F.col("__least") + F.size(F.filter("__cdf", lambda p: p <= uniform))).drop("__least", "__cdf", "__source")
+    # no filter on copies: pushed into the join, its lambda may end up below it, where the id is unknown
+    places = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
+    copied = drawn.withColumn("copy", F.explode(places))
     keyed = copied.withColumn("shuffle_key", hash52(F.lit(seed), name, F.col("copy").cast("string")))
     return keyed.orderBy("shuffle_key", id_col, "copy")
 

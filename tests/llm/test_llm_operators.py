@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -188,6 +189,18 @@ def test_mixing_without_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, mixing.mix_sources(d).select("doc_id", "copies", "copy", "shuffle_key").collect())) == want
 
 
+@pytest.mark.parametrize("rate", [0.5, 40.0, 690.0, 900.0, 2000.0, 30_000.0])
+def test_mixing_inverts_any_rate(spark, rate):
+    n = 300 if rate < 10_000 else 20
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    got = dict(mixing.mix_sources(d, total=rate * n).select("doc_id", "copies").distinct().collect())
+    top = int(rate + 12 * rate**0.5 + 30)
+    cdf = np.cumsum([np.exp(-rate + j * np.log(rate) - math.lgamma(j + 1)) for j in range(top)])
+    for i in range(n):
+        u = ((int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16)) + 0.5) / 2**52
+        assert got.get(i, 0) == np.searchsorted(cdf, u, side="right"), (rate, i)
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 
