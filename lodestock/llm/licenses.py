@@ -11,6 +11,8 @@ table an empty one; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: label, keyword, name in words (regular expression)
 NAMES = [
-    ("mit", "mit", "(?:mit|expat) licen[cs]e"), ("mit-0", "attribution", "mit no attribution(?: license)?"), ("isc", "isc", "isc licen[cs]e"),
+    ("mit", "mit", "mit licen[cs]e"), ("mit", "expat", "expat licen[cs]e"), ("mit-0", "attribution", "mit no attribution(?: license)?"), ("isc", "isc", "isc licen[cs]e"),
     ("apache-1.1", "apache", "apache (?:software )?licen[cs]e(?: version)? 1 1"), ("apache-2.0", "apache", "apache (?:software )?licen[cs]e(?: version)? 2(?: 0)?"), ("apache", "apache", "apache (?:software )?licen[cs]e"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd|freebsd)(?: licen[cs]e)?"), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|original bsd)(?: licen[cs]e)?"), ("bsd", "bsd", "bsd licen[cs]e"), ("0bsd", "bsd", "(?:0bsd|zero clause bsd)(?: licen[cs]e)?"),
@@ -42,8 +44,8 @@ NAMES = [
 ]
 #: phrasing around a name, priority, confidence
 PHRASINGS = (("{}", 1, 0.7), ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{}", 3, 0.95), ("(?:released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}", 2, 0.9), ("spdx licen[cs]e identifier {}", 4, 1.0))
-#: Every rule's text holds one of these.
-GATE = ("licen", "cc by", "cc-by", "creative commons", "cc0", "wtfpl", "spdx", "bsd", "gpl", "ncsa", "cecill")
+#: Every rule's text holds one of these, its words parted by any separators.
+GATE = ("licen", "cc by", "creative commons", "mit no attribution", "cc0", "wtfpl", "spdx", "bsd", "gpl", "ncsa", "cecill")
 
 
 def names() -> list[tuple[str, str, str]]:
@@ -92,8 +94,9 @@ def license_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     lower = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("lower"))
     gate = F.lit(False)
-    for word in GATE:
-        gate = gate | F.contains("lower", F.lit(word))
+    for words in map(str.split, GATE):
+        parted = [F.rlike("lower", F.lit(SEPARATORS.join(words)))] if len(words) > 1 else []
+        gate = gate | reduce(Column.__and__, [F.contains("lower", F.lit(w)) for w in words] + parted)
     base_rules = F.array(*[F.struct(F.lit(f"(?<= ){p}(?= )").alias("expression"), F.lit(label).alias("label")) for p, label in BASE])
     more_rules = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("keyword", "expression", "label", "priority", "sure"), r)]) for r in rules()])
     normal = lower.select("doc_id", F.regexp_count("lower", F.lit(WORDS)).cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace("lower", SEPARATORS, " ")), F.lit(" "))).alias("norm"))
