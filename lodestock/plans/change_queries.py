@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -131,10 +132,10 @@ def _work(spark) -> str:
 
 @query()
 def xlsx_roundtrip(spark, sf_dir):
-    """Parts written as a workbook and read back as source rows; the writer takes a bounded report."""
-    rows = part_rows(spark, sf_dir).orderBy("ord").limit(200).select(*SOURCE_HEADERS.values()).toArrow().to_pylist()
+    """All parts written as a workbook, in as many sheets as they need, and read back as source rows."""
+    rows = part_rows(spark, sf_dir).orderBy("ord").select(*SOURCE_HEADERS.values()).toLocalIterator()
     path = Path(tempfile.mkdtemp(prefix="lodestock-")) / "parts.xlsx"
-    path.write_bytes(xlsx.write_workbook([("notes", ["x"], [["y"]]), ("parts", list(SOURCE_HEADERS), [list(r.values()) for r in rows])]))
+    path.write_bytes(xlsx.write_workbook(chain([("notes", ["x"], [["y"]])], xlsx.paged("parts", list(SOURCE_HEADERS), rows))))
     return source_rows(spark, f"file://{path}").select("sku", "main_sku", "product_name", "category_level_1")
 
 

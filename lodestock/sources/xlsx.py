@@ -10,6 +10,7 @@ import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
+from itertools import chain, islice
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
@@ -173,6 +174,15 @@ def write_workbook(named: Iterable[tuple[str, list[str], Iterable[Iterable[objec
     return out.getvalue()
 
 
+def paged(name: str, headers: list[str], rows: Iterable[Iterable[object]], most_rows: int = 1_000_000) -> Iterator[tuple[str, list[str], Iterable[Iterable[object]]]]:
+    """Sheets of at most `most_rows` rows each, one at least, for write_workbook, which must take each sheet's rows before the next sheet."""
+    left = iter(rows)
+    first = next(left, None)
+    yield name, headers, [] if first is None else chain([first], islice(left, most_rows - 1))
+    for n, row in enumerate(left, start=2):
+        yield f"{name} {n}", headers, chain([row], islice(left, most_rows - 1))
+
+
 def write_report(path: str, named: list[tuple[str, DataFrame]], most_rows: int = 1_000_000) -> None:
     """Result tables as sheets of one workbook, which a spreadsheet bounds at about a million rows each; a larger one is an error, to be written as Parquet."""
     parts = []

@@ -88,3 +88,21 @@ def test_stream_keeps_the_last_row_of_a_key(spark, tmp_path):
         part.rename(flat / f"{i}.parquet")
     got = stream_upsert(spark, f"file://{flat}/", f"file://{tmp_path}", key="k", order="t")
     assert {r["k"] for r in got.collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 300, 1])
+def test_workbook_holds_every_part(spark, monkeypatch, most):
+    from lodestock.plans import change_queries
+    from lodestock.plans.catalog_queries import part_rows
+
+    paged, sf = xlsx.paged, "/root/testdata/sf0.01" if most > 1 else "/root/testdata/sf0.001"
+    monkeypatch.setattr(xlsx, "paged", lambda *a: paged(*a, most_rows=most))
+    got = change_queries.xlsx_roundtrip(spark, sf)
+    want = part_rows(spark, sf).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() >= 200
+
+
+def test_paged_sheets():
+    pages = lambda n: [(name, list(rows)) for name, _, rows in xlsx.paged("p", ["h"], ([i] for i in range(n)), most_rows=2)]
+    assert pages(0) == [("p", [])] and pages(2) == [("p", [[0], [1]])]
+    assert pages(5) == [("p", [[0], [1]]), ("p 2", [[2], [3]]), ("p 3", [[4]])]
