@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,6 +41,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more, which it else does when a driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """Intermediate tables of one call, in a folder of their own within the shared one. The folder goes when the call has written its result.
+
+    What is left by a driver that died stays under `spark.checkpoint.dir`/lodestock/scratch-*.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{work_dir(spark)}/lodestock/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._delete(self.folder)
+        swept(self.spark)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Like `written`, until the call ends."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def dropped(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+            self._delete(path)
+
+
+def free_name(taken: Iterable[str], base: str) -> str:
+    """`base`, with underscores as far as a column has that name (in any case) already."""
+    names = {t.lower() for t in taken}
+    while base.lower() in names:
+        base += "_"
+    return base
+
+
+def filter_bits(rows: int, least: int = 1 << 16, most: int = 1 << 26) -> int:
+    """A power of two of at least sixteen bits a row; 2^26 bits (8 MB) at most, beyond which a filter lets more rows pass."""
+    return min(max(1 << (16 * rows - 1).bit_length() if rows else 0, least), most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,28 +144,30 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is a min aggregate, combined before the shuffle, and a join back; a hub is a skewed join that the
     adaptive planner splits. Rounds are written to the shared folder, so a lost executor repeats one round only.
-    Returns (v, root) for vertices that have a link.
+    Returns (v, root) for vertices that have a link, as a written table.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(most_rounds):
-        near = both(now)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select("a", F.col("m").alias("b")))
-        small = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        now = written(small, "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct())
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        mark = None
+        for _ in range(most_rounds):
+            near = both(now)
+            least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            small = small.unionByName(low.select("a", F.col("m").alias("b")))
+            small = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            before, now = now, scratch.written(small, "edges")
+            scratch.dropped(before)
+            seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(seen) == mark:
+                break
+            mark = tuple(seen)
+        else:
+            raise RuntimeError("components did not settle")
+        stars = now.select(F.col("a").alias("v"), F.col("b").alias("root"))
+        return written(stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct()), "components")
 
 
 def batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:

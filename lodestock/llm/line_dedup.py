@@ -1,22 +1,25 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased, parted by space and U+0009 to U+000D). Of two lines whose Jaccard similarity is
-at least `percent` the later one goes, by document id, then place; a line goes if any earlier line matches it. Equal sets are
-folded first.
-
-Tokens of the join are the pairs of words that are neighbours in a line's set in the order of a hash. A word added or taken away
-changes at most three of them, so lines that match share most pairs, while a pair, unlike a word, stays rare however many lines
-there are. Tokens are ordered by rarity over all documents, those met once first, those of stop words last; a line's prefix holds a token of every
-line that matches it. Prefix tokens met once are left out, as nothing can meet them. Lines that share a prefix token are
-candidates if their sizes, the token's positions and 128-bit outlines of their sets allow a match, and each candidate is
-verified on its whole word sets. All pairs of lines that share a token are looked at only for tokens of at most HOT lines.
-A hotter token's lines are first held against the one of them that occurs most often; of two that match, the later goes,
-and pairs whose lines are both gone by then are left out.
-
-Lines of fewer than `least_words` different words are left alone: they are not passages. Nulls: a null text stays null; rows with a
-null id are left as they are and match nothing. Rows that share an id count as one document: lines at the same place are one
-line. A document all of whose lines go keeps its row with an empty text. An empty table gives an empty result. Columns named
-n_lines, n_removed or removed are replaced.
+A line is the set of its words (A-Z lower-cased, parted by space and U+0009 to U+000D); a line without a word is none. Of two
+lines whose Jaccard similarity is at least `percent` the later one goes, by document id, then place; a line goes if any earlier
+line matches it, whether or not that one goes too.
+
+Words are counted over all documents, and every line's words are ordered by rarity. A line's prefix, its rarest words, holds
+the first word, in that order, that it shares with any line that matches it. Each line is dealt out by the words of its prefix;
+words that occur once are left out, as nothing can meet them. Lines that meet under a word are held against each other if their
+sizes (length filter), the word's places in both (positional filter) and outlines of both sets allow a match, and what
+is left is verified on the whole word sets. Equal sets are folded where they meet, so that copies are dealt out once a task.
+
+A word of more than `cold` occurrences would bring together ever more lines as a corpus grows. It is dealt out with the next
+word that both lines share instead, which the prefix longer by one holds, and with a third or fourth while
+the words' frequencies let more than `cold` lines be expected under them. Lines that share such words more often than their
+frequencies say (templates, set phrases; more than `hot` of them) leave their task as rows: there the earliest line of each key is held
+against all others, round by round, and only lines that matched none are joined with the earlier ones of their key.
+
+Nulls: a null text stays null; rows with a null id are left as they are and match nothing. Rows that share an id count as one
+document: lines at the same place are one line, which stays if any of its texts stays. A document all of whose lines go
+keeps its row with an empty text. Ties in similarity are matches. An empty table gives an empty result. Columns named n_lines, n_removed or removed
+are replaced; no other name clashes.
 """
 
 from __future__ import annotations
@@ -25,27 +28,46 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter, table, written
+from .common import Scratch, as_bytes, batch, build_filter, each_text, filter_bits, free_name, hashed, in_filter, swept, table, written
 from .words import Words, grouped, mixed
 
-#: Cells of the table of tokens met twice, which is all that any process holds of them (one bit a cell), and cells sent at a time.
-CELLS, BLOCK = 1 << 28, 1 << 20
-#: Cells of the table of how often a token was met in one task, if at least OFTEN times (one byte a cell: the logarithm); its blocks come after those above.
-OFTEN_CELLS, OFTEN = 1 << 24, 4
-FIRST_OFTEN = CELLS // BLOCK
-PART = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
-LINE = pa.schema([(c, pa.int64()) for c in ("doc_id", "line", "n", "d1", "d2", "b1", "b2")] + [("keys", pa.list_(pa.int32())), ("places", pa.list_(pa.int16()))])
-TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
-#: Lines of a token from which on it is hot.
-HOT = 48
-#: The bit, above a token's place, that marks a line whose fate is known.
-GONE = 1 << 15
-#: Lines that a task remembers as counted, and tokens it holds before it hands them on.
-MOST_COUNTED, MOST_HELD = 150_000, 1_000_000
+#: Cells of the table of word counts, which is all that any process holds of them (one byte each: the logarithm), and cells sent at a time.
+#: Words that share a cell count together, which costs speed at most.
+CELLS, BLOCK = 1 << 24, 1 << 20
+#: Levels of a count between one power of two and the next.
+FINE = 5
+#: Tasks whose counts are added up in one round.
+FAN = 64
+#: Words of a key at most.
+DEEPEST = 4
+#: Sets of at most so many words carry an outline of 64 cells, larger ones one of 128.
+NARROW_WORDS = 56
+#: Keys that a task holds before it hands them on, and keys that one group is meant to hold.
+HELD, GROUP_KEYS = 1_000_000, 500_000
+#: Rounds in which the earliest line of a hot key is held against all others.
+PIVOTS = 2
+COUNTS = pa.schema([("block", pa.int64()), ("slot", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+LINE = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("doc", "<i8"), ("line", "<i8"), ("n", "<i8")])
+PLACE = np.dtype([("doc", "<i8"), ("line", "<i8")])
+#: key, digest and outline of the set, its size, and the most words that it can share with another under this key. Sizes stop at 65535: nothing is ruled out by those.
+NARROW = np.dtype([("key", "<u4"), ("d", "<u8"), ("b", "<u8"), ("n", "<u2"), ("rest", "<u2")])
+WIDE = np.dtype([("key", "<u4"), ("d", "<u8"), ("b", "<u8"), ("c", "<u8"), ("n", "<u2"), ("rest", "<u2")])
+DEALT = pa.schema([("block", pa.int64()), ("lines", pa.binary()), ("gone", pa.binary()), ("narrow", pa.binary()), ("wide", pa.binary())])
+#: What a group finds: a set and its first line, a line that repeats an earlier one, a pair of digests, a set under a hot key.
+SET, GONE, PAIR, HOT = range(4)
+FOUND = pa.schema([("kind", pa.int32())] + [(c, pa.int64()) for c in "abcdef"])
+FOUND_COLUMNS = "kind int, a long, b long, c long, d long, e long, f long"
+TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("d1", pa.int64()), ("tokens", pa.binary())])
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def needed(n, percent: int):
+    """Words that a set of n shares with any set that matches it, at least."""
+    return -(-n * percent // 100)
 
 
 class Lines:
@@ -60,145 +82,265 @@ class Lines:
         h, starts, _ = self.words.split(data)
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         before = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
-        used, line = np.unique(np.searchsorted(ends, starts), return_inverse=True)
+        number = np.searchsorted(ends, starts)
+        new = np.append(True, number[1:] != number[:-1])[: len(number)]
+        used = number[new]
         of_text = np.searchsorted(before, used, side="right") - 1
-        return h, line, of_text, used - before[of_text]
+        return h, np.cumsum(new) - 1, of_text, used - before[of_text]
 
-    def sets(self, texts: list[bytes]):
-        """text, place and size of each line with a word; then, line after line, its different words in the order of their hash, and their line's number."""
+    def sets(self, texts: list[bytes], levels: np.ndarray | None = None):
+        """text, place and size of each line with a word; then, line after line, its different words, rarest first by `levels`, their levels, and their line's number."""
         for a, b in grouped(texts):
             h, line, of_text, place = self.raw(texts[a:b])
-            order = np.lexsort((h, line))
-            h, line = h[order], line[order]
+            level = np.zeros(len(h), np.uint8) if levels is None else levels[(h & np.uint64(CELLS - 1)).astype(np.int64)]
+            order = _order(line, level, h)
+            h, line, level = h[order], line[order], level[order]
             new = np.append(True, (h[1:] != h[:-1]) | (line[1:] != line[:-1]))[: len(h)]
-            h, line = h[new], line[new]
-            yield of_text + a, place, np.bincount(line, minlength=len(place)), h, line
+            h, line, level = h[new], line[new], level[new]
+            yield of_text + a, place, np.bincount(line, minlength=len(place)), h, level, line
 
 
-def pairs_of(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the join, hashed, and their line's number."""
-    same = line[1:] == line[:-1]
-    return mixed(h[:-1][same] * np.uint64(0x9E3779B97F4A7C15) + h[1:][same]), line[1:][same]
+def _order(line: np.ndarray, level: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order by line, level and hash; one sort of one number if that tells all of them apart."""
+    if len(h) and line[-1] < 1 << 24:
+        one = line.astype(np.uint64) << np.uint64(40) | level.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+        order = np.argsort(one)
+        one, sorted_h = one[order], h[order]
+        if not ((one[1:] == one[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+            return order
+    return np.lexsort((h, level, line))
 
 
-def needed(n: np.ndarray, percent: int) -> np.ndarray:
-    """Tokens that any line matching one of n words shares with it, at least: of x and y words together at most D = (100 - percent) / (100 + percent) * (x + y) are in one
-    line only, so that of x + y - 2 tokens at most 3 D are; least for the smallest partner."""
-    return np.ceil(n * (4 * percent - 200) / 200 - 1 - 1e-9).astype(np.int64)
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """0 for no occurrence, 1 for one, then the logarithm."""
+    return np.minimum(np.where(counts > 0, 1 + np.rint(FINE * np.log2(np.maximum(counts, 1))), 0), 255).astype(np.uint8)
 
 
-def _packed(cells: np.ndarray) -> bytes:
-    """Sorted cell numbers of one block as compressed gaps."""
-    gaps = np.diff(cells, prepend=0)
-    small = not len(gaps) or gaps.max() < 1 << 16
-    return bytes([int(small)]) + zlib.compress(gaps.astype(np.uint16 if small else np.uint32).tobytes(), 1)
+def _packed(cells: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted cell numbers as gaps, and their counts, compressed."""
+    return zlib.compress(np.diff(cells, prepend=0).astype(np.uint32).tobytes(), 1), zlib.compress(counts.astype(np.uint64).tobytes(), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data[1:]), np.uint16 if data[0] else np.uint32), dtype=np.int64)
-
-
-def _count(least_words: int):
-    """Cells of the tokens of the lines that a task has not met before: those met at all, and those met in two lines."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        cells, n = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(cells, np.arange(0, CELLS + 1, BLOCK, dtype=np.int64))
+def _count(batches):
+    """Occurrences of a task's words by cell."""
+    words, counts = Words(), np.zeros(CELLS, np.uint32)
+    for r in each_text(batches):
+        texts = as_bytes(r.column(0))
+        for a, b in grouped(texts):
+            h, _, _ = words.split(b"\n".join(texts[a:b]).lower())
+            np.add.at(counts, (h & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+    rows, slot = [], TaskContext.get().partitionId()
+    for block in range(CELLS // BLOCK):
+        some = counts[block * BLOCK : (block + 1) * BLOCK]
+        cells = np.flatnonzero(some)
+        if len(cells):
+            rows.append((block, slot, *_packed(cells, some[cells])))
+    if rows:
+        yield batch(COUNTS, dict(zip(COUNTS.names, zip(*rows))))
+
+
+def _sum(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.uint64)
+    for cells, counts in zip(parts["cells"], parts["counts"]):
+        total[np.cumsum(np.frombuffer(zlib.decompress(cells.as_py()), np.uint32), dtype=np.int64)] += np.frombuffer(zlib.decompress(counts.as_py()), np.uint64)
+    cells = np.flatnonzero(total)
+    cells, counts = _packed(cells, total[cells])
+    return pa.table({"block": [key[0].as_py()], "slot": [key[1].as_py()], "cells": [cells], "counts": [counts]}, schema=COUNTS)
+
+
+def _level(batches):
+    for r in batches:
         rows = []
-        for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            if b > a:
-                own = cells[a:b] - i * BLOCK
-                rows.append((i, _packed(own), _packed(own[n[a:b] > 1])))
-        often = np.zeros(OFTEN_CELLS, np.uint8)
-        many = n >= OFTEN
-        np.maximum.at(often, cells[many] & (OFTEN_CELLS - 1), np.log2(n[many]).astype(np.uint8))
-        for i, levels in enumerate(often.reshape(-1, BLOCK)):
-            if levels.any():
-                rows.append((FIRST_OFTEN + i, zlib.compress(levels.tobytes(), 1), b""))
-        return batch(PART, dict(zip(PART.names, zip(*rows))))
-
-    def count(batches):
-        reader, met, held, size = Lines(), set(), [], 0
-        for r in each_text(batches):
-            for _, _, n, h, line in reader.sets(as_bytes(r.column(0))):
-                if not len(n):
-                    continue
-                digests = np.add.reduceat(mixed(h), np.concatenate([[0], np.cumsum(n)[:-1]])).tolist()
-                new = np.array([d not in met for d in digests]) & (n >= least_words)
-                if len(met) < MOST_COUNTED:
-                    met.update(digests)
-                token, of = pairs_of(h, line)
-                held.append((token[new[of]] & np.uint64(CELLS - 1)).astype(np.int64))
-                size += len(held[-1])
-            if size > MOST_HELD:
-                yield flush(held)
-                held, size = [], 0
-        if size:
-            yield flush(held)
-
-    return count
-
-
-def _add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-    if key[0].as_py() >= FIRST_OFTEN:
-        levels = np.zeros(BLOCK, np.uint8)
-        for a in parts["once"].to_pylist():
-            levels = np.maximum(levels, np.frombuffer(zlib.decompress(a), np.uint8))
-        return pa.table({"block": [key[0].as_py()], "once": [b""], "twice": [zlib.compress(levels.tobytes(), 1)]}, schema=PART)
-    once, twice = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-    for a, b in zip(parts["once"].to_pylist(), parts["twice"].to_pylist()):
-        own = _unpacked(a)
-        twice[own[once[own]]] = True
-        once[own] = True
-        twice[_unpacked(b)] = True
-    return pa.table({"block": [key[0].as_py()], "once": [b""], "twice": [_packed(np.flatnonzero(twice))]}, schema=PART)
-
-
-def token_tables(source: DataFrame, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tables of tokens met twice (CELLS bits) and often (OFTEN_CELLS bytes), whatever the input. Too many tokens for them let more rows pass, and lose none."""
-    twice, often = np.zeros(CELLS // 8, np.uint8), np.zeros(OFTEN_CELLS, np.uint8)
-    kind = "block long, once binary, twice binary"
-    for part in source.select("text").mapInArrow(_count(least_words), kind).groupBy("block").applyInArrow(_add, kind).select("block", "twice").toArrow().to_pylist():
-        at = part["block"]
-        if at >= FIRST_OFTEN:
-            often[(at - FIRST_OFTEN) * BLOCK : (at - FIRST_OFTEN + 1) * BLOCK] = np.frombuffer(zlib.decompress(part["twice"]), np.uint8)
-            continue
-        bits = np.zeros(BLOCK, bool)
-        bits[_unpacked(part["twice"])] = True
-        twice[at * BLOCK // 8 : (at + 1) * BLOCK // 8] = np.packbits(bits, bitorder="little")
-    return twice, often
-
-
-def _lines(tables, percent: int, least_words: int):
-    def lines(batches):
-        reader, (met_twice, often) = Lines(), tables.value
+        for block, cells, counts in zip(*(r.column(c).to_pylist() for c in ("block", "cells", "counts"))):
+            n = np.zeros(BLOCK, np.uint64)
+            n[np.cumsum(np.frombuffer(zlib.decompress(cells), np.uint32), dtype=np.int64)] = np.frombuffer(zlib.decompress(counts), np.uint64)
+            rows.append((block, int(n.sum()), zlib.compress(level_of(n).tobytes(), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], names=["block", "n", "levels"])
+
+
+def word_levels(source: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """Levels of the words' counts over all documents (CELLS bytes, whatever the input), and how many words there are."""
+    kind = "block long, slot long, cells binary, counts binary"
+    counts = source.select("text").mapInArrow(_count, kind)
+    while True:
+        counts = counts.withColumn("slot", F.floor(F.col("slot") / FAN).cast("long"))
+        counts = scratch.written(counts.groupBy("block", "slot").applyInArrow(_sum, kind), "counts")
+        if not (counts.agg(F.max("slot")).first()[0] or 0):
+            break
+    levels, total = np.zeros(CELLS, np.uint8), 0
+    for part in counts.mapInArrow(_level, "block long, n long, levels binary").toArrow().to_pylist():
+        levels[part["block"] * BLOCK : (part["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(part["levels"]), np.uint8)
+        total += part["n"]
+    return levels, total
+
+
+def keys_of(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray, some: np.ndarray, percent: int, cold: int, lines: float):
+    """key, line's number and most shared words for each key under which the lines `some` (a mask) are dealt out. Of two lines that match, both have the key of their first shared words."""
+    starts, must = np.cumsum(n) - n, needed(n, percent)
+    place = np.arange(len(h)) - starts[line]
+    last = np.flatnonzero((place <= (n - must)[line]) & (level > 1) & some[line])
+    key, expected = mixed(h[last]), np.exp2((level[last] - 1.0) / FINE)
+    out = []
+    for depth in range(1, DEEPEST + 1):
+        on = (expected > cold) & (depth < must[line[last]]) if depth < DEEPEST else np.zeros(len(last), bool)
+        rest = n[line[last]] - place[last] - 1 + depth
+        # a match so small that it may share no more words is met here
+        here = ~on | (needed(must, percent)[line[last]] <= depth)
+        out.append((key[here], line[last[here]], rest[here]))
+        last, key, expected = last[on], key[on], expected[on]
+        more = np.minimum(n, n - must + 1 + depth)[line[last]] - place[last] - 1
+        many = np.repeat(np.arange(len(last)), more)
+        step = np.arange(len(many)) - np.repeat(np.cumsum(more) - more, more) + 1
+        last, key, expected = last[many] + step, key[many], expected[many]
+        key, expected = mixed(key * GOLD + h[last]), expected * np.exp2((level[last] - 1.0) / FINE) / lines
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _folded(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first line of each set, and the places of the others."""
+    lines = lines[np.lexsort((lines["line"], lines["doc"], lines["d2"], lines["d1"]))]
+    new = np.append(True, (lines["d1"][1:] != lines["d1"][:-1]) | (lines["d2"][1:] != lines["d2"][:-1]))[: len(lines)]
+    first = lines[new]
+    own = first[np.cumsum(new) - 1]
+    others = (lines["doc"] != own["doc"]) | (lines["line"] != own["line"])
+    return first, _places(lines["doc"][others], lines["line"][others])
+
+
+def _places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(doc), PLACE)
+    out["doc"], out["line"] = doc, line
+    return out
+
+
+def _deal(tables, percent: int, cold: int, blocks: int, words: int):
+    """Lines and keys of all texts by block: a set's line by its digest, a key by itself."""
+
+    def split(rows: np.ndarray, block: np.ndarray, name: str, out: dict[int, dict[str, bytes]]) -> None:
+        order = np.argsort(block, kind="stable")
+        rows, block = rows[order], block[order]
+        used, at = np.unique(block, return_index=True)
+        for b, i, j in zip(used.tolist(), at, [*at[1:], len(rows)]):
+            out.setdefault(b, {})[name] = rows[i:j].tobytes()
+
+    def flush(held: dict[str, list], turn: int) -> pa.RecordBatch:
+        first, gone = _folded(np.concatenate(held["lines"]))
+        out: dict[int, dict[str, bytes]] = {}
+        split(first, (first["d1"] % np.uint64(blocks)).astype(np.int64), "lines", out)
+        if len(gone):
+            out.setdefault(turn % blocks, {})["gone"] = gone.tobytes()
+        for name in ("narrow", "wide"):
+            if held[name]:
+                split(np.concatenate(held[name]), np.concatenate(held[f"{name}_block"]), name, out)
+        return batch(DEALT, {"block": list(out), **{c: [x.get(c) for x in out.values()] for c in DEALT.names[1:]}})
+
+    def deal(batches):
+        reader, levels, task = Lines(), tables.value, TaskContext.get().partitionId()
+        empty = lambda: {"lines": [], "narrow": [], "wide": [], "narrow_block": [], "wide_block": []}
+        held, size, met, turn = empty(), 0, set(), task
         for r in each_text(batches):
-            for text, place, n, h, line in reader.sets(as_bytes(r.column(1))):
+            ids = r.column(0).to_numpy()
+            for text, place, n, h, level, line in reader.sets(as_bytes(r.column(1)), levels):
                 if not len(n):
                     continue
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+                starts = np.cumsum(n) - n
                 spread = mixed(h)
-                bit = np.uint64(1) << (spread & np.uint64(63))
-                upper = (spread >> np.uint64(6)) & np.uint64(1) == 1
-                digests = [np.add.reduceat(x, starts) for x in (spread, mixed(spread + np.uint64(0x9E3779B97F4A7C15)))]
-                outlines = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (upper, ~upper)]
-                token, of = pairs_of(h, line)
-                cell = (token & np.uint64(CELLS - 1)).astype(np.int64)
-                twice = (met_twice[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-                order = np.lexsort((token, twice * (1 + often[cell & (OFTEN_CELLS - 1)]), of))
-                token, of, twice = token[order], of[order], twice[order]
-                sizes = np.bincount(of, minlength=len(n))
-                at = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[of]
-                first = sizes - np.maximum(needed(n, percent), 1) + 1
-                emit = (at < first[of]) & (n >= least_words)[of] & (twice > 0)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(of[emit], minlength=len(n)))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(offsets, pa.array((token[emit] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                places = pa.ListArray.from_arrays(offsets, pa.array(np.minimum(at[emit], 32767).astype(np.int16)))
-                ids = r.column(0).take(pa.array(text))
-                rows = pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(n), *(pa.array(x.view(np.int64)) for x in (*digests, *outlines)), keys, places], schema=LINE)
-                yield rows.filter(pa.array(n >= least_words))
-
-    return lines
+                d1, d2 = np.add.reduceat(spread, starts), np.add.reduceat(mixed(spread + GOLD), starts)
+                rows = np.zeros(len(n), LINE)
+                rows["d1"], rows["d2"], rows["doc"], rows["line"], rows["n"] = d1, d2, ids[text], place, n
+                held["lines"].append(rows)
+                new = np.zeros(len(n), bool)
+                for i, d in enumerate(d1.tolist()):
+                    if d not in met:
+                        met.add(d)
+                        new[i] = True
+                bit, upper = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) & np.uint64(1) == 1
+                outline, half = np.bitwise_xor.reduceat(bit, starts), np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), starts)
+                key, of, rest = keys_of(n, h, level, line, new, percent, cold, max(words / 32, 1))
+                wide = n[of] > NARROW_WORDS
+                for name, kind, mask in (("narrow", NARROW, ~wide), ("wide", WIDE, wide)):
+                    k, o = key[mask], of[mask]
+                    entries = np.zeros(len(k), kind)
+                    entries["key"], entries["d"], entries["b"] = k & np.uint64((1 << 32) - 1), d1[o], outline[o]
+                    entries["n"], entries["rest"] = np.minimum(n[o], 65535), np.minimum(rest[mask], 65535)
+                    if name == "wide":
+                        entries["c"] = half[o]
+                    held[name].append(entries)
+                    held[f"{name}_block"].append(((k >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64))
+                size += len(key) + len(n)
+            if size > HELD:
+                yield flush(held, turn)
+                held, size, met, turn = empty(), 0, set(), turn + 1
+        if size:
+            yield flush(held, turn)
+
+    return deal
+
+
+def _found(kind: int, *columns) -> pa.Table:
+    rows = len(columns[0])
+    arrays = [pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
+    arrays += [pa.nulls(rows, pa.int64())] * (6 - len(arrays))
+    return pa.Table.from_arrays([pa.array(np.full(rows, kind, np.int32)), *arrays], schema=FOUND)
+
+
+def _near(percent: int, bits, n, m):
+    """Whether sets of n and m words may match whose outlines differ in so many bits."""
+    return (100 + percent) * bits.astype(np.int64) <= (100 - percent) * (n + m)
+
+
+def pairs_within(entries: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of digests that may match, of entries sorted by key, then size: their distance in that order grows until no key has two lines of alike sizes so far apart."""
+    key, n, rest = entries["key"], entries["n"].astype(np.int64), entries["rest"].astype(np.int64)
+    at, step, out = np.arange(len(entries)), 0, [np.zeros((0, 2), np.uint64)]
+    while len(at):
+        step += 1
+        at = at[at + step < len(entries)]
+        to = at + step
+        at = at[(key[at] == key[to]) & ((100 * n[at] >= percent * n[to]) | (n[to] == 65535))]
+        to = at + step
+        both = n[at] + n[to]
+        unsure = n[to] == 65535
+        ok = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * both
+        ok &= _near(percent, np.bitwise_count(entries["b"][at] ^ entries["b"][to]), n[at], n[to])
+        ok &= ~(wide[at] & wide[to]) | _near(percent, np.bitwise_count(entries["c"][at] ^ entries["c"][to]).astype(np.int64) + np.bitwise_count(entries["b"][at] ^ entries["c"][at] ^ entries["b"][to] ^ entries["c"][to]), n[at], n[to])
+        ok |= unsure
+        x, y = entries["d"][at[ok]], entries["d"][to[ok]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _read(rows: pa.Table, name: str, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows[name].to_pylist() if x)])
+
+
+def _meet(percent: int, hot: int):
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        first, gone = _folded(_read(rows, "lines", LINE))
+        earlier = _read(rows, "gone", PLACE)
+        out = [_found(SET, first["d1"], first["d2"], first["doc"], first["line"], first["n"])]
+        out += [_found(GONE, np.zeros(len(g), np.int64), np.zeros(len(g), np.int64), g["doc"], g["line"]) for g in (gone, earlier)]
+        narrow, wide = _read(rows, "narrow", NARROW), _read(rows, "wide", WIDE)
+        entries = np.zeros(len(narrow) + len(wide), WIDE)
+        for name in NARROW.names:
+            entries[name] = np.concatenate([narrow[name], wide[name]])
+        entries["c"][len(narrow) :] = wide["c"]
+        is_wide = np.arange(len(entries)) >= len(narrow)
+        order = np.lexsort((entries["d"], entries["n"], entries["key"]))
+        entries, is_wide = entries[order], is_wide[order]
+        new = np.append(True, (entries["key"][1:] != entries["key"][:-1]) | (entries["d"][1:] != entries["d"][:-1]))[: len(entries)]
+        entries, is_wide = entries[new], is_wide[new]
+        starts = np.flatnonzero(np.append(True, entries["key"][1:] != entries["key"][:-1])[: len(entries)])
+        sizes = np.diff(np.append(starts, len(entries)))
+        of = np.repeat(sizes, sizes)
+        crowded, cool = entries[of > hot], (of > 1) & (of <= hot)
+        pairs = pairs_within(entries[cool], is_wide[cool], percent)
+        out.append(_found(PAIR, pairs[:, 0], pairs[:, 1]))
+        if len(crowded):
+            hot_keys = np.uint64(key[0].as_py()) << np.uint64(32) | crowded["key"].astype(np.uint64)
+            out.append(_found(HOT, hot_keys, crowded["d"], crowded["b"], np.where(is_wide[of > hot], 1, 0), crowded["n"], crowded["rest"]))
+        return pa.concat_tables(out)
+
+    return meet
 
 
 def _tokens(documents: np.ndarray, wanted: np.ndarray):
@@ -208,117 +350,110 @@ def _tokens(documents: np.ndarray, wanted: np.ndarray):
             ids = np.array(r.column(0).to_pylist(), dtype=object)
             some = in_filter(documents, np.array([hashed(i) for i in ids], dtype=np.uint64))
             texts = [t for t, ok in zip(as_bytes(r.column(1)), some) if ok]
-            for text, place, n, h, line in reader.sets(texts) if texts else ():
+            for text, place, n, h, _, _ in reader.sets(texts) if texts else ():
                 names = ids[some][text]
                 keys = np.array([hashed(f"{i}:{j}".encode()) for i, j in zip(names, place.tolist())], dtype=np.uint64)
                 hit, ends = np.flatnonzero(in_filter(wanted, keys)), np.cumsum(n)
                 if len(hit):
-                    yield batch(TOKENS, {"doc_id": [names[i] for i in hit], "line": place[hit], "tokens": [h[ends[i] - n[i] : ends[i]].tobytes() for i in hit]})
+                    digests = np.add.reduceat(mixed(h), ends - n)[hit].view(np.int64)
+                    yield batch(TOKENS, {"doc_id": [names[i] for i in hit], "line": place[hit], "d1": digests, "tokens": [h[ends[i] - n[i] : ends[i]].tobytes() for i in hit]})
 
     return tokens
 
 
-def _distances(batches):
-    """(x, y, shared, all) of pairs of whole word sets."""
+def _later(percent: int):
+    """(doc_id, line, d1) of the later line of each pair that matches on whole word sets."""
     from .ngram_join import shared
 
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("shared", pa.int64()), ("all", pa.int64())])
-    for r in each_text(batches, 1024):
-        xs, ys = ([np.frombuffer(b, np.uint64) for b in r.column(c).to_pylist()] for c in ("xs", "ys"))
-        common = [shared(a, b) for a, b in zip(xs, ys)]
-        yield batch(schema, {"x": r.column("x"), "y": r.column("y"), "shared": common, "all": [len(a) + len(b) - c for a, b, c in zip(xs, ys, common)]})
-
-
-def _tokens_of(lines: DataFrame, source: DataFrame) -> DataFrame:
-    """(id, tokens): whole word sets of `lines` (id, doc_id, line)."""
-    of_docs = build_filter(lines.select("doc_id").distinct(), F.xxhash64("doc_id"), 1 << 23)
-    of_lines = build_filter(lines, F.xxhash64(F.concat_ws(":", "doc_id", "line")), 1 << 25)
-    found = source.mapInArrow(_tokens(of_docs, of_lines), "doc_id long, line long, tokens binary")
-    return written(found.join(lines, ["doc_id", "line"]).select("id", "tokens"), "tokens")
-
-
-def _measured(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    xs, ys = tokens.select(F.col("id").alias("x"), F.col("tokens").alias("xs")), tokens.select(F.col("id").alias("y"), F.col("tokens").alias("ys"))
-    return written(pairs.join(xs, "x").join(ys, "y").mapInArrow(_distances, "x long, y long, shared long, all long"), "measured")
-
-
-def _hot_rows(words: np.ndarray):
-    """(h, and all of a set but its tokens) of the tokens that the filter lets pass."""
-
-    def rows(batches):
-        for r in each_text(batches, 4096):
-            keys, of = pc.list_flatten(r.column("keys")), pc.list_parent_indices(r.column("keys"))
-            hit = pa.array(in_filter(words, keys.to_numpy().view(np.uint32).astype(np.uint64), 1))
-            rest = r.drop_columns(["keys"]).take(of.filter(hit))
-            yield pa.RecordBatch.from_arrays([keys.filter(hit), *rest.columns], names=["h", *rest.schema.names])
-
-    return rows
-
-
-def _matched_by_pivots(hot: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """(id) of lines that match an earlier one, as far as the commonest line of each hot token shows. hot: (h, id, doc_id, line, n, b1, b2, copies)."""
-    best = F.min(F.struct((-F.col("copies")).alias("minus"), "doc_id", "line", "id", "n", "b1", "b2"))
-    first = hot.groupBy("h").agg(best.alias("p"), F.count("*").alias("c")).where(F.col("c") > HOT).select("h", "p.*")
-    first = written(first.select("h", *[F.col(c).alias(f"p_{c}") for c in ("id", "doc_id", "line", "n", "b1", "b2")]), "first")
-    bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("p_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("p_b2")))
-    n = F.col("n") + F.col("p_n")
-    near = ((100 + percent) * bits <= (100 - percent) * n) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-    later = (F.col("doc_id") > F.col("p_doc_id")) | ((F.col("doc_id") == F.col("p_doc_id")) & (F.col("line") > F.col("p_line")))
-    end = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("id", "doc_id", "line")])
-    pairs = hot.join(first, (hot["h"] == first["h"]) & (F.col("id") != F.col("p_id")) & near).select(F.col("p_id").alias("x"), F.col("id").alias("y"), later.alias("later"), end("p_").alias("p"), end("").alias("e")).distinct()
-    pairs = written(pairs, "hot_pairs")
-    ends = pairs.select("p.*").unionByName(pairs.select("e.*")).distinct()
-    met = _measured(pairs.select("x", "y"), _tokens_of(written(ends, "hot_ends"), source)).where(f"100 * shared >= {percent} * all")
-    found = met.join(pairs.select("x", "y", "later"), ["x", "y"]).select(F.when(F.col("later"), F.col("y")).otherwise(F.col("x")).alias("id"))
-    return written(found.distinct(), "hot_gone")
-
-
-def removed_lines(docs: DataFrame, *, percent: int = 80, least_words: int = 5) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("d1", pa.int64())])
+
+    def later(batches):
+        for r in each_text(batches, 1024):
+            rows = []
+            for x, y, xd, xl, yd, yl, xs, ys in zip(*(r.column(c).to_pylist() for c in ("x", "y", "x_doc_id", "x_line", "y_doc_id", "y_line", "xs", "ys"))):
+                a, b = np.frombuffer(xs, np.uint64), np.frombuffer(ys, np.uint64)
+                both = shared(a, b)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    rows.append(max((xd, xl, x), (yd, yl, y)))
+            yield batch(schema, dict(zip(schema.names, zip(*rows))) if rows else {c: [] for c in schema.names})
+
+    return later
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, source: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, line, d1) of the later lines of the pairs (x, y: digests) that match."""
+    wanted = pairs.select(F.col("x").alias("d1")).unionByName(pairs.select(F.col("y").alias("d1"))).distinct()
+    ends = scratch.written(sets.select("d1", "doc_id", "line").join(wanted, "d1", "left_semi"), "ends")
+    rows = ends.count()
+    of_docs = build_filter(ends.select("doc_id").distinct(), F.xxhash64("doc_id"), filter_bits(rows))
+    of_lines = build_filter(ends, F.xxhash64(F.concat_ws(":", "doc_id", "line")), filter_bits(rows))
+    found = source.mapInArrow(_tokens(of_docs, of_lines), "doc_id long, line long, d1 long, tokens binary")
+    tokens = scratch.written(found.join(ends, ["doc_id", "line", "d1"]), "tokens")
+    side = lambda c: tokens.select(F.col("d1").alias(c), F.col("doc_id").alias(f"{c}_doc_id"), F.col("line").alias(f"{c}_line"), F.col("tokens").alias(f"{c}s"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_later(percent), "doc_id long, line long, d1 long")
+    out = scratch.written(met.distinct(), "matched")
+    scratch.dropped(ends, tokens)
+    return out
+
+
+def _hot_pairs(x: str, y: str, percent: int) -> Column:
+    """Whether two sets under one key may match, by sizes, places and outlines."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    n = c(x, "n") + c(y, "n")
+    bits = F.bit_count(c(x, "b").bitwiseXOR(c(y, "b")))
+    sizes = 100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))
+    places = (100 + percent) * F.least(c(x, "rest"), c(y, "rest")) >= percent * n
+    return (sizes & places & ((100 + percent) * bits <= (100 - percent) * n)) | (F.greatest(c(x, "n"), c(y, "n")) == 65535)
+
+
+def _hot_matched(hot: DataFrame, sets: DataFrame, source: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, line, d1) of lines under hot keys that match an earlier line of their key. hot: (key, d1, b, n, rest)."""
+    rows = scratch.written(hot.join(sets.select("d1", "doc_id", "line"), "d1"), "hot")
+    left, pivots, gone = rows, None, None
+    end = F.struct("doc_id", "line", "d1", "b", "n", "rest")
+    for _ in range(PIVOTS):
+        fresh = left if pivots is None else left.join(pivots, ["key", "d1"], "left_anti")
+        first = scratch.written(fresh.groupBy("key").agg(F.min(end).alias("p")).select("key", "p.*"), "pivots")
+        near = left.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.d1") != F.col("y.d1")) & _hot_pairs("x", "y", percent))
+        near = scratch.written(near.select(F.least("x.d1", "y.d1").alias("x"), F.greatest("x.d1", "y.d1").alias("y")).distinct(), "pivot_pairs")
+        met = _matched(near, sets, source, percent, scratch)
+        gone = met if gone is None else scratch.written(gone.unionByName(met).distinct(), "hot_gone")
+        used = first.select("key", "d1")
+        pivots = used if pivots is None else pivots.unionByName(used)
+        left = scratch.written(rows.join(gone.select("d1").distinct(), "d1", "left_anti").select(*rows.columns), "left")
+    later = (F.col("x.doc_id") > F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line") > F.col("y.line")))
+    pairs = left.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & later & _hot_pairs("x", "y", percent))
+    pairs = scratch.written(pairs.select(F.least("x.d1", "y.d1").alias("x"), F.greatest("x.d1", "y.d1").alias("y")).distinct(), "hot_pairs")
+    return scratch.written(gone.unionByName(_matched(pairs, sets, source, percent, scratch)).distinct(), "hot_matched")
+
+
+def removed_lines(docs: DataFrame, *, percent: int = 80, cold: int = 1024, hot: int = 4096) -> DataFrame:
     """(doc_id, removed): per document that loses lines, their places (from 0), sorted. docs: (doc_id, text)."""
-    if percent <= 60 or least_words < 4:
-        raise ValueError("tokens are shared for certain only above 60 percent and from four words on")
+    if not 0 < percent <= 100:
+        raise ValueError("percent is a similarity from 1 to 100")
+    spark = docs.sparkSession
     source = docs.where("doc_id is not null")
-    tables = docs.sparkSession.sparkContext.broadcast(token_tables(source, least_words))
-    columns = "doc_id long, line long, n long, d1 long, d2 long, b1 long, b2 long, keys array<int>, places array<short>"
-    lines = written(source.mapInArrow(_lines(tables, percent, least_words), columns), "lines")
-    tables.unpersist()
-    sets = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "b1", "b2", "keys", "places")).alias("s"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), "s.*", "copies")
-    sets = written(sets, "line_sets")
-    # a narrow row for each prefix token: its hash, the set, size and place in one number, outlines
-    hot_keys = written(sets.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("h"), "hot_keys")
-    flagged, matched = sets.withColumn("gone", F.lit(0)), None
-    if not hot_keys.isEmpty():
-        words = build_filter(hot_keys, F.col("h").cast("long").bitwiseAND(F.lit((1 << 32) - 1)), hashes=1)
-        hot = sets.select("id", "doc_id", "line", "n", "b1", "b2", "copies", "keys").mapInArrow(_hot_rows(words), "h int, id long, doc_id long, line long, n long, b1 long, b2 long, copies long")
-        matched = _matched_by_pivots(written(hot, "hot"), source, percent)
-        flagged = sets.join(matched.withColumn("gone", F.lit(1)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    entry = F.explode(F.arrays_zip("keys", "places")).alias("p")
-    open_sets = flagged.where(F.size("keys") > 0).select("id", F.col("b1").bitwiseXOR(F.col("b2")).alias("b"), (F.shiftleft("n", 16) + F.col("gone") * GONE).alias("size_gone"), entry)
-    entries = open_sets.select(F.col("p.keys").alias("h"), "id", (F.col("size_gone") + F.col("p.places")).alias("size_place"), "b")
-    x, y = entries.alias("x"), entries.alias("y")
-    size, place = (lambda c: F.shiftright(F.col(c), 16)), (lambda c: F.col(c).bitwiseAND(GONE - 1))
-    nx, ny = size("x.size_place"), size("y.size_place")
-    alike = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-    # tokens from the shared one on, against those that must be shared
-    rest = F.least(nx - place("x.size_place"), ny - place("y.size_place")) - 1
-    positions = (100 + percent) * (rest + 1) >= (2 * percent - 100) * (nx + ny)
-    outlines = (100 + percent) * F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= (100 - percent) * (nx + ny)
-    open_ = F.col("x.size_place").bitwiseAND(F.col("y.size_place")).bitwiseAND(GONE) == 0
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & alike & positions & outlines & open_)
-    met = met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
-    named = sets.select("id", F.struct("doc_id", "line", "id").alias("s"))
-    both = met.join(named.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(named.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
-    both = both.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).withColumn("y", F.col("late.id"))
-    if matched is not None:
-        both = both.join(matched.select(F.col("id").alias("y")).distinct(), "y", "left_anti")
-    candidates = written(both.select(F.col("early.id").alias("x"), "y", "early", "late"), "line_candidates")
-    ends = candidates.select("early.*").unionByName(candidates.select("late.*")).distinct()
-    measured = _measured(candidates.select("x", "y"), _tokens_of(written(ends, "line_ends"), source))
-    gone = measured.where(f"100 * shared >= {percent} * all").select(F.col("y").alias("id"))
-    gone = written((gone if matched is None else gone.unionByName(matched)).distinct(), "gone")
-    kept = sets.select("id", "doc_id", "line").join(gone, "id", "left_anti").select("doc_id", "line")
-    lost = lines.select("doc_id", "line").distinct().join(kept, ["doc_id", "line"], "left_anti")
-    return written(lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
+    with Scratch(spark) as scratch:
+        levels, words = word_levels(source, scratch)
+        blocks = max(int(words * (1.1 - percent / 100) // GROUP_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tables = spark.sparkContext.broadcast(levels)
+        dealt = source.mapInArrow(_deal(tables, percent, cold, blocks, words), "block long, lines binary, gone binary, narrow binary, wide binary")
+        found = scratch.written(dealt.groupBy("block").applyInArrow(_meet(percent, hot), FOUND_COLUMNS), "found")
+        tables.unpersist()
+        del dealt
+        swept(spark)
+        sets = found.where(f"kind = {SET}").select(F.col("a").alias("d1"), F.col("c").alias("doc_id"), F.col("d").alias("line"))
+        pairs = scratch.written(found.where(f"kind = {PAIR}").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), "pairs")
+        crowded = found.where(f"kind = {HOT}").select(F.col("a").alias("key"), F.col("b").alias("d1"), F.col("c").alias("b"), F.col("e").alias("n"), F.col("f").alias("rest"))
+        late = None
+        if not crowded.isEmpty():
+            late = _hot_matched(crowded, sets, source, percent, scratch)
+        matched = _matched(pairs, sets, source, percent, scratch)
+        late = matched if late is None else matched.unionByName(late)
+        stays = sets.join(late.select("d1", "doc_id", "line").distinct(), ["d1", "doc_id", "line"], "left_anti").select("doc_id", "line")
+        gone = found.where(f"kind = {GONE}").select(F.col("c").alias("doc_id"), F.col("d").alias("line")).unionByName(late.select("doc_id", "line"))
+        lost = gone.distinct().join(stays, ["doc_id", "line"], "left_anti")
+        return written(lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
 
 
 def _by_filter(at: int, words: np.ndarray, inside: bool):
@@ -333,23 +468,40 @@ def _by_filter(at: int, words: np.ndarray, inside: bool):
     return rows
 
 
+def without(text: str | None, places: list[int] | None) -> str | None:
+    """`text` less its lines at `places`."""
+    if text is None or not places:
+        return text
+    gone = set(places)
+    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+
+
+def _cut(text_at: int, removed_at: int):
+    def cut(batches):
+        for r in each_text(batches):
+            texts = [without(t, p) for t, p in zip(r.column(text_at).to_pylist(), r.column(removed_at).to_pylist())]
+            yield r.set_column(text_at, r.schema.field(text_at), pa.array(texts, type=r.schema.field(text_at).type))
+
+    return cut
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """The columns of `docs` with the text less its removed lines, plus n_lines, n_removed and removed (places from 0), one row for each row of `docs`."""
     docs = docs.drop("n_lines", "n_removed", "removed")
     removed = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), **rules)
-    removed = removed.select(F.col("doc_id").alias("__id"), "removed")
-    words = build_filter(removed, F.xxhash64("__id"))
-    same = docs.mapInArrow(_by_filter(docs.columns.index(id_col), words, False), docs.schema).withColumn("removed", F.lit(None).cast("array<bigint>"))
-    touched = docs.mapInArrow(_by_filter(docs.columns.index(id_col), words, True), docs.schema)
-    joined = same.unionByName(touched.join(removed, touched[id_col].cast("long") == removed["__id"], "left").drop("__id"))
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("removed", i.cast("long"))), "\n")
-    return (
-        joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(left))
-        .withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
-    )
+    id_name, none = free_name(docs.columns, "removed_of"), F.lit(None).cast("array<bigint>")
+    removed = removed.select(F.col("doc_id").alias(id_name), "removed")
+    words = build_filter(removed, F.xxhash64(id_name), filter_bits(removed.count()))
+    docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).cast("long"))
+    at = docs.columns.index(id_col)
+    same = docs.mapInArrow(_by_filter(at, words, False), docs.schema).withColumn("removed", none)
+    # only documents that may lose a line are shuffled
+    touched = docs.mapInArrow(_by_filter(at, words, True), docs.schema)
+    joined = touched.join(removed, touched[id_col].cast("long") == removed[id_name], "left").drop(id_name)
+    joined = joined.withColumn("removed", F.when(F.col(text_col).isNotNull(), F.col("removed")))
+    cut = joined.mapInArrow(_cut(joined.columns.index(text_col), joined.columns.index("removed")), joined.schema)
+    out = same.unionByName(cut).withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0)).cast("long"))
+    return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -359,7 +511,7 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 SQL = """
 with lines as (select doc_id, i - 1 as line, list_distinct(list_filter(string_split_regex(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as w
   from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)),
-sets as (select doc_id, line, len(w) as n, list_sort(w) as w from lines where len(w) >= 5),
+sets as (select doc_id, line, len(w) as n, list_sort(w) as w from lines where len(w) >= 1),
 folded as (select min((doc_id, line)) as first, w, any_value(n) as n from sets group by w),
 counts as (select t, count(*) as c from (select unnest(w) as t from folded) group by t),
 ranked as (select first, n, t, row_number() over (partition by first order by c, t) as pos from (select first, n, unnest(w) as t from folded) join counts using (t)),

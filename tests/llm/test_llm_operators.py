@@ -437,34 +437,58 @@ def test_windows_cover_and_agree():
 # -- lines -------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, percent=80, least=5):
+def brute_lines(rows, percent=80):
     lines = []
     for i, t in rows:
         for j, line in enumerate((t or "").split("\n")):
             w = set(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
-            if len(w) >= least:
+            if w:
                 lines.append(((i, j), w))
     lines.sort(key=lambda x: x[0])
     return {b[0] for k, b in enumerate(lines) for a in lines[:k] if 100 * len(a[1] & b[1]) >= percent * len(a[1] | b[1])}
 
 
-@pytest.mark.parametrize("hot", [48, 2])
-def test_lines(spark, monkeypatch, hot):
-    monkeypatch.setattr(line_dedup, "HOT", hot)
+def removed_places(df):
+    return {(r["doc_id"], j) for r in df.collect() for j in r["removed"]}
+
+
+@pytest.mark.parametrize("cold,hot", [(1024, 4096), (1, 4096), (4, 2)])
+def test_lines(spark, cold, hot):
+    """Words dealt out alone and with others, keys in one task and as hot rows: the same lines go."""
     rng = random.Random(8)
-    rows = [(i, prose(i % 6, 100, rng.randrange(6)) + "\nshort line\n" + " ".join(rng.sample(WORDS, 6))) for i in range(40)]
-    out = line_dedup.dedup_lines(docs(spark, rows).repartition(4)).collect()
+    short = ["all rights reserved", "subscribe now", "a b c d", "a b c d e", "one"]
+    rows = [(i, prose(i % 6, 100, rng.randrange(6)) + "\nshort line\n" + " ".join(rng.sample(WORDS, 6)) + "\n" + rng.choice(short)) for i in range(40)]
+    out = line_dedup.dedup_lines(docs(spark, rows).repartition(4), cold=cold, hot=hot).collect()
     got = {(r["doc_id"], j) for r in out for j in r["removed"]}
     assert got == brute_lines(rows)
     for r in out:
         assert r["text"] == "\n".join(x for j, x in enumerate(dict(rows)[r["doc_id"]].split("\n")) if j not in r["removed"])
 
 
-@pytest.mark.parametrize("percent", [70, 90])
+@pytest.mark.parametrize("percent", [50, 70, 100])
 def test_lines_at_other_thresholds(spark, percent):
-    rows = [(i, prose(i % 3, 60, i % 5)) for i in range(20)]
-    got = line_dedup.removed_lines(docs(spark, rows), percent=percent).collect()
-    assert {(r["doc_id"], j) for r in got for j in r["removed"]} == brute_lines(rows, percent)
+    rng = random.Random(percent)
+    rows = [(i, prose(i % 3, 60, i % 5) + "\n" + "\n".join(" ".join(rng.sample("abcdefg", rng.randint(1, 5))) for _ in range(3))) for i in range(20)]
+    for cold, hot in ((1, 4096), (2, 3)):
+        assert removed_places(line_dedup.removed_lines(docs(spark, rows), percent=percent, cold=cold, hot=hot)) == brute_lines(rows, percent)
+
+
+def test_lines_of_a_template_and_of_a_common_pair(spark):
+    """A template with a changing word, lines that share only two common words, and long lines: as brute force has it."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, "\n".join([f"this page was printed for the reader number {i} of our town library", "foo bar " + " ".join(rng.sample(words, 9)), " ".join(rng.sample(words, 120))])) for i in range(120)]
+    for cold, hot in ((1024, 4096), (8, 16)):
+        assert removed_places(line_dedup.removed_lines(docs(spark, rows), cold=cold, hot=hot)) == brute_lines(rows)
+
+
+def test_lines_of_one_id_and_names_that_clash(spark):
+    """Repeated rows lose nothing to each other; rows of one id are one document; columns keep their names."""
+    text = "alpha beta gamma delta epsilon\nzeta eta theta iota kappa"
+    rows = docs(spark, [(1, text), (1, text), (2, text), (None, text), (3, None), (3, "alpha beta gamma delta epsilon")])
+    frame = rows.selectExpr("*", "1 as `__id`", "2 as removed_of", "'x' as d1", "'y' as removed")
+    out = {(r["doc_id"], r["text"], tuple(r["removed"]), r["__id"], r["removed_of"], r["d1"]) for r in line_dedup.dedup_lines(frame).collect()}
+    assert out == {(1, text, (), 1, 2, "x"), (2, "", (0, 1), 1, 2, "x"), (None, text, (), 1, 2, "x"), (3, None, (), 1, 2, "x"), (3, "", (0,), 1, 2, "x")}
 
 
 # -- registered --------------------------------------------------------------------------------------------------------
