@@ -13,8 +13,8 @@ is left is verified on the whole word sets. Equal sets are folded where they mee
 A word of more than `cold` occurrences would bring together ever more lines as a corpus grows. It is dealt out with the next
 word that both lines share instead, which the prefix longer by one holds, and with a third or fourth while
 the words' frequencies let more than `cold` lines be expected under them. Lines that share such words more often than their
-frequencies say (templates, set phrases; more than `hot` of them) leave their task as rows: there the earliest line of each key is held
-against all others, round by round, and only lines that matched none are joined with the earlier ones of their key.
+frequencies say (more than `hot` of them), and lines that have more than `crowd` likely partners under one key (templates), leave their task as rows. Of these the
+earliest of each key is held against the others, round by round, and only lines that matched none are joined with the earlier ones of their key.
 
 Nulls: a null text stays null; rows with a null id are left as they are and match nothing. Rows that share an id count as one
 document: lines at the same place are one line, which stays if any of its texts stays. A document all of whose lines go
@@ -47,7 +47,7 @@ DEEPEST = 4
 #: Sets of at most so many words carry an outline of 64 cells, larger ones one of 128.
 NARROW_WORDS = 56
 #: Keys that a task holds before it hands them on, and keys that one group is meant to hold.
-HELD, GROUP_KEYS = 1_000_000, 500_000
+HELD, GROUP_KEYS = 500_000, 500_000
 #: Rounds in which the earliest line of a hot key is held against all others.
 PIVOTS = 2
 COUNTS = pa.schema([("block", pa.int64()), ("slot", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
@@ -62,6 +62,8 @@ SET, GONE, PAIR, HOT = range(4)
 FOUND = pa.schema([("kind", pa.int32())] + [(c, pa.int64()) for c in "abcdef"])
 FOUND_COLUMNS = "kind int, a long, b long, c long, d long, e long, f long"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("d1", pa.int64()), ("tokens", pa.binary())])
+#: What names a set: its digest, and the place of its first line.
+PLACED = ("d1", "doc_id", "line")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -288,32 +290,45 @@ def _near(percent: int, bits, n, m):
     return (100 + percent) * bits.astype(np.int64) <= (100 - percent) * (n + m)
 
 
-def pairs_within(entries: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of digests that may match, of entries sorted by key, then size: their distance in that order grows until no key has two lines of alike sizes so far apart."""
+def pairs_within(entries: np.ndarray, wide: np.ndarray, percent: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of digests that may match, and which entries are crowded. Entries are sorted by key, then size, and held against those one, two ... places on, until no key has two lines of alike sizes so far apart.
+
+    An entry is crowded that has more than `crowd` partners under its key, as have lines made from one template; pairs of two crowded entries are left out.
+    """
     key, n, rest = entries["key"], entries["n"].astype(np.int64), entries["rest"].astype(np.int64)
-    at, step, out = np.arange(len(entries)), 0, [np.zeros((0, 2), np.uint64)]
+    b, c, at, step = entries["b"], entries["c"], np.arange(len(entries)), 0
+    partners, crowded, out = np.zeros(len(entries), np.int64), np.zeros(len(entries), bool), [np.zeros((0, 2), np.int64)]
     while len(at):
         step += 1
         at = at[at + step < len(entries)]
         to = at + step
         at = at[(key[at] == key[to]) & ((100 * n[at] >= percent * n[to]) | (n[to] == 65535))]
         to = at + step
-        both = n[at] + n[to]
-        unsure = n[to] == 65535
-        ok = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * both
-        ok &= _near(percent, np.bitwise_count(entries["b"][at] ^ entries["b"][to]), n[at], n[to])
-        ok &= ~(wide[at] & wide[to]) | _near(percent, np.bitwise_count(entries["c"][at] ^ entries["c"][to]).astype(np.int64) + np.bitwise_count(entries["b"][at] ^ entries["c"][at] ^ entries["b"][to] ^ entries["c"][to]), n[at], n[to])
-        ok |= unsure
-        x, y = entries["d"][at[ok]], entries["d"][to[ok]]
-        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
+        ok = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * (n[at] + n[to])
+        ok &= _near(percent, np.bitwise_count(b[at] ^ b[to]), n[at], n[to])
+        ok |= n[to] == 65535
+        x, y = at[ok], to[ok]
+        both = wide[x] & wide[y] & (n[y] < 65535)
+        apart = np.bitwise_count(c[x] ^ c[y]).astype(np.int64) + np.bitwise_count(b[x] ^ c[x] ^ b[y] ^ c[y])
+        ok = ~both | _near(percent, apart, n[x], n[y])
+        x, y = x[ok], y[ok]
+        partners[x] += 1  # at one distance an entry is met once from either side
+        partners[y] += 1
+        open_ = (partners[x] <= crowd) | (partners[y] <= crowd)
+        crowded[x[~open_]] = crowded[y[~open_]] = True
+        out.append(np.stack([x[open_], y[open_]], axis=1))
+    pairs = np.concatenate(out)
+    of_two = (partners[pairs] > crowd).all(1)
+    crowded[pairs[of_two].ravel()] = True
+    digests = np.sort(entries["d"][pairs[~of_two]], axis=1)
+    return np.unique(digests, axis=0) if len(digests) else digests, crowded
 
 
 def _read(rows: pa.Table, name: str, kind: np.dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows[name].to_pylist() if x)])
 
 
-def _meet(percent: int, hot: int):
+def _meet(percent: int, hot: int, crowd: int):
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         first, gone = _folded(_read(rows, "lines", LINE))
         earlier = _read(rows, "gone", PLACE)
@@ -332,12 +347,13 @@ def _meet(percent: int, hot: int):
         starts = np.flatnonzero(np.append(True, entries["key"][1:] != entries["key"][:-1])[: len(entries)])
         sizes = np.diff(np.append(starts, len(entries)))
         of = np.repeat(sizes, sizes)
-        crowded, cool = entries[of > hot], (of > 1) & (of <= hot)
-        pairs = pairs_within(entries[cool], is_wide[cool], percent)
+        crowded, few = of > hot, np.flatnonzero((of > 1) & (of <= hot))
+        pairs, with_many = pairs_within(entries[few], is_wide[few], percent, crowd)
         out.append(_found(PAIR, pairs[:, 0], pairs[:, 1]))
-        if len(crowded):
-            hot_keys = np.uint64(key[0].as_py()) << np.uint64(32) | crowded["key"].astype(np.uint64)
-            out.append(_found(HOT, hot_keys, crowded["d"], crowded["b"], np.where(is_wide[of > hot], 1, 0), crowded["n"], crowded["rest"]))
+        crowded[few[with_many]] = True
+        rows = entries[crowded]
+        keys = np.uint64(key[0].as_py()) << np.uint64(32) | rows["key"].astype(np.uint64)
+        out.append(_found(HOT, keys, rows["d"], rows["b"], rows["c"], rows["n"], rows["rest"]))
         return pa.concat_tables(out)
 
     return meet
@@ -362,72 +378,73 @@ def _tokens(documents: np.ndarray, wanted: np.ndarray):
 
 
 def _later(percent: int):
-    """(doc_id, line, d1) of the later line of each pair that matches on whole word sets."""
+    """Of pairs of an earlier line and a later one, the later ones of those that match on whole word sets."""
     from .ngram_join import shared
 
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("d1", pa.int64())])
+    schema = pa.schema([("d1", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64())])
 
     def later(batches):
         for r in each_text(batches, 1024):
-            rows = []
-            for x, y, xd, xl, yd, yl, xs, ys in zip(*(r.column(c).to_pylist() for c in ("x", "y", "x_doc_id", "x_line", "y_doc_id", "y_line", "xs", "ys"))):
-                a, b = np.frombuffer(xs, np.uint64), np.frombuffer(ys, np.uint64)
-                both = shared(a, b)
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    rows.append(max((xd, xl, x), (yd, yl, y)))
-            yield batch(schema, dict(zip(schema.names, zip(*rows))) if rows else {c: [] for c in schema.names})
+            xs, ys = ([np.frombuffer(b, np.uint64) for b in r.column(c).to_pylist()] for c in ("xs", "ys"))
+            both = np.array([shared(a, b) for a, b in zip(xs, ys)], dtype=np.int64)
+            match = 100 * both >= percent * (np.array([len(a) + len(b) for a, b in zip(xs, ys)], dtype=np.int64) - both)
+            yield pa.RecordBatch.from_arrays([r.column(c).filter(pa.array(match)) for c in schema.names], schema=schema)
 
     return later
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, source: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, line, d1) of the later lines of the pairs (x, y: digests) that match."""
-    wanted = pairs.select(F.col("x").alias("d1")).unionByName(pairs.select(F.col("y").alias("d1"))).distinct()
-    ends = scratch.written(sets.select("d1", "doc_id", "line").join(wanted, "d1", "left_semi"), "ends")
-    rows = ends.count()
-    of_docs = build_filter(ends.select("doc_id").distinct(), F.xxhash64("doc_id"), filter_bits(rows))
-    of_lines = build_filter(ends, F.xxhash64(F.concat_ws(":", "doc_id", "line")), filter_bits(rows))
-    found = source.mapInArrow(_tokens(of_docs, of_lines), "doc_id long, line long, d1 long, tokens binary")
-    tokens = scratch.written(found.join(ends, ["doc_id", "line", "d1"]), "tokens")
-    side = lambda c: tokens.select(F.col("d1").alias(c), F.col("doc_id").alias(f"{c}_doc_id"), F.col("line").alias(f"{c}_line"), F.col("tokens").alias(f"{c}s"))
-    met = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_later(percent), "doc_id long, line long, d1 long")
-    out = scratch.written(met.distinct(), "matched")
-    scratch.dropped(ends, tokens)
-    return out
+def _matched(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(d1, doc_id, line) of the later lines of the pairs that match. pairs: d1, doc_id and line of the later line; x_d1, x_doc_id and x_line of the earlier one."""
+    earlier = tokens.select(*[F.col(c).alias(f"x_{c}") for c in PLACED], F.col("tokens").alias("xs"))
+    both = pairs.join(earlier, [f"x_{c}" for c in PLACED]).join(tokens.withColumnRenamed("tokens", "ys"), list(PLACED))
+    return both.mapInArrow(_later(percent), "d1 long, doc_id long, line long").distinct()
 
 
-def _hot_pairs(x: str, y: str, percent: int) -> Column:
-    """Whether two sets under one key may match, by sizes, places and outlines."""
+def _after(x: str, y: str) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
-    n = c(x, "n") + c(y, "n")
-    bits = F.bit_count(c(x, "b").bitwiseXOR(c(y, "b")))
-    sizes = 100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))
-    places = (100 + percent) * F.least(c(x, "rest"), c(y, "rest")) >= percent * n
-    return (sizes & places & ((100 + percent) * bits <= (100 - percent) * n)) | (F.greatest(c(x, "n"), c(y, "n")) == 65535)
+    return (c(x, "doc_id") > c(y, "doc_id")) | ((c(x, "doc_id") == c(y, "doc_id")) & (c(x, "line") > c(y, "line")))
+
+
+def _hot_pairs(left: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a line of `left` and an earlier one of `others` under one key that may match, by sizes, places and outlines."""
+    x, y = left.alias("x"), others.alias("y")
+    least, most = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    n = F.col("x.n") + F.col("y.n")
+    b, c = F.col("x.b").bitwiseXOR(F.col("y.b")), F.col("x.c").bitwiseXOR(F.col("y.c"))
+    bits = F.when(least > NARROW_WORDS, F.bit_count(c) + F.bit_count(b.bitwiseXOR(c))).otherwise(F.bit_count(b))
+    near = (100 * least >= percent * most) & ((100 + percent) * F.least("x.rest", "y.rest") >= percent * n) & ((100 + percent) * bits <= (100 - percent) * n)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & _after("x", "y") & (near | (most == 65535)))
+    return met.select(*[F.col(f"x.{c}") for c in PLACED], *[F.col(f"y.{c}").alias(f"x_{c}") for c in PLACED]).distinct()
 
 
-def _hot_matched(hot: DataFrame, sets: DataFrame, source: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, line, d1) of lines under hot keys that match an earlier line of their key. hot: (key, d1, b, n, rest)."""
-    rows = scratch.written(hot.join(sets.select("d1", "doc_id", "line"), "d1"), "hot")
+def _hot_matched(rows: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(d1, doc_id, line) of crowded lines that match an earlier crowded line of a key of theirs. rows: key, d1, doc_id, line, b, c, n, rest.
+
+    The earliest line of each key is held against the others, then the earliest of those that are left; what is left after that is
+    joined with all lines of its keys.
+    """
     left, pivots, gone = rows, None, None
-    end = F.struct("doc_id", "line", "d1", "b", "n", "rest")
     for _ in range(PIVOTS):
-        fresh = left if pivots is None else left.join(pivots, ["key", "d1"], "left_anti")
-        first = scratch.written(fresh.groupBy("key").agg(F.min(end).alias("p")).select("key", "p.*"), "pivots")
-        near = left.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.d1") != F.col("y.d1")) & _hot_pairs("x", "y", percent))
-        near = scratch.written(near.select(F.least("x.d1", "y.d1").alias("x"), F.greatest("x.d1", "y.d1").alias("y")).distinct(), "pivot_pairs")
-        met = _matched(near, sets, source, percent, scratch)
-        gone = met if gone is None else scratch.written(gone.unionByName(met).distinct(), "hot_gone")
-        used = first.select("key", "d1")
-        pivots = used if pivots is None else pivots.unionByName(used)
-        left = scratch.written(rows.join(gone.select("d1").distinct(), "d1", "left_anti").select(*rows.columns), "left")
-    later = (F.col("x.doc_id") > F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line") > F.col("y.line")))
-    pairs = left.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & later & _hot_pairs("x", "y", percent))
-    pairs = scratch.written(pairs.select(F.least("x.d1", "y.d1").alias("x"), F.greatest("x.d1", "y.d1").alias("y")).distinct(), "hot_pairs")
-    return scratch.written(gone.unionByName(_matched(pairs, sets, source, percent, scratch)).distinct(), "hot_matched")
-
-
-def removed_lines(docs: DataFrame, *, percent: int = 80, cold: int = 1024, hot: int = 4096) -> DataFrame:
+        fresh = left if pivots is None else left.join(pivots, ["key", *PLACED], "left_anti")
+        first = fresh.groupBy("key").agg(F.min(F.struct("doc_id", "line", "d1", "b", "c", "n", "rest")).alias("p")).select("key", "p.*")
+        first = scratch.written(first, "pivots")
+        met = scratch.written(_matched(_hot_pairs(left, first, percent), tokens, percent), "met")
+        gone = met if gone is None else gone.unionByName(met)
+        pivots = first.select("key", *PLACED) if pivots is None else pivots.unionByName(first.select("key", *PLACED))
+        left = scratch.written(left.join(met, list(PLACED), "left_anti").select(*rows.columns), "left")
+    return scratch.written(gone.unionByName(_matched(_hot_pairs(left, rows, percent), tokens, percent)).distinct(), "hot_matched")
+
+
+def _tokens_of(ends: DataFrame, source: DataFrame) -> DataFrame:
+    """(d1, doc_id, line, tokens): whole word sets of the lines `ends`."""
+    rows = ends.count()
+    of_docs = build_filter(ends.select("doc_id").distinct(), F.xxhash64("doc_id"), filter_bits(rows))
+    of_lines = build_filter(ends, F.xxhash64(F.concat_ws(":", "doc_id", "line")), filter_bits(rows))
+    found = source.mapInArrow(_tokens(of_docs, of_lines), "doc_id long, line long, d1 long, tokens binary")
+    return found.join(ends, list(PLACED)).select(*PLACED, "tokens")
+
+
+def removed_lines(docs: DataFrame, *, percent: int = 80, cold: int = 1024, hot: int = 4096, crowd: int = 16) -> DataFrame:
     """(doc_id, removed): per document that loses lines, their places (from 0), sorted. docs: (doc_id, text)."""
     if not 0 < percent <= 100:
         raise ValueError("percent is a similarity from 1 to 100")
@@ -438,19 +455,26 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, cold: int = 1024, hot:
         blocks = max(int(words * (1.1 - percent / 100) // GROUP_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
         tables = spark.sparkContext.broadcast(levels)
         dealt = source.mapInArrow(_deal(tables, percent, cold, blocks, words), "block long, lines binary, gone binary, narrow binary, wide binary")
-        found = scratch.written(dealt.groupBy("block").applyInArrow(_meet(percent, hot), FOUND_COLUMNS), "found")
+        found = scratch.written(dealt.groupBy("block").applyInArrow(_meet(percent, hot, crowd), FOUND_COLUMNS), "found")
         tables.unpersist()
         del dealt
         swept(spark)
         sets = found.where(f"kind = {SET}").select(F.col("a").alias("d1"), F.col("c").alias("doc_id"), F.col("d").alias("line"))
         pairs = scratch.written(found.where(f"kind = {PAIR}").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), "pairs")
-        crowded = found.where(f"kind = {HOT}").select(F.col("a").alias("key"), F.col("b").alias("d1"), F.col("c").alias("b"), F.col("e").alias("n"), F.col("f").alias("rest"))
+        crowded = found.where(f"kind = {HOT}").select(*[F.col(c).alias(name) for c, name in zip("abcdef", ("key", "d1", "b", "c", "n", "rest"))])
+        wanted = pairs.select(F.col("x").alias("d1")).unionByName(pairs.select(F.col("y").alias("d1"))).unionByName(crowded.select("d1")).distinct()
+        ends = scratch.written(sets.join(wanted, "d1", "left_semi"), "ends")
+        tokens = scratch.written(_tokens_of(ends, source), "tokens")
+        end = lambda c: ends.select(F.col("d1").alias(c), F.struct("doc_id", "line", "d1").alias(f"{c}_end"))
+        both = pairs.join(end("x"), "x").join(end("y"), "y").select(F.least("x_end", "y_end").alias("e"), F.greatest("x_end", "y_end").alias("l"))
+        placed = both.select(*[F.col(f"l.{c}") for c in PLACED], *[F.col(f"e.{c}").alias(f"x_{c}") for c in PLACED])
         late = None
         if not crowded.isEmpty():
-            late = _hot_matched(crowded, sets, source, percent, scratch)
-        matched = _matched(pairs, sets, source, percent, scratch)
+            late = _hot_matched(scratch.written(crowded.join(ends, "d1"), "crowded"), tokens, percent, scratch)
+            placed = placed.join(late, list(PLACED), "left_anti")
+        matched = scratch.written(_matched(placed, tokens, percent), "matched")
         late = matched if late is None else matched.unionByName(late)
-        stays = sets.join(late.select("d1", "doc_id", "line").distinct(), ["d1", "doc_id", "line"], "left_anti").select("doc_id", "line")
+        stays = sets.join(late, list(PLACED), "left_anti").select("doc_id", "line")
         gone = found.where(f"kind = {GONE}").select(F.col("c").alias("doc_id"), F.col("d").alias("line")).unionByName(late.select("doc_id", "line"))
         lost = gone.distinct().join(stays, ["doc_id", "line"], "left_anti")
         return written(lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")

@@ -452,13 +452,13 @@ def removed_places(df):
     return {(r["doc_id"], j) for r in df.collect() for j in r["removed"]}
 
 
-@pytest.mark.parametrize("cold,hot", [(1024, 4096), (1, 4096), (4, 2)])
-def test_lines(spark, cold, hot):
-    """Words dealt out alone and with others, keys in one task and as hot rows: the same lines go."""
+@pytest.mark.parametrize("cold,hot,crowd", [(1024, 4096, 16), (1, 4096, 1), (4, 2, 16)])
+def test_lines(spark, cold, hot, crowd):
+    """Words dealt out alone and with others, keys in one task, crowded lines and hot keys as rows: the same lines go."""
     rng = random.Random(8)
     short = ["all rights reserved", "subscribe now", "a b c d", "a b c d e", "one"]
     rows = [(i, prose(i % 6, 100, rng.randrange(6)) + "\nshort line\n" + " ".join(rng.sample(WORDS, 6)) + "\n" + rng.choice(short)) for i in range(40)]
-    out = line_dedup.dedup_lines(docs(spark, rows).repartition(4), cold=cold, hot=hot).collect()
+    out = line_dedup.dedup_lines(docs(spark, rows).repartition(4), cold=cold, hot=hot, crowd=crowd).collect()
     got = {(r["doc_id"], j) for r in out for j in r["removed"]}
     assert got == brute_lines(rows)
     for r in out:
@@ -478,8 +478,8 @@ def test_lines_of_a_template_and_of_a_common_pair(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, "\n".join([f"this page was printed for the reader number {i} of our town library", "foo bar " + " ".join(rng.sample(words, 9)), " ".join(rng.sample(words, 120))])) for i in range(120)]
-    for cold, hot in ((1024, 4096), (8, 16)):
-        assert removed_places(line_dedup.removed_lines(docs(spark, rows), cold=cold, hot=hot)) == brute_lines(rows)
+    for cold, hot, crowd in ((1024, 4096, 16), (8, 16, 2)):
+        assert removed_places(line_dedup.removed_lines(docs(spark, rows), cold=cold, hot=hot, crowd=crowd)) == brute_lines(rows)
 
 
 def test_lines_of_one_id_and_names_that_clash(spark):
