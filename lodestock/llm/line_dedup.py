@@ -28,9 +28,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, as_bytes, batch, build_filter, each_text, filter_bits, free_name, hashed, in_filter, swept, table, written
 from .words import Words, grouped, mixed
@@ -287,7 +289,7 @@ def _found(kind: int, *columns) -> pa.Table:
 
 def _near(percent: int, bits, n, m):
     """Whether sets of n and m words may match whose outlines differ in so many bits."""
-    return (100 + percent) * bits.astype(np.int64) <= (100 - percent) * (n + m)
+    return (100 + percent) * bits.astype(np.int32) <= (100 - percent) * (n + m)
 
 
 def pairs_within(entries: np.ndarray, wide: np.ndarray, percent: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,22 +297,26 @@ def pairs_within(entries: np.ndarray, wide: np.ndarray, percent: int, crowd: int
 
     An entry is crowded that has more than `crowd` partners under its key, as have lines made from one template; pairs of two crowded entries are left out.
     """
-    key, n, rest = entries["key"], entries["n"].astype(np.int64), entries["rest"].astype(np.int64)
-    b, c, at, step = entries["b"], entries["c"], np.arange(len(entries)), 0
+    n, rest, b, c = entries["n"].astype(np.int32), entries["rest"].astype(np.int32), entries["b"].copy(), entries["c"].copy()
+    keyed = entries["key"].astype(np.uint64) << np.uint64(16)
+    largest = keyed | np.minimum(100 * n.astype(np.uint64) // np.uint64(percent), np.uint64(65535))
+    at = np.arange(len(entries))
+    far = np.searchsorted(keyed | entries["n"].astype(np.uint64), largest, side="right") - 1 - at  # how far an entry's partners reach
+    na, ba, step = n, b, 0
     partners, crowded, out = np.zeros(len(entries), np.int64), np.zeros(len(entries), bool), [np.zeros((0, 2), np.int64)]
     while len(at):
         step += 1
-        at = at[at + step < len(entries)]
+        on = far >= step
+        if not on.all():
+            at, far, na, ba = at[on], far[on], na[on], ba[on]
         to = at + step
-        at = at[(key[at] == key[to]) & ((100 * n[at] >= percent * n[to]) | (n[to] == 65535))]
-        to = at + step
-        ok = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * (n[at] + n[to])
-        ok &= _near(percent, np.bitwise_count(b[at] ^ b[to]), n[at], n[to])
-        ok |= n[to] == 65535
+        ok = np.flatnonzero(_near(percent, np.bitwise_count(ba ^ b[to]), na, n[to]) | (n[to] == 65535))
         x, y = at[ok], to[ok]
-        both = wide[x] & wide[y] & (n[y] < 65535)
-        apart = np.bitwise_count(c[x] ^ c[y]).astype(np.int64) + np.bitwise_count(b[x] ^ c[x] ^ b[y] ^ c[y])
-        ok = ~both | _near(percent, apart, n[x], n[y])
+        capped, both = n[y] == 65535, n[x] + n[y]
+        ok = ((100 + percent) * np.minimum(rest[x], rest[y]) >= percent * both) & (entries["d"][x] != entries["d"][y])
+        apart = np.bitwise_count(c[x] ^ c[y]).astype(np.int32) + np.bitwise_count(b[x] ^ c[x] ^ b[y] ^ c[y])
+        ok &= ~(wide[x] & wide[y]) | _near(percent, apart, n[x], n[y])
+        ok |= capped
         x, y = x[ok], y[ok]
         partners[x] += 1  # at one distance an entry is met once from either side
         partners[y] += 1
@@ -340,7 +346,8 @@ def _meet(percent: int, hot: int, crowd: int):
             entries[name] = np.concatenate([narrow[name], wide[name]])
         entries["c"][len(narrow) :] = wide["c"]
         is_wide = np.arange(len(entries)) >= len(narrow)
-        order = np.lexsort((entries["d"], entries["n"], entries["key"]))
+        # copies of a set from several tasks come to stand together, but for chance; those that don't are told by their digest
+        order = np.argsort(entries["key"].astype(np.uint64) << np.uint64(32) | entries["n"].astype(np.uint64) << np.uint64(16) | entries["d"] & np.uint64(65535))
         entries, is_wide = entries[order], is_wide[order]
         new = np.append(True, (entries["key"][1:] != entries["key"][:-1]) | (entries["d"][1:] != entries["d"][:-1]))[: len(entries)]
         entries, is_wide = entries[new], is_wide[new]
@@ -395,8 +402,11 @@ def _later(percent: int):
 
 def _matched(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(d1, doc_id, line) of the later lines of the pairs that match. pairs: d1, doc_id and line of the later line; x_d1, x_doc_id and x_line of the earlier one."""
-    earlier = tokens.select(*[F.col(c).alias(f"x_{c}") for c in PLACED], F.col("tokens").alias("xs"))
-    both = pairs.join(earlier, [f"x_{c}" for c in PLACED]).join(tokens.withColumnRenamed("tokens", "ys"), list(PLACED))
+    side = lambda p: tokens.select(*[F.col(c).alias(f"{p}_{c}") for c in PLACED], F.col("tokens").alias(f"{p}s"))
+    both = pairs.select(*[F.col(f"x_{c}") for c in PLACED], *[F.col(c).alias(f"y_{c}") for c in PLACED])
+    for p in ("x", "y"):
+        both = both.join(side(p), [f"{p}_{c}" for c in PLACED])
+    both = both.select("xs", "ys", *[F.col(f"y_{c}").alias(c) for c in PLACED])
     return both.mapInArrow(_later(percent), "d1 long, doc_id long, line long").distinct()
 
 
@@ -470,24 +480,30 @@ def removed_lines(docs: DataFrame, *, percent: int = 80, cold: int = 1024, hot:
         placed = both.select(*[F.col(f"l.{c}") for c in PLACED], *[F.col(f"e.{c}").alias(f"x_{c}") for c in PLACED])
         late = None
         if not crowded.isEmpty():
-            late = _hot_matched(scratch.written(crowded.join(ends, "d1"), "crowded"), tokens, percent, scratch)
+            crowded = scratch.written(crowded.join(ends, "d1"), "crowded")
+            theirs = scratch.written(tokens.join(crowded.select(*PLACED).distinct(), list(PLACED), "left_semi"), "crowded_tokens")
+            late = _hot_matched(crowded, theirs, percent, scratch)
             placed = placed.join(late, list(PLACED), "left_anti")
         matched = scratch.written(_matched(placed, tokens, percent), "matched")
         late = matched if late is None else matched.unionByName(late)
-        stays = sets.join(late, list(PLACED), "left_anti").select("doc_id", "line")
-        gone = found.where(f"kind = {GONE}").select(F.col("c").alias("doc_id"), F.col("d").alias("line")).unionByName(late.select("doc_id", "line"))
-        lost = gone.distinct().join(stays, ["doc_id", "line"], "left_anti")
+        lost = found.where(f"kind = {GONE}").select(F.col("c").alias("doc_id"), F.col("d").alias("line")).unionByName(late.select("doc_id", "line")).distinct()
+        repeated = scratch.written(source.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+        if not repeated.isEmpty():  # a place may then have several texts
+            stays = sets.join(repeated, "doc_id", "left_semi").join(late, list(PLACED), "left_anti").select("doc_id", "line")
+            lost = lost.join(stays, ["doc_id", "line"], "left_anti")
         return written(lost.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
 
 
-def _by_filter(at: int, words: np.ndarray, inside: bool):
-    """Rows whose id may be in the filter, or the others; a row with a null id is none of the former."""
+def _by_filter(id_at: int, text_at: int, words: np.ndarray, inside: bool):
+    """Rows, and their number of lines, whose id may be in the filter, or the others; a row with a null id is none of the former."""
 
     def rows(batches):
         for r in each_text(batches, 4096):
-            ids = r.column(at).to_pylist()
+            ids = r.column(id_at).to_pylist()
             may = in_filter(words, np.array([0 if i is None else hashed(int(i)) for i in ids], dtype=np.uint64)) & np.array([i is not None for i in ids], dtype=bool)
-            yield r.filter(pa.array(may == inside))
+            some = r.filter(pa.array(may == inside))
+            ends = pc.fill_null(pc.add(pc.count_substring(some.column(text_at), "\n").cast(pa.int64()), 1), 0)
+            yield pa.RecordBatch.from_arrays([*some.columns, ends], names=[*some.schema.names, "n_lines"])
 
     return rows
 
@@ -516,12 +532,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id_name, none = free_name(docs.columns, "removed_of"), F.lit(None).cast("array<bigint>")
     removed = removed.select(F.col("doc_id").alias(id_name), "removed")
     words = build_filter(removed, F.xxhash64(id_name), filter_bits(removed.count()))
-    docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).cast("long"))
-    at = docs.columns.index(id_col)
-    same = docs.mapInArrow(_by_filter(at, words, False), docs.schema).withColumn("removed", none)
-    # only documents that may lose a line are shuffled
-    touched = docs.mapInArrow(_by_filter(at, words, True), docs.schema)
-    joined = touched.join(removed, touched[id_col].cast("long") == removed[id_name], "left").drop(id_name)
+    of, counted = (docs.columns.index(id_col), docs.columns.index(text_col)), StructType([*docs.schema, StructField("n_lines", LongType())])
+    same = docs.mapInArrow(_by_filter(*of, words, False), counted).withColumn("removed", none)
+    # only documents that may lose a line are shuffled; at any size, so that a run on little data tells what one on much will do
+    touched = docs.mapInArrow(_by_filter(*of, words, True), counted)
+    joined = touched.join(removed.hint("merge"), touched[id_col].cast("long") == removed[id_name], "left").drop(id_name)
     joined = joined.withColumn("removed", F.when(F.col(text_col).isNotNull(), F.col("removed")))
     cut = joined.mapInArrow(_cut(joined.columns.index(text_col), joined.columns.index("removed")), joined.schema)
     out = same.unionByName(cut).withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0)).cast("long"))
