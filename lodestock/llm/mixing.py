@@ -7,7 +7,7 @@ the copies are dealt over the whole output by the order of a second hash.
 Weights: a map from source to weight, or, without one, the square root of each source's rows; either is scaled to sum 1.
 Sources without a weight get none. Nulls: a null source is a source of its own (its key in the map is None); a null id
 draws like the id "null". Repeated rows of one id draw the same count. Empty texts are rows like any other, an empty table
-gives an empty result, and the input's columns named copy, copies or shuffle_key are replaced.
+gives an empty result, and the input's columns named copy, copies or shuffle_key are replaced; no other name clashes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 #: Up to this many sources their rates are broadcast (a few hundred bytes each, 200 * sqrt(rate) for high ones); beyond it they are joined by shuffle.
 MOST_BROADCAST = 20_000
@@ -56,17 +56,18 @@ def mix_sources(docs: DataFrame, *, weights: dict | None = None, total: float |
     total: expected rows of the result; as many as `docs` has, if None. Rates may be of any size.
     """
     docs = docs.drop("copy", "copies", "shuffle_key")
-    rates = _rates(docs, source_col, weights, total).toDF("__source", "__least", "__cdf")
+    of, least, cdf, salt, salt_of = (free_name(docs.columns, n) for n in ("rate_of", "rate_least", "rate_cdf", "salt", "salt_of"))
+    rates = _rates(docs, source_col, weights, total).toDF(of, least, cdf)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    same = docs[source_col].eqNullSafe(rates["__source"])
-    if rates.select("__source").limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    same = docs[source_col].eqNullSafe(rates[of])
+    if rates.select(of).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         joined = docs.join(F.broadcast(rates), same)
     else:
-        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
-        spread = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, salted[source_col].eqNullSafe(spread["__source"]) & (salted["__salt"] == spread["__salt_of"])).drop("__salt", "__salt_of")
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+        spread = rates.withColumn(salt_of, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, salted[source_col].eqNullSafe(spread[of]) & (salted[salt] == spread[salt_of])).drop(salt, salt_of)
     uniform = (hash52(F.lit(seed), name) + F.lit(0.5)) / F.lit(float(2**52))
-    drawn = joined.withColumn("copies", F.col("__least") + F.size(F.filter("__cdf", lambda p: p <= uniform))).drop("__least", "__cdf", "__source")
+    drawn = joined.withColumn("copies", F.col(least) + F.size(F.filter(cdf, lambda p: p <= uniform))).drop(least, cdf, of)
     # no filter on copies: pushed into the join, its lambda may end up below it, where the id is unknown
     places = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
     copied = drawn.withColumn("copy", F.explode(places))
