@@ -4,7 +4,8 @@ One pass over the texts fills a memtable in each task; a full memtable is flushe
 the best row of each digest is marked and carries the run's count, so that compaction shuffles one entry per digest
 and run, never one per copy. Compaction keeps, per digest, the entry with the most code points, then the smallest
 identifier. A bounded bit filter over the digests that compaction found more than once picks the texts that a second
-pass brings to byte verification against the row that stays; rows whose bytes differ are grouped anew by their bytes.
+pass brings to byte verification. A task compares its own hits of a digest byte for byte and hands on one body of each that differs, so
+that a large group of copies is a body a task; digests with two bodies (the digest clashes) are grouped anew by their bytes.
 
 Nulls: a null text counts as empty; a null id sorts after all others. Empty texts form one group. Repeated rows: one of
 them stays, the first in the order of the input files. An empty table gives an empty result. Other columns of the input
@@ -23,11 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, build_filter, each_text, hashed, in_filter, written
+from .common import Scratch, as_bytes, batch, build_filter, each_text, filter_bits, hashed, in_filter, written
 
 #: The characters that do not count: space and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
 RUN = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("chars", pa.int64()), ("row", pa.int64()), ("run_best", pa.bool_()), ("run_count", pa.int64())])
+BODY = pa.schema([("digest", pa.string()), ("body", pa.binary())])
+#: Bytes of bodies that a task holds.
+HELD = 16_000_000
 HIT = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("chars", pa.int64()), ("row", pa.int64()), ("body", pa.binary())])
 
 
@@ -74,6 +78,25 @@ def _runs(memtable_rows: int, digest):
     return run
 
 
+def _bodies(words: np.ndarray, digest):
+    """The different bodies of each digest that the filter lets pass, once for about HELD bytes of them."""
+
+    def bodies(batches):
+        held: dict[tuple[str, bytes], None] = {}
+        size = 0
+        for key, _, _, _, body in _rows(batches, digest):
+            if (key, body) not in held and in_filter(words, np.array([hashed(key.encode())], dtype=np.uint64))[0]:
+                held[key, body] = None
+                size += len(body)
+            if size > HELD:
+                yield batch(BODY, dict(zip(BODY.names, zip(*held))))
+                held, size = {}, 0
+        if held:
+            yield batch(BODY, dict(zip(BODY.names, zip(*held))))
+
+    return bodies
+
+
 def _hits(words: np.ndarray, digest):
     def hits(batches):
         out: list[tuple] = []
@@ -91,7 +114,7 @@ def _hits(words: np.ndarray, digest):
     return hits
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 100_000, filter_bits: int = 1 << 23, digest: Callable[[bytes], str] = sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 100_000, digest: Callable[[bytes], str] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest), one row for each row of `docs`."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = written(source.mapInArrow(_runs(memtable_rows, digest), "digest string, doc_id long, chars long, row long, run_best boolean, run_count long"), "runs")
@@ -102,28 +125,31 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"), "digest",
     )
-    again = _verified(source, index, filter_bits, digest)
+    again = _verified(source, index, digest)
     if again is not None:
         found = found.join(again.select("digest").distinct(), "digest", "left_anti").select(*again.columns).unionByName(again)
     return found.select("doc_id", "keep_id", "group_size", "kept", "digest")
 
 
-def _verified(source: DataFrame, index: DataFrame, filter_bits: int, digest) -> DataFrame | None:
-    """Compares every hit's bytes with those of the row that stays. None if all agree; else the groups of the digests that don't, by bytes."""
-    words = build_filter(index, F.xxhash64("digest"), filter_bits)
-    if not words.any():
-        return None
-    hits = source.mapInArrow(_hits(words, digest), "digest string, doc_id long, chars long, row long, body binary").join(index, "digest")
-    hits = written(hits, "hits")
-    # written, so that both sides of the join are plain shuffles and a hot digest can be split
-    stay = written(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("keep_body")), "stay")
-    clashes = written(hits.join(stay, "digest", "left").where(~F.col("body").eqNullSafe(F.col("keep_body"))).select("digest").distinct(), "clashes")
-    if clashes.isEmpty():
+def _verified(source: DataFrame, index: DataFrame, digest) -> DataFrame | None:
+    """Compares the bytes of all hits of each digest. None if all agree; else the groups of the digests that don't, by bytes."""
+    repeated = index.count()
+    if not repeated:
         return None
-    rows = hits.join(clashes, "digest", "left_semi").drop("keep_id", "keep_row", "n")
-    order = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    groups = rows.groupBy("digest", "body").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["digest", "body"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.row") == F.col("row")).alias("kept"), "digest")
+    with Scratch(source.sparkSession) as scratch:
+        words = build_filter(index, F.xxhash64("digest"), filter_bits(repeated))
+        bodies = source.mapInArrow(_bodies(words, digest), "digest string, body binary")
+        clashes = written(bodies.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("digest"), "clashes")
+        clashing = clashes.count()
+        if not clashing:
+            return None
+        words = build_filter(clashes, F.xxhash64("digest"), filter_bits(clashing))
+        hits = source.mapInArrow(_hits(words, digest), "digest string, doc_id long, chars long, row long, body binary")
+        rows = scratch.written(hits.join(clashes, "digest", "left_semi"), "hits")
+        order = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+        groups = rows.groupBy("digest", "body").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+        grouped = rows.join(groups, ["digest", "body"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.row") == F.col("row")).alias("kept"), "digest")
+        return written(grouped, "regrouped")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
