@@ -5,6 +5,9 @@ Three base kinds are always reported: assign (a name like password or token, a s
 base-62 CRC-32 of the rest (github, npm), JSON web tokens whose head decodes to JSON with an algorithm, private-key blocks,
 and slack and stripe tokens by form. Spans count code points of the whole text, ends exclusive.
 
+A text is read in time linear in its length: hits inside a run that has failed are passed over. A web token's head of more than
+LONGEST_HEAD characters, or nested deeper than the JSON reader goes, fails its check.
+
 Nulls: a null text is empty and has no span; ids are passed on as they are. Repeated rows give repeated results, an empty
 table an empty one, and other columns are not read.
 """
@@ -36,11 +39,15 @@ AT_HITS = {
     "access": (("akia",), re.compile(r"AKIA[A-Z0-9]+"), 16),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), 40),
     "npm": (("npm_",), re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), 40),
-    "jwt": (("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 30),
+    "jwt": (("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"), 30),
     "private_key": (("-----begin",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"), 60),
     "slack": (("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(r"xox[bpar]-[0-9]{8,}-[A-Za-z0-9-]{10,}"), 24),
     "stripe": (("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{20,}"), 28),
 }
+#: A token's characters; a token that can't be matched from its first keyword on can't be from another in the same run of them.
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]+")
+#: Characters of a JSON web token's head, beyond which it is no token: real ones have about a hundred.
+LONGEST_HEAD = 4096
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,9 +65,11 @@ def checks(kind: str, found: str) -> bool:
         return found[-6:] == base62(zlib.crc32(found[4:-6].encode()))
     if kind == "jwt":
         head = found.split(".")[0]
+        if len(head) > LONGEST_HEAD:
+            return False
         try:
             return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, RecursionError):
             return False
     return True
 
@@ -87,7 +96,11 @@ def find(text: str, keywords: ahocorasick.Automaton) -> list[tuple[int, int, str
         pattern, least = (ASSIGN, 8) if kind == "assign" else AT_HITS[kind][1:]
         end = 0
         for start in sorted(at):
-            if start < end or not (m := pattern.match(text, start)):
+            if start < end:
+                continue
+            if not (m := pattern.match(text, start)):
+                if kind == "jwt" and (run := TOKEN_RUN.match(text, start)):
+                    end = run.end()
                 continue
             end = m.end()
             size = len(m[1]) if kind == "assign" else len(m[0])
