@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame expressions only: one projection, no shuffle.
 
 A text's words are matched against some hundreds of signatures, each the product of a license's name in words and a phrasing.
-A text without a keyword of any license skips them all; a rule whose own keyword is absent is skipped. Detections are word
+Further signatures are sentences of the licenses' own texts. A text without a keyword of any license skips them all; a rule whose own keyword is absent is skipped. Detections are word
 intervals; one that lies inside another is suppressed, of equal intervals the one of higher priority stays. Base phrases are
 counted apart and never suppressed.
 
@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: What parts words once A-Z are lower case.
+#: Parts words, so that no word has it.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARK = "\x01"
+#: Detections that are looked through at a time, which bounds what each step copies.
+CHUNK = 256
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
@@ -42,10 +47,25 @@ NAMES = [
     ("elastic-2.0", "elastic", "elastic licen[cs]e(?: version)?(?: 2(?: 0)?)?"), ("odbl-1.0", "database", "open database licen[cs]e(?: version)?(?: 1 0)?"), ("pddl-1.0", "public domain", "public domain dedication and licen[cs]e(?: version)?(?: 1 0)?"),
     ("gfdl-1.3", "free documentation", "(?:gnu )?free documentation licen[cs]e(?: version)?(?: 1 3)?"), ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"), ("x11", "x11", "x11 licen[cs]e"), ("vim", "vim", "vim licen[cs]e"),
 ]
+# Label, keyword and sentence of license texts and of the notices that they ask for.
+TEXTS = (
+    ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", "distribute this software", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse or promote", "neither the name of .{1,80}? may be used to endorse or promote products derived from this software"),
+    ("apache-2.0", "compliance with the license", "you may not use this file except in compliance with the license"),
+    ("gpl", "this program is free software", "this program is free software you can redistribute it and or modify"),
+    ("lgpl", "this library is free software", "this library is free software you can redistribute it and or modify"),
+    ("gpl", "permitted to copy and distribute verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "altered source", "altered source versions must be plainly marked as such"),
+    ("bsl-1.0", "boost software", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+)
 #: phrasing around a name, priority, confidence
 PHRASINGS = (("{}", 1, 0.7), ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{}", 3, 0.95), ("(?:released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}", 2, 0.9), ("spdx licen[cs]e identifier {}", 4, 1.0))
 #: Every rule's text holds one of these, its words parted by any separators.
-GATE = ("licen", "cc by", "creative commons", "mit no attribution", "cc0", "wtfpl", "spdx", "bsd", "gpl", "ncsa", "cecill")
+GATE = (*[gate for _, gate, _ in TEXTS], "licen", "cc by", "creative commons", "mit no attribution", "cc0", "wtfpl", "spdx", "bsd", "gpl", "ncsa", "cecill")
 
 
 def names() -> list[tuple[str, str, str]]:
@@ -65,7 +85,8 @@ def names() -> list[tuple[str, str, str]]:
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(keyword, expression over words joined by spaces, label, priority, confidence)."""
-    return [(keyword, f"(?<= ){phrase.format(name)}(?= )", label, priority, sure) for label, keyword, name in names() for phrase, priority, sure in PHRASINGS]
+    named = [(keyword, f"(?<= ){phrase.format(name)}(?= )", label, priority, sure) for label, keyword, name in names() for phrase, priority, sure in PHRASINGS]
+    return named + [(keyword, f"(?<= ){sentence}(?= )", label, 5, 0.95) for label, keyword, sentence in TEXTS]
 
 
 def _spaces(c: Column) -> Column:
@@ -74,17 +95,13 @@ def _spaces(c: Column) -> Column:
 
 def _places(norm: Column, expression: Column) -> Column:
     """Word intervals (first, end) of every match; `norm` has one space before each word and after the last."""
-    found, between = F.regexp_extract_all(norm, expression, F.lit(0)), F.split(norm, expression, -1)
+    found = F.regexp_extract_all(norm, expression, F.lit(0))
+    # the first word of each match is marked, so that places are read off the words in one go
+    words = F.split(F.regexp_replace(norm, expression, F.lit(f"{MARK}$0")), F.lit(" "), -1)
+    firsts = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i - 1)), lambda i: i.isNotNull())
+    both = F.zip_with(firsts, found, lambda i, f: F.struct(i.cast("long").alias("first"), (i + _spaces(f) + 1).cast("long").alias("end")))
     none = F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-
-    def step(acc, pair):
-        at = acc["at"] + _spaces(pair["between"])
-        width = _spaces(pair["found"])
-        return F.struct((at + width).cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct((at - 1).cast("long").alias("first"), (at + width).cast("long").alias("end")))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda a, b: F.struct(a.alias("found"), b.alias("between")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.rlike(norm, expression), both).otherwise(none)
 
 
 def license_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +109,7 @@ def license_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     detections: the intervals that stay, as structs of first, end (words from 0, end exclusive), label, priority and confidence.
     """
-    lower = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("lower"))
+    lower = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower()).alias("lower"))
     gate = F.lit(False)
     for words in map(str.split, GATE):
         parted = [F.rlike("lower", F.lit(SEPARATORS.join(words)))] if len(words) > 1 else []
@@ -110,15 +127,21 @@ def license_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             ),
         )
     )
-    found = normal.select("doc_id", "n_words", F.when(F.col("norm").isNotNull(), base).alias("base"), F.when(F.col("norm").isNotNull(), F.array_sort(F.array_distinct(spans))).alias("spans"))
+    found = normal.select("doc_id", "n_words", F.when(F.col("norm").isNotNull(), base).alias("base"), F.when(F.col("norm").isNotNull(), F.array_sort(spans)).alias("spans"))
     none = F.expr("cast(array() as array<struct<first:bigint,end:bigint,label:string,priority:int,sure:double>>)")
-    zero = F.struct(F.lit(0).cast("long").alias("reach"), none.alias("out"))
+    many = F.expr("cast(array() as array<array<struct<first:bigint,end:bigint,label:string,priority:int,sure:double>>>)")
+    zero = F.struct(F.lit(0).cast("long").alias("reach"), many.alias("chunks"))
 
     def stay(acc, s):
         one = F.struct(s["first"].alias("first"), (-s["minus_end"]).alias("end"), s["label"].alias("label"), (-s["minus_priority"]).alias("priority"), s["sure"].alias("sure"))
-        return F.when(-s["minus_end"] <= acc["reach"], acc).otherwise(F.struct((-s["minus_end"]).alias("reach"), F.concat(acc["out"], F.array(one)).alias("out")))
+        return F.when(-s["minus_end"] <= acc["reach"], acc).otherwise(F.struct((-s["minus_end"]).alias("reach"), acc["chunks"].alias("chunks"), F.concat(acc["out"], F.array(one)).alias("out")))
+
+    def chunk(acc, i):
+        begin = F.struct(acc["reach"].alias("reach"), acc["chunks"].alias("chunks"), none.alias("out"))
+        return F.aggregate(F.slice("spans", i * CHUNK + 1, F.lit(CHUNK)), begin, stay, lambda x: F.struct(x["reach"].alias("reach"), F.concat(x["chunks"], F.array(x["out"])).alias("chunks")))
 
-    kept = found.select("doc_id", "n_words", F.coalesce("base", F.expr("cast(array() as array<struct<first:bigint,label:string>>)")).alias("base"), F.coalesce(F.aggregate("spans", zero, stay, lambda acc: acc["out"]), none).alias("kept"))
+    chunks = F.sequence(F.lit(0), F.floor(F.size("spans") / CHUNK).cast("int"))
+    kept = found.select("doc_id", "n_words", F.coalesce("base", F.expr("cast(array() as array<struct<first:bigint,label:string>>)")).alias("base"), F.coalesce(F.when(F.size("spans") > 0, F.flatten(F.aggregate(chunks, zero, chunk, lambda acc: acc["chunks"]))), none).alias("kept"))
     listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     firsts = F.transform("base", lambda b: b["first"])
     sure = F.coalesce(F.array_max(F.transform("kept", lambda k: k["sure"])), F.lit(0.0))
