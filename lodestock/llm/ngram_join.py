@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, build_filter, connected, each_text, hashed, in_filter, table, written
+from .common import Scratch, as_bytes, batch, build_filter, connected, each_text, filter_bits, hashed, in_filter, table, written
 from .words import Words, grouped, mixed
 
 #: Shingles counted at a time.
@@ -305,72 +305,75 @@ def _regions(rule: Rule):
     return region
 
 
-def _with_sets(wanted: DataFrame, source: DataFrame, rule: Rule, filter_bits: int) -> DataFrame:
+def _with_sets(wanted: DataFrame, source: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(v, set) of the wanted points, and of the few more that the filter lets pass."""
-    words = build_filter(wanted.select("v").distinct(), F.xxhash64("v"), filter_bits)
-    return written(source.where("doc_id is not null").mapInArrow(_sets(rule, words), "v long, set binary"), "sets")
+    wanted = scratch.written(wanted.select("v").distinct(), "wanted")
+    words = build_filter(wanted, F.xxhash64("v"), filter_bits(wanted.count()))
+    return scratch.written(source.where("doc_id is not null").mapInArrow(_sets(rule, words), "v long, set binary"), "sets")
 
 
-def links(points: DataFrame, source: DataFrame, rule: Rule, filter_bits: int) -> DataFrame:
+def links(points: DataFrame, source: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(a, b): links between points that connect every pair within the radius. points: (v, n, prefix, outline); source: (doc_id, text)."""
     first = points.select("v", "prefix").mapInArrow(_entries(None), "h long, v long")
-    pivots = written(first.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
+    pivots = scratch.written(first.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
     edges = [points.sparkSession.createDataFrame([], "a long, b long")]
     if pivots.isEmpty():
         return edges[0]
-    words = build_filter(pivots, F.col("h"), min(filter_bits * 4, 1 << 26), 1)
-    entries = written(points.select("v", "prefix").mapInArrow(_entries(words), "h long, v long").join(pivots.select("h"), "h"), "entries")
+    words = build_filter(pivots, F.col("h"), filter_bits(pivots.count()), 1)
+    entries = scratch.written(points.select("v", "prefix").mapInArrow(_entries(words), "h long, v long").join(pivots.select("h"), "h"), "entries")
     x = points.select("v", "n", F.col("outline").alias("xo"))
     y = points.select(F.col("v").alias("p"), F.col("n").alias("pn"), F.col("outline").alias("po"))
     while True:
-        pairs = written(entries.join(pivots, "h").where("v <> p").select("p", "v").distinct(), "pairs")
-        bounds = written(pairs.join(x, "v").join(y, "p").mapInArrow(_bounds(rule), "p long, v long, n long, d double, near boolean"), "bounds")
+        pairs = scratch.written(entries.join(pivots, "h").where("v <> p").select("p", "v").distinct(), "pairs")
+        bounds = scratch.written(pairs.join(x, "v").join(y, "p").mapInArrow(_bounds(rule), "p long, v long, n long, d double, near boolean"), "bounds")
         near = bounds.where("near").select("p", "v")
-        sets = _with_sets(near.select("v").unionByName(near.select(F.col("p").alias("v"))), source, rule, filter_bits)
+        sets = _with_sets(near.select("v").unionByName(near.select(F.col("p").alias("v"))), source, rule, scratch)
         met = near.join(sets.withColumnRenamed("set", "xs"), "v").join(sets.select(F.col("v").alias("p"), F.col("set").alias("ps")), "p")
-        met = written(met.mapInArrow(_distances, "p long, v long, shared long, all long"), "met")
+        met = scratch.written(met.mapInArrow(_distances, "p long, v long, shared long, all long"), "met")
         edges.append(met.where(f"100 * shared >= {rule.percent} * all").select(F.col("p").alias("a"), F.col("v").alias("b")))
         exact = met.select("p", "v", (1 - F.col("shared") / F.col("all")).alias("exact"), F.expr(f"100 * shared >= {rule.percent} * all").alias("linked"))
         known = bounds.join(exact, ["p", "v"], "left").select("p", "v", "n", F.coalesce("exact", "d").alias("d"), (~F.coalesce("linked", F.lit(False))).alias("out"))
-        known = written(known, "known")
+        known = scratch.written(known, "known")
         nearest = known.where("out").groupBy("p").agg(F.min("d").alias("nearest"))
-        rest = written(known.join(nearest, "p").where(F.col("out") | (F.col("d") >= F.col("nearest") - rule.radius - 1e-9)).select("p", "v", "n", "out"), "rest")
-        sizes = written(rest.groupBy("p").agg(F.count("*").alias("points")).where("points > 1"), "sizes")
+        rest = scratch.written(known.join(nearest, "p").where(F.col("out") | (F.col("d") >= F.col("nearest") - rule.radius - 1e-9)).select("p", "v", "n", "out"), "rest")
+        sizes = scratch.written(rest.groupBy("p").agg(F.count("*").alias("points")).where("points > 1"), "sizes")
         kept = rest.join(sizes.where(F.col("points") <= SCREENED_POINTS).select("p"), "p").join(x.select("v", "xo"), "v").groupBy("p").applyInArrow(_screen(rule), "p long, v long, n long")
-        kept = written(kept, "screened")
-        left = written(kept.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")), "left")
+        kept = scratch.written(kept, "screened")
+        left = scratch.written(kept.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")), "left")
         small = (F.col("points") <= REGION_POINTS) & (F.col("shingles") <= REGION_SHINGLES)
-        held = written(kept.join(left.where(small).select("p"), "p").select("p", "v"), "held")
+        held = scratch.written(kept.join(left.where(small).select("p"), "p").select("p", "v"), "held")
         if not held.isEmpty():
-            sets = _with_sets(held, source, rule, filter_bits).withColumnRenamed("set", "xs")
-            edges.append(written(held.join(sets, "v").groupBy("p").applyInArrow(_regions(rule), "a long, b long"), "links"))
+            sets = _with_sets(held, source, rule, scratch).withColumnRenamed("set", "xs")
+            edges.append(scratch.written(held.join(sets, "v").groupBy("p").applyInArrow(_regions(rule), "a long, b long"), "links"))
         large = sizes.where(F.col("points") > SCREENED_POINTS).select("p").unionByName(left.where(~small).select("p"))
         if large.isEmpty():
             break
         on = rest.join(large, "p", "left_semi").select("p", "v")
-        entries = written(entries.join(pivots, "h").join(on, ["p", "v"], "left_semi").select("h", "v"), "entries")
-        pivots = written(entries.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
+        entries = scratch.written(entries.join(pivots, "h").join(on, ["p", "v"], "left_semi").select("h", "v"), "entries")
+        pivots = scratch.written(entries.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
     return out
 
 
-def ngram_components(docs: DataFrame, *, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", frequent_from: int = 16, most_frequent: int = 400_000, filter_bits: int = 1 << 23) -> DataFrame:
+def ngram_components(docs: DataFrame, *, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", frequent_from: int = 16, most_frequent: int = 400_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of `docs`."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = source.select("text").mapInArrow(_count(rule), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent_from)
-    frequent = np.sort(counted.orderBy(F.desc("n"), "h").limit(most_frequent).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    signed = written(source.mapInArrow(_signatures(rule, frequent), "doc_id long, n long, digest string, prefix binary, outline binary"), "signed")
-    real = signed.where("n > 0 and doc_id is not null")
-    points = real.where("prefix is not null").select(F.col("doc_id").alias("v"), "n", "digest", "prefix", "outline")
-    roots = connected(links(points.drop("digest"), source, rule, filter_bits))
-    # copies of one set are one class, whichever of them stood for it in each task
-    rooted = points.select("digest", "v").join(roots, "v", "left").groupBy("digest").agg(F.min(F.coalesce("root", "v")).alias("root"))
-    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("least")).join(rooted, "digest"), "classes")
-    named = classes.select("digest", "root").join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component")
-    apart_ = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return signed.select("doc_id", "n", "digest").join(written(named, "named"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(apart_, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        counted = source.select("text").mapInArrow(_count(rule), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent_from)
+        frequent = np.sort(counted.orderBy(F.desc("n"), "h").limit(most_frequent).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+        signed = scratch.written(source.mapInArrow(_signatures(rule, frequent), "doc_id long, n long, digest string, prefix binary, outline binary"), "signed")
+        real = signed.where("n > 0 and doc_id is not null")
+        points = real.where("prefix is not null").select(F.col("doc_id").alias("v"), "n", "digest", "prefix", "outline")
+        roots = connected(links(points.drop("digest"), source, rule, scratch))
+        # copies of one set are one class, whichever of them stood for it in each task
+        rooted = points.select("digest", "v").join(roots, "v", "left").groupBy("digest").agg(F.min(F.coalesce("root", "v")).alias("root"))
+        classes = scratch.written(real.groupBy("digest").agg(F.min("doc_id").alias("least")).join(rooted, "digest"), "classes")
+        named = classes.select("digest", "root").join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component")
+        apart_ = F.col("doc_id").isNull() | (F.col("n") == 0)
+        component = F.when(apart_, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+        return written(signed.select("doc_id", "n", "digest").join(scratch.written(named, "named"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), component), "components")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
