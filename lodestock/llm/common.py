@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 #: Positions that one key sets in a filter, and the bits of the key between them.
 FILTER_HASHES, FILTER_SHIFT = 3, 19
 _local_dir: str | None = None
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -174,8 +180,16 @@ def batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def release() -> None:
+    """Gives what a task has freed back to the system: workers live on, and an executor's memory counts them all."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def each_text(rows: Iterable[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of at most `most` rows, so that Python holds few whole texts at once."""
     for r in rows:
         for at in range(0, r.num_rows, most):
             yield r.slice(at, most)
+    release()

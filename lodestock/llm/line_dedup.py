@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, as_bytes, batch, build_filter, each_text, filter_bits, free_name, hashed, in_filter, swept, table, written
+from .common import Scratch, as_bytes, batch, build_filter, each_text, filter_bits, free_name, hashed, in_filter, release, swept, table, written
 from .words import Words, grouped, mixed
 
 #: Cells of the table of word counts, which is all that any process holds of them (one byte each: the logarithm), and cells sent at a time.
 #: Words that share a cell count together, which costs speed at most.
-CELLS, BLOCK = 1 << 24, 1 << 20
+CELLS, BLOCK = 1 << 23, 1 << 20
 #: Levels of a count between one power of two and the next.
 FINE = 5
 #: Tasks whose counts are added up in one round.
@@ -49,7 +49,7 @@ DEEPEST = 4
 #: Sets of at most so many words carry an outline of 64 cells, larger ones one of 128.
 NARROW_WORDS = 56
 #: Keys that a task holds before it hands them on, and keys that one group is meant to hold.
-HELD, GROUP_KEYS = 500_000, 500_000
+HELD, GROUP_KEYS = 300_000, 300_000
 #: Rounds in which the earliest line of a hot key is held against all others.
 PIVOTS = 2
 COUNTS = pa.schema([("block", pa.int64()), ("slot", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
@@ -361,6 +361,8 @@ def _meet(percent: int, hot: int, crowd: int):
         rows = entries[crowded]
         keys = np.uint64(key[0].as_py()) << np.uint64(32) | rows["key"].astype(np.uint64)
         out.append(_found(HOT, keys, rows["d"], rows["b"], rows["c"], rows["n"], rows["rest"]))
+        del narrow, wide, entries, is_wide, order, first, gone, earlier, pairs, rows
+        release()
         return pa.concat_tables(out)
 
     return meet
