@@ -135,7 +135,20 @@ def identifiers_pattern(identifiers: Column) -> Column:
     """One expression for all of a family's identifiers as whole tokens, longest first."""
     ordered = F.reverse(F.array_sort(F.transform(F.array_distinct(identifiers), lambda i: F.struct(F.char_length(i).alias("size"), i.alias("id")))))
     listed = F.array_join(F.transform(ordered, lambda i: F.concat(F.lit(r"\Q"), i["id"], F.lit(r"\E"))), "|")
-    return F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_-])(?:"), listed, F.lit(r")(?![A-Za-z0-9_-])"))
+    # no identifiers: what matches nowhere
+    return F.when(F.size(identifiers) > 0, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_-])(?:"), listed, F.lit(r")(?![A-Za-z0-9_-])"))).otherwise(r"(?!)")
+
+
+def identifier_tokens(text: Column) -> Column:
+    """The runs, in lower case, that an identifier of letters, digits, - and _ must equal to match."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_-]+)"), F.lit(1))
+
+
+def identifiers_in(identifiers: Column, texts: Column) -> Column:
+    """Of an array of identifiers those that may stand in an array of texts, found by their tokens."""
+    tokens = F.array_distinct(F.flatten(F.transform(texts, identifier_tokens)))
+    plain = lambda i: i.rlike("^[A-Za-z0-9_-]+$")
+    return F.concat(F.array_intersect(F.transform(F.filter(identifiers, plain), lambda i: F.lower(i)), tokens), F.filter(identifiers, lambda i: ~plain(i)))
 
 
 def remove_identifiers(value: Column, pattern: Column, *, normal: Column | None = None) -> Column:

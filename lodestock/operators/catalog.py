@@ -30,11 +30,16 @@ def without_excluded(rows: DataFrame, excluded_children: DataFrame) -> DataFrame
     return rows.join(excluded_children.select("sku").distinct(), "sku", "left_anti").where(~excluded_main(F.col("main_sku")))
 
 
+def _first_of_each(ordered: Column) -> Column:
+    """The first struct of each `key` of a sorted array, in one pass: the array beside itself, moved by one."""
+    before = F.concat(F.slice(ordered, 1, F.least(F.size(ordered), F.lit(1))), F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0))))
+    marked = F.zip_with(ordered, before, lambda p, q: F.struct(p.alias("p"), (p["key"] != q["key"]).alias("new")))
+    return F.transform(F.filter(marked, lambda m, i: (i == 0) | m["new"]), lambda m: m["p"])
+
+
 def _least_display(pairs: Column) -> Column:
     """(key, display) pairs to one display a key, the least, in the order of the key regardless of case."""
-    ordered = F.array_sort(pairs)
-    first = F.filter(ordered, lambda p, i: (i == 0) | (F.get(ordered, i - 1)["key"] != p["key"]))
-    keyed = F.array_sort(F.transform(first, lambda p: F.struct(F.lower(p["key"]).alias("folded"), p["key"].alias("key"), p["display"].alias("display"))))
+    keyed = F.array_sort(F.transform(_first_of_each(F.array_sort(pairs)), lambda p: F.struct(F.lower(p["key"]).alias("folded"), p["key"].alias("key"), p["display"].alias("display"))))
     return F.transform(keyed, lambda p: p["display"])
 
 
@@ -49,8 +54,25 @@ def normalized_rows(rows: DataFrame, *, ascii_only: bool = False) -> DataFrame:
     return plain.select("*", *[tx.normalize_compare(F.col(c), ascii_only=ascii_only).alias(f"n_{c}") for c in ROW_FIELDS if c != "sales_status_raw"])
 
 
+def _with_own_identifiers(r: DataFrame) -> DataFrame:
+    """Adds `ids`, a pattern of the family's identifiers that may stand in the row's name.
+
+    An identifier of letters, digits, - and _ alone is a whole token wherever it matches, so a name's tokens are joined with the family's
+    identifiers; a family's other identifiers are in the pattern of each of its rows.
+    """
+    ids = r.select("n_main_sku", F.explode(F.array_distinct(F.array("n_sku", "n_main_sku"))).alias("id")).distinct()
+    plain = F.col("id").rlike("^[A-Za-z0-9_-]+$")
+    tokens = r.select("n_main_sku", "ord", F.explode(F.array_distinct(tx.identifier_tokens(F.col("n_product_name")))).alias("token"))
+    met = tokens.join(ids.where(plain).select("n_main_sku", F.lower("id").alias("token")).distinct(), ["n_main_sku", "token"])
+    own = met.groupBy("n_main_sku", "ord").agg(F.collect_list("token").alias("own"))
+    odd = ids.where(~plain).groupBy("n_main_sku").agg(F.collect_list("id").alias("odd"))
+    none = F.array().cast("array<string>")
+    joined = r.join(own, ["n_main_sku", "ord"], "left").join(odd, "n_main_sku", "left")
+    return joined.withColumn("ids", tx.identifiers_pattern(F.concat(F.coalesce("own", none), F.coalesce("odd", none)))).drop("own", "odd")
+
+
 def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None, *, ascii_only: bool = False) -> DataFrame:
-    """One document a main SKU. rows: ROW_FIELDS and ord; a row without sku or main_sku is an error."""
+    """One document a main SKU. rows: ROW_FIELDS and ord, a number that no two rows of a family share; a row without sku or main_sku is an error."""
     r = normalized_rows(rows, ascii_only=ascii_only)
     r = r.withColumn("n_main_sku", F.when((F.col("n_sku") == "") | (F.col("n_main_sku") == ""), F.raise_error(F.lit("each source row requires non-empty sku and main_sku")).cast("string")).otherwise(F.col("n_main_sku")))
     if excluded_children is not None:
@@ -58,7 +80,7 @@ def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None,
         r = r.join(marks, F.trim("sku") == F.col("__sku"), "left").withColumn("out", F.coalesce("__out", F.lit(False)))
     else:
         r = r.withColumn("out", F.lit(False))
-    r = r.withColumn("out", F.col("out") | excluded_main(F.col("n_main_sku")))
+    r = _with_own_identifiers(r.withColumn("out", F.col("out") | excluded_main(F.col("n_main_sku"))))
     usable = lambda c: tx.clean_optional(F.col(f"n_{c}"))
     levels = [F.when(usable(c).isNotNull(), _pair(F.col(f"n_{c}"), F.col(c))) for c in LEVELS]
     leaf = F.coalesce(*reversed(levels), F.when(usable("product_catalog").isNotNull(), _pair(F.col("n_product_catalog"), F.col("product_catalog"))))
@@ -69,13 +91,13 @@ def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None,
     item = F.struct(
         "ord", "sku", "n_sku", "out", F.col("product_name").alias("name"), F.col("n_product_name").alias("n_name"), "sales_status_raw", leaf.alias("leaf"), F.array_compact(F.array(*levels)).alias("path"),
         F.array_compact(F.array(*[F.when(usable(c).isNotNull(), _pair(F.col(f"n_{c}"), F.col(c))) for c in ("english_name", "english_keywords")])).alias("aliases"),
-        bad_english.alias("bad_english"), F.coalesce(tx.truncate_operational(name) != name, F.lit(False)).alias("operational"),
+        "ids", bad_english.alias("bad_english"), F.coalesce(tx.truncate_operational(name) != name, F.lit(False)).alias("operational"),
     )
     g = r.groupBy(F.col("n_main_sku").alias("main_sku")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    g = g.withColumn("live", F.filter("rows", lambda x: ~x["out"])).withColumn("ids", tx.identifiers_pattern(F.concat(F.array("main_sku"), F.transform("rows", lambda x: x["n_sku"]))))
+    g = g.withColumn("live", F.filter("rows", lambda x: ~x["out"]))
 
     def indexed(x: Column) -> Column:
-        cut = tx.remove_identifiers(x["n_name"], F.col("ids"), normal=x["n_name"])
+        cut = tx.remove_identifiers(x["n_name"], x["ids"], normal=x["n_name"])
         same = tx.clean_optional(x["n_name"]).isNull() | (cut == x["n_name"])
         return _pair(cut, F.when(same, x["name"]).otherwise(cut))
 
@@ -86,8 +108,10 @@ def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None,
         _least_display(F.array_compact(F.transform("live", lambda x: x["leaf"]))).alias("leaf_categories"), tx.vector_text(F.transform("named", lambda p: p["key"])).alias("vector_text_v1"))
     path_key = lambda p: F.transform(p, lambda q: q["key"])
     path_show = lambda p: F.transform(p, lambda q: q["display"])
-    keys = F.array_distinct(F.transform("paths", path_key))
-    shown = F.transform(keys, lambda k: F.array_min(F.transform(F.filter("paths", lambda p: path_key(p) == k), path_show)))
+    # the least display of each path, in the order in which the paths first occur
+    least = _first_of_each(F.array_sort(F.transform("paths", lambda p: F.struct(path_key(p).alias("key"), path_show(p).alias("show")))))
+    earliest = _first_of_each(F.array_sort(F.transform("paths", lambda p, i: F.struct(path_key(p).alias("key"), i.alias("at")))))
+    shown = F.transform(F.array_sort(F.zip_with(earliest, least, lambda a, b: F.struct(a["at"].alias("at"), b["show"].alias("show")))), lambda x: x["show"])
     excluded = excluded_main(F.col("main_sku"))
     flags = F.array_compact(F.array(
         F.when(~excluded & (F.size("live") != F.size("rows")), F.lit("excluded_children")), F.when(excluded, F.lit("excluded_main_sku")), F.when(F.size("leaf_categories") > 1, F.lit("mixed_leaf_category")),
@@ -102,7 +126,7 @@ def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None,
 
 def english_documents(documents: DataFrame) -> DataFrame:
     """The English projection: cleaned aliases (one a name regardless of case), fallbacks, and the flag where none is left."""
-    documents = documents.withColumn("__ids", tx.identifiers_pattern(F.concat(F.array("main_sku"), F.transform("children", lambda c: c["sku"]))))
+    documents = documents.withColumn("__ids", tx.identifiers_pattern(tx.identifiers_in(F.concat(F.array("main_sku"), F.transform("children", lambda c: c["sku"])), F.col("en_aliases"))))
     cleaned = F.array_compact(F.transform("en_aliases", lambda a: tx.english_alias(tx.collapse(a), F.col("__ids"))))
     pairs = F.transform(cleaned, lambda a: _pair(F.lower(a), a))
     table = F.create_map(*[x for k, v in ENGLISH_FALLBACKS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

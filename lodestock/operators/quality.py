@@ -37,20 +37,24 @@ def semantic_json() -> Column:
     return F.to_json(F.struct(F.col("searchable"), sort(F.col("cn_names")).alias("cn_names"), sort(F.col("en_aliases")).alias("en_aliases"), sort(F.col("leaf_categories")).alias("leaf_categories"), sort(F.col("category_paths")).alias("category_paths"), F.col("vector_text_v1")))
 
 
-def collisions(documents: DataFrame) -> DataFrame:
-    """One row: documents beyond the first of each meaning."""
-    return documents.groupBy(semantic_json().alias("s")).agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).cast("long").alias("exact_document_collision_count"))
+def document_metrics(documents: DataFrame) -> DataFrame:
+    """One row of counters, of which collisions are the documents beyond the first of each meaning. Documents are read once."""
+    size = F.size("children")
+    of_meaning = documents.groupBy(F.sha2(semantic_json(), 256).alias("meaning")).agg(
+        F.count("*").alias("documents"), F.sum(size).alias("children"), F.count_if("searchable").alias("searchable"), F.count_if(size > 1).alias("many"), F.count_if(F.array_contains("quality_flags", "mixed_leaf_category")).alias("mixed")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return of_meaning.agg(
+        total("children").alias("child_count"), total("documents").alias("document_count"), total("searchable").alias("searchable_document_count"), total("many").alias("multi_variant_group_count"),
+        total("mixed").alias("mixed_category_document_count"), total(F.col("documents") - 1).alias("exact_document_collision_count"),
+    )
 
 
 def quality_metrics(rows: DataFrame, documents: DataFrame, *, ascii_only: bool = False) -> DataFrame:
     """One row of METRICS. Each part is one aggregate row, so the joins between them are of single rows."""
     name = tx.normalize_compare(F.col("product_name"), ascii_only=ascii_only)
     of_rows = rows.agg(F.count("*").alias("source_row_count"), F.count_if(name == "").alias("missing_product_name_count"), F.count_if((name != "") & tx.is_placeholder(name)).alias("placeholder_product_name_count"))
-    of_docs = documents.agg(
-        F.coalesce(F.sum(F.size("children")), F.lit(0)).cast("long").alias("child_count"), F.count("*").alias("document_count"), F.count_if("searchable").alias("searchable_document_count"),
-        F.count_if(F.size("children") > 1).alias("multi_variant_group_count"), F.count_if(F.array_contains("quality_flags", "mixed_leaf_category")).alias("mixed_category_document_count"),
-    )
-    return of_rows.crossJoin(of_docs).crossJoin(collisions(documents)).select(*METRICS)
+    return of_rows.crossJoin(document_metrics(documents)).select(*METRICS)
 
 
 def dataset_hash(documents: DataFrame, *columns: str) -> DataFrame:

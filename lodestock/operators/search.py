@@ -50,12 +50,13 @@ def keyword_search(posts: DataFrame, lengths: DataFrame, queries: DataFrame, k:
     """(query_id, doc, score, rank) by BM25 over weighted fields. queries: (query_id, token) with a row for each distinct query token, folded.
 
     Only `weights`' fields are matched, but a document's size counts all of them. `scope` (doc) restricts what is ranked, not the
-    statistics. Postings meet the query's tokens first, so the later shuffles carry matches only.
+    statistics. Postings meet the query's tokens by a semi-join, which the optimizer takes below the grouping of `postings`: what is
+    shuffled are matches only.
     """
     asked = queries.groupBy("query_id", "token").agg(F.count("*").alias("times"))
     tokens = queries.select("token").distinct()
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    found = posts.where(F.col("field").isin(*weights)).join(tokens, "token")
+    found = posts.where(F.col("field").isin(*weights)).join(tokens, "token", "left_semi")
     per_doc = found.groupBy("token", "doc").agg(F.sum(F.element_at(weight, F.col("field")) * F.col("tf")).alias("f"))
     known = per_doc.groupBy("token").agg(F.count("*").alias("n"))
     stats = corpus_stats(lengths)

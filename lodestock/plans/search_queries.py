@@ -36,8 +36,9 @@ def vectors(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
 
 
-def vector_queries(spark, sf_dir: str, n: int = 5) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def vector_queries(spark, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 TOKENS = """tok as (select doc_id as doc, 'text' as field, 8.0::double as w, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')) as token from documents
@@ -74,8 +75,8 @@ def scoped_keyword_search(spark, sf_dir):
     return keyword_hits(spark, sf_dir, 20, scope=scope).withColumn("score", F.round("score", 6))
 
 
-def vector_sql(value: str, where: str = "true", k: int = 10, n: int = 5) -> str:
-    return f"""with s as (select q.vec_id as query_id, v.vec_id as doc, round({value}, 9) as score from embeddings q, embeddings v where q.vec_id < {n} and {where}),
+def vector_sql(value: str, where: str = "true", k: int = 10) -> str:
+    return f"""with s as (select q.vec_id as query_id, v.vec_id as doc, round({value}, 9) as score from embeddings q, embeddings v where q.vec_id % 50 = 0 and {where}),
 r as (select *, row_number() over (partition by query_id order by score desc, doc) as rank from s) select query_id, doc, round(score, 6) as score, cast(rank as integer) as rank from r where rank <= {k}"""
 
 
@@ -104,18 +105,18 @@ def scoped_vector_topk(spark, sf_dir):
 
 
 def channels(spark, sf_dir: str, k: int = 50) -> DataFrame:
-    """Keyword and vector hits of three roles: q1 and its vector at full weight, q2 and its vector as an expansion."""
+    """Hits of keyword roles (q1 and, as an expansion, q2 are role 0, q3 role 1), and of each query vector, whose id is its role."""
     place = {"q1": (0, 1.0), "q2": (0, 0.7), "q3": (1, 1.0)}
     roles = spark.createDataFrame([(q, *p) for q, p in place.items()], "query_id string, role_id long, weight double")
     kw = keyword_hits(spark, sf_dir, k).join(F.broadcast(roles), "query_id").select("role_id", F.lit("keyword").alias("channel"), F.col("query_id").alias("query"), "weight", "doc", F.col("rank").alias("place"))  # three rows
-    vec = search.vector_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir, 2), k)
+    vec = search.vector_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), k)
     vec = vec.select(F.col("query_id").alias("role_id"), F.lit("vector").alias("channel"), F.concat(F.lit("v"), "query_id").alias("query"), F.lit(1.0).alias("weight"), "doc", F.col("rank").alias("place"))
     return kw.unionByName(vec)
 
 
 FUSED = (
     BM25.format(scope="")
-    + f""", vs as (select q.vec_id as query_id, v.vec_id as doc, round({COSINE}, 9) as score from embeddings q, embeddings v where q.vec_id < 2),
+    + f""", vs as (select q.vec_id as query_id, v.vec_id as doc, round({COSINE}, 9) as score from embeddings q, embeddings v where q.vec_id % 50 = 0),
 vr as (select *, row_number() over (partition by query_id order by score desc, doc) as rank from vs),
 hits as (select r.role_id, 'keyword' as channel, kw.query_id as query, r.weight, doc, rank from kw join (values ('q1', 0, 1.0::double), ('q2', 0, 0.7::double), ('q3', 1, 1.0::double)) r(query_id, role_id, weight) using (query_id) where rank <= 50
  union all select query_id, 'vector', 'v' || query_id, 1.0::double, doc, rank from vr where rank <= 50),
@@ -142,27 +143,27 @@ def fusion_evidence(spark, sf_dir):
     return fusion.fuse(channels(spark, sf_dir), limit=10).select("role_id", "doc", F.size("evidence").cast("long").alias("evidence_rows"), "rank")
 
 
-@query("""with r as (select label, vec_id, row_number() over (partition by label order by vec_id) as place from embeddings where vec_id % 3 = 0 union all select label + 1, vec_id, row_number() over (partition by label order by vec_id desc) from embeddings where vec_id % 6 = 0),
+@query("""with r as (select label, vec_id, row_number() over (partition by label order by vec_id) as place from embeddings union all select label + 1, vec_id, row_number() over (partition by label order by vec_id desc) from embeddings),
 f as (select vec_id as main_sku, min((place, label)) as t from r group by vec_id)
 select main_sku, cast(row_number() over (order by t, main_sku) as integer) as turn from f order by t, main_sku limit 60""")
 def balanced_unique(spark, sf_dir):
     from pyspark.sql import Window as W
 
     e = table(spark, sf_dir, "embeddings")
-    a = e.where("vec_id % 3 = 0").select(F.col("label").alias("group_place"), F.row_number().over(W.partitionBy("label").orderBy("vec_id")).alias("place"), F.col("vec_id").alias("main_sku"))
-    b = e.where("vec_id % 6 = 0").select((F.col("label") + 1).alias("group_place"), F.row_number().over(W.partitionBy("label").orderBy(F.desc("vec_id"))).alias("place"), F.col("vec_id").alias("main_sku"))
+    a = e.select(F.col("label").alias("group_place"), F.row_number().over(W.partitionBy("label").orderBy("vec_id")).alias("place"), F.col("vec_id").alias("main_sku"))
+    b = e.select((F.col("label") + 1).alias("group_place"), F.row_number().over(W.partitionBy("label").orderBy(F.desc("vec_id"))).alias("place"), F.col("vec_id").alias("main_sku"))
     return rerank.balanced_unique(a.unionByName(b), 60).select("main_sku", "turn")
 
 
-@query(f"""with s as (select q.vec_id as query_id, v.vec_id as doc, v.label as found, q.label as wanted, row_number() over (partition by q.vec_id order by round({COSINE}, 9) desc, v.vec_id) as place from embeddings q, embeddings v where q.vec_id < 40 and q.vec_id <> v.vec_id),
+@query(f"""with s as (select q.vec_id as query_id, v.vec_id as doc, v.label as found, q.label as wanted, row_number() over (partition by q.vec_id order by round({COSINE}, 9) desc, v.vec_id) as place from embeddings q, embeddings v where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id),
 h as (select query_id, bool_or(found = wanted) as hit from s where place <= 5 group by query_id)
 select cast(count(*) as bigint) as queries, cast(count(*) filter (hit) as bigint) as hits, round(count(*) filter (hit) / count(*), 6) as hit_rate, false as enforced, true as passed from h""")
 def hit_at_5(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    found = search.vector_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir, 40), 6).where("query_id <> doc")
+    found = search.vector_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 6).where("query_id <> doc")
     results = benchmark.ranked_places(found.select("query_id", "doc", "score"))
     relevant = e.groupBy("label").agg(F.collect_list("vec_id").alias("relevant"))
-    items = e.where("vec_id < 40").join(relevant, "label").select(F.col("vec_id").alias("query_id"), "relevant", F.lit("has_match").alias("expected_status"), F.lit("provisional").alias("label_status"))
+    items = e.where("vec_id % 50 = 0").join(relevant, "label").select(F.col("vec_id").alias("query_id"), "relevant", F.lit("has_match").alias("expected_status"), F.lit("provisional").alias("label_status"))
     return benchmark.hit_rate(benchmark.hits(items, results))
 
 

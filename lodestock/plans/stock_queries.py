@@ -82,11 +82,11 @@ def candidates(spark, sf_dir: str) -> DataFrame:
 
 
 CANDIDATES = "cand as (select c_mktsegment as scene, 'role' as role, p_brand as main_sku, row_number() over (partition by c_mktsegment order by sha256(c_mktsegment || p_brand)) as rank, sha256(c_mktsegment || p_brand) as h from (select distinct c_mktsegment from customer), (select distinct p_brand from part))"
-IN_STOCK = f"{LINES}, st as (select main_sku, sum(quantity) as quantity from lines where country = 'NATION_3' and child_sku % 29 = 0 group by main_sku), {CANDIDATES}, ann as (select c.*, case when st.quantity > 0 then round(st.quantity, 4) end as country_available_quantity, coalesce(st.quantity > 0, false) as country_available from cand c left join st using (main_sku))"
+IN_STOCK = f"{LINES}, st as (select main_sku, sum(quantity) as quantity from lines where country = 'NATION_3' and q_a = 50 group by main_sku), {CANDIDATES}, ann as (select c.*, case when st.quantity > 0 then round(st.quantity, 4) end as country_available_quantity, coalesce(st.quantity > 0, false) as country_available from cand c left join st using (main_sku))"
 
 
 def annotated(spark, sf_dir: str) -> DataFrame:
-    s = stock_lines(spark, sf_dir).where("country = 'NATION_3' and child_sku % 29 = 0").groupBy("main_sku").agg(F.sum("quantity").alias("quantity"))
+    s = stock_lines(spark, sf_dir).where("country = 'NATION_3' and q_a = 50").groupBy("main_sku").agg(F.sum("quantity").alias("quantity"))
     return stock.annotate(candidates(spark, sf_dir), s)
 
 
@@ -234,9 +234,9 @@ def latest_review_time(spark, sf_dir):
     return export.latest_review(l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("l_partkey").alias("main_sku"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("reviewed_at")))
 
 
-@query(f"with {LINES}, m as (select country, main_sku, sum(quantity) as q from lines where child_sku % 13 = 0 and country <> 'NATION_5' group by 1, 2), cov as (select distinct country from m), rec as (select n_name as country, p_brand as main_sku from nation, (select distinct p_brand from part)) select country, main_sku, case when cov.country is not null then coalesce(q, 0) end as quantity, case when cov.country is not null then q is not null end as exists from rec left join m using (country, main_sku) left join cov using (country)")
+@query(f"with {LINES}, m as (select country, main_sku, sum(quantity) as q from lines where q_a = 50 and country <> 'NATION_5' group by 1, 2), cov as (select distinct country from m), rec as (select n_name as country, p_brand as main_sku from nation, (select distinct p_brand from part)) select country, main_sku, case when cov.country is not null then coalesce(q, 0) end as quantity, case when cov.country is not null then q is not null end as exists from rec left join m using (country, main_sku) left join cov using (country)")
 def recommendation_metrics(spark, sf_dir):
-    m = stock_lines(spark, sf_dir).where("child_sku % 13 = 0 and country <> 'NATION_5'").groupBy("country", "main_sku").agg(F.sum("quantity").alias("quantity"))
+    m = stock_lines(spark, sf_dir).where("q_a = 50 and country <> 'NATION_5'").groupBy("country", "main_sku").agg(F.sum("quantity").alias("quantity"))
     rec = table(spark, sf_dir, "nation").select(F.col("n_name").alias("country")).join(table(spark, sf_dir, "part").select(F.col("p_brand").alias("main_sku")).distinct())
     return export.with_metrics(rec, m, m.select("country"), ("quantity",))
 
