@@ -13,12 +13,20 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELD_WEIGHTS = {"cn_names": 8.0, "categories": 4.0, "en_aliases": 1.0}
 #: Queries whose vectors go to the executors at a time; more are taken in blocks of this many.
 QUERY_BLOCK = 4096
-
-
-def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(doc, field, token, tf): `fields` maps a field to its array of tokens."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens.alias("tokens")) for f, tokens in fields.items()])
-    flat = docs.select(F.col(key).alias("doc"), F.explode(each).alias("f")).select("doc", "f.field", F.explode("f.tokens").alias("token"))
+#: Up to this many query tokens (some MB) are broadcast to the postings; more are joined by shuffle.
+MOST_TOKENS = 100_000
+
+
+def postings(docs: DataFrame, key: str, fields: dict[str, Column], *, tokens: DataFrame | None = None) -> DataFrame:
+    """(doc, field, token, tf): `fields` maps a field to its array of tokens. With `tokens` (token), their postings only, filtered before anything is shuffled."""
+    flat = None
+    for field, array in fields.items():  # a scan a field, each of its own column
+        part = docs.select(F.col(key).alias("doc"), F.lit(field).alias("field"), F.explode(array).alias("token"))
+        flat = part if flat is None else flat.unionByName(part)
+    if tokens is not None:
+        asked = tokens.select("token").distinct()
+        few = asked.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS
+        flat = flat.join(F.broadcast(asked) if few else asked, "token", "left_semi")
     return flat.groupBy("doc", "field", "token").agg(F.count("*").alias("tf"))
 
 
@@ -50,8 +58,7 @@ def keyword_search(posts: DataFrame, lengths: DataFrame, queries: DataFrame, k:
     """(query_id, doc, score, rank) by BM25 over weighted fields. queries: (query_id, token) with a row for each distinct query token, folded.
 
     Only `weights`' fields are matched, but a document's size counts all of them. `scope` (doc) restricts what is ranked, not the
-    statistics. Postings meet the query's tokens by a semi-join, which the optimizer takes below the grouping of `postings`: what is
-    shuffled are matches only.
+    statistics. Postings meet the query's tokens first; where they are made for one search, give the tokens to `postings`.
     """
     asked = queries.groupBy("query_id", "token").agg(F.count("*").alias("times"))
     tokens = queries.select("token").distinct()

@@ -17,10 +17,10 @@ def tokens(c: str):
     return F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def indexed(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def indexed(spark, sf_dir: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents")
     fields = {c: tokens(c) for c in WEIGHTS}
-    return search.postings(d, "doc_id", fields), search.document_lengths(d, "doc_id", fields)
+    return search.postings(d, "doc_id", fields, tokens=wanted), search.document_lengths(d, "doc_id", fields)
 
 
 def asked(spark) -> DataFrame:
@@ -28,7 +28,7 @@ def asked(spark) -> DataFrame:
 
 
 def keyword_hits(spark, sf_dir: str, k: int, **kw) -> DataFrame:
-    posts, lengths = indexed(spark, sf_dir)
+    posts, lengths = indexed(spark, sf_dir, asked(spark))
     return search.keyword_search(posts, lengths, asked(spark), k, weights=WEIGHTS, **kw)
 
 
