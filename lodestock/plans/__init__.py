@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from . import catalog_queries, change_queries, search_queries, stock_queries  # noqa: F401
+from . import catalog_queries, change_queries, run_queries, search_queries, stock_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from itertools import chain
 from pathlib import Path
@@ -143,7 +144,7 @@ def xlsx_roundtrip(spark, sf_dir):
 def version_rollback(spark, sf_dir):
     from .versioning import Versions
 
-    v = Versions(_work(spark).removeprefix("file://") + f"/{abs(hash(sf_dir))}")
+    v = Versions(_work(spark).removeprefix("file://") + f"/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
     rows = part_rows(spark, sf_dir)
     for cut in ("ord % 2 = 0", "ord % 3 = 0"):
         docs = catalog.build_documents(rows.where(cut), ascii_only=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -63,12 +63,12 @@ def retrieve(roles: DataFrame, products: DataFrame, vectors: DataFrame, term_vec
     return kept, stock.match_status(roles, found, kept)
 
 
-def both_scopes(hits, in_country: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
+def both_scopes(hits, in_country: DataFrame, documents: DataFrame, limit: int, platform: Column | None = None) -> DataFrame:
     """A request's global and in-country runs: `hits(scope)` gives channel hits with a scope (doc) or None. Adds scope; each family once, the global run first."""
     runs = [("global", hits(None)), ("country", hits(in_country))]
     out = None
     for place, (name, h) in enumerate(runs):
-        r = fusion.hybrid_search(h, documents, limit).withColumn("scope", F.lit(name)).withColumn("scope_place", F.lit(place))
+        r = fusion.hybrid_search(h, documents, limit, platform).withColumn("scope", F.lit(name)).withColumn("scope_place", F.lit(place))
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +104,24 @@ def store_listing(spark: SparkSession, pattern: str) -> DataFrame:
 def pictures(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, base64, sha256, bytes) of pictures."""
     return spark.read.format("binaryFile").load(pattern).select("path", F.base64("content").alias("base64"), sc.file_hash(F.col("content")).alias("sha256"), F.length("content").alias("bytes"))
+
+
+def vector_matrix(spark: SparkSession, matrix_path: str, rows_path: str) -> DataFrame:
+    """(main_sku, vector) of a float32 matrix in NumPy's file format and a JSON array of its rows' ids, read and checked on one executor, as one file is."""
+
+    def read(batches):
+        for r in batches:
+            for matrix, ids in zip(r.column(0).to_pylist(), r.column(1).to_pylist()):
+                m, names = np.load(io.BytesIO(matrix), allow_pickle=False), json.loads(ids)
+                if m.dtype != np.float32 or m.ndim != 2 or not m.shape[1]:
+                    raise ValueError("a vector matrix is two-dimensional and float32")
+                if not np.isfinite(m).all():
+                    raise ValueError("a vector matrix has finite values only")
+                if not isinstance(names, list) or not all(isinstance(n, str) and n for n in names) or len(names) != len(m) or len(set(names)) != len(names):
+                    raise ValueError("vector rows are a JSON array of one id, not empty, for each row of the matrix, none twice")
+                for a in range(0, len(m), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 4096]), pa.array(m[a : a + 4096].tolist(), pa.list_(pa.float32()))], names=["main_sku", "vector"])
+
+    one = lambda path, name: spark.read.format("binaryFile").load(path).select(F.col("content").alias(name))
+    both = one(matrix_path, "matrix").crossJoin(F.broadcast(one(rows_path, "ids")))  # a file each
+    return both.mapInArrow(read, "main_sku string, vector array<float>")

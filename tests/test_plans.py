@@ -2,11 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestock import cli
 from lodestock.functions.embedding import HashingProvider, embed, embed_cached
+from lodestock.operators import runs
 from lodestock.plans import retrieval, stages
 from lodestock.plans.params import SearchParams
 from lodestock.sources import tables, xlsx
@@ -45,12 +47,56 @@ def test_params():
     assert len(SearchParams.schema()) == 7
 
 
+def behind(spark, *, files=None, missing=(), recorded=(), settings=(), pictures=(), read=(), unfinished=()):
+    names = ["sample_store.json", "clues.json", "analysis_input.json", "deepseek_conclusion.json", "deepseek_scenes.json", "products/manifest.json", "expansions.json", "retrieval.json", "rerank.json"]
+    times = {n: i for i, n in enumerate(names) if n not in missing} | (files or {})
+    frame = lambda rows, kind: spark.createDataFrame(list(rows), kind)
+    unread = runs.unread_pictures(frame([("s", p) for p in pictures], "store string, picture string"), frame([("s", p) for p in read], "store string, picture string"))
+    noted = stages.settings_read(frame([("s", *r) for r in recorded], "store string, stage string, key string, value string"))
+    out = runs.stale_stages(
+        stages.stage_table(spark), frame([("s",)], "store string"), frame([("s", n, t) for n, t in times.items()], "store string, name string, modified int"),
+        frame([("s", g) for g in stages.ORDER if g not in unfinished], "store string, stage string"), noted, frame([("s", *r) for r in settings], "store string, key string, value string"), unread,
+    )
+    return [r["stage"] for r in out.where("behind").orderBy("place").collect()]
+
+
+def test_stale_stages(spark):
+    assert behind(spark) == []
+    assert behind(spark, recorded=[("retrieval", "recall_limit", "1"), ("retrieval", "temperature", "9")], settings=[("recall_limit", "2")]) == ["retrieval", "rerank"]
+    assert behind(spark, files={"analysis_input.json": 99})[0] == "synthesis"
+    assert behind(spark, pictures=["a", "b"], read=["a", "b"]) == [] and behind(spark, pictures=["a", "b"], read=["a"]) == list(stages.ORDER)
+    assert behind(spark, missing=["sample_store.json"])[0] == "recognize" and behind(spark, unfinished=["expand"]) == ["expand", "retrieval", "rerank"]
+
+
+def test_vector_matrix(spark, tmp_path):
+    def read(m, ids):
+        np.save(tmp_path / "m.npy", m)
+        (tmp_path / "r.json").write_text(json.dumps(ids))
+        return [(r["main_sku"], r["vector"]) for r in tables.vector_matrix(spark, str(tmp_path / "m.npy"), str(tmp_path / "r.json")).collect()]
+
+    m = np.array([[1, 2], [3, 4]], np.float32)
+    assert read(m, ["a", "b"]) == [("a", [1, 2]), ("b", [3, 4])]
+    for bad, ids in ((m.astype(float), ["a", "b"]), (m, ["a", "a"]), (m, ["a"]), (m * np.nan, ["a", "b"]), (m[0], ["a", "b"]), (m, ["a", ""])):
+        with pytest.raises(Exception, match="vector"):
+            read(bad, ids)
+
+
+def test_scenes_named_twice_and_views(spark):
+    wanted = spark.createDataFrame([("s", "x", "1"), ("s", "x", "1")], "store string, scene string, request string")
+    with pytest.raises(Exception, match="named twice"):
+        runs.unfinished(wanted, spark.createDataFrame([], "store string, scene string, request string, recorded string, found string")).collect()
+    with pytest.raises(ValueError):
+        runs.visible(wanted, "none")
+
+
+def test_audit(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "id int, report string")
+    for _ in range(2):
+        runs.append_audit(rows, f"file://{tmp_path}/audit")
+    assert spark.read.parquet(f"file://{tmp_path}/audit").count() == 2
+
+
 def test_stages():
-    files = {f: i for i, f in enumerate(["images", "sample_store.json", "clues.json", "analysis_input.json", "deepseek_conclusion.json", "deepseek_scenes.json", "products/manifest.json", "expansions.json", "retrieval.json", "rerank.json"])}
-    done = dict.fromkeys(stages.ORDER, True)
-    assert stages.outdated(files, done, {}, {}) == []
-    assert stages.outdated(files, done, {"retrieval": {"recall_limit": 1, "stock_filter": "all"}}, {"recall_limit": 2, "stock_filter": "all"}) == ["retrieval", "rerank"]
-    assert stages.outdated(files | {"analysis_input.json": 99}, done, {}, {})[0] == "synthesis"
     assert stages.chosen(("rerank", "clues")) == ("clues", "rerank")
     with pytest.raises(ValueError):
         stages.chosen(("x",))
