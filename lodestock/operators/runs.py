@@ -33,6 +33,18 @@ def stale_stages(stages: DataFrame, stores: DataFrame, files: DataFrame, finishe
     return j.select("store", "stage", "place", behind.alias("behind"))
 
 
+def next_stages(states: DataFrame) -> DataFrame:
+    """(store, next_stage, stages_left): the first stage that is behind, null where the store is ready, and how many are. states: (store, stage, place, behind)."""
+    first = F.min(F.when(F.col("behind"), F.struct("place", "stage")))
+    return states.groupBy("store").agg(first.alias("first"), F.count_if("behind").alias("stages_left")).select("store", F.col("first.stage").alias("next_stage"), "stages_left")
+
+
+def store_batches(stores: DataFrame, size: int) -> DataFrame:
+    """`stores` (store, country, ...) plus batch, from 0: `size` stores of one country each, in order of the store."""
+    w = W.partitionBy("country").orderBy("store")
+    return stores.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+
+
 def unread_pictures(pictures: DataFrame, receipts: DataFrame) -> DataFrame:
     """(store): stores with a picture (store, picture) that the reading's receipt (store, picture) doesn't name."""
     return pictures.join(receipts.select("store", "picture").distinct(), ["store", "picture"], "left_anti").select("store").distinct()

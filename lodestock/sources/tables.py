@@ -102,8 +102,8 @@ def store_listing(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, base64, sha256, bytes) of pictures."""
-    return spark.read.format("binaryFile").load(pattern).select("path", F.base64("content").alias("base64"), sc.file_hash(F.col("content")).alias("sha256"), F.length("content").alias("bytes"))
+    """(path, base64 without line breaks, sha256, bytes) of pictures."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.translate(F.base64("content"), "\r\n", "").alias("base64"), sc.file_hash(F.col("content")).alias("sha256"), F.length("content").alias("bytes"))
 
 
 def vector_matrix(spark: SparkSession, matrix_path: str, rows_path: str) -> DataFrame:

@@ -31,13 +31,13 @@ def stream_upsert(spark: SparkSession, source: str, work: str, *, key: str, orde
         last.append(batch_id)
 
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source if source.endswith("/") else _folder(spark, source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source if source.endswith("/") else glob_of(source))
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/state-{max(last)}") if last else spark.createDataFrame([], schema)
 
 
-def _folder(spark: SparkSession, source: str) -> str:
+def glob_of(source: str) -> str:
     """A stream reads folders: a single file is given as a glob that matches it alone."""
     head, _, name = source.rpartition("/")
     return f"{head}/{name[:-1]}[{name[-1]}]"
