@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, ngram_join, packing, periodic, pii, quality, resampling, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_pii": pii.op9_pii,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_simhash": simhash.op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.SQL, "op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op3_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL, "op10_line_dedup": line_dedup.SQL, "op12_resampling": resampling.SQL}
