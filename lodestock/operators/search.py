@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # BM25's constants, the floor of a token's weight, and the weights of the three indexed fields.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELD_WEIGHTS = {"cn_names": 8.0, "categories": 4.0, "en_aliases": 1.0}
-#: Queries whose vectors go to the executors at a time; more are taken in blocks of this many.
-QUERY_BLOCK = 4096
+#: Queries that go to the tasks as one matrix, and the size of blocks of more; vectors of a block; scores that a task holds at a time.
+QUERY_BLOCK, VECTOR_BLOCK, SCORES = 4096, 65_536, 1 << 23
 #: Up to this many query tokens (some MB) are broadcast to the postings; more are joined by shuffle.
 MOST_TOKENS = 100_000
 
@@ -77,51 +77,86 @@ def keyword_search(posts: DataFrame, lengths: DataFrame, queries: DataFrame, k:
     return top_k(scored.select("query_id", "doc", F.round("exact", 9).alias("score")), k)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of equally long lists of numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def nearest(asked: np.ndarray, values: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows and of all that tie with the last of them, so that ties are settled by key later."""
+    if metric != "dot":
+        asked, values = unit_rows(asked), unit_rows(values)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if not len(asked) or not len(values):
+        return out[0]
+    step = max(1, SCORES // len(values))
+    for a in range(0, len(asked), step):
+        scores = asked[a : a + step] @ values.T
+        if metric == "unit":
+            scores = np.clip((scores + 1) / 2, 0, 1)
+        keep = np.round(scores, 9)
+        if scores.shape[1] > k:
+            q, d = np.nonzero(keep >= -np.partition(-keep, k - 1, axis=1)[:, k - 1 : k])
+        else:
+            q, d = (x.ravel() for x in np.indices(scores.shape))
+        out.append((q + a, d, scores[q, d]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _kinds(vectors: DataFrame, queries: DataFrame) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"query_id {kind(queries, 'query_id')}, doc {kind(vectors, 'doc')}, score double"
+
+
+def _of_block(ids: pa.ChunkedArray, asked: np.ndarray, k: int, metric: str):
+    ids = ids.combine_chunks()
+
+    def scan(batches):
+        for r in batches:
+            if r.num_rows and len(ids):
+                q, d, s = nearest(asked, matrix(r.column(1)), k, metric)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), r.column(0).take(pa.array(d)), pa.array(s)], names=["query_id", "doc", "score"])
+
+    return scan
+
+
+def _of_blocks(k: int, metric: str):
+    def join(asked: pa.Table, found: pa.Table) -> pa.Table:
+        q, d, s = nearest(matrix(asked["vector"]), matrix(found["vector"]), k, metric)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(q)), "doc": found["doc"].take(pa.array(d)), "score": pa.array(s)})
+
+    return join
+
+
+def best_of_blocks(queries: DataFrame, vectors: DataFrame, on: list[str], k: int, metric: str) -> DataFrame:
+    """(query_id, doc, score): candidates for the k best, block against block. Both sides carry the block's key `on`; a block of either side fits a task."""
+    return queries.groupBy(*on).cogroup(vectors.groupBy(*on)).applyInArrow(_of_blocks(k, metric), _kinds(vectors, queries))
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc, score, rank), exact. vectors: (doc, vector); queries: (query_id, vector); metric: cosine, unit ((cos+1)/2) or dot.
+    """(query_id, doc, score, rank), exact. vectors: (doc, vector); queries: (query_id, vector); metric: cosine, unit ((cos+1)/2) or dot. Keys are unique.
 
-    Query vectors go to the tasks in blocks of QUERY_BLOCK; a task multiplies matrices and hands on k rows a query and batch.
+    Up to QUERY_BLOCK queries go to the tasks as one matrix, and vectors are not moved. More are dealt into blocks, as are the vectors;
+    each block of queries meets each block of vectors in a task of its own, which hands on k rows a query. The driver never holds more than one block of queries.
     """
     if scope is not None:
         vectors = vectors.join(scope.select("doc").distinct(), "doc", "left_semi")
-    asked = queries.select("query_id", "vector").orderBy("query_id").toArrow()
-    out = None
-    for a in range(0, max(asked.num_rows, 1), QUERY_BLOCK):
-        block = asked.slice(a, QUERY_BLOCK)
-        ids = block["query_id"].to_pylist()
-        matrix = np.array(block["vector"].to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        fields = [f.simpleString() for f in (vectors.schema["doc"], queries.schema["query_id"])]
-        kinds = f"query_id {fields[1].split(':', 1)[1]}, doc {fields[0].split(':', 1)[1]}, score double"
-        part = vectors.select("doc", "vector").mapInArrow(_nearest(pa.array(ids, asked.schema.field("query_id").type), matrix, k, metric), kinds)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out.withColumn("score", F.round("score", 9)), k)
-
-
-def _nearest(ids: pa.Array, matrix: np.ndarray, k: int, metric: str):
-    def unit(m: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-    asked = matrix if metric == "dot" else unit(matrix)
-
-    def nearest(batches):
-        for r in batches:
-            if not r.num_rows or not len(ids):
-                continue
-            values = np.array(r.column(1).to_pylist(), dtype=np.float64)
-            scores = asked @ (values if metric == "dot" else unit(values)).T
-            if metric == "unit":
-                scores = np.clip((scores + 1) / 2, 0, 1)
-            # all that tie with the k-th stay, so that ties are settled by key later
-            keep = np.round(scores, 9)
-            if scores.shape[1] > k:
-                least = -np.partition(-keep, k - 1, axis=1)[:, k - 1 : k]
-                q, d = np.nonzero(keep >= least)
-            else:
-                q, d = (x.ravel() for x in np.indices(scores.shape))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), r.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc", "score"])
-
-    return nearest
+    vectors, queries = vectors.select("doc", "vector"), queries.select("query_id", "vector")
+    head = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if head.num_rows <= QUERY_BLOCK:
+        found = vectors.mapInArrow(_of_block(head["query_id"], matrix(head["vector"]), k, metric), _kinds(vectors, queries))
+    else:
+        blocks = [-(-d.count() // size) or 1 for d, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK))]
+        dealt = lambda d, key, own, other, n, m: d.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+        found = best_of_blocks(dealt(queries, "query_id", "qb", "vb", *blocks), dealt(vectors, "doc", "vb", "qb", *reversed(blocks)), ["qb", "vb"], k, metric)
+    return top_k(found.withColumn("score", F.round("score", 9)), k)
 
 
 def embedding_intersection(embeddings: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
 import uuid
 from itertools import chain
 
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, clues, incremental
 from ..sources import xlsx
+from ..sources.store import shared_folder
 from ..sources.tables import SOURCE_HEADERS, source_rows
 from .catalog_queries import part_rows
 from .registry import query, table
@@ -126,14 +125,6 @@ def validator_split(spark, sf_dir):
     return good.select("event_id", F.lit(True).alias("valid"), F.lit("").alias("broken")).unionByName(bad.select("event_id", F.lit(False).alias("valid"), F.array_join("broken", ",").alias("broken")))
 
 
-def work_folder(spark) -> str:
-    """A folder that every executor sees; a temporary one only for a local master without `spark.checkpoint.dir`."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/lodestock-plans" if base else f"file://{tempfile.mkdtemp(prefix='lodestock-')}"
-
-
 def put_file(spark, path: str, content: bytes) -> None:
     """A file in any store that Spark reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -148,28 +139,14 @@ def put_file(spark, path: str, content: bytes) -> None:
 def xlsx_roundtrip(spark, sf_dir):
     """All parts written as a workbook, in as many sheets as they need, and read back as source rows."""
     rows = part_rows(spark, sf_dir).orderBy("ord").select(*SOURCE_HEADERS.values()).toLocalIterator()
-    path = f"{work_folder(spark)}/{uuid.uuid4().hex}/parts.xlsx"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/parts.xlsx"
     put_file(spark, path, xlsx.write_workbook(chain([("notes", ["x"], [["y"]])], xlsx.paged("parts", list(SOURCE_HEADERS), rows))))
     return source_rows(spark, path).select("sku", "main_sku", "product_name", "category_level_1")
 
 
-@query("""select p_brand as main_sku, cast(count(*) as integer) as children from part where p_partkey % 2 = 0 group by p_brand""")
-def version_rollback(spark, sf_dir):
-    """Two versions of a catalog are published, of other parts each; after a rollback the first is in force again."""
-    from .versioning import Versions
-
-    v = Versions(work_folder(spark).removeprefix("file://") + f"/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
-    rows = part_rows(spark, sf_dir)
-    for cut in ("ord % 2 = 0", "ord % 3 = 0"):
-        docs = catalog.build_documents(rows.where(cut), ascii_only=True)
-        v.rebuild(spark, {"source": cut, "rules": "1"}, {"documents": docs}, checks={})
-    v.rollback()
-    return v.read(spark, "documents").select("main_sku", F.size("children").alias("children"))
-
-
 @query("""select * from events qualify row_number() over (partition by user_id order by event_id desc) = 1""")
 def streaming_upsert(spark, sf_dir):
     """The last event of each user, merged batch by batch."""
     from ..streaming.upsert import stream_upsert
 
-    return stream_upsert(spark, f"{sf_dir}/events.parquet", work_folder(spark), key="user_id", order="event_id")
+    return stream_upsert(spark, f"{sf_dir}/events.parquet", shared_folder(spark), key="user_id", order="event_id")

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..operators import runs, stock
 from ..sources import tables, xlsx
+from ..sources.store import shared_folder
 from ..streaming import upsert
-from .change_queries import put_file, work_folder
+from .change_queries import put_file
 from .registry import query, table
 
 
 def folder(spark) -> str:
-    return f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def parts(spark, sf_dir: str):

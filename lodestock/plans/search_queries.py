@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, fusion, rerank, search
+from ..operators import benchmark, fusion, rerank, search, vector_index
+from ..operators.inverted import Inverted
+from ..operators.vector_index import VectorIndex
 from .registry import query, table
+from .stored_index import kept, kept_index
 
 #: The queries' tokens, and fields' weights as in a catalog: names, categories, aliases.
 ASKED = {"q1": ("the", "thing"), "q2": ("ening", "stupid", "ratio"), "q3": ("license", "token")}
@@ -17,10 +20,9 @@ def tokens(c: str):
     return F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def indexed(spark, sf_dir: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents")
-    fields = {c: tokens(c) for c in WEIGHTS}
-    return search.postings(d, "doc_id", fields, tokens=wanted), search.document_lengths(d, "doc_id", fields)
+def index_of(spark, sf_dir: str) -> Inverted:
+    """The stored index of the documents; built by the first search of a state of the table."""
+    return kept_index(spark, "documents", f"{sf_dir}/documents.parquet", table(spark, sf_dir, "documents"), "doc_id", {c: tokens(c) for c in WEIGHTS})
 
 
 def asked(spark) -> DataFrame:
@@ -28,8 +30,7 @@ def asked(spark) -> DataFrame:
 
 
 def keyword_hits(spark, sf_dir: str, k: int, **kw) -> DataFrame:
-    posts, lengths = indexed(spark, sf_dir, asked(spark))
-    return search.keyword_search(posts, lengths, asked(spark), k, weights=WEIGHTS, **kw)
+    return index_of(spark, sf_dir).search(asked(spark), k, weights=WEIGHTS, **kw)
 
 
 def vectors(spark, sf_dir: str) -> DataFrame:
@@ -58,10 +59,8 @@ kw as (select query_id, doc, score, row_number() over (partition by query_id ord
 
 @query(f"""with {TOKENS} select token, cast(count(distinct doc) as bigint) as df, cast(sum(tf) as bigint) as tf from post group by token""")
 def postings_stats(spark, sf_dir):
-    posts, _ = indexed(spark, sf_dir)
-    # postings are a row per document and field; a document counts once
-    per_doc = posts.groupBy("token", "doc").agg(F.sum("tf").alias("tf"))
-    return per_doc.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    tf = sum((F.col(f"tf_{c}") for c in WEIGHTS), F.lit(0))
+    return index_of(spark, sf_dir).posts.groupBy("token").agg(F.count("*").alias("df"), F.sum(tf).alias("tf"))  # a posting is a document
 
 
 @query(BM25.format(scope="") + " select query_id, doc, round(score, 6) as score, cast(rank as integer) as rank from kw where rank <= 20")
@@ -75,6 +74,21 @@ def scoped_keyword_search(spark, sf_dir):
     return keyword_hits(spark, sf_dir, 20, scope=scope).withColumn("score", F.round("score", 6))
 
 
+def overlaid(spark, sf_dir: str) -> Inverted:
+    """The documents' index with an overlay in which German documents have other texts."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'de'").withColumn("text", F.concat_ws(" ", "source", F.lit("license"), "lang"))
+    fields = {c: tokens(c) for c in WEIGHTS}
+    return index_of(spark, sf_dir).with_overlay(kept_index(spark, "overlay", f"{sf_dir}/documents.parquet", docs, "doc_id", fields, {"texts": "source license lang"}))
+
+
+REPLACED = "replaced as (select doc_id, source, lang, case when lang = 'de' then concat_ws(' ', source, 'license', lang) else text end as text from documents), tok as"
+
+
+@query(BM25.format(scope="").replace("documents", "replaced").replace("tok as", REPLACED, 1) + " select query_id, doc, round(score, 6) as score, cast(rank as integer) as rank from kw where rank <= 20")
+def overlay_keyword_search(spark, sf_dir):
+    return overlaid(spark, sf_dir).search(asked(spark), 20, weights=WEIGHTS).withColumn("score", F.round("score", 6))
+
+
 def vector_sql(value: str, where: str = "true", k: int = 10) -> str:
     return f"""with s as (select q.vec_id as query_id, v.vec_id as doc, round({value}, 9) as score from embeddings q, embeddings v where q.vec_id % 50 = 0 and {where}),
 r as (select *, row_number() over (partition by query_id order by score desc, doc) as rank from s) select query_id, doc, round(score, 6) as score, cast(rank as integer) as rank from r where rank <= {k}"""
@@ -104,6 +118,33 @@ def scoped_vector_topk(spark, sf_dir):
     return search.vector_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10, scope=scope).withColumn("score", F.round("score", 6))
 
 
+def vector_index_of(spark, sf_dir: str) -> VectorIndex:
+    """The stored inverted-file index of all embeddings."""
+    now = kept(spark, "vectors", f"{sf_dir}/embeddings.parquet", {}, lambda: vector_index.index_tables(vectors(spark, sf_dir)), {"vectors": "list"})
+    return VectorIndex(*(now.table(t) for t in ("vectors", "lists", "probes")))
+
+
+@query(vector_sql(COSINE))
+def ivf_topk(spark, sf_dir):
+    """The exact answer from the index: nearest lists, then those that the triangle inequality leaves open."""
+    return vector_index_of(spark, sf_dir).search(vector_queries(spark, sf_dir), 10, exact=True).withColumn("score", F.round("score", 6))
+
+
+@query(vector_sql(f"greatest(0, least(1, ({COSINE} + 1) / 2))", "v.label = 1"))
+def ivf_scoped_topk(spark, sf_dir):
+    scope = table(spark, sf_dir, "embeddings").where("label = 1").select(F.col("vec_id").alias("doc"))
+    return vector_index_of(spark, sf_dir).search(vector_queries(spark, sf_dir), 10, exact=True, metric="unit", scope=scope).withColumn("score", F.round("score", 6))
+
+
+@query("select cast(count(*) as bigint) as queries, cast(count(*) * 10 as bigint) as wanted, true as recall_reached from embeddings where vec_id % 50 = 0")
+def ivf_recall(spark, sf_dir):
+    """Whether the nearest lists alone, as many as the index was calibrated to, hold at least nine tenths of the ten best of every asked vector, by brute force over all rows."""
+    q = vector_queries(spark, sf_dir)
+    near = vector_index_of(spark, sf_dir).search(q, 10)
+    r = vector_index.recall(near, search.vector_search(vectors(spark, sf_dir), q, 10))
+    return r.select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def channels(spark, sf_dir: str, k: int = 50) -> DataFrame:
     """Hits of keyword roles (q1 and, as an expansion, q2 are role 0, q3 role 1), and of each query vector, whose id is its role."""
     place = {"q1": (0, 1.0), "q2": (0, 0.7), "q3": (1, 1.0)}

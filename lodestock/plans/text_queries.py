@@ -8,7 +8,8 @@ from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import rerank, search
 from .registry import query, table
-from .retrieval import bilingual_index, query_tokens
+from .retrieval import bilingual_fields, query_tokens
+from .stored_index import kept_index
 from .stock_queries import CANDIDATES, candidates
 
 
@@ -137,11 +138,12 @@ def bilingual_keyword_search(spark, sf_dir):
     """Every name asked in the Chinese field, every type in the English one, of one index over both."""
     p = table(spark, sf_dir, "part")
     products = p.select(F.concat(F.lit("P"), "p_partkey").alias("main_sku"), F.col("p_name").alias("standard_name_cn"), F.concat_ws(" ", "p_name", "p_type").alias("standard_name_en"))
-    posts, lengths = bilingual_index(products)
+    docs, fields = bilingual_fields(products)
+    index = kept_index(spark, "products", f"{sf_dir}/part.parquet", docs, "main_sku", fields)
     out = None
     for language, column in (("cn", "p_name"), ("en", "p_type")):
         terms = p.select(F.col(column).alias("query_id"), F.col(column).alias("query")).distinct()
-        found = search.keyword_search(posts, lengths, query_tokens(terms), 30, weights={language: 1.0})
+        found = index.search(query_tokens(terms), 30, weights={language: 1.0})
         found = found.select(F.lit(language).alias("language"), F.col("query_id").alias("query"), "doc", F.round("score", 6).alias("score"), "rank")
         out = found if out is None else out.unionByName(found)
     return out

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestock.functions import text as tx
 from lodestock.operators import benchmark, catalog, clues, export, fusion, incremental, rerank, search, stock
-from lodestock.plans.versioning import GateError, Versions
 from lodestock.sources import tables, xlsx
 
 ROW = ", ".join(f"{c} string" for c in catalog.ROW_FIELDS)
@@ -172,21 +171,6 @@ def test_stock_snapshot(spark, tmp_path):
     assert {r["country"]: r["mains"] for r in got.collect()} == {"PH": ["A"], "TH": ["B"]}
 
 
-def test_versions(spark, tmp_path):
-    v, df = Versions(str(tmp_path / "v")), spark.createDataFrame([("A", 1)], "main_sku string, n int")
-    a = v.rebuild(spark, {"source": "1"}, {"documents": df}, {})
-    assert v.rebuild(spark, {"source": "1"}, {"documents": df}, {}) == a
-    b = v.rebuild(spark, {"source": "2"}, {"documents": df.withColumn("n", F.lit(2))}, {})
-    with pytest.raises(GateError):
-        v.rebuild(spark, {"source": "3"}, {"documents": df}, {"never": lambda t: t["documents"]})
-    assert v.state() == {"active": b, "previous": a} and v.read(spark, "documents").first()["n"] == 2
-    v.rollback()
-    assert v.read(spark, "documents").first()["n"] == 1
-    v.verify(spark)
-    with v.writer(), pytest.raises(RuntimeError, match="another writer"), v.writer():
-        pass
-
-
 def test_folded_tokens(spark):
     df = spark.createDataFrame([("Éoution T恤 x_y",)], "t string")
     assert df.select(tx.index_words(tx.fold_accents(F.col("t")))).first()[0] == ["eoution", "t恤", "x", "y"]
