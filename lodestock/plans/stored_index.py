@@ -11,13 +11,16 @@ from ..operators.inverted import Inverted, index_tables
 from ..sources.store import BusyError, shared_folder, short_hash, signature
 from .versioning import Snapshot, Versions
 
+#: Goes up when the form of stored tables or of tokens changes, so that indexes of before are made anew.
+LAYOUT = 3
+
 
 def kept(spark: SparkSession, name: str, source: str, rules: dict, build: Callable[[], dict[str, DataFrame]], partitions: dict[str, str] | None = None) -> Snapshot:
     """A version of the tables of `build`, made only if the source's files or the rules have changed since the last one.
 
     Of several processes one builds; one that comes meanwhile builds a version beside, under a root of its own.
     """
-    identity = {"files": signature(spark, source), "rules": rules}
+    identity = {"files": signature(spark, source), "rules": rules, "layout": LAYOUT}
     root = f"{shared_folder(spark)}/index/{name}-{short_hash(source)}"
     if now := Versions(spark, root).current(identity):
         return now
