@@ -93,7 +93,11 @@ def vector_names(names: Column) -> Column:
 
 
 def vector_text(names: Column) -> Column:
-    prepared = vector_names(names)
+    return vector_text_of(vector_names(names))
+
+
+def vector_text_of(prepared: Column) -> Column:
+    """The text of prepared names, empty without any."""
     return F.when(F.size(prepared) > 0, F.concat(F.lit(VECTOR_PREFIX), F.array_join(prepared, VECTOR_SEPARATOR))).otherwise("")
 
 

@@ -71,8 +71,13 @@ def _with_own_identifiers(r: DataFrame) -> DataFrame:
     return joined.withColumn("ids", tx.identifiers_pattern(F.concat(F.coalesce("own", none), F.coalesce("odd", none)))).drop("own", "odd")
 
 
-def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None, *, ascii_only: bool = False) -> DataFrame:
-    """One document a main SKU. rows: ROW_FIELDS and ord, a number that no two rows of a family share; a row without sku or main_sku is an error."""
+def family_entries(rows: DataFrame, excluded_children: DataFrame | None = None, *, ascii_only: bool = False) -> DataFrame:
+    """(main_sku, kind, key, show, ord): what is distinct in each family, a row an entry, from one pass over the source rows.
+
+    kind: child (a row each), cn, en and leaf (names by normalized key; show: the least display), path (show: its displays; ord: where it first
+    occurs), vec (names of the vector text) and mark (live, out, operational, bad_english). Entries are combined before they are shuffled, by kind and key, so
+    that a family of any number of rows is no hot key. rows: ROW_FIELDS and ord, a number that no two rows of a family share; a row without sku or main_sku is an error.
+    """
     r = normalized_rows(rows, ascii_only=ascii_only)
     r = r.withColumn("n_main_sku", F.when((F.col("n_sku") == "") | (F.col("n_main_sku") == ""), F.raise_error(F.lit("each source row requires non-empty sku and main_sku")).cast("string")).otherwise(F.col("n_main_sku")))
     if excluded_children is not None:
@@ -88,39 +93,79 @@ def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None,
     for c in ("english_name", "english_keywords"):
         bad_english = bad_english | ((F.col(f"n_{c}") != "") & usable(c).isNull())
     name = usable("product_name")
-    item = F.struct(
-        "ord", "sku", "n_sku", "out", F.col("product_name").alias("name"), F.col("n_product_name").alias("n_name"), "sales_status_raw", leaf.alias("leaf"), F.array_compact(F.array(*levels)).alias("path"),
-        F.array_compact(F.array(*[F.when(usable(c).isNotNull(), _pair(F.col(f"n_{c}"), F.col(c))) for c in ("english_name", "english_keywords")])).alias("aliases"),
-        "ids", bad_english.alias("bad_english"), F.coalesce(tx.truncate_operational(name) != name, F.lit(False)).alias("operational"),
-    )
-    g = r.groupBy(F.col("n_main_sku").alias("main_sku")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    g = g.withColumn("live", F.filter("rows", lambda x: ~x["out"]))
-
-    def indexed(x: Column) -> Column:
-        cut = tx.remove_identifiers(x["n_name"], x["ids"], normal=x["n_name"])
-        same = tx.clean_optional(x["n_name"]).isNull() | (cut == x["n_name"])
-        return _pair(cut, F.when(same, x["name"]).otherwise(cut))
-
-    g = g.withColumn("named", F.transform("live", indexed))
-    clean_named = F.filter("named", lambda p: tx.clean_optional(p["key"]).isNotNull())
-    paths = F.filter(F.transform("live", lambda x: x["path"]), lambda p: F.size(p) > 0)
-    g = g.select("*", paths.alias("paths"), _least_display(clean_named).alias("cn_names"), _least_display(F.flatten(F.transform("live", lambda x: x["aliases"]))).alias("en_aliases"),
-        _least_display(F.array_compact(F.transform("live", lambda x: x["leaf"]))).alias("leaf_categories"), tx.vector_text(F.transform("named", lambda p: p["key"])).alias("vector_text_v1"))
-    path_key = lambda p: F.transform(p, lambda q: q["key"])
-    path_show = lambda p: F.transform(p, lambda q: q["display"])
-    # the least display of each path, in the order in which the paths first occur
-    least = _first_of_each(F.array_sort(F.transform("paths", lambda p: F.struct(path_key(p).alias("key"), path_show(p).alias("show")))))
-    earliest = _first_of_each(F.array_sort(F.transform("paths", lambda p, i: F.struct(path_key(p).alias("key"), i.alias("at")))))
-    shown = F.transform(F.array_sort(F.zip_with(earliest, least, lambda a, b: F.struct(a["at"].alias("at"), b["show"].alias("show")))), lambda x: x["show"])
+    r = r.withColumns({"__cut": tx.remove_identifiers(F.col("n_product_name"), F.col("ids"), normal=F.col("n_product_name")), "__path": F.array_compact(F.array(*levels)), "__leaf": leaf})
+    same = name.isNull() | (F.col("__cut") == F.col("n_product_name"))
+
+    def entry(kind: str, when: Column, key: Column, show: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), key.alias("key"), show.cast("array<string>").alias("show")))
+
+    live, none = ~F.col("out"), F.array()
+    pair = lambda kind, p: entry(kind, live & p.isNotNull(), p["key"], F.array(p["display"]))
+    vector_name = F.get(tx.vector_names(F.array("__cut")), F.lit(0))
+    entries = [
+        entry("child", F.lit(True), F.col("ord").cast("string"), F.array("sku", "product_name", "sales_status_raw", F.when(F.col("out"), "excluded_sku").otherwise(""))),
+        entry("mark", F.lit(True), F.when(live, "live").otherwise("out"), none), entry("mark", live & bad_english, F.lit("bad_english"), none),
+        entry("mark", live & F.coalesce(tx.truncate_operational(name) != name, F.lit(False)), F.lit("operational"), none),
+        pair("cn", F.when(tx.clean_optional(F.col("__cut")).isNotNull(), _pair(F.col("__cut"), F.when(same, F.col("product_name")).otherwise(F.col("__cut"))))), pair("leaf", F.col("__leaf")),
+        *[pair("en", F.when(usable(c).isNotNull(), _pair(F.col(f"n_{c}"), F.col(c)))) for c in ("english_name", "english_keywords")],
+        entry("vec", live & vector_name.isNotNull(), vector_name, none),
+        entry("path", live & (F.size("__path") > 0), F.to_json(F.transform("__path", lambda q: q["key"])), F.transform("__path", lambda q: q["display"])),
+    ]
+    flat = r.select(F.col("n_main_sku").alias("main_sku"), "ord", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("main_sku", "ord", "e.*")
+    return flat.groupBy("main_sku", "kind", "key").agg(F.min("show").alias("show"), F.min("ord").alias("ord"))
+
+
+def family_children(entries: DataFrame) -> DataFrame:
+    """(main_sku, place, sku, display_name, sales_status_raw, status_flags) in the order of the source, a row a child; a large family is sorted on disk."""
+    c = entries.where("kind = 'child'").withColumn("place", F.row_number().over(W.partitionBy("main_sku").orderBy("ord")) - 1)
+    flags = F.when(F.col("show")[3] != "", F.array(F.col("show")[3])).otherwise(F.array().cast("array<string>"))
+    return c.select("main_sku", "place", F.col("show")[0].alias("sku"), F.col("show")[1].alias("display_name"), F.col("show")[2].alias("sales_status_raw"), flags.alias("status_flags"))
+
+
+def family_names(entries: DataFrame) -> DataFrame:
+    """(main_sku, kind, place, name): distinct cn, en and leaf names in order of their keys regardless of case, a row a name."""
+    n = entries.where("kind in ('cn', 'en', 'leaf')")
+    return n.select("main_sku", "kind", (F.row_number().over(W.partitionBy("main_sku", "kind").orderBy(F.lower("key"), "key")) - 1).alias("place"), F.col("show")[0].alias("name"))
+
+
+def family_facts(entries: DataFrame) -> DataFrame:
+    """(main_sku, searchable, vector_text_v1, quality_flags, children): a row a family, whatever its size: of its names only the eight of the vector text meet."""
+    best = entries.where("kind = 'vec'").withColumn("n", F.row_number().over(W.partitionBy("main_sku").orderBy(F.char_length("key"), "key"))).where(F.col("n") <= tx.VECTOR_NAMES)
+    text = best.groupBy("main_sku").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("named"))
+    has = lambda mark: F.bool_or((F.col("kind") == "mark") & (F.col("key") == mark)).alias(mark)
+    g = entries.groupBy("main_sku").agg(*[has(m) for m in ("live", "out", "operational", "bad_english")], F.count_if(F.col("kind") == "leaf").alias("leaves"), F.count_if(F.col("kind") == "child").alias("children"))
+    g = g.join(text, "main_sku", "left").withColumn("vector_text_v1", tx.vector_text_of(F.transform("named", lambda x: x["key"])))
+    return g.select("main_sku", *_judged(), "children")
+
+
+def _judged() -> list[Column]:
+    """Searchable, vector text and quality flags from a family's marks, number of leaves and vector text."""
     excluded = excluded_main(F.col("main_sku"))
     flags = F.array_compact(F.array(
-        F.when(~excluded & (F.size("live") != F.size("rows")), F.lit("excluded_children")), F.when(excluded, F.lit("excluded_main_sku")), F.when(F.size("leaf_categories") > 1, F.lit("mixed_leaf_category")),
-        F.when(F.exists("live", lambda x: x["operational"]), F.lit("operational_text")), F.when(F.exists("live", lambda x: x["bad_english"]), F.lit("placeholder_english")), F.when(F.col("vector_text_v1") == "", F.lit("unsearchable")),
+        F.when(~excluded & F.col("out"), F.lit("excluded_children")), F.when(excluded, F.lit("excluded_main_sku")), F.when(F.col("leaves") > 1, F.lit("mixed_leaf_category")),
+        F.when(F.col("operational"), F.lit("operational_text")), F.when(F.col("bad_english"), F.lit("placeholder_english")), F.when(F.col("vector_text_v1") == "", F.lit("unsearchable")),
     ))
-    children = F.transform("rows", lambda x: F.struct(x["sku"].alias("sku"), x["name"].alias("display_name"), x["sales_status_raw"].alias("sales_status_raw"), F.when(x["out"], F.array(F.lit("excluded_sku"))).otherwise(F.array().cast("array<string>")).alias("status_flags")))
+    return [((F.col("vector_text_v1") != "") & ~excluded).alias("searchable"), F.col("vector_text_v1"), flags.alias("quality_flags")]
+
+
+def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None, *, ascii_only: bool = False) -> DataFrame:
+    """One document a main SKU, with all its children in one row. rows as for `family_entries`, whose flat tables serve families too large for a row."""
+    entries = family_entries(rows, excluded_children, ascii_only=ascii_only)
+    of = lambda kind, item: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))
+    named = F.struct(F.lower("key").alias("folded"), F.col("key").alias("key"), F.col("show")[0].alias("x"))
+    has = lambda mark: F.bool_or((F.col("kind") == "mark") & (F.col("key") == mark)).alias(mark)
+    g = entries.groupBy("main_sku").agg(
+        *[of(kind, named).alias(kind) for kind in ("cn", "en", "leaf")], of("path", F.struct("ord", F.col("show").alias("x"))).alias("path"), of("child", F.struct("ord", F.col("show").alias("x"))).alias("child"),
+        of("vec", F.struct(F.char_length("key").alias("size"), F.col("key").alias("x"))).alias("vec"), *[has(m) for m in ("live", "out", "operational", "bad_english")],
+    )
+    shown = lambda kind: F.transform(kind, lambda e: e["x"])
+    children = F.transform("child", lambda e: F.struct(
+        e["x"][0].alias("sku"), e["x"][1].alias("display_name"), e["x"][2].alias("sales_status_raw"), F.when(e["x"][3] != "", F.array(e["x"][3])).otherwise(F.array().cast("array<string>")).alias("status_flags")))
+    g = g.withColumns({"leaves": F.size("leaf"), "vector_text_v1": tx.vector_text_of(F.slice(shown("vec"), 1, tx.VECTOR_NAMES))})
+    searchable, text, flags = _judged()
     return g.select(
-        F.concat(F.lit("main:"), "main_sku").alias("doc_id"), "main_sku", ((F.col("vector_text_v1") != "") & ~excluded).alias("searchable"), "cn_names", "en_aliases", "leaf_categories",
-        shown.alias("category_paths"), "vector_text_v1", children.alias("children"), flags.alias("quality_flags"),
+        F.concat(F.lit("main:"), "main_sku").alias("doc_id"), "main_sku", searchable, shown("cn").alias("cn_names"), shown("en").alias("en_aliases"), shown("leaf").alias("leaf_categories"),
+        shown("path").alias("category_paths"), text, children.alias("children"), flags,
     )
 
 

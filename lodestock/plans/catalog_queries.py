@@ -25,6 +25,10 @@ def part_documents(spark, sf_dir: str) -> DataFrame:
     return catalog.build_documents(part_rows(spark, sf_dir), ascii_only=True)
 
 
+def part_entries(spark, sf_dir: str) -> DataFrame:
+    return catalog.family_entries(part_rows(spark, sf_dir), ascii_only=True)
+
+
 @query("""select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as normal, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) in ('0','1','n-a','n/a','na','none','null','unknown') as placeholder from documents""")
 def normalize_text(spark, sf_dir):
     n = tx.normalize_compare(F.col("text"))
@@ -65,7 +69,7 @@ def family_documents(spark, sf_dir):
 
 @query("""select p_brand as main_sku, '商品名称：' || array_to_string(list_transform(list_sort(list(distinct {'s': length(p_name), 'n': p_name}))[1:8], lambda x: x.n), '；') as vector_text from part group by p_brand""")
 def family_vector_text(spark, sf_dir):
-    return part_documents(spark, sf_dir).select("main_sku", F.col("vector_text_v1").alias("vector_text"))
+    return catalog.family_facts(part_entries(spark, sf_dir)).select("main_sku", F.col("vector_text_v1").alias("vector_text"))
 
 
 @query("""select p_brand as main_sku, array_to_string(list_sort(list(distinct p_name)), '|') as aliases, 'Product name: ' || array_to_string(list_sort(list(distinct p_name)), '; ') as vector_text from part group by p_brand""")
@@ -81,7 +85,18 @@ def child_main_map(spark, sf_dir):
 
 @query("""select p_brand as main_sku, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as integer) as place, 'C' || p_partkey as sku, case when p_size % 7 = 0 then 'Shopee banned' else '' end as sales_status_raw from part""")
 def family_children(spark, sf_dir):
-    return catalog.children_of(part_documents(spark, sf_dir)).select("main_sku", "place", "sku", "sales_status_raw")
+    return catalog.family_children(part_entries(spark, sf_dir)).select("main_sku", "place", "sku", "sales_status_raw")
+
+
+@query("""select 'names' as part, cast(place as bigint) as place, name from (select row_number() over (order by lower(p_name), p_name) - 1 as place, p_name as name from (select distinct p_name from part))
+union all select 'children', row_number() over (order by p_partkey) - 1, 'C' || p_partkey from part
+union all select 'text', count(*), '商品名称：' || array_to_string(list_transform(list_sort(list(distinct {'s': length(p_name), 'n': p_name}))[1:8], lambda x: x.n), '；') from part""")
+def single_family(spark, sf_dir):
+    """All parts as one family, in flat tables: its names, its children in order, and its vector text with the number of children."""
+    entries = catalog.family_entries(part_rows(spark, sf_dir).withColumn("main_sku", F.lit("ONE")), ascii_only=True)
+    names = catalog.family_names(entries).where("kind = 'cn'").select(F.lit("names").alias("part"), F.col("place").cast("long").alias("place"), "name")
+    children = catalog.family_children(entries).select(F.lit("children").alias("part"), F.col("place").cast("long").alias("place"), F.col("sku").alias("name"))
+    return names.unionByName(children).unionByName(catalog.family_facts(entries).select(F.lit("text").alias("part"), F.col("children").alias("place"), F.col("vector_text_v1").alias("name")))
 
 
 @query("""with r as (select count(*) as n from region)
