@@ -53,17 +53,32 @@ def analysis_input(reviewed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reviewed.where("not excluded").select("clue", "role", "confidence", "evidence"), reviewed.where("excluded").select("clue", F.lit("运营手动排除").alias("reason"))
 
 
-def purity_violations(needs: DataFrame, excluded: DataFrame, most: int = 10_000) -> DataFrame:
-    """(scene, product_cn, excluded_clue): needs that mention an excluded clue.
+def mention_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text, name): every pair of a text and a name that it mentions, as tx.mentions has it, each once. texts: (text); names: (name).
 
-    The excluded names are an operator's list: at most `most`, checked, held in one array beside each need; more are an error.
+    Pairs meet by a Latin word that both have, or by one pair of neighbouring CJK characters of the name's run: of each run that which is
+    rarest among the texts, so that common ones bring few candidates, which are verified on the whole run. Keys are joined by shuffle; none is collected.
     """
-    names = [r[0] for r in excluded.select("clue").distinct().orderBy("clue").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} excluded clues")
-    listed = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    texts, names = texts.select("text").where("text is not null").distinct(), names.select("name").where("name is not null").distinct()
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([0-9a-z]{2,})"), F.lit(1)))).alias("key")
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"({tx.CJK}{{2,}})"), F.lit(1)))
+    twos = lambda run: F.transform(F.sequence(F.lit(1), F.char_length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+    by_word = texts.select("text", words(F.col("text"))).join(names.select("name", words(F.col("name"))), "key").select("text", "name")
+    grams = texts.select("text", F.explode(F.array_distinct(F.flatten(F.transform(runs(F.col("text")), twos)))).alias("key"))
+    often = grams.groupBy("key").agg(F.count("*").alias("n"))
+    parts = names.select("name", F.explode(runs(F.col("name"))).alias("run"))
+    keyed = parts.select("name", "run", F.explode(F.array_distinct(twos(F.col("run")))).alias("key"))
+    rarest = keyed.join(often, "key", "left").groupBy("name", "run").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    by_run = grams.join(rarest, "key").where(F.contains("text", F.col("run"))).select("text", "name")
+    return by_word.unionByName(by_run).distinct()
+
+
+def purity_violations(needs: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(scene, product_cn, excluded_clue): needs that mention an excluded clue, a row for each row of `needs` and clue. Any number of either."""
     text = tx.product_text(F.col("product_cn"), F.col("product_en"))
-    return needs.select("scene", "product_cn", F.explode(F.filter(listed, lambda n: tx.mentions(text, n))).alias("excluded_clue"))
+    told = needs.select("scene", "product_cn", text.alias("text"))
+    pairs = mention_pairs(told, excluded.select(F.col("clue").alias("name")))
+    return told.join(pairs, "text").select("scene", "product_cn", F.col("name").alias("excluded_clue"))
 
 
 def drop_image(seen: DataFrame, image: str) -> DataFrame:
