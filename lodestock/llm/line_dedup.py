@@ -12,7 +12,9 @@ is left is verified on the whole word sets. Equal sets are folded where they mee
 
 A word of more than `cold` occurrences would bring together ever more lines as a corpus grows. It is dealt out with the next
 word that both lines share instead, which the prefix longer by one holds, and with a third or fourth while
-the words' frequencies let more than `cold` lines be expected under them. Lines that share such words more often than their
+the words' frequencies let more than `cold` lines be expected under them. In lines of LONG words or more such combinations would be too many;
+there the words are parted by hash: lines that match differ in at most two words of some part, hence agree on two of its four
+quarters, and a line is dealt out by the six pairs of quarters of each part, so that its keys grow in proportion to its words. Lines that share such words more often than their
 frequencies say (more than `hot` of them), and lines that have more than `crowd` likely partners under one key (templates), leave their task as rows. Of these the
 earliest of each key is held against the others, round by round, and only lines that matched none are joined with the earlier ones of their key.
 
@@ -46,6 +48,10 @@ FINE = 5
 FAN = 64
 #: Words of a key at most.
 DEEPEST = 4
+#: From so many words on a line's frequent words are dealt out by parts, not by combinations.
+LONG = 24
+#: Quarters of a part, and the pairs of them.
+QUARTERS, HALVES = 4, np.array([(a, b) for a in range(4) for b in range(a + 1, 4)])
 #: Sets of at most so many words carry an outline of 64 cells, larger ones one of 128.
 NARROW_WORDS = 56
 #: Keys that a task holds before it hands them on, and keys that one group is meant to hold.
@@ -185,6 +191,12 @@ def keys_of(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray, s
     last = np.flatnonzero((place <= (n - must)[line]) & (level > 1) & some[line])
     key, expected = mixed(h[last]), np.exp2((level[last] - 1.0) / FINE)
     out = []
+    often = (expected > cold) & (must[line[last]] > 1)
+    parted = np.zeros(len(n), bool)
+    parted[line[last[often]]] = True
+    out.append(part_keys(n, h, level, line, parted & (n >= needed(LONG, percent)), percent, cold, lines))
+    combined = ~often | (n[line[last]] < LONG)
+    last, key, expected = last[combined], key[combined], expected[combined]
     for depth in range(1, DEEPEST + 1):
         on = (expected > cold) & (depth < must[line[last]]) if depth < DEEPEST else np.zeros(len(last), bool)
         rest = n[line[last]] - place[last] - 1 + depth
@@ -200,6 +212,69 @@ def keys_of(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray, s
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size of each class of long lines; how many parts its lines have, and how many of these hold at most two words by which two lines that match differ.
+
+    Of two lines that match, the larger one is of the smaller one's class or the next.
+    """
+    least = [needed(LONG, percent)]
+    while least[-1] <= most:
+        least.append(least[-1] * 100 // percent + 2)
+    bound = np.array(least)
+    small = bound[1:] - 1
+    differ = (100 - percent) * (small + 100 * small // percent) // (100 + percent)
+    parts = differ // 3 + 1
+    parts += 1 + parts // 8
+    return bound, parts, parts - differ // 3
+
+
+def part_keys(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray, some: np.ndarray, percent: int, cold: int, lines: float):
+    """Like keys_of, for long lines by parts. Two lines that match have a key in common.
+
+    A key under which more than `cold` lines are expected is left out by a line that has fewer parts with such a key than there are parts
+    with at most two differing words: one of those is then met by another key, in either line, since equal quarters are expected alike.
+    """
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not some.any():
+        return nothing
+    bound, parts, sound = size_classes(int(n[some].max()), percent)
+    own = np.searchsorted(bound, n, "right") - 1
+    chosen, scale, out = np.flatnonzero(some), np.log2(max(lines, 2.0)), []
+    words = np.flatnonzero(some[line])
+    local = np.searchsorted(chosen, line[words])
+    for back in (0, 1):
+        kind = own[chosen] - back
+        use = kind >= 0
+        mine, of = chosen[use], np.cumsum(use) - 1
+        if not len(mine):
+            continue
+        kind, w = kind[use], words[use[local]]
+        at = of[local[use[local]]]
+        p = parts[kind]
+        first = np.cumsum(p) - p
+        spread = mixed(h[w] + kind[at].astype(np.uint64) * GOLD)
+        cell = (first[at] + (spread % p[at].astype(np.uint64)).astype(np.int64)) * QUARTERS + ((spread >> np.uint64(40)) % np.uint64(QUARTERS)).astype(np.int64)
+        total = int(p.sum())
+        digest = np.zeros(total * QUARTERS, np.uint64)
+        np.add.at(digest, cell, mixed(spread))
+        count = np.bincount(cell, minlength=total * QUARTERS).reshape(total, QUARTERS)
+        # whole numbers, so that equal quarters give equal expectations
+        often = np.bincount(cell, level[w].astype(np.int64) - 1, minlength=total * QUARTERS).astype(np.int64).reshape(total, QUARTERS)
+        digest = digest.reshape(total, QUARTERS)
+        a, b = HALVES.T
+        number = np.arange(total) - np.repeat(first, p)
+        tag = mixed((np.repeat(kind, p).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))[:, None] * np.uint64(8) + np.arange(len(HALVES), dtype=np.uint64))
+        key = mixed((digest[:, a] + digest[:, b]) * GOLD + tag)
+        weak = scale + (often[:, a] + often[:, b]) / FINE - (count[:, a] + count[:, b]) * scale > np.log2(cold)
+        row = np.repeat(np.arange(len(mine)), p)
+        weak_parts = np.bincount(row, weak.any(1), minlength=len(mine))
+        take = ~weak | (weak_parts >= sound[kind])[row][:, None]
+        i, j = np.nonzero(take)
+        o = mine[row[i]]
+        out.append((key[i, j], o, n[o]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else nothing
+
+
 def _folded(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first line of each set, and the places of the others."""
     lines = lines[np.lexsort((lines["line"], lines["doc"], lines["d2"], lines["d1"]))]

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 import time
 import zlib
 
@@ -77,3 +78,45 @@ def test_names_that_clash(spark):
         plain, clashing = run(rows), run(frame)
         same = [c for c in plain.columns if c not in ("sequence_id", "offset")]
         assert sorted(map(str, plain.select(same).collect())) == sorted(map(str, clashing.select(same).collect()))
+
+
+def test_keys_of_long_lines_are_linear():
+    """However frequent its words, a line of n words has some n keys."""
+    rng = np.random.default_rng(5)
+    for n in (20, 24, 40, 100, 300, 1000):
+        h = rng.integers(1, 1 << 63, n).astype(np.uint64)
+        level = np.full(n, 1 + int(line_dedup.FINE * np.log2(1e6)), np.uint8)
+        key, _, _ = line_dedup.keys_of(np.array([n]), h, level, np.zeros(n, np.int64), np.ones(1, bool), 80, 1024, 1e7)
+        assert len(key) < 2 * n + 100
+
+
+def test_matching_lines_share_a_key():
+    rng = random.Random(11)
+    for _ in range(150):
+        words = [rng.getrandbits(64) for _ in range(rng.choice([60, 400]))]
+        often = {w: rng.choice([2, 30, 90, 120]) for w in words}
+        size = min(rng.choice([10, 18, 22, 24, 26, 40, 90]), len(words) - 20)
+        base = rng.sample(words, size)
+        sets = [set(base)]
+        for _ in range(5):
+            s = set(base)
+            for _ in range(rng.randrange(1 + size // 6)):
+                s ^= {rng.choice(words)}
+            sets.append(s)
+        flat = [(i, w) for i, s in enumerate(sets) for w in sorted(s, key=lambda w: (often[w], w))]
+        line, h, level = np.array([i for i, _ in flat]), np.array([w for _, w in flat], dtype=np.uint64), np.array([often[w] for _, w in flat], dtype=np.uint8)
+        key, of, _ = line_dedup.keys_of(np.array([len(s) for s in sets]), h, level, line, np.ones(len(sets), bool), 80, rng.choice([1, 50, 1024]), rng.choice([1e3, 1e5, 1e7]))
+        keys = [set(key[of == i].tolist()) for i in range(len(sets))]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                assert a == b or 100 * len(a & b) < 80 * len(a | b) or keys[i] & keys[j]
+
+
+def test_lines_of_one_long_template(spark):
+    """Twenty thousand lines of three hundred words, of which one is each line's own: all but the first go."""
+    text = " ".join(f"word{i}" for i in range(299))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{text} id"), "id").alias("text")).repartition(8)
+    t = time.time()
+    removed = line_dedup.removed_lines(rows)
+    assert removed.count() == 19_999 and removed.agg(F.min("doc_id")).first()[0] == 1
+    assert time.time() - t < 400
