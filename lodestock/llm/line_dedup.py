@@ -11,8 +11,8 @@ sizes (length filter), the word's places in both (positional filter) and outline
 is left is verified on the whole word sets. Equal sets are folded where they meet, so that copies are dealt out once a task.
 
 A word of more than `cold` occurrences would bring together ever more lines as a corpus grows. It is dealt out with the next
-word that both lines share instead, which the prefix longer by one holds, and with a third or fourth while
-the words' frequencies let more than `cold` lines be expected under them. In lines of LONG words or more such combinations would be too many;
+word that both lines share instead, which the prefix longer by one holds, and with a third or fourth (in longer lines, which have more combinations, a third or none) while
+the words' frequencies let more than `cold` lines be expected under them; lines of about the size where the rule changes follow both. In lines of LONG words or more even pairs would be too many;
 there the words are parted by hash: lines that match differ in at most two words of some part, hence agree on two of its four
 quarters, and a line is dealt out by the six pairs of quarters of each part, so that its keys grow in proportion to its words. Lines that share such words more often than their
 frequencies say (more than `hot` of them), and lines that have more than `crowd` likely partners under one key (templates), leave their task as rows. Of these the
@@ -46,10 +46,9 @@ CELLS, BLOCK = 1 << 23, 1 << 20
 FINE = 5
 #: Tasks whose counts are added up in one round.
 FAN = 64
-#: Words of a key at most.
-DEEPEST = 4
-#: From so many words on a line's frequent words are dealt out by parts, not by combinations.
-LONG = 24
+#: From so many words on a line's frequent words are dealt out by parts, not by combinations; words of a key at most in lines of at least, and fewer than, so many words.
+LONG = 160
+DEPTHS = ((4, 0, 40), (3, 40, 80), (2, 80, LONG), (1, LONG, 1 << 62))
 #: Quarters of a part, and the pairs of them.
 QUARTERS, HALVES = 4, np.array([(a, b) for a in range(4) for b in range(a + 1, 4)])
 #: Sets of at most so many words carry an outline of 64 cells, larger ones one of 128.
@@ -186,22 +185,33 @@ def word_levels(source: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
 
 def keys_of(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray, some: np.ndarray, percent: int, cold: int, lines: float):
     """key, line's number and most shared words for each key under which the lines `some` (a mask) are dealt out. Of two lines that match, both have the key of their first shared words."""
+    out = [part_keys(n, h, level, line, some & (n >= needed(LONG, percent)), percent, cold, lines)]
+    for deepest, least, below in DEPTHS:
+        own = some & (n >= least) & (n < below)
+        beside = some & (n >= needed(least, percent)) & (n < least) & (deepest > 1)  # long lines and those beside them meet by parts
+        for mask, cut_only in ((own, False), (beside, True)):
+            if mask.any():
+                out += _combinations(n, h, level, line, mask, percent, cold, lines, deepest, cut_only)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _combinations(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray, some: np.ndarray, percent: int, cold: int, lines: float, deepest: int, cut_only: bool):
+    """The keys of prefix words and, where they are frequent, of up to `deepest` words; with `cut_only` those alone that would have been lengthened further."""
     starts, must = np.cumsum(n) - n, needed(n, percent)
     place = np.arange(len(h)) - starts[line]
     last = np.flatnonzero((place <= (n - must)[line]) & (level > 1) & some[line])
     key, expected = mixed(h[last]), np.exp2((level[last] - 1.0) / FINE)
     out = []
-    often = (expected > cold) & (must[line[last]] > 1)
-    parted = np.zeros(len(n), bool)
-    parted[line[last[often]]] = True
-    out.append(part_keys(n, h, level, line, parted & (n >= needed(LONG, percent)), percent, cold, lines))
-    combined = ~often | (n[line[last]] < LONG)
-    last, key, expected = last[combined], key[combined], expected[combined]
-    for depth in range(1, DEEPEST + 1):
-        on = (expected > cold) & (depth < must[line[last]]) if depth < DEEPEST else np.zeros(len(last), bool)
+    for depth in range(1, deepest + 1):
+        more_words = (expected > cold) & (depth < must[line[last]])
+        on = more_words if depth < deepest else np.zeros(len(last), bool)
         rest = n[line[last]] - place[last] - 1 + depth
         # a match so small that it may share no more words is met here
         here = ~on | (needed(must, percent)[line[last]] <= depth)
+        if cut_only:
+            here &= more_words & (depth == deepest)
+        elif deepest == 1:  # frequent words of long lines are dealt out by parts
+            here &= ~more_words
         out.append((key[here], line[last[here]], rest[here]))
         last, key, expected = last[on], key[on], expected[on]
         more = np.minimum(n, n - must + 1 + depth)[line[last]] - place[last] - 1
@@ -209,7 +219,7 @@ def keys_of(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray, s
         step = np.arange(len(many)) - np.repeat(np.cumsum(more) - more, more) + 1
         last, key, expected = last[many] + step, key[many], expected[many]
         key, expected = mixed(key * GOLD + h[last]), expected * np.exp2((level[last] - 1.0) / FINE) / lines
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return out
 
 
 def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,6 +245,10 @@ def part_keys(n: np.ndarray, h: np.ndarray, level: np.ndarray, line: np.ndarray,
     with at most two differing words: one of those is then met by another key, in either line, since equal quarters are expected alike.
     """
     nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, must = np.cumsum(n) - n, needed(n, percent)
+    first_words = np.flatnonzero(some[line] & (np.arange(len(h)) - starts[line] <= (n - must)[line]) & (np.exp2((level - 1.0) / FINE) > cold))
+    some = np.zeros(len(n), bool)
+    some[line[first_words]] = True
     if not some.any():
         return nothing
     bound, parts, sound = size_classes(int(n[some].max()), percent)

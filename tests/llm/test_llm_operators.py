@@ -417,6 +417,24 @@ def test_held_out_spans(tagger):
     assert (got == tags)[tags > 0].mean() > 0.93 and (got == tags)[got > 0].mean() > 0.93
 
 
+def test_personal_spans_of_odd_rows(spark, odd, tagger):
+    """Nulls, blank and long texts and repeated rows each have their row, and no name of a column changes anything."""
+    out = pii.personal_spans(odd, model=tagger).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(i) for i, _ in ODD)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(r["spans"] == "" and r["base_sha256"] == empty for r in out if r["doc_id"] in (1, 2, 3))
+    assert pii.personal_spans(odd.limit(0), model=tagger).count() == 0
+    clashing = odd.select(*odd.columns, *[F.lit("x").alias(c) for c in ("spans", "n_email", "n_added", "base_sha256", "parameters")])
+    assert sorted(map(str, pii.personal_spans(clashing, model=tagger).collect())) == sorted(map(str, out))
+
+
+def test_toxicity_of_odd_rows(spark, odd, labels):
+    clashing = odd.select(*odd.columns, *[F.lit("x").alias(c) for c in ("score", "predicted", "toxic", "quality")])
+    out = toxicity.toxicity_scores(odd, labels).collect()
+    assert sorted(map(str, toxicity.toxicity_scores(clashing, labels).collect())) == sorted(map(str, out)) and len({r["score"] for r in out if r["doc_id"] in (1, 2)}) == 1
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
+
+
 def test_found_beyond_the_base(spark, tagger):
     text = prose(4, 100) + "\ncall (555) 123-4567 or mail a.b@mail.example.com now, version 2.0 of 2024\n" + prose(5, 100)
     row = pii.personal_spans(docs(spark, [(1, text), (2, prose(6)), (3, None)]), model=tagger).orderBy("doc_id").collect()

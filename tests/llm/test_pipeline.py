@@ -34,3 +34,13 @@ def test_stages(spark, sf):
     check_packed(cp.packing(spark, once, sf).collect(), texts, 2048)
     whole = cp.run(spark, sf)
     assert {r["doc_id"]: r["n"] for r in whole.where("piece = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == counts
+
+
+def test_empty_and_null_tables(spark, tmp_path):
+    """A pipeline over no rows, and over rows without texts, ends with what the last stage gives for them."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("null", [(i, None, None, None, None) for i in range(3)] + [(None, None, None, None, None), (4, " \n", "en", "s", 2)])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        assert cp.run(spark, folder).count() == 0  # texts of fewer than fifty words are rejected by the base rules
