@@ -174,7 +174,7 @@ pk as (select * from sr where main_sku % 2 = 0)"""
 
 def chosen(spark, sf_dir: str) -> DataFrame:
     c = scene_candidates(spark, sf_dir)
-    picks = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("main_sku")).join(c.select("scene", "role").distinct())
+    picks = c.select("scene", "role", "main_sku").join(table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("main_sku")), "main_sku")
     return export.picked(export.recalled(c), picks)
 
 

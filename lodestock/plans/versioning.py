@@ -202,6 +202,16 @@ class Versions:
             self._publish(lease, number, entry["previous"], entry["active"])
             return entry["previous"]
 
+    def purge(self) -> list[str]:
+        """Deletes the versions that are neither active, nor previous, nor an ancestor of these, and gives their names. Readers that pinned one of them fail."""
+        with self.writer():
+            _, entry = self.store.newest("log")
+            kept = {a for v in (entry["active"], entry["previous"]) if v for a in self.lineage(v)} if entry else set()
+            gone = [n for n in self.store.names("") if self.store.exists(f"{n}/manifest.json") and n not in kept]
+            for name in gone:
+                self.store.delete(name)
+            return gone
+
     # -- checks and comparison ----------------------------------------------------------------------------------------
 
     def lineage(self, version: str) -> list[str]:

@@ -126,6 +126,13 @@ def test_differences(spark, v):
         v.verify(a)
 
 
+def test_purge(spark, v):
+    df = frame(spark, ("A", 1))
+    names = [v.rebuild({"s": str(i)}, {"t": df.withColumn("n", F.lit(i))}) for i in range(3)]
+    names.append(v.rebuild({"s": "3"}, {"t": df}, base=names[1]))
+    assert v.purge() == [names[0]] and v.lineage(names[3]) == [names[3], names[1]] and v.rollback() == names[2] and v.purge() == []
+
+
 def test_nulls_and_empty_tables(spark, v):
     nulls = frame(spark, (None, None), ("A", None), (None, 1))
     a = v.rebuild({"s": "a"}, {"t": nulls, "none": frame(spark)})
