@@ -5,8 +5,13 @@ of each in one global order (frequent ones last), so every such shingle opens a
 it, and each point lies in the regions of its first shingles' pivots: no pair within the radius is outside every region. In a
 region the distances to the pivot are computed exactly. Points within the radius are linked to the pivot, hence connected with
 each other. A pair still open has a point beyond the radius; by the triangle inequality its partner is beyond it too or
-within a window of it, so only those points (the region's outside and its boundary) go on: small remainders are joined
-exactly in one task with further pivots, large ones open new regions round new pivots, until none is left.
+within a window of it, so only those points (the region's outside and its boundary) go on. Small remainders are joined
+exactly in one task with further pivots. A large remainder is parted by several pivots at once: every point's home is the cell of
+its nearest pivot (a Voronoi cell by exact distances), and it is replicated to each cell whose pivot is at most two radii
+farther, where by the triangle inequality it may have a partner at home. Cells are joined like regions, and large ones
+are parted again. Where cells do not halve the pairs to look at (points all equally far from each other, which no pivot tells
+apart), the remainder is dealt out as pairs of blocks instead, each screened by outlines in a task of its own. The number of rounds
+grows with the logarithm of the largest remainder.
 
 What the order of shingles is affects only how many points share a region, never the result: shingles that a count over all
 documents finds frequent come last, longer ones (which are rarer) before shorter ones.
@@ -37,6 +42,10 @@ COUNTED_AT_ONCE = 2_000_000
 CELLS = 1024
 #: A remainder of at most so many points is screened in one task; what is left of it is joined there up to so many points and shingles.
 SCREENED_POINTS, REGION_POINTS, REGION_SHINGLES = 4096, 1024, 3_000_000
+#: Pivots that part one large remainder in a round.
+CELL_PIVOTS = 8
+#: How a point takes part in a cell or block: only with points of other kinds, or (HOME) with all.
+AWAY, OTHER, HOME = 0, 1, 2
 SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("prefix", pa.binary()), ("outline", pa.binary())])
 ENTRY = pa.schema([("h", pa.int64()), ("v", pa.int64())])
 SET = pa.schema([("v", pa.int64()), ("set", pa.binary())])
@@ -44,7 +53,8 @@ COUNT = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 BOUND = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("d", pa.float64()), ("near", pa.bool_())])
 DISTANCE = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("shared", pa.int64()), ("all", pa.int64())])
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-MEMBER = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
+MEMBER = pa.schema([("p", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("out", pa.bool_()), ("side", pa.int32())])
+MEMBER_TYPE = "p long, v long, n long, out boolean, side int"
 
 
 @dataclass(frozen=True)
@@ -229,8 +239,8 @@ def _distances(batches):
         yield batch(DISTANCE, {"p": r.column("p"), "v": r.column("v"), "shared": common, "all": [len(a) + len(b) - s for a, b, s in zip(x, y, common)]})
 
 
-def screened(n: np.ndarray, out: np.ndarray, outlines: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """Which of a region's points may be within the radius of another, by size and outline; two that the pivot links already don't count."""
+def screened(n: np.ndarray, out: np.ndarray, side: np.ndarray, outlines: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Which of a region's points may be within the radius of another, by size and outline; two that the pivot links already, or that meet elsewhere, don't count."""
     sizes = np.array([len(o) for o in outlines])
     at: dict[int, np.ndarray] = {}
     matrix: dict[int, np.ndarray] = {}
@@ -242,7 +252,8 @@ def screened(n: np.ndarray, out: np.ndarray, outlines: list[np.ndarray], rule: R
         for c in {int(sizes[i]), int(sizes[i]) // 2} & at.keys():
             j = at[c]
             row = int(np.searchsorted(j, i))
-            some = np.flatnonzero((j > i) & (out[j] | out[i]) & rule.linked(np.minimum(n[i], n[j]), np.maximum(n[i], n[j])))
+            meet = (j > i) & (out[j] | out[i]) & ((side[j] != side[i]) | (side[i] == HOME))
+            some = np.flatnonzero(meet & rule.linked(np.minimum(n[i], n[j]), np.maximum(n[i], n[j])))
             if not len(some):
                 continue
             bits = np.bitwise_count(matrix[c][some] ^ matrix[c][row]).sum(1).astype(np.int64)
@@ -254,8 +265,9 @@ def screened(n: np.ndarray, out: np.ndarray, outlines: list[np.ndarray], rule: R
 
 def _screen(rule: Rule):
     def screen(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        hit = screened(rows["n"].to_numpy(), rows["out"].to_numpy(), _outlines(rows["xo"]), rule)
-        return rows.filter(pa.array(hit)).select(MEMBER.names).cast(MEMBER)
+        hit = screened(rows["n"].to_numpy(), rows["out"].to_numpy(), rows["side"].to_numpy(), _outlines(rows["xo"]), rule)
+        found = rows.filter(pa.array(hit)).group_by("v", use_threads=False).aggregate([("n", "sum"), ("out", "any"), ("side", "max")])
+        return pa.table([pa.repeat(key[0], len(found)), found["v"], found["n_sum"], found["out_any"], found["side_max"]], schema=MEMBER)
 
     return screen
 
@@ -312,6 +324,82 @@ def _with_sets(wanted: DataFrame, source: DataFrame, rule: Rule, scratch: Scratc
     return scratch.written(source.where("doc_id is not null").mapInArrow(_sets(rule, words), "v long, set binary"), "sets")
 
 
+def _distances_of(pairs: DataFrame, source: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(p, v, d, linked): exact distances of the pairs (p, v)."""
+    sets = _with_sets(pairs.select("v").unionByName(pairs.select(F.col("p").alias("v"))), source, rule, scratch)
+    met = pairs.join(sets.withColumnRenamed("set", "xs"), "v").join(sets.select(F.col("v").alias("p"), F.col("set").alias("ps")), "p")
+    met = met.mapInArrow(_distances, "p long, v long, shared long, all long")
+    return scratch.written(met.select("p", "v", (1 - F.col("shared") / F.col("all")).alias("d"), F.expr(f"100 * shared >= {rule.percent} * all").alias("linked")), "met")
+
+
+def _open_rows(known: DataFrame, rule: Rule) -> DataFrame:
+    """Of a region's points, those beyond the radius of its pivot and those within the triangle window of one that is. known: (p, v, n, d, out, side)."""
+    nearest = known.where("out").groupBy("p").agg(F.min("d").alias("nearest"))
+    return known.join(nearest, "p").where(F.col("out") | (F.col("d") >= F.col("nearest") - rule.radius - 1e-9)).select(MEMBER.names)
+
+
+def _joined_here(rest: DataFrame, outlines: DataFrame, source: DataFrame, rule: Rule, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Links of the regions that one task can join, and the rows of the others, one for each id. rest: MEMBER rows; outlines: (v, n, xo)."""
+    sizes = scratch.written(rest.groupBy("p").agg(F.count("*").alias("points")).where("points > 1"), "sizes")
+    kept = rest.join(sizes.where(F.col("points") <= SCREENED_POINTS).select("p"), "p").drop("n").join(outlines, "v").groupBy("p").applyInArrow(_screen(rule), MEMBER_TYPE)
+    kept = scratch.written(kept, "screened")
+    left = scratch.written(kept.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")), "left")
+    small = (F.col("points") <= 2) | (F.col("points") <= REGION_POINTS) & (F.col("shingles") <= REGION_SHINGLES)
+    held = scratch.written(kept.join(left.where(small).select("p"), "p").select("p", "v"), "held")
+    edges = []
+    if not held.isEmpty():
+        sets = _with_sets(held, source, rule, scratch).withColumnRenamed("set", "xs")
+        edges.append(scratch.written(held.join(sets, "v").groupBy("p").applyInArrow(_regions(rule), "a long, b long"), "links"))
+    large = rest.join(sizes.where(F.col("points") > SCREENED_POINTS).select("p"), "p").select(MEMBER.names)
+    large = large.unionByName(kept.join(left.where(~small).select("p"), "p").select(MEMBER.names))
+    return edges, scratch.written(large.groupBy("p", "v").agg(F.max("n").alias("n"), F.max("out").alias("out"), F.max("side").alias("side")), "large")
+
+
+def _cells(rows: DataFrame, source: DataFrame, rule: Rule, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts large regions by several pivots each: (links to the pivots, rows of the cells, rows of regions that cells do not make easier).
+
+    A region with an id of several texts, whose distance to a pivot is not one number, is among the latter.
+    """
+    pivots = scratch.written(rows.groupBy("p", F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(CELL_PIVOTS)).alias("k")).agg(F.min("v").alias("q")).select("p", "q"), "cell-pivots")
+    pairs = scratch.written(rows.join(pivots, "p").select("p", "q", "v", "n"), "cell-pairs")
+    exact = _distances_of(pairs.where("q <> v").select(F.col("q").alias("p"), "v").distinct(), source, rule, scratch)
+    edges = exact.where("linked").select(F.col("p").alias("a"), F.col("v").alias("b"))
+    exact = exact.groupBy("p", "v").agg(F.min("d").alias("d"), (F.min("d") < F.max("d")).alias("several"), F.max("linked").alias("linked"))
+    at = pairs.join(exact.withColumnRenamed("p", "q"), ["q", "v"], "left").select("p", "q", "v", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("several", F.lit(False)).alias("several"))
+    at = scratch.written(at, "cell-distances")
+    home = at.groupBy("p", "v").agg(F.min(F.struct("d", "q")).alias("home"))
+    cell = F.xxhash64("p", "q", F.lit(turn))
+    of = at.join(home, ["p", "v"]).where(F.col("d") <= F.col("home.d") + 2 * rule.radius + 1e-9)
+    known = of.select(cell.alias("p"), F.col("p").alias("parent"), "v", "n", "d", (~F.col("linked")).alias("out"), F.when(F.col("q") == F.col("home.q"), HOME).otherwise(AWAY).alias("side"))
+    known = scratch.written(known, "cell-rows")
+    rest = scratch.written(_open_rows(known, rule), "cell-rest")
+    within = rest.groupBy("p").agg(F.count("*").cast("double").alias("points")).join(known.select("p", "parent").distinct(), "p")
+    cost = within.groupBy("parent").agg(F.sum(F.col("points") * F.col("points")).alias("pairs"))
+    whole = rows.groupBy(F.col("p").alias("parent")).agg(F.count("*").cast("double").alias("points"))
+    costly = whole.join(cost, "parent").where("2 * pairs > points * points").select("parent")
+    stuck = scratch.written(costly.unionByName(at.where("several").select(F.col("p").alias("parent"))).distinct(), "stuck")
+    easier = known.select("p", "parent").distinct().join(stuck, "parent", "left_anti").select("p")
+    easy, hard = rest.join(easier, "p").select(MEMBER.names), rows.join(stuck.withColumnRenamed("parent", "p"), "p").select(MEMBER.names)
+    return edges, scratch.written(easy, "cells"), scratch.written(hard, "stuck-rows")
+
+
+def _blocks(rows: DataFrame, turn: int) -> DataFrame:
+    """Deals a region's points into blocks by a hash, and each pair of blocks out as a region of its own: every pair of points that was to meet meets in one of them."""
+    most = F.max(F.when(F.col("side") == HOME, 1).otherwise(0)).alias("homes")
+    sizes = rows.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles"), most)
+    wide = F.ceil(F.col("points") / (SCREENED_POINTS // 2 or 1))
+    narrow = F.greatest(F.ceil(2 * F.col("points") / REGION_POINTS), F.ceil(2 * F.col("shingles") / REGION_SHINGLES))
+    blocks = F.greatest(F.lit(2), F.when(F.col("points") > SCREENED_POINTS, wide).otherwise(narrow)).cast("int")
+    dealt = rows.join(sizes.select("p", "homes", blocks.alias("m")), "p").withColumn("i", F.pmod(F.xxhash64("v", F.lit(turn)), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    # with points of kind HOME the region is met with itself; else one side's blocks meet the other's
+    own = F.when(F.col("i") == F.col("j"), HOME).when(F.col("i") < F.col("j"), AWAY).otherwise(OTHER)
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    first = F.when(F.col("homes") == 1, low).when(F.col("side") == AWAY, F.col("i")).otherwise(F.col("j"))
+    second = F.when(F.col("homes") == 1, high).when(F.col("side") == AWAY, F.col("j")).otherwise(F.col("i"))
+    return dealt.select(F.xxhash64("p", first, second, F.lit(turn)).alias("p"), "v", "n", "out", F.when(F.col("homes") == 1, own).otherwise(F.col("side")).alias("side"))
+
+
 def links(points: DataFrame, source: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(a, b): links between points that connect every pair within the radius. points: (v, n, prefix, outline); source: (doc_id, text)."""
     first = points.select("v", "prefix").mapInArrow(_entries(None), "h long, v long")
@@ -320,37 +408,34 @@ def links(points: DataFrame, source: DataFrame, rule: Rule, scratch: Scratch) ->
     if pivots.isEmpty():
         return edges[0]
     words = build_filter(pivots, F.col("h"), filter_bits(pivots.count()), 1)
-    entries = scratch.written(points.select("v", "prefix").mapInArrow(_entries(words), "h long, v long").join(pivots.select("h"), "h"), "entries")
+    entries = points.select("v", "prefix").mapInArrow(_entries(words), "h long, v long")
     x = points.select("v", "n", F.col("outline").alias("xo"))
     y = points.select(F.col("v").alias("p"), F.col("n").alias("pn"), F.col("outline").alias("po"))
+    pairs = scratch.written(entries.join(pivots, "h").where("v <> p").select("p", "v").distinct(), "pairs")
+    bounds = scratch.written(pairs.join(x, "v").join(y, "p").mapInArrow(_bounds(rule), "p long, v long, n long, d double, near boolean"), "bounds")
+    met = _distances_of(bounds.where("near").select("p", "v"), source, rule, scratch)
+    edges.append(met.where("linked").select(F.col("p").alias("a"), F.col("v").alias("b")))
+    known = bounds.join(met.select("p", "v", F.col("d").alias("exact"), "linked"), ["p", "v"], "left")
+    known = known.select("p", "v", "n", F.coalesce("exact", "d").alias("d"), (~F.coalesce("linked", F.lit(False))).alias("out"), F.lit(HOME).alias("side"))
+    rest, turn = scratch.written(_open_rows(scratch.written(known, "known"), rule), "rest"), 0
+    by_block: list[DataFrame] = []
     while True:
-        pairs = scratch.written(entries.join(pivots, "h").where("v <> p").select("p", "v").distinct(), "pairs")
-        bounds = scratch.written(pairs.join(x, "v").join(y, "p").mapInArrow(_bounds(rule), "p long, v long, n long, d double, near boolean"), "bounds")
-        near = bounds.where("near").select("p", "v")
-        sets = _with_sets(near.select("v").unionByName(near.select(F.col("p").alias("v"))), source, rule, scratch)
-        met = near.join(sets.withColumnRenamed("set", "xs"), "v").join(sets.select(F.col("v").alias("p"), F.col("set").alias("ps")), "p")
-        met = scratch.written(met.mapInArrow(_distances, "p long, v long, shared long, all long"), "met")
-        edges.append(met.where(f"100 * shared >= {rule.percent} * all").select(F.col("p").alias("a"), F.col("v").alias("b")))
-        exact = met.select("p", "v", (1 - F.col("shared") / F.col("all")).alias("exact"), F.expr(f"100 * shared >= {rule.percent} * all").alias("linked"))
-        known = bounds.join(exact, ["p", "v"], "left").select("p", "v", "n", F.coalesce("exact", "d").alias("d"), (~F.coalesce("linked", F.lit(False))).alias("out"))
-        known = scratch.written(known, "known")
-        nearest = known.where("out").groupBy("p").agg(F.min("d").alias("nearest"))
-        rest = scratch.written(known.join(nearest, "p").where(F.col("out") | (F.col("d") >= F.col("nearest") - rule.radius - 1e-9)).select("p", "v", "n", "out"), "rest")
-        sizes = scratch.written(rest.groupBy("p").agg(F.count("*").alias("points")).where("points > 1"), "sizes")
-        kept = rest.join(sizes.where(F.col("points") <= SCREENED_POINTS).select("p"), "p").join(x.select("v", "xo"), "v").groupBy("p").applyInArrow(_screen(rule), "p long, v long, n long")
-        kept = scratch.written(kept, "screened")
-        left = scratch.written(kept.groupBy("p").agg(F.count("*").alias("points"), F.sum("n").alias("shingles")), "left")
-        small = (F.col("points") <= REGION_POINTS) & (F.col("shingles") <= REGION_SHINGLES)
-        held = scratch.written(kept.join(left.where(small).select("p"), "p").select("p", "v"), "held")
-        if not held.isEmpty():
-            sets = _with_sets(held, source, rule, scratch).withColumnRenamed("set", "xs")
-            edges.append(scratch.written(held.join(sets, "v").groupBy("p").applyInArrow(_regions(rule), "a long, b long"), "links"))
-        large = sizes.where(F.col("points") > SCREENED_POINTS).select("p").unionByName(left.where(~small).select("p"))
+        found, large = _joined_here(rest, x, source, rule, scratch)
+        edges += found
         if large.isEmpty():
             break
-        on = rest.join(large, "p", "left_semi").select("p", "v")
-        entries = scratch.written(entries.join(pivots, "h").join(on, ["p", "v"], "left_semi").select("h", "v"), "entries")
-        pivots = scratch.written(entries.groupBy("h").agg(F.min("v").alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p"), "pivots")
+        turn += 1
+        to_pivots, rest, stuck = _cells(large, source, rule, scratch, turn)
+        edges.append(to_pivots)
+        by_block.append(stuck)
+    while by_block:
+        turn += 1
+        rest = by_block[0]
+        for more in by_block[1:]:
+            rest = rest.unionByName(more)
+        found, large = _joined_here(scratch.written(_blocks(rest, turn), "blocks"), x, source, rule, scratch)
+        edges += found
+        by_block = [] if large.isEmpty() else [large]
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)

@@ -149,6 +149,48 @@ def test_components(spark, monkeypatch, limits):
         assert got == brute_components(rows, rule.words, rule.percent)
 
 
+@pytest.mark.parametrize("kind", ["template", "families", "ids"])
+def test_large_regions_in_few_rounds(spark, monkeypatch, kind):
+    """Regions far beyond a task's limits: unlike documents of one template (blocks), families round many centres (cells), ids of several texts."""
+    monkeypatch.setattr(ngram_join, "SCREENED_POINTS", 64)
+    monkeypatch.setattr(ngram_join, "REGION_POINTS", 32)
+    turns = []
+    blocks, cells = ngram_join._blocks, ngram_join._cells
+    monkeypatch.setattr(ngram_join, "_blocks", lambda rows, turn: turns.append("blocks") or blocks(rows, turn))
+    monkeypatch.setattr(ngram_join, "_cells", lambda *a: turns.append("cells") or cells(*a))
+    rng = random.Random(5)
+    template = " ".join(f"t{i}" for i in range(80))
+    if kind == "template":  # all at the same distance, a few within the radius
+        rows = [(i, f"{template} " + " ".join(f"u{i // 3 if i % 50 < 3 else i}x{j}" for j in range(16)) + (f" e{i}" if i % 50 < 3 else "")) for i in range(500)]
+    else:
+        rows = []
+        for i in range(500):
+            words = [f"f{i % 9}w{j}" for j in range(90)]
+            for _ in range(rng.randrange(8)):
+                words[rng.randrange(90)] = f"e{rng.randrange(9999)}"
+            rows.append((i if kind == "families" else i % 400, " ".join(["common words that open every text here"] + words)))
+    got = {}
+    for r in ngram_join.ngram_components(docs(spark, rows), rule=ngram_join.Rule(1, 80)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    if kind == "ids":
+        texts = [(k, t) for k, (_, t) in enumerate(rows)]
+        of = {k: i for k, (i, _) in enumerate(rows)}
+        root = {i: i for i in of.values()}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for k, (_, r) in brute_components(texts, 1, 80).items():
+            x, y = sorted((find(of[k]), find(of[r])))
+            root[y] = x
+        assert got == {i: {find(i)} for i in root}
+    else:
+        assert got == {i: {c} for i, (_, c) in brute_components(rows, 1, 80).items()}
+    assert turns and len(turns) <= 10
+
+
 def test_outlines_never_hide_a_link():
     rng = np.random.default_rng(3)
     for n in (5, 700, 3000):
