@@ -8,7 +8,8 @@ scoring looks these up and never holds vectors.
 
 Learns from at most `most_labelled` labelled rows, in the order of a hash of their ids. Labels, language, source and id are no
 inputs. Nulls: a null or empty text has no words and gets the score of the bias alone; rows with a null id or label are not
-learnt from; without labelled rows every score is 0.5. Repeated rows get repeated scores; an empty table gives an empty result.
+learnt from; of labels that contradict each other the smaller counts, and of several texts of one labelled id the one whose words
+come first; without labelled rows every score is 0.5. Repeated rows get repeated scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,13 +82,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(texts: list[str], toxic: np.ndarray, *, epochs: int = 8, rate: float = 1.0, size: int = 32, weight: float = 2.0, seed: int = 11) -> Model:
+def train(texts: list[str], toxic: np.ndarray, **steps) -> Model:
+    return train_words([sorted(words_of(t)) for t in texts], toxic, **steps)
+
+
+def train_words(bags_of_words: list[list[str]], toxic: np.ndarray, *, epochs: int = 8, rate: float = 1.0, size: int = 32, weight: float = 2.0, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     rows: dict[str, np.ndarray] = {}
     vocabulary: dict[str, int] = {}
     bags = []
-    for text in texts:
-        words = sorted(words_of(text))
+    for words in bags_of_words:
         for w in words:
             if w not in rows:
                 rows[w] = np.array(sorted(grams(w)))
@@ -133,6 +137,22 @@ def train(texts: list[str], toxic: np.ndarray, *, epochs: int = 8, rate: float =
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _words(batches):
+    """The distinct words of each text, in order."""
+    for r in each_text(batches):
+        words = pa.array([sorted(words_of(t)) for t in texts_of(r.column(1))], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([r.column(0), r.column(2), words], names=["doc_id", "toxic", "words"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most_labelled: int) -> Model:
+    """The model learnt from labelled rows: docs (doc_id, text), labels (doc_id, toxic). The driver gets their distinct words, one row an id."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    found = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_words, "doc_id long, toxic int, words array<string>")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("words").alias("words")).toArrow().sort_by([("doc_id", "ascending")])
+    return train_words(rows["words"].to_pylist(), rows["toxic"].to_numpy() == 1)
+
+
 def _score(weight: np.ndarray, bias: float):
     def score(batches):
         model = Model(weight, bias)
@@ -146,10 +166,7 @@ def _score(weight: np.ndarray, bias: float):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 6000) -> DataFrame:
     """(doc_id, score, predicted), one row for each row of `docs`. `labels`: (doc_id, toxic 0 or 1), already without any held-out rows."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"])
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = source.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending")])
-    model = train(texts_of(rows["text"]), rows["toxic"].to_numpy() == 1)
+    model = fitted(source, labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")), most_labelled)
     return source.mapInArrow(_score(model.weight, model.bias), "doc_id long, score double, predicted int")
 
 

@@ -105,6 +105,52 @@ def test_forest_parts_labelled_rows(spark, sf):
     assert kept[1] > 0.97 and kept[0] < 0.6
 
 
+def plain_path(f, t, x):
+    at, steps = 0, 0
+    while f.feature[t, at] >= 0:
+        at = 2 * at + (2 if x[f.feature[t, at]] >= f.split[t, at] else 1)
+        steps += 1
+    return f.length[t, at]
+
+
+def plain_ratios(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, joined = len(words), "".join(words)
+    _, size, symbols, _, repeat = brute_counts(text)
+    upper, lower = (sum(a <= c <= b for c in joined) for a, b in ("AZ", "az"))
+    echo = sum(a == b for a, b in zip(words, words[1:]))
+    return [math.log1p(8 * symbols / (n or 1)), repeat / (n or 1), math.log1p(size / (n or 1)), upper / max(upper + lower, 1), math.log1p(8 * joined.count("!") / (n or 1)), echo / (n or 1)]
+
+
+def test_kept_by_plain_python(spark, sf):
+    """The verdict from the exported forest and threshold, walked node by node over statistics of plain Python."""
+    d, l = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    forest, threshold = quality.fitted(d.select("doc_id", "text"), l.select(F.col("doc_id"), F.col("quality").cast("int")), 100, 256, 4096, 0.01, 7)
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    for r in quality.quality_rules(d, l).collect():
+        counts, ratios = brute_counts(texts[r["doc_id"]]), plain_ratios(texts[r["doc_id"]])
+        trees = len(forest.feature)
+        score = 2.0 ** (-sum(plain_path(forest, t, ratios) for t in range(trees)) / trees / forest.norm)
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        assert r["score"] == pytest.approx(score, rel=1e-12) and (r["base_failed"], r["kept"]) == (failed, not failed and r["score"] < threshold)
+
+
+def test_conflicting_labels(spark):
+    """Labels that contradict each other, ids of several texts and repeated rows: the same models in any order of rows."""
+    rows = [(i % 60, prose(i, 80) + (" w0rthless clown" if i % 3 else "")) for i in range(90)] * 2
+    marks = [(i % 60, (i % 7) % 2, int(i % 3 > 0)) for i in range(100)]
+    out = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        random.Random(seed).shuffle(marks)
+        d, l = docs(spark, rows).repartition(seed + 1), spark.createDataFrame(marks, "doc_id long, quality int, toxic int").repartition(4 - seed)
+        out.append([sorted(map(str, f(d, l).collect())) for f in (quality.quality_rules, toxicity.toxicity_scores)])
+    assert out[0] == out[1]
+    least = spark.createDataFrame(sorted({i: min(m[1:] for m in marks if m[0] == i) for i in range(60)}.items()), "doc_id long, m struct<quality: int, toxic: int>")
+    least = least.select("doc_id", "m.quality").join(spark.createDataFrame(sorted({i: min(m[2] for m in marks if m[0] == i) for i in range(60)}.items()), "doc_id long, toxic int"), "doc_id")
+    assert [sorted(map(str, f(d, least).collect())) for f in (quality.quality_rules, toxicity.toxicity_scores)] == out[0]
+
+
 def test_forest_isolates_an_outlier():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 1, (255, 3)), [[9.0, 9, 9]]])
@@ -254,6 +300,23 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert auc > 0.88
 
 
+def test_scores_by_plain_python(spark, sf):
+    """Scores from the exported weights: the mean over distinct words of the mean over their n-grams, through a logistic."""
+    d, l = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fitted(d.select("doc_id", "text"), l.select("doc_id", F.col("toxic").cast("int")), 6000)
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    means = {}
+    for r in toxicity.toxicity_scores(d, l).collect():
+        words = set(re.findall(r"[^\W_]+(?:[@$*!0-9][^\W_]+)*", texts[r["doc_id"]].lower()))
+        for w in words - means.keys():
+            plain = w if w.isalpha() or w.isdigit() else w.translate(str.maketrans("@$013457!", "asoieasti"))
+            ends = "<" + re.sub(r"(.)\1{2,}", r"\1\1", plain) + ">"
+            parts = {ends[i : i + k] for k in (4, 5) for i in range(len(ends) - k + 1)} | {ends}
+            means[w] = sum(float(model.weight[zlib.crc32(p.encode()) % (1 << 18)]) for p in sorted(parts)) / len(parts)
+        z = model.bias + (sum(means[w] for w in sorted(words)) / len(words) if words else 0)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_misspellings_share_vectors():
     texts = [prose(i, 60) + (" worthless clown" if i % 3 == 0 else "") for i in range(240)]
     m = toxicity.train(texts, np.array([i % 3 == 0 for i in range(240)]))
