@@ -61,13 +61,18 @@ def _with_own_identifiers(r: DataFrame) -> DataFrame:
     identifiers; a family's other identifiers are in the pattern of each of its rows.
     """
     ids = r.select("n_main_sku", F.explode(F.array_distinct(F.array("n_sku", "n_main_sku"))).alias("id")).distinct()
+    return _identified(r, "n_main_sku", "ord", F.col("n_product_name"), ids)
+
+
+def _identified(r: DataFrame, main: str, key: str, text: Column, identifiers: DataFrame) -> DataFrame:
+    """Adds `ids` to rows of (main, key): the pattern of those of a family's identifiers (main, id) that may stand in `text`."""
     plain = F.col("id").rlike("^[A-Za-z0-9_-]+$")
-    tokens = r.select("n_main_sku", "ord", F.explode(F.array_distinct(tx.identifier_tokens(F.col("n_product_name")))).alias("token"))
-    met = tokens.join(ids.where(plain).select("n_main_sku", F.lower("id").alias("token")).distinct(), ["n_main_sku", "token"])
-    own = met.groupBy("n_main_sku", "ord").agg(F.collect_list("token").alias("own"))
-    odd = ids.where(~plain).groupBy("n_main_sku").agg(F.collect_list("id").alias("odd"))
+    tokens = r.select(main, key, F.explode(F.array_distinct(tx.identifier_tokens(text))).alias("token"))
+    met = tokens.join(identifiers.where(plain).select(main, F.lower("id").alias("token")).distinct(), [main, "token"])
+    own = met.groupBy(main, key).agg(F.collect_list("token").alias("own"))
+    odd = identifiers.where(~plain).groupBy(main).agg(F.collect_list("id").alias("odd"))
     none = F.array().cast("array<string>")
-    joined = r.join(own, ["n_main_sku", "ord"], "left").join(odd, "n_main_sku", "left")
+    joined = r.join(own, [main, key], "left").join(odd, main, "left")
     return joined.withColumn("ids", tx.identifiers_pattern(F.concat(F.coalesce("own", none), F.coalesce("odd", none)))).drop("own", "odd")
 
 
@@ -150,22 +155,31 @@ def _judged() -> list[Column]:
 
 def build_documents(rows: DataFrame, excluded_children: DataFrame | None = None, *, ascii_only: bool = False) -> DataFrame:
     """One document a main SKU, with all its children in one row. rows as for `family_entries`, whose flat tables serve families too large for a row."""
-    entries = family_entries(rows, excluded_children, ascii_only=ascii_only)
+    children = F.array_sort(F.collect_list(F.when(F.col("kind") == "child", F.struct("ord", F.col("show").alias("x")))))
+    shown = F.transform("children", lambda e: F.struct(
+        e["x"][0].alias("sku"), e["x"][1].alias("display_name"), e["x"][2].alias("sales_status_raw"), F.when(e["x"][3] != "", F.array(e["x"][3])).otherwise(F.array().cast("array<string>")).alias("status_flags")))
+    return _documents(family_entries(rows, excluded_children, ascii_only=ascii_only), children, shown)
+
+
+def family_heads(entries: DataFrame) -> DataFrame:
+    """The documents of `build_documents` with the number of their children in place of these: a row holds the distinct names of a family, whatever its size."""
+    return _documents(entries, F.count_if(F.col("kind") == "child"), F.col("children"))
+
+
+def _documents(entries: DataFrame, children: Column, shown_children: Column) -> DataFrame:
     of = lambda kind, item: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))
     named = F.struct(F.lower("key").alias("folded"), F.col("key").alias("key"), F.col("show")[0].alias("x"))
     has = lambda mark: F.bool_or((F.col("kind") == "mark") & (F.col("key") == mark)).alias(mark)
     g = entries.groupBy("main_sku").agg(
-        *[of(kind, named).alias(kind) for kind in ("cn", "en", "leaf")], of("path", F.struct("ord", F.col("show").alias("x"))).alias("path"), of("child", F.struct("ord", F.col("show").alias("x"))).alias("child"),
+        *[of(kind, named).alias(kind) for kind in ("cn", "en", "leaf")], of("path", F.struct("ord", F.col("show").alias("x"))).alias("path"), children.alias("children"),
         of("vec", F.struct(F.char_length("key").alias("size"), F.col("key").alias("x"))).alias("vec"), *[has(m) for m in ("live", "out", "operational", "bad_english")],
     )
     shown = lambda kind: F.transform(kind, lambda e: e["x"])
-    children = F.transform("child", lambda e: F.struct(
-        e["x"][0].alias("sku"), e["x"][1].alias("display_name"), e["x"][2].alias("sales_status_raw"), F.when(e["x"][3] != "", F.array(e["x"][3])).otherwise(F.array().cast("array<string>")).alias("status_flags")))
     g = g.withColumns({"leaves": F.size("leaf"), "vector_text_v1": tx.vector_text_of(F.slice(shown("vec"), 1, tx.VECTOR_NAMES))})
     searchable, text, flags = _judged()
     return g.select(
         F.concat(F.lit("main:"), "main_sku").alias("doc_id"), "main_sku", searchable, shown("cn").alias("cn_names"), shown("en").alias("en_aliases"), shown("leaf").alias("leaf_categories"),
-        shown("path").alias("category_paths"), text, children.alias("children"), flags,
+        shown("path").alias("category_paths"), text, shown_children.alias("children"), flags,
     )
 
 
@@ -174,8 +188,23 @@ def english_documents(documents: DataFrame) -> DataFrame:
     documents = documents.withColumn("__ids", tx.identifiers_pattern(tx.identifiers_in(F.concat(F.array("main_sku"), F.transform("children", lambda c: c["sku"])), F.col("en_aliases"))))
     cleaned = F.array_compact(F.transform("en_aliases", lambda a: tx.english_alias(tx.collapse(a), F.col("__ids"))))
     pairs = F.transform(cleaned, lambda a: _pair(F.lower(a), a))
+    return _english(documents.withColumn("__a", _least_display(pairs)).drop("__ids"))
+
+
+def english_heads(entries: DataFrame) -> DataFrame:
+    """The English projection of `family_heads`: an alias meets the family's identifiers as tokens, so that no row holds these."""
+    a = entries.where("kind = 'en'").select("main_sku", "key", F.col("show")[0].alias("name"))
+    ids = entries.where("kind = 'child'").select("main_sku", F.col("show")[0].alias("id")).unionByName(entries.select("main_sku", F.col("main_sku").alias("id"))).distinct()
+    a = _identified(a, "main_sku", "key", F.col("name"), ids)
+    cleaned = a.select("main_sku", tx.english_alias(tx.collapse(F.col("name")), F.col("ids")).alias("name")).where("name is not null")
+    one = cleaned.groupBy("main_sku", F.lower("name").alias("key")).agg(F.min("name").alias("name"))
+    named = one.groupBy("main_sku").agg(F.array_sort(F.collect_list(F.struct("key", "name"))).alias("__a")).withColumn("__a", F.transform("__a", lambda x: x["name"]))
+    heads = family_heads(entries)
+    return _english(heads.join(named, "main_sku", "left").select(*heads.columns, F.coalesce("__a", F.array().cast("array<string>")).alias("__a")))
+
+
+def _english(d: DataFrame) -> DataFrame:
     table = F.create_map(*[x for k, v in ENGLISH_FALLBACKS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    d = documents.withColumn("__a", _least_display(pairs)).drop("__ids")
     d = d.withColumn("en_aliases", F.when(F.size("__a") > 0, F.col("__a")).otherwise(F.coalesce(F.try_element_at(table, F.col("main_sku")), F.array().cast("array<string>")))).drop("__a")
     none = F.size("en_aliases") == 0
     flags = F.array_remove("quality_flags", "missing_english")
@@ -193,7 +222,12 @@ def children_of(documents: DataFrame) -> DataFrame:
 
 def child_map(documents: DataFrame, child_skus: Column) -> DataFrame:
     """(child_sku, main_sku), an error where a child has two mains."""
-    pairs = documents.select("main_sku", F.explode(child_skus).alias("child_sku")).distinct()
+    return child_mains(documents.select("main_sku", F.explode(child_skus).alias("child_sku")))
+
+
+def child_mains(children: DataFrame) -> DataFrame:
+    """`child_map` of flat rows (main_sku, child_sku)."""
+    pairs = children.select("main_sku", "child_sku").distinct()
     one = pairs.groupBy("child_sku").agg(F.min("main_sku").alias("main_sku"), F.count("*").alias("mains"))
     return one.select("child_sku", F.when(F.col("mains") > 1, F.raise_error(F.concat(F.lit("child SKU maps to multiple main SKUs: "), "child_sku")).cast("string")).otherwise(F.col("main_sku")).alias("main_sku"))
 
@@ -209,6 +243,19 @@ def representative_name(documents: DataFrame, excluded_children: DataFrame | Non
     return documents.select("main_sku", F.when(F.array_contains("quality_flags", "excluded_children"), F.coalesce(F.get(live, F.lit(0))["display_name"], first)).otherwise(first).alias("name"))
 
 
+def representative_names(entries: DataFrame) -> DataFrame:
+    """`representative_name` of flat entries, excluded children marked in them: least entries alone are kept, no lists."""
+    of = lambda kind: F.col("kind") == kind
+    shown = lambda i: F.get("show", F.lit(i))
+    live = of("child") & (shown(3) == "") & tx.clean_optional(tx.collapse(shown(1))).isNotNull()
+    g = entries.where("kind in ('cn', 'child', 'mark')").groupBy("main_sku").agg(
+        F.min(F.when(of("cn"), F.struct(F.lower("key").alias("folded"), "key", shown(0).alias("name"))))["name"].alias("first"),
+        F.min(F.when(live, F.struct("ord", shown(1).alias("name"))))["name"].alias("live"), F.bool_or(of("mark") & (F.col("key") == "out")).alias("out"),
+    )
+    first = F.coalesce("first", F.lit(""))
+    return g.select("main_sku", F.when(F.col("out") & ~excluded_main(F.col("main_sku")), F.coalesce("live", first)).otherwise(first).alias("name"))
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

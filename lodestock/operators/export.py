@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 NO_CHILD, NO_CHILD_NAME, NOT_READ = "—", "产品库中未登记子款", "未核验"
 
 
+def joined(rows: DataFrame, keys: list[str], place: str, value: str, separator: str, run: int = 1024) -> DataFrame:
+    """(keys, joined): values of a key in order of `place`, a whole number from 0 that no two share, as one text. Runs of places are joined first, so that no list of single values is longer than a run."""
+    listed = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), separator)
+    runs = rows.groupBy(*keys, F.floor(F.col(place) / run).alias("__run")).agg(listed(place, value).alias("__text"))
+    return runs.groupBy(*keys).agg(listed("__run", "__text").alias("joined"))
+
+
 def recalled(candidates: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """One row a (scene, role, main_sku); of several the last wins, dropped ones last."""
     rows = candidates.withColumn("__late", F.lit(0))

@@ -66,6 +66,12 @@ def eligible_children(documents: DataFrame, platform: Column) -> DataFrame:
     return d.where((F.size("children") == 0) | (F.size("eligible") > 0))
 
 
+def eligible_rows(children: DataFrame, platform: Column) -> DataFrame:
+    """Flat children (catalog.family_children) that `eligible_children` names as eligible."""
+    status = tx.status_key(tx.collapse(F.col("sales_status_raw")))
+    return children.where(~F.array_contains("status_flags", "excluded_sku") & ~F.coalesce(tx.platform_banned(status, platform), F.lit(False)))
+
+
 def hybrid_search(hits: DataFrame, documents: DataFrame, limit: int, platform: Column | None = None) -> DataFrame:
     """Fused hits of families that may be sold, refilled past those that may not. A hit without a document is an error."""
     fused = fuse(hits, exclude_mains=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -55,6 +56,20 @@ def merge_documents(current: DataFrame, built: DataFrame) -> DataFrame:
     return j.select(*[children.alias(c) if c == "children" else pick(c).alias(c) for c in current.columns])
 
 
+def merge_children(current: DataFrame, built: DataFrame) -> DataFrame:
+    """The children of `merge_documents` as rows, joined by key, so that a family may be of any size. Both as catalog.family_children gives them; place is the one after the import."""
+    key = tx.collapse(F.col("sku"))
+    old, new = current.withColumn("__k", key), built.withColumn("__k", key)
+    rest = [c for c in current.columns if c not in ("main_sku", "place")]
+    state = new.groupBy("main_sku", "__k").agg(F.min(F.struct("place", *rest)).alias("__new"))
+    kept = old.join(state, ["main_sku", "__k"], "left").select("main_sku", F.lit(0).alias("__part"), "place", *[F.when(F.col("__new").isNull(), F.col(c)).otherwise(F.col("__new")[c]).alias(c) for c in rest])
+    known = old.select("main_sku").distinct().withColumn("__known", F.lit(True))
+    more = new.join(old.select("main_sku", "__k").distinct(), ["main_sku", "__k"], "left_anti").join(known, "main_sku", "left")
+    more = more.select("main_sku", F.lit(1).alias("__part"), F.when(F.col("__known"), F.struct("__k", *rest)).alias("__by"), "place", *rest)  # a new family's are in their own order
+    order = W.partitionBy("main_sku").orderBy("__part", "__by", "place")
+    return kept.unionByName(more, allowMissingColumns=True).withColumn("place", F.row_number().over(order) - 1).select(*current.columns)
+
+
 def changed_documents(before: DataFrame, after: DataFrame) -> DataFrame:
     """(main_sku) of documents that are new or differ."""
     whole = lambda d, n: d.select("main_sku", F.sha2(F.to_json(F.struct(*sorted(d.columns))), 256).alias(n))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestock.operators import catalog
+from lodestock.operators import catalog, export, fusion, incremental, quality
 
 
 def source(spark, n, main):
@@ -40,3 +40,47 @@ def test_one_family_of_very_many(spark):
     assert catalog.family_children(entries).agg(F.max("place"), F.countDistinct("sku")).first()[:] == (n - 1, n)
     plan = entries._jdf.queryExecution().executedPlan().toString()
     assert "collect_list(sku" not in plan and "partial_min(show" in plan
+
+
+def test_heads_say_what_documents_say(spark):
+    """Names, English aliases with identifiers in them, meanings, representative names and sellable children: flat tables against nested documents."""
+    rows = source(spark, 300, F.concat(F.lit("m"), F.col("id") % 7)).withColumn("english_name", F.when(F.col("ord") % 6 == 0, F.concat_ws(" ", "english_name", "sku")).when(F.col("ord") % 6 == 1, "m1").otherwise(F.col("english_name")))
+    out = spark.createDataFrame([("c3",), ("c8",)], "sku string")
+    docs, entries = catalog.build_documents(rows, out).cache(), catalog.family_entries(rows, out).cache()
+    both = lambda a, b: (sorted(map(repr, a.collect())), sorted(map(repr, b.collect())))
+    flat, nested = both(catalog.family_heads(entries), docs.withColumn("children", F.size("children").cast("long")))
+    assert flat == nested
+    flat, nested = both(catalog.english_heads(entries), catalog.english_documents(docs).withColumn("children", F.size("children").cast("long")))
+    assert flat == nested
+    flat, nested = both(catalog.representative_names(entries), catalog.representative_name(docs))
+    assert flat == nested
+    flat, nested = both(quality.document_metrics(catalog.family_heads(entries)), quality.document_metrics(docs))
+    assert flat == nested
+    live = fusion.eligible_rows(catalog.family_children(entries), F.lit("shopee"))
+    flat, nested = both(export.joined(live, ["main_sku"], "place", "sku", ",", run=3), fusion.eligible_children(docs, F.lit("shopee")).select("main_sku", F.array_join("eligible", ",").alias("joined")))
+    assert flat == nested
+
+
+def test_merged_children_as_rows(spark):
+    """Rows against merge_documents, with new, known and absent children and families; and a family whose pairs would be two billion."""
+    old = source(spark, 200, F.concat(F.lit("m"), F.col("id") % 9)).where("ord % 3 <> 0")
+    new = source(spark, 200, F.concat(F.lit("m"), F.col("id") % 9)).where("ord % 2 = 0 and main_sku <> 'm4'").withColumn("product_name", F.lit("other lamp")).withColumn("ord", -F.col("ord"))
+    m = incremental.merge_documents(catalog.build_documents(old.where("main_sku <> 'm5'")), catalog.build_documents(new))
+    nested = m.select("main_sku", F.posexplode("children").alias("place", "c")).select("main_sku", "place", "c.*")
+    flat = incremental.merge_children(*[catalog.family_children(catalog.family_entries(d)) for d in (old.where("main_sku <> 'm5'"), new)])
+    assert sorted(map(repr, flat.collect())) == sorted(map(repr, nested.collect()))
+    n = 60_000
+    c = spark.range(n).select(F.lit("ONE").alias("main_sku"), F.col("id").cast("int").alias("place"), F.concat(F.lit("c"), "id").alias("sku"), F.lit("lamp").alias("display_name"), F.lit("").alias("sales_status_raw"), F.array().cast("array<string>").alias("status_flags"))
+    merged = incremental.merge_children(c.where("place % 10 <> 0"), c.where("place % 4 = 0").withColumn("display_name", F.lit("lamp new")))
+    assert merged.agg(F.count("*"), F.count_if(F.col("display_name") == "lamp new"), F.max("place")).first()[:] == (n - n // 20, n // 4, n - n // 20 - 1)
+
+
+def test_brands_that_say_the_same_are_no_collisions(spark, tmp_path):
+    """In larger tables every brand has every name and type; quality_metrics' SQL has regions alone collide."""
+    from lodestock import plans
+
+    names = spark.range(40).select(F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), F.concat(F.lit("Brand#"), F.col("id") % 2).alias("p_brand"), F.lit("PROMO").alias("p_type"), F.lit(9).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    names.write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3).select(F.col("id").cast("int").alias("r_regionkey"), F.lit("r").alias("r_name")).write.parquet(f"{tmp_path}/region.parquet")
+    got = plans.QUERIES["quality_metrics"](spark, str(tmp_path)).first()
+    assert (got["document_count"], got["exact_document_collision_count"], got["mixed_category_document_count"]) == (5, 2, 0)
