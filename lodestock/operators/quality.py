@@ -38,8 +38,8 @@ def semantic_json() -> Column:
 
 
 def document_metrics(documents: DataFrame) -> DataFrame:
-    """One row of counters, of which collisions are the documents beyond the first of each meaning. Documents are read once."""
-    size = F.size("children")
+    """One row of counters, of which collisions are the documents beyond the first of each meaning. Documents are read once; `catalog.family_heads`, which count their children, do as well."""
+    size = F.size("children") if documents.schema["children"].dataType.typeName() == "array" else F.col("children")
     of_meaning = documents.groupBy(F.sha2(semantic_json(), 256).alias("meaning")).agg(
         F.count("*").alias("documents"), F.sum(size).alias("children"), F.count_if("searchable").alias("searchable"), F.count_if(size > 1).alias("many"), F.count_if(F.array_contains("quality_flags", "mixed_leaf_category")).alias("mixed")
     )
