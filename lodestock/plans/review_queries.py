@@ -113,7 +113,7 @@ select p_brand as main_sku, coalesce(case when any_gone then live end, first_nam
 def representative_names(spark, sf_dir):
     """The first name of a family; where children are excluded, the name of the first that isn't."""
     out = table(spark, sf_dir, "part").where("p_brand like '%1' and p_size < 10").select(F.concat(F.lit("C"), "p_partkey").alias("sku"))
-    return catalog.representative_name(catalog.build_documents(part_rows(spark, sf_dir), out, ascii_only=True))
+    return catalog.representative_names(catalog.family_entries(part_rows(spark, sf_dir), out, ascii_only=True))
 
 
 @query("""select p_brand as main_sku, cast(count(*) as bigint) as children from part where p_brand = 'Brand#13' group by p_brand""")
