@@ -7,7 +7,7 @@ level of lists, and all documents are checked in the scan, without a shuffle and
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +28,24 @@ def _none() -> Column:
     return F.array().cast(FAULTS)
 
 
+def _named(path: Column, problem: Column) -> Column:
+    """The fault of a problem that is null where there is none."""
+    return F.when(problem.isNull(), _none()).otherwise(F.array(F.struct(path.alias("path"), problem.alias("problem"))).cast(FAULTS))
+
+
 def _fault(path: Column, problem: str, when: Column) -> Column:
     return F.when(when, F.array(F.struct(path.alias("path"), F.lit(problem).alias("problem"))).cast(FAULTS)).otherwise(_none())
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` a value that is computed once, however often `of` names it: as the variable of a lambda. Named outright, a field's value would be read from its parent's anew at each use, and so on up to the parser."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _if_there(rule: Rule, path: Column, absent: Column) -> Callable[[Column], Column]:
+    return lambda value: F.when(value.isNull(), absent).otherwise(rule.faults(value, path))
+
+
 def _kind(value: Column) -> Column:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID, OBJECT<..> or ARRAY<..>; empty where there is no value."""
     return F.coalesce(F.schema_of_variant(value), F.lit(""))
@@ -50,12 +64,12 @@ class Text(Rule):
 
     def faults(self, value: Column, path: Column) -> Column:
         text = F.try_variant_get(value, "$", "string")
-        out = F.when(_kind(value) != "STRING", _fault(path, "not a text", F.lit(True)))
+        problem = F.when(_kind(value) != "STRING", "not a text")
         if self.choices:
-            out = out.when(~text.isin(*self.choices), _fault(path, "not one of the choices", F.lit(True)))
+            problem = problem.when(~text.isin(*self.choices), "not one of the choices")
         elif not self.blank:
-            out = out.when(F.trim(text) == "", _fault(path, "blank", F.lit(True)))
-        return out.otherwise(_none())
+            problem = problem.when(F.trim(text) == "", "blank")
+        return _named(path, problem)
 
 
 @dataclass(frozen=True)
@@ -66,12 +80,16 @@ class Number(Rule):
     most: float | None = None
 
     def faults(self, value: Column, path: Column) -> Column:
-        n, out = F.try_variant_get(value, "$", "double"), F.lit(False)
-        if self.least is not None:
-            out = out | (n < self.least)
-        if self.most is not None:
-            out = out | (n > self.most)
-        return F.when(~_is_number(value), _fault(path, "not a number", F.lit(True))).otherwise(_fault(path, "out of bounds", out))
+        def bounded(n: Column) -> Column:
+            out = F.lit(False)
+            if self.least is not None:
+                out = out | (n < self.least)
+            if self.most is not None:
+                out = out | (n > self.most)
+            return out
+
+        outside = _once(F.try_variant_get(value, "$", "double"), bounded)
+        return _named(path, F.when(~_is_number(value), "not a number").when(outside, "out of bounds"))
 
 
 @dataclass(frozen=True)
@@ -83,18 +101,24 @@ class Object(Rule):
     more: bool = False
 
     def faults(self, value: Column, path: Column) -> Column:
-        keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
         at = lambda name: F.concat(path, F.when(path == "", "").otherwise("."), F.lit(name) if isinstance(name, str) else name)
-        parts = []
-        for required, rules in ((True, self.fields), (False, self.optional)):
-            for name, rule in rules.items():
-                has = F.array_contains(keys, name)
-                inside = rule.faults(F.try_variant_get(value, f"$['{name}']", "variant"), at(name))
-                parts.append(F.when(has, inside).otherwise(_fault(at(name), "missing", F.lit(True)) if required else _none()))
-        if not self.more:
-            odd = F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in (*self.fields, *self.optional)])))
-            parts.append(F.transform(odd, lambda k: F.struct(at(k).alias("path"), F.lit("unexpected").alias("problem"))).cast(FAULTS))
-        return F.when(~_kind(value).startswith("OBJECT"), _fault(path, "not an object", F.lit(True))).otherwise(F.concat(*parts))
+
+        def inside(members: Column) -> Column:
+            parts = []
+            for required, rules in ((True, self.fields), (False, self.optional)):
+                for name, rule in rules.items():
+                    absent = _fault(at(name), "missing", F.lit(True)) if required else _none()
+                    if type(rule) is Rule:
+                        parts.append(F.when(F.map_contains_key(members, F.lit(name)), _none()).otherwise(absent))
+                    else:  # a member that is there is no null: JSON's own is a variant
+                        parts.append(_once(F.try_element_at(members, F.lit(name)), _if_there(rule, at(name), absent)))
+            if not self.more:
+                odd = F.array_sort(F.array_except(F.map_keys(members), F.array(*[F.lit(n) for n in (*self.fields, *self.optional)])))
+                parts.append(F.transform(odd, lambda k: F.struct(at(k).alias("path"), F.lit("unexpected").alias("problem"))).cast(FAULTS))
+            return F.concat(*parts)
+
+        members = F.try_variant_get(value, "$", "map<string,variant>")
+        return _once(members, lambda m: F.when(m.isNull(), _fault(path, "not an object", F.lit(True))).otherwise(inside(m)))
 
 
 @dataclass(frozen=True)
@@ -107,15 +131,18 @@ class List(Rule):
     unique: str | None = None
 
     def faults(self, value: Column, path: Column) -> Column:
+        def inside(items: Column) -> Column:
+            parts = [_fault(path, "too few items", F.size(items) < self.least)]
+            if self.most is not None:
+                parts.append(_fault(path, "too many items", F.size(items) > self.most))
+            if self.unique:
+                named = F.filter(F.transform(items, lambda x: F.trim(F.try_variant_get(x, f"$['{self.unique}']", "string"))), lambda n: n.isNotNull())
+                parts.append(_fault(path, f"items share {self.unique}", F.size(F.array_distinct(named)) < F.size(named)))
+            parts.append(F.flatten(F.transform(items, lambda x, i: self.item.faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
+            return F.concat(*parts)
+
         items = F.try_variant_get(value, "$", "array<variant>")
-        parts = [_fault(path, "too few items", F.size(items) < self.least)]
-        if self.most is not None:
-            parts.append(_fault(path, "too many items", F.size(items) > self.most))
-        if self.unique:
-            named = F.filter(F.transform(items, lambda x: F.trim(F.try_variant_get(x, f"$['{self.unique}']", "string"))), lambda n: n.isNotNull())
-            parts.append(_fault(path, f"items share {self.unique}", F.size(F.array_distinct(named)) < F.size(named)))
-        parts.append(F.flatten(F.transform(items, lambda x, i: self.item.faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
-        return F.when(~_kind(value).startswith("ARRAY"), _fault(path, "not a list", F.lit(True))).otherwise(F.concat(*parts))
+        return _once(items, lambda i: F.when(i.isNull(), _fault(path, "not a list", F.lit(True))).otherwise(inside(i)))
 
 
 @dataclass(frozen=True)
@@ -144,13 +171,14 @@ class Either(Rule):
 def checked(rows: DataFrame, column: str, rule: Rule) -> DataFrame:
     """Rows plus faults (path, problem) of the JSON in `column`; text that is no JSON has one fault, with an empty path."""
     value = F.try_parse_json(F.coalesce(F.col(column), F.lit("")))
-    return rows.withColumn("faults", F.when(value.isNull(), _fault(F.lit(""), "not JSON", F.lit(True))).otherwise(rule.faults(value, F.lit(""))))
+    return rows.withColumn("faults", _once(value, lambda v: F.when(v.isNull(), _fault(F.lit(""), "not JSON", F.lit(True))).otherwise(rule.faults(v, F.lit("")))))
 
 
 def split(rows: DataFrame, column: str, rule: Rule, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows without a fault, and (keys, path, problem), a row a fault of the others."""
     c = checked(rows, column, rule)
-    return c.where(F.size("faults") == 0).drop("faults"), c.select(*keys, F.explode("faults").alias("f")).select(*keys, "f.*")
+    # explode() itself would have the planner put a filter on the size of `faults` before it, which checks each document again
+    return c.where(F.size("faults") == 0).drop("faults"), c.select(*keys, F.explode_outer("faults").alias("f")).where("f is not null").select(*keys, "f.*")
 
 
 # The fields of each kind of answer, and how many items their lists may have.

@@ -107,3 +107,18 @@ def test_very_many_names(spark):
     needs = spark.range(0, 100_000, 1000).select(F.col("id").alias("scene"), F.concat(F.lit("a NAME"), "id").alias("product_cn"), F.lit(None).cast("string").alias("product_en"))
     got = clues.purity_violations(needs, names)
     assert got.count() == 100 and got.where("lower(product_cn) <> concat('a ', excluded_clue)").count() == 0
+
+
+def test_a_document_is_read_once(spark):
+    """Levels multiply nothing: the parser is named once in the plan of any rule, and no filter checks documents a second time before their faults are listed."""
+    Object, List, Text, Number = validators.Object, validators.List, validators.Text, validators.Number
+    rule = Object({"a": List(Object({"b": Object({"c": List(Object({"d": Text()}), 1, 2)}), "n": Number(0, 5)}), 1, 3)})
+    rows = spark.createDataFrame([(1, '{"a":[{"b":{"c":[{"d":null},{"d":" "},{}]},"n":9}]}'), (2, '{"a":[{"b":{"c":[{"d":"x"}]},"n":1}]}'), (3, '{"a":[{"b":{"c":null}}]}'), (4, "[")], "id int, j string")
+    good, bad = validators.split(rows, "j", rule, ["id"])
+    assert [r.id for r in good.collect()] == [2]
+    assert sorted(map(tuple, bad.collect())) == [
+        (1, "a[0].b.c", "too many items"), (1, "a[0].b.c[0].d", "not a text"), (1, "a[0].b.c[1].d", "blank"), (1, "a[0].b.c[2].d", "missing"), (1, "a[0].n", "out of bounds"),
+        (3, "a[0].b.c", "not a list"), (3, "a[0].n", "missing"), (4, "", "not JSON"),
+    ]
+    for d in (good, bad):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + d._jdf.queryExecution().optimizedPlan().toString().count("parse_json(") == 1
