@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELD_WEIGHTS = {"cn_names": 8.0, "categories": 4.0, "en_aliases": 1.0}
 #: Queries that go to the tasks as one matrix, and the size of blocks of more; vectors of a block; scores that a task holds at a time.
-QUERY_BLOCK, VECTOR_BLOCK, SCORES = 4096, 65_536, 1 << 23
+QUERY_BLOCK, VECTOR_BLOCK, SCORES = 4096, 65_536, 1 << 20
 #: Up to this many query tokens (some MB) are broadcast to the postings; more are joined by shuffle.
 MOST_TOKENS = 100_000
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import QUERY_BLOCK, VECTOR_BLOCK, best_of_blocks, matrix, top_k, unit_rows
+from .search import QUERY_BLOCK, SCORES, VECTOR_BLOCK, best_of_blocks, matrix, top_k, unit_rows
 
 #: Vectors that centroids are fitted on, and numbers that the sample may hold (32 MB); rounds of fitting; most lists.
 SAMPLE, SAMPLE_NUMBERS, ROUNDS, MOST_LISTS = 50_000, 1 << 22, 12, 4096
@@ -47,10 +47,14 @@ def fitted(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
 
 
 def distances(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distance to its nearest centroid, and which that is."""
-    d = gaps(rows, centres)
-    of = d.argmin(1) if len(centres) else np.full(len(rows), NOWHERE)
-    return (d[np.arange(len(rows)), of] if len(centres) else np.zeros(len(rows))), of
+    """Each row's distance to its nearest centroid, and which that is; SCORES numbers are held at a time."""
+    if not len(centres):
+        return np.zeros(len(rows)), np.full(len(rows), NOWHERE)
+    least, of, step = np.zeros(len(rows)), np.zeros(len(rows), np.int64), max(1, SCORES // len(centres))
+    for a in range(0, len(rows), step):
+        d = gaps(rows[a : a + step], centres)
+        of[a : a + step], least[a : a + step] = d.argmin(1), d.min(1)
+    return least, of
 
 
 def gaps(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -111,10 +115,10 @@ def index_tables(vectors: DataFrame, lists: int | None = None) -> dict[str, Data
 def _probes(centres: np.ndarray, radius: np.ndarray, numbers: np.ndarray, probes: int, worst: bool):
     """(query_id, vector, list) of the lists to search: the nearest `probes`, or with `worst` (a query's k-th distance so far) those that it does not rule out, the nearest left out."""
 
+    step = max(1, SCORES // 4 // max(len(centres), 1))  # a slice's vectors go out once for each of its lists
+
     def probe(batches):
-        for r in batches:
-            if not r.num_rows:
-                continue
+        for r in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
             rows = unit_rows(matrix(r.column(1)))
             d = gaps(rows, centres)
             near = np.zeros(d.shape, bool)

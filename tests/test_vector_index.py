@@ -85,3 +85,15 @@ def test_few_or_no_vectors(spark):
         index = VectorIndex(t["vectors"], t["lists"], t["probes"])
         got = index.search(frame(spark, np.eye(4)[:2], "query_id"), 3, exact=True)
         assert rows(got) == brute(values.reshape(-1, 4), np.eye(4)[:2], 3)
+
+
+def test_distances_hold_a_bounded_number_of_scores(monkeypatch):
+    """Slices of rows against centroids, whatever their number, and the same distances as at once."""
+    rng = np.random.default_rng(3)
+    rows, centres, most = rng.normal(size=(500, 8)), rng.normal(size=(90, 8)), []
+    d = vector_index.gaps(rows, centres)
+    plain = vector_index.gaps
+    monkeypatch.setattr(vector_index, "SCORES", 1000)
+    monkeypatch.setattr(vector_index, "gaps", lambda r, c: (most.append(len(r) * len(c)), plain(r, c))[1])
+    least, of = vector_index.distances(rows, centres)
+    assert max(most) <= 1000 and (of == d.argmin(1)).all() and np.allclose(least, d.min(1))
