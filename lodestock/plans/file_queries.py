@@ -6,6 +6,7 @@ import io
 import json
 import uuid
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -18,33 +19,37 @@ from .change_queries import put_file
 from .registry import query, table
 
 
-def folder(spark) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+class Part(NamedTuple):
+    p_partkey: int
+    p_brand: str
+    p_type: str
+    p_size: int
 
 
-def parts(spark, sf_dir: str):
-    return table(spark, sf_dir, "part").orderBy("p_partkey").toLocalIterator()
+def folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def workbook(spark, sheets) -> str:
-    path = f"{folder(spark)}/rows.xlsx"
-    put_file(spark, path, xlsx.write_workbook(sheets))
-    return path
+def workbooks(spark, sf_dir: str, sheets):
+    """Parts as workbooks, written by the tasks that read them and kept as a table (path, content). sheets: of parts (p_partkey, p_brand, p_type, p_size)."""
+    path = f"{folder(spark)}/workbooks.parquet"
+    xlsx.workbooks(table(spark, sf_dir, "part").select(*Part._fields), lambda rows: sheets([Part(*r) for r in rows])).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("""select 'C' || p_partkey as child_sku, p_brand as main_sku, case when p_size % 2 = 0 then 'PH' else 'TH' end as country, cast(p_size as double) as quantity from part""")
 def snapshot_workbook(spark, sf_dir):
-    """A stock snapshot with a total row, which is no stock."""
-    rows = ([f" C{p.p_partkey}", p.p_brand, "PH" if p.p_size % 2 == 0 else "泰国", p.p_size] for p in parts(spark, sf_dir))
-    path = workbook(spark, [(tables.STOCK_SHEET, list(tables.SNAPSHOT_HEADERS), chain(rows, [["", tables.TOTAL_ROW, "", 999]])), ("notes", ["x"], [["y"]])])
-    return tables.snapshot_rows(spark, path).select("child_sku", "main_sku", "country", "quantity")
+    """A stock snapshot with total rows, which are no stock."""
+    row = lambda p: [f" C{p.p_partkey}", p.p_brand, "PH" if p.p_size % 2 == 0 else "泰国", p.p_size]
+    sheets = lambda parts: [(tables.STOCK_SHEET, list(tables.SNAPSHOT_HEADERS), chain(map(row, parts), [["", tables.TOTAL_ROW, "", 999]])), ("notes", ["x"], [["y"]])]
+    return tables.snapshot_rows(spark, workbooks(spark, sf_dir, sheets)).select("child_sku", "main_sku", "country", "quantity")
 
 
 @query("""select p_brand as main_sku, 'C' || p_partkey as child_sku, p_size * 1000.0::double as quantity from part where p_size % 7 <> 0 and p_type <> 'PROMO' and p_size % 2 = 0""")
 def stock_workbook(spark, sf_dir):
     """One country's stock: children of another main than the catalog's and unknown ones (promotions) don't count; numbers have separators."""
-    rows = ([f"C{p.p_partkey}", "other" if p.p_size % 7 == 0 else p.p_brand, "ph" if p.p_size % 2 == 0 else "VN", f"{p.p_size},000", None] for p in parts(spark, sf_dir))
-    path = workbook(spark, [(tables.STOCK_SHEET, list(tables.STOCK_HEADERS), rows)])
+    row = lambda p: [f"C{p.p_partkey}", "other" if p.p_size % 7 == 0 else p.p_brand, "ph" if p.p_size % 2 == 0 else "VN", f"{p.p_size},000", None]
+    path = workbooks(spark, sf_dir, lambda parts: [(tables.STOCK_SHEET, list(tables.STOCK_HEADERS), map(row, parts))])
     known = table(spark, sf_dir, "part").where("p_type <> 'PROMO'").select(F.concat(F.lit("C"), "p_partkey").alias("child_sku"), F.col("p_brand").alias("main_sku"))
     return stock.country_rows(tables.stock_rows(spark, path), known, "菲律宾")
 
@@ -54,8 +59,8 @@ select country, main_sku, centre, public_pool, 2 * n as single_sale, 3 * n as lo
 def measure_workbook(spark, sf_dir):
     """Two sheets whose headers stand below notes, and one that doesn't match; what is no number counts as 0."""
     line = lambda p: [f"C{p.p_partkey}", p.p_brand, "PH", p.p_size, "many" if p.p_type == "PROMO" else 1, 2, 3, 4, 5]
-    sheet = lambda name, keep: (name, ["note"], chain([["", "more"], list(tables.MEASURE_HEADERS)], (line(p) for p in parts(spark, sf_dir) if keep(p))))
-    path = workbook(spark, [sheet("small", lambda p: p.p_size <= 25), ("notes", ["x"], [["y"]]), sheet("large", lambda p: p.p_size > 25)])
+    sheet = lambda name, some: (name, ["note"], chain([["", "more"], list(tables.MEASURE_HEADERS)], map(line, some)))
+    path = workbooks(spark, sf_dir, lambda parts: [sheet("small", [p for p in parts if p.p_size <= 25]), ("notes", ["x"], [["y"]]), sheet("large", [p for p in parts if p.p_size > 25])])
     return stock.measures(tables.measure_rows(spark, path))
 
 

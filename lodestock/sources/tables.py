@@ -26,12 +26,12 @@ EXPANSIONS = "schema string, scenes array<struct<scene_name:string,product_cn:st
 BENCHMARK = "query_id string, query string, relevant_main_skus array<string>, expected_status string, label_status string, notes string"
 
 
-def source_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+def source_rows(spark: SparkSession, path: str | DataFrame, sheet: str | None = None) -> DataFrame:
     """Source rows of a workbook: all its matching sheets, or the one named."""
     return xlsx.columns(xlsx.read_tables(spark, path, tuple(SOURCE_HEADERS), sheet=sheet), SOURCE_HEADERS)
 
 
-def snapshot_rows(spark: SparkSession, path: str) -> DataFrame:
+def snapshot_rows(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Rows of a stock snapshot less its total row, quantity as a number; a row without a child SKU or of an unknown country is an error."""
     from ..functions import text as tx
 
@@ -43,12 +43,12 @@ def snapshot_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("row", F.trim("child_sku").alias("child_sku"), F.trim("main_sku").alias("main_sku"), code.alias("country"), tx.number(F.col("quantity"), strict=True).alias("quantity"))
 
 
-def stock_rows(spark: SparkSession, path: str) -> DataFrame:
+def stock_rows(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     rows = xlsx.columns(xlsx.read_tables(spark, path, tuple(STOCK_HEADERS), sheet=STOCK_SHEET), STOCK_HEADERS)
     return rows.select("row", *[F.trim(c).alias(c) for c in STOCK_HEADERS.values()])
 
 
-def measure_rows(spark: SparkSession, path: str) -> DataFrame:
+def measure_rows(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Rows of every sheet that has the headers within its first thirty rows, measures as numbers, what is none as 0."""
     from ..functions import text as tx
 

@@ -152,3 +152,19 @@ def test_paged_sheets():
     pages = lambda n: [(name, list(rows)) for name, _, rows in xlsx.paged("p", ["h"], ([i] for i in range(n)), most_rows=2)]
     assert pages(0) == [("p", [])] and pages(2) == [("p", [[0], [1]])]
     assert pages(5) == [("p", [[0], [1]]), ("p 2", [[2], [3]]), ("p 3", [[4]])]
+
+
+def test_workbooks_are_written_by_tasks(spark, sf):
+    """Several workbooks of a task's rows come back as the rows; no query of workbooks iterates over parts on the driver."""
+    import inspect
+
+    from lodestock.plans import change_queries, file_queries
+    from lodestock.sources import xlsx
+
+    rows = spark.range(25).selectExpr("id", "concat('n', id) as name").coalesce(2)
+    books = xlsx.workbooks(rows, lambda some: [("notes", ["x"], [["y"]]), ("rows", ["id", "name"], some)], most_rows=4).cache()
+    assert books.count() >= 7
+    got = xlsx.columns(xlsx.read_tables(spark, books, ("id", "name")), {"id": "id", "name": "name"})
+    assert sorted((int(r.id), r.name) for r in got.select("id", "name").collect()) == [(i, f"n{i}") for i in range(25)]
+    for f in (change_queries.xlsx_roundtrip, file_queries.measure_workbook, file_queries.snapshot_workbook, file_queries.stock_workbook):
+        assert "toLocalIterator" not in inspect.getsource(f) + inspect.getsource(file_queries.workbooks) and "parts(spark" not in inspect.getsource(f)
