@@ -1,9 +1,11 @@
 """Quality rules: an isolation forest on rule statistics, its threshold calibrated from labelled rows.
 
-Every document gets rule statistics of its whole text. Trees split a bounded sample of labelled documents at random
-features and random places; a document that few splits suffice to isolate has a short mean path and a high score. The
-threshold is the one that parts the labelled good from the labelled bad best, among those that reject at most
-`most_rejected` of the labelled good ones.
+Every document gets rule statistics of its whole text. Trees split labelled documents at random features and random
+places; a document that few splits suffice to isolate has a short mean path and a high score. Every labelled document is
+in at least one tree, and in as many as give a tree `tree_rows` rows on average; each tree is grown in a task of its own from the ratios dealt to it.
+The threshold is the one that parts the labelled good from the labelled bad best, among those that reject at most
+`most_rejected` of the labelled good ones. All labelled documents are scored and counted for it, in `cells` equal intervals of
+the score; the least score of each interval is tried.
 
 Nulls: a null text has no words and fails the base rules; rows with a null id or null label are not learnt from. Of labels that
 contradict each other the smaller counts, and of several texts of one labelled id the one whose ratios come first. Without
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, each_text, table
+from .common import Scratch, as_bytes, batch, build_filter, each_text, filter_bits, in_filter, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios that the forest sees; none of them grows with a text's length. Shares of repeated lines and of digits isolated
@@ -32,6 +34,7 @@ BASE_MIN_WORDS = 50
 BASE_REPEAT_PERCENT = 50
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 KEPT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])
+TREE = pa.schema([("tree", pa.int32()), ("n", pa.int64()), ("feature", pa.list_(pa.int32())), ("split", pa.list_(pa.float64())), ("length", pa.list_(pa.float64()))])
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -97,55 +100,113 @@ def mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def grow_tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, split and length at each node of one tree; they depend on the set of rows, not on their order."""
+    nodes = 2 ** (depth + 1) - 1
+    feature, split, length = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
+    todo = [(0, 0, x)]
+    while todo:
+        at, level, rows = todo.pop()
+        low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
+        open_ = np.flatnonzero(high > low)
+        if level == depth or len(rows) < 2 or not len(open_):
+            length[at] = level + mean_path(len(rows))
+            continue
+        f = rng.choice(open_)
+        cut = rng.uniform(low[f], high[f])
+        feature[at], split[at] = f, cut
+        right = rows[:, f] >= cut
+        todo += [(2 * at + 1, level + 1, rows[~right]), (2 * at + 2, level + 1, rows[right])]
+    return feature, split, length
+
+
+def depth_of(rows: int) -> int:
+    return max(1, math.ceil(math.log2(max(rows, 2))))
+
+
 def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
+    """A forest of rows in memory, each tree from a sample of them."""
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
-    depth = max(1, math.ceil(math.log2(max(sample, 2))))
-    nodes = 2 ** (depth + 1) - 1
-    feature, split, length = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
-    for t in range(trees):
-        todo = [(0, 0, x[rng.choice(len(x), sample, replace=False)])]
-        while todo:
-            at, level, rows = todo.pop()
-            low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
-            open_ = np.flatnonzero(high > low)
-            if level == depth or len(rows) < 2 or not len(open_):
-                length[t, at] = level + mean_path(len(rows))
-                continue
-            f = rng.choice(open_)
-            cut = rng.uniform(low[f], high[f])
-            feature[t, at], split[t, at] = f, cut
-            right = rows[:, f] >= cut
-            todo += [(2 * at + 1, level + 1, rows[~right]), (2 * at + 2, level + 1, rows[right])]
-    return Forest(feature, split, length, depth, max(mean_path(sample), 1e-9))
+    depth = depth_of(sample)
+    grown = [grow_tree(x[rng.choice(len(x), sample, replace=False)], depth, rng) for _ in range(trees)]
+    return Forest(*map(np.array, zip(*grown)), depth, max(mean_path(sample), 1e-9))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, most_rejected: float) -> float:
-    """The score from which documents are rejected."""
-    if not good.any() or good.all():
+def _tree(depth: int, seed: int):
+    def tree(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        x = matrix(rows["ratios"])
+        grown = grow_tree(x, depth, np.random.default_rng((seed, key[0].as_py())))
+        return pa.Table.from_pylist([{"tree": key[0].as_py(), "n": len(x), **dict(zip(("feature", "split", "length"), grown))}], TREE)
+
+    return tree
+
+
+def matrix(ratios: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(ratios, pa.ChunkedArray):
+        ratios = ratios.combine_chunks()
+    return np.asarray(ratios.flatten(), dtype=np.float64).reshape(len(ratios), len(FEATURES))
+
+
+def grown(learnt: DataFrame, rows: int, trees: int, tree_rows: int, seed: int) -> Forest:
+    """A forest that all of `learnt` (doc_id, ratios; `rows` rows) go into: a row into the trees whose hashes with its id are least."""
+    each = min(trees, max(1, math.ceil(trees * tree_rows / rows)))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64("doc_id", t).alias("h"), t.alias("tree"))))
+    dealt = learnt.select(F.explode(F.slice(order, 1, each)["tree"]).alias("tree"), "ratios")
+    depth = depth_of(min(tree_rows, rows))
+    kind = "tree int, n long, feature array<int>, split array<double>, length array<double>"
+    found = dealt.groupBy("tree").applyInArrow(_tree(depth, seed), kind).toArrow().sort_by("tree")  # a row a tree
+    feature, split, length = (np.array(found[c].to_pylist()) for c in ("feature", "split", "length"))
+    return Forest(feature, split, length, depth, max(float(np.mean([mean_path(n) for n in found["n"].to_pylist()])), 1e-9))
+
+
+def best_cut(cuts: np.ndarray, good: np.ndarray, bad: np.ndarray, most_rejected: float) -> float:
+    """The score from which documents are rejected: one of `cuts`, ascending, with the numbers of rows from each up to the next."""
+    if not good.sum() or not bad.sum():
         return math.inf
-    cuts = np.unique(scores)
-    rejected_good = 1 - np.searchsorted(np.sort(scores[good]), cuts, side="left") / good.sum()
-    rejected_bad = 1 - np.searchsorted(np.sort(scores[~good]), cuts, side="left") / (~good).sum()
+    rejected_good, rejected_bad = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (good, bad))
     gain = np.where(rejected_good <= most_rejected, rejected_bad - rejected_good, -1)
     best = int(np.argmax(gain))
     return float(cuts[best]) if gain[best] > 0 else math.inf
 
 
-def _ratios(batches):
-    for r in each_text(batches):
-        ratios = pa.array([statistics(t)[1] for t in as_bytes(r.column(1))], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([r.column(0), r.column(2), ratios], names=["doc_id", "quality", "ratios"])
+def calibrate(scores: np.ndarray, good: np.ndarray, most_rejected: float) -> float:
+    """The score from which documents are rejected, of scores in memory."""
+    cuts, at = np.unique(scores, return_inverse=True)
+    return best_cut(cuts, *(np.bincount(at[x], minlength=len(cuts)) for x in (good, ~good)), most_rejected)
+
+
+def _cells(forest: Forest, cells: int):
+    def count(batches):
+        for r in batches:
+            scores, good = forest.scores(matrix(r.column(1))), r.column(0).to_numpy() == 1
+            yield pa.RecordBatch.from_arrays([pa.array((scores * cells).astype(np.int32)), pa.array(scores), pa.array(good.astype(np.int64)), pa.array((~good).astype(np.int64))], names=["cell", "cut", "good", "bad"])
+
+    return count
+
+
+def calibrated(learnt: DataFrame, forest: Forest, cells: int, most_rejected: float) -> float:
+    """The score from which documents are rejected, of all of `learnt` (quality, ratios); the driver gets the counts of at most `cells` intervals."""
+    counts = learnt.select("quality", "ratios").mapInArrow(_cells(forest, cells), "cell int, cut double, good long, bad long")
+    found = counts.groupBy("cell").agg(F.min("cut").alias("cut"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow().sort_by("cell")
+    return best_cut(*(found[c].to_numpy() for c in ("cut", "good", "bad")), most_rejected)
+
+
+def _ratios(words: np.ndarray):
+    def ratios(batches):
+        for r in each_text(batches):
+            r = r.filter(pa.array(in_filter(words, r.column(2).to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([r.column(0), pa.array([statistics(t)[1] for t in as_bytes(r.column(1))], pa.list_(pa.float64()))], names=["doc_id", "ratios"])
+
+    return ratios
 
 
-def labelled_ratios(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ratios and labels of at most `most_rows` labelled documents, taken in the order of a hash of their ids; one row an id, whatever repeats it."""
+def labelled_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, ratios) of all labelled documents; one row an id, whatever repeats it. Only ids and ratios are shuffled, and a filter of ids leaves out most of the texts without a label."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    found = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").mapInArrow(_ratios, "doc_id long, quality int, ratios array<double>")
-    rows = found.groupBy("doc_id", "quality").agg(F.min("ratios").alias("ratios")).select("quality", "ratios").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["ratios"], r["quality"]))
-    return np.array([r["ratios"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["quality"] == 1 for r in rows], dtype=bool)
+    words = build_filter(known, F.xxhash64("doc_id"), filter_bits(known.count()))
+    found = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_ratios(words), "doc_id long, ratios array<double>")
+    return found.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("ratios").alias("ratios"))
 
 
 def _judge(forest: Forest | None, threshold: float):
@@ -161,11 +222,15 @@ def _judge(forest: Forest | None, threshold: float):
     return judge
 
 
-def fitted(docs: DataFrame, labels: DataFrame, trees: int, tree_rows: int, most_labelled: int, most_rejected: float, seed: int) -> tuple[Forest | None, float]:
+def fitted(docs: DataFrame, labels: DataFrame, trees: int, tree_rows: int, cells: int, most_rejected: float, seed: int) -> tuple[Forest | None, float]:
     """The forest and the score from which documents are rejected. docs: (doc_id, text)."""
-    x, good = labelled_ratios(docs, labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")), most_labelled)
-    forest = grow(x, trees, tree_rows, seed) if len(x) > 1 else None
-    return forest, calibrate(forest.scores(x), good, most_rejected) if forest else math.inf
+    with Scratch(docs.sparkSession) as scratch:
+        learnt = scratch.written(labelled_ratios(docs, labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))), "labelled")
+        rows = learnt.count()
+        if rows < 2:
+            return None, math.inf
+        forest = grown(learnt, rows, trees, tree_rows, seed)
+        return forest, calibrated(learnt, forest, cells, most_rejected)
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,23 +238,23 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = 100, tree_rows: int = 256, most_labelled: int = 4096, most_rejected: float = 0.01, seed: int = 7
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = 100, tree_rows: int = 256, cells: int = 4096, most_rejected: float = 0.01, seed: int = 7
 ) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score), one row for each row of `docs`.
 
-    `labels` has (doc_id, quality 0 or 1); at most `most_labelled` of its rows are learnt from and brought to the driver.
+    `labels` has (doc_id, quality 0 or 1); all of its rows that a document has are learnt from. The driver gets the trees and the counts of `cells` intervals.
     """
     source = _plain(docs, id_col, text_col)
-    forest, threshold = fitted(source, labels, trees, tree_rows, most_labelled, most_rejected, seed)
+    forest, threshold = fitted(source, labels, trees, tree_rows, cells, most_rejected, seed)
     kind = ", ".join(f"{c} long" for c in ("doc_id", *COUNTS))
     return source.mapInArrow(_judge(forest, threshold), f"{kind}, base_failed boolean, kept boolean, score double")
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = 100, tree_rows: int = 256, most_labelled: int = 4096, most_rejected: float = 0.01, seed: int = 7
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = 100, tree_rows: int = 256, cells: int = 4096, most_rejected: float = 0.01, seed: int = 7
 ) -> DataFrame:
     """The rows of `docs` that quality_rules keeps, with all their columns, in one pass and without a join."""
-    forest, threshold = fitted(_plain(docs, id_col, text_col), labels, trees, tree_rows, most_labelled, most_rejected, seed)
+    forest, threshold = fitted(_plain(docs, id_col, text_col), labels, trees, tree_rows, cells, most_rejected, seed)
     judge = _judge(forest, threshold)
     text_at = docs.columns.index(text_col)
 

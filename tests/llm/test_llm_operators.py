@@ -151,6 +151,18 @@ def test_conflicting_labels(spark):
     assert [sorted(map(str, f(d, least).collect())) for f in (quality.quality_rules, toxicity.toxicity_scores)] == out[0]
 
 
+def test_all_labelled_rows_are_learnt_from(spark):
+    """Good documents that look like the bad ones and come last in the order of a hash of their ids: no more of them are rejected than of the others."""
+    order = [r[0] for r in spark.range(4400).orderBy(F.xxhash64("id"), "id").collect()]
+    late, bad = set(order[4096:]), set(order[:200])
+    rows = [(i, prose(i, 60) + " ## %% && ** ||" * 4 * (i in late or i in bad)) for i in range(4400)]
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(4400)], "doc_id long, quality int")
+    got = quality.quality_rules(docs(spark, rows), labels).join(labels, "doc_id")
+    assert got.where("quality = 1 and not kept and not base_failed").count() <= 0.01 * 4200
+    learnt = quality.labelled_ratios(docs(spark, rows), labels)
+    assert {(r["doc_id"], r["quality"], tuple(r["ratios"])) for r in learnt.collect()} == {(i, int(i not in bad), tuple(quality.statistics(t.encode())[1])) for i, t in rows}
+
+
 def test_forest_isolates_an_outlier():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 1, (255, 3)), [[9.0, 9, 9]]])
