@@ -53,7 +53,7 @@ def searched(spark, sf_dir: str):
     vectors = e.select(F.lit("cn").alias("language"), name, F.col("embedding").alias("vector")).unionByName(e.select(F.lit("en").alias("language"), name, F.reverse("embedding").alias("vector")))
     terms = fusion.role_terms(roles).select("language", "query").distinct()
     term_vectors = terms.join(e, F.ascii("query") == F.col("vec_id")).select("language", "query", F.col("embedding").alias("vector"))
-    stock = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.concat(F.lit("P"), "l_partkey").alias("main_sku")).agg(F.sum("l_quantity").cast("double").alias("quantity"))
+    stock = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.sum("l_quantity").cast("double").alias("quantity")).select(F.concat(F.lit("P"), "l_partkey").alias("main_sku"), "quantity")
     return retrieve(roles, products, vectors, term_vectors, stock, SearchParams(stock_filter="in_stock"), weighted=True, index=index)
 
 
